@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, chat, decontam, pii, sharding
+from pointweave.llm import bpe, chat, decontam, jpeg, langid, pii, quality, sharding
 from pointweave.llm.common import table
 
 
@@ -16,6 +16,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.report(table(spark, sf_dir, "documents"))
+
+
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -38,6 +50,9 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jpeg_media": op1_jpeg_media,
+        "op4_language_mixture": op4_language_mixture,
+        "op5_pairwise_quality": op5_pairwise_quality,
         "op3_rendezvous_sharding": op3_rendezvous_sharding,
         "op7_suffix_decontamination": op7_suffix_decontamination,
         "op8_snapshot_collapse": op8_snapshot_collapse,
