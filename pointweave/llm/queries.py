@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, chat, decontam, jpeg, langid, pii, quality, sharding
+from pointweave.llm import bpe, chat, decontam, jpeg, langid, neardup, pii, quality, sharding
 from pointweave.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op6_hyperminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_mixture": op4_language_mixture,
         "op5_pairwise_quality": op5_pairwise_quality,
         "op3_rendezvous_sharding": op3_rendezvous_sharding,
+        "op6_hyperminhash_groups": op6_hyperminhash_groups,
         "op7_suffix_decontamination": op7_suffix_decontamination,
         "op8_snapshot_collapse": op8_snapshot_collapse,
         "op9_checked_pii": op9_checked_pii,
