@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, chat, decontam, jpeg, langid, neardup, pii, quality, sharding
+from pointweave.llm import bpe, chat, decontam, jpeg, langid, neardup, pii, quality, repeats, sharding
 from pointweave.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_parsed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jpeg_media": op1_jpeg_media,
         "op4_language_mixture": op4_language_mixture,
         "op5_pairwise_quality": op5_pairwise_quality,
+        "op2_parsed_repeats": op2_parsed_repeats,
         "op3_rendezvous_sharding": op3_rendezvous_sharding,
         "op6_hyperminhash_groups": op6_hyperminhash_groups,
         "op7_suffix_decontamination": op7_suffix_decontamination,
