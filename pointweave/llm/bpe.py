@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: White space as the file's library sees it (fixed value of the format).
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -158,7 +159,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with an added column ``ids array<int>``; a clashing one is replaced."""
     content = tokenizer_file(docs.sparkSession, path)
     kept = docs.drop("ids")
-    schema = kept.schema.add("ids", "array<int>")
+    schema = T.StructType([*kept.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(content)
@@ -175,7 +176,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``rows`` with an added column ``decoded string``; a clashing one is replaced."""
     content = tokenizer_file(rows.sparkSession, path)
     kept = rows.drop("decoded")
-    schema = kept.schema.add("decoded", "string")
+    schema = T.StructType([*kept.schema, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(content)
