@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pointweave.plans import fusion_queries, table_queries  # noqa: F401
+from pointweave.plans.registry import catalog
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Fuse repeated predictions per point, then report metrics per threshold."""
+    return catalog.queries["l5_fuse_points"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(catalog.queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.oracles)
