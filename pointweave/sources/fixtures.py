@@ -99,7 +99,7 @@ def duck(sql: str, *doubles: str) -> str:
 
     visit(sql)
     ctes = ", ".join(f"{v} AS ({re.sub(r'[{]e(\d+)[}]', r'embedding[\1]', VIEWS[v])})" for v in order)
-    picked = "SELECT * REPLACE (" + ", ".join(f"ROUND({d}, 6) + 0.0 AS {d}" for d in doubles) + ")" if doubles else "SELECT *"
+    picked = "SELECT * REPLACE (" + ", ".join(f"ROUND(CAST({d} AS DOUBLE), 6) + 0.0::DOUBLE AS {d}" for d in doubles) + ")" if doubles else "SELECT *"
     body = f"{picked} FROM ({sql}) q"
     return (f"WITH {ctes} " if ctes else "") + body
 
