@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.sources.durable import durable
@@ -42,3 +42,125 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionAll(
         now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     )
+
+
+def degrees(edges: DataFrame, by: tuple[str, ...] = ("item_id",)) -> DataFrame:
+    """Node degree and class: end (1), chain (2) or junction (more)."""
+    ends = edges.select(*by, F.explode(F.array("a", "b")).alias("node"))
+    kind = F.when(F.col("degree") == 1, "end").when(F.col("degree") == 2, "chain").otherwise("junction")
+    return ends.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("degree")).withColumn("kind", kind)
+
+
+def component_sizes(components: DataFrame, least: int = 1) -> DataFrame:
+    return components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def component_centers(components: DataFrame, points: DataFrame, key: str = "point_id", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Median of each axis over a component's points."""
+    return components.join(points.select(F.col(key).alias("node"), *xyz), "node").groupBy("component").agg(*(F.percentile(c, 0.5).alias(c) for c in xyz))
+
+
+def connect_dangling(edges: DataFrame, points: DataFrame, radius: float, by: tuple[str, ...] = ("item_id",), key: str = "point_id") -> DataFrame:
+    """Edges that join each end node to the nearest other node of degree other than 2 within the radius, unless linked."""
+    from pointweave.operators.spatial import radius_join
+
+    deg = degrees(edges, by)
+    open_ends = points.join(deg.where("degree = 1").select(*by, F.col("node").alias(key)), [*by, key])
+    targets = points.join(deg.where("degree <> 2").select(*by, F.col("node").alias(key)), [*by, key])
+    pairs = radius_join(open_ends.select(*by, key, "x", "y", "z"), targets.select(*by, key, "x", "y", "z"), radius, by).where(F.col(key) != F.col(f"p_{key}"))
+    pairs = pairs.select(*by, F.col(key).alias("end"), "d2", F.col(f"p_{key}").alias("to"), F.least(key, f"p_{key}").alias("a"), F.greatest(key, f"p_{key}").alias("b"))
+    best = pairs.groupBy(*by, "end").agg(F.min(F.struct("d2", "to", "a", "b")).alias("best")).select(*by, F.col("best.a").alias("a"), F.col("best.b").alias("b"))
+    return best.distinct().join(edges.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), [*by, "a", "b"], "left_anti")
+
+
+def polyline_chains(edges: DataFrame, by: tuple[str, ...] = ("item_id",)) -> DataFrame:
+    """Number of edges of each maximal chain between nodes of degree other than 2, and of closed loops.
+
+    A chain is a component of edges that meet in degree-2 nodes; its name is
+    its least edge.
+    """
+    e = edges.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("edge", F.xxhash64(*by, "a", "b"))
+    mid = degrees(e, by).where("degree = 2").select(*by, "node")
+    at = e.select(*by, "edge", F.explode(F.array("a", "b")).alias("node")).join(mid, [*by, "node"])
+    links = at.groupBy(*by, "node").agg(F.min("edge").alias("src"), F.max("edge").alias("dst")).select("src", "dst")
+    labels = connected_components(links)
+    named = e.join(labels.withColumnRenamed("node", "edge"), "edge", "left").withColumn("chain", F.coalesce("component", "edge"))
+    return named.groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("n_edges"), F.min(F.struct("a", "b")).alias("first")).select(*by, "n_edges", F.col("first.a").alias("a"), F.col("first.b").alias("b"))
+
+
+def frontier(edges: DataFrame, seeds: DataFrame, hops: int, every: int = 3) -> DataFrame:
+    """Hop distance from each seed to the nodes within ``hops``: all seeds expand together, one join a level.
+
+    edges: a, b (either direction); seeds: seed, node.
+    """
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    reached = seeds.select("seed", "node", F.lit(0).cast("long").alias("hop"))
+    edge_of = reached
+    for hop in range(1, hops + 1):
+        new = edge_of.join(both, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node")).distinct()
+        new = new.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop).cast("long"))
+        edge_of = durable(new, "frontier")
+        if edge_of.isEmpty():
+            break
+        reached = reached.unionAll(edge_of)
+        if hop % every == 0:
+            reached = durable(reached, "frontier")
+    return reached
+
+
+def bfs_patches(edges: DataFrame, seeds: DataFrame, size: int, hops: int) -> DataFrame:
+    """The first ``size`` nodes of each seed by (hop, node)."""
+    w = Window.partitionBy("seed").orderBy("hop", "node")
+    return frontier(edges, seeds, hops).withColumn("nth", F.row_number().over(w).cast("long")).where(F.col("nth") <= size)
+
+
+def split_segments(points: DataFrame, segments: DataFrame, threshold: float) -> DataFrame:
+    """Segments split at the matched point whose distance to the segment differs most from its own value.
+
+    points: seg_id, point_id, x, y, z, distance; segments: seg_id and end
+    points.  One round; rounds compose.
+    """
+    from pointweave.functions.geometry import segment_project
+
+    a, b = ("ax", "ay", "az"), ("bx", "by_", "bz")
+    d, _, t = segment_project(("x", "y", "z"), a, b)
+    gap = F.abs(d - F.col("distance"))
+    near = points.join(segments, "seg_id").withColumns({"gap": F.round(gap, 9), "t": t}).where("t > 0 and t < 1")
+    worst = near.groupBy("seg_id").agg(F.min(F.struct((-F.col("gap")).alias("far"), "point_id", "x", "y", "z")).alias("w")).where(-F.col("w.far") >= threshold)
+    cut = segments.join(worst, "seg_id", "left")
+    mid = [F.col("w.x"), F.col("w.y"), F.col("w.z")]
+    whole = [F.col(c) for c in (*a, *b)]
+    first, second = whole[:3] + mid, mid + whole[3:]
+    half = lambda cs, n: F.struct(F.lit(n).cast("long").alias("half"), *(c.alias(k) for c, k in zip(cs, (*a, *b))))
+    halves = F.when(F.col("w").isNull(), F.array(half(whole, 0))).otherwise(F.array(half(first, 1), half(second, 2)))
+    return cut.select("seg_id", F.explode(halves).alias("h")).select("seg_id", "h.*")
+
+
+def sample_segments(segments: DataFrame, step: float) -> DataFrame:
+    """Evenly spaced samples of each segment: floor(length / step), the end points where that is 0."""
+    from pointweave.functions.geometry import norm
+
+    a, b = ("ax", "ay", "az"), ("bx", "by_", "bz")
+    n = F.floor(norm([F.col(y) - F.col(x) for x, y in zip(a, b)]) / step).cast("long")
+    steps = F.when(n >= 2, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: i / (n - 1))).when(n == 1, F.array(F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    return segments.select("*", F.posexplode(steps).alias("pos", "t")).select("item_id", "seg_id", F.col("pos").cast("long").alias("pos"), *((F.col(x) + F.col("t") * (F.col(y) - F.col(x))).alias(c) for c, x, y in zip("xyz", a, b)))
+
+
+def shared_endpoints(segments: DataFrame, tolerance: float, by: tuple[str, ...] = ("item_id",)) -> DataFrame:
+    """Pairs of segments that share an end point within the tolerance."""
+    from pointweave.operators.spatial import radius_join
+
+    ends = segments.select(*by, "seg_id", F.explode(F.array(F.struct(*(F.col(c).alias(n) for c, n in zip(("ax", "ay", "az"), "xyz"))), F.struct(*(F.col(c).alias(n) for c, n in zip(("bx", "by_", "bz"), "xyz"))))).alias("p")).select(*by, "seg_id", "p.*")
+    pairs = radius_join(ends, ends, tolerance, by, inclusive=True).where("seg_id < p_seg_id")
+    return pairs.select(*by, F.col("seg_id").alias("src"), F.col("p_seg_id").alias("dst")).distinct()
+
+
+def drop_small_components(segments: DataFrame, tolerance: float, length: float, members: int, by: tuple[str, ...] = ("item_id",)) -> DataFrame:
+    """Segments outside components that are both shorter than ``length`` and of at most ``members``."""
+    from pointweave.functions.geometry import norm
+
+    labels = connected_components(shared_endpoints(segments, tolerance, by))
+    own = segments.join(labels.withColumnRenamed("node", "seg_id"), "seg_id", "left").withColumn("component", F.coalesce("component", "seg_id"))
+    gap = norm([F.col(y) - F.col(x) for x, y in zip(("ax", "ay", "az"), ("bx", "by_", "bz"))])
+    small = own.groupBy("component").agg(F.sum(gap).alias("length"), F.count(F.lit(1)).alias("n")).where((F.col("length") < length) & (F.col("n") <= members))
+    return own.join(small, "component", "left_anti").drop("component")
