@@ -116,19 +116,22 @@ add("w10_turn_cosines", lambda v: ge.turn_cosines(_curves(v), CURVE, "vid").sele
 add("w11_split_at_breakpoints", lambda v: ge.split_at_breakpoints(_curves(v), CURVE, "vid", -0.5).select(*CURVE, "vid", "piece"),
     f"WITH s AS (SELECT *, COALESCE(turn >= -0.5, TRUE) AS st FROM {_TURN}), f AS (SELECT *, CASE WHEN st <> LAG(st) OVER (PARTITION BY item_id, curve_id ORDER BY vid) THEN 1 ELSE 0 END AS flip FROM s) SELECT item_id, curve_id, vid, SUM(flip) OVER (PARTITION BY item_id, curve_id ORDER BY vid ROWS UNBOUNDED PRECEDING)::BIGINT AS piece FROM f")
 # raster
-FORE = F.col("depth") >= 20
+def fore():
+    return F.col("depth") >= 20
+
+
 for keep, o in (("min", "depth"), ("max", "-depth")):
     add(f"r1_z_buffer_{keep}", lambda v, keep=keep: ra.z_buffer(v("fx_pixel_hits"), keep), f"SELECT view_id, pr, pc, depth, event_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY view_id, pr, pc ORDER BY {o}, event_id) AS n FROM fx_pixel_hits) WHERE n = 1", "depth")
-add("r2_erode", lambda v: ra.erode(v("fx_pixels"), 1, FORE), "SELECT * FROM fx_pixels p WHERE depth >= 20 AND NOT EXISTS (SELECT 1 FROM fx_pixels b WHERE b.depth < 20 AND b.view_id = p.view_id AND ABS(b.pr - p.pr) <= 1 AND ABS(b.pc - p.pc) <= 1)", "depth")
+add("r2_erode", lambda v: ra.erode(v("fx_pixels"), 1, fore()), "SELECT * FROM fx_pixels p WHERE depth >= 20 AND NOT EXISTS (SELECT 1 FROM fx_pixels b WHERE b.depth < 20 AND b.view_id = p.view_id AND ABS(b.pr - p.pr) <= 1 AND ABS(b.pc - p.pc) <= 1)", "depth")
 _SOB = "SELECT view_id, pr, pc, SQRT(gr * gr + gc * gc) / SQRT(2.0::DOUBLE) AS magnitude FROM (SELECT p.view_id, p.pr, p.pc, COUNT(*) AS n, SUM(b.depth * (b.pr - p.pr) * (2 - ABS(b.pc - p.pc)) / 4) AS gr, SUM(b.depth * (b.pc - p.pc) * (2 - ABS(b.pr - p.pr)) / 4) AS gc FROM fx_pixels p JOIN fx_pixels b ON b.view_id = p.view_id AND ABS(b.pr - p.pr) <= 1 AND ABS(b.pc - p.pc) <= 1 AND b.depth >= 2 GROUP BY 1, 2, 3) WHERE n = 9"
 add("r3_sobel", lambda v: ra.sobel(v("fx_pixels"), F.col("depth") >= 2), _SOB, "magnitude")
-add("r4_tiles", lambda v: ra.tiles(v("fx_pixels"), 6, 4, 16, FORE).groupBy("view_id", "tr", "tc").agg(F.count(F.lit(1)).alias("n"), F.sum("lr").alias("s")),
+add("r4_tiles", lambda v: ra.tiles(v("fx_pixels"), 6, 4, 16, fore()).groupBy("view_id", "tr", "tc").agg(F.count(F.lit(1)).alias("n"), F.sum("lr").alias("s")),
     "SELECT view_id, tr, tc, COUNT(*) AS n, SUM(pr - tr)::BIGINT AS s FROM fx_pixels, (SELECT UNNEST([0, 4, 8])::BIGINT AS tr), (SELECT UNNEST([0, 4, 8])::BIGINT AS tc) WHERE pr >= tr AND pr < tr + 6 AND pc >= tc AND pc < tc + 6 GROUP BY 1, 2, 3 HAVING SUM(CASE WHEN depth >= 20 THEN 1 ELSE 0 END) > 0")
 add("r5_crop_pad", lambda v: ra.pad(ra.crop_center(v("fx_pixels").select("view_id", "pr", "pc", "depth"), 16, 16, 8, 8), 8, 8, {"depth": 0.0}),
     "WITH g AS (SELECT view_id, r AS pr, c AS pc FROM (SELECT DISTINCT view_id FROM fx_pixels WHERE pr BETWEEN 4 AND 11 AND pc BETWEEN 4 AND 11), (SELECT UNNEST(range(8)) AS r), (SELECT UNNEST(range(8)) AS c)) SELECT g.view_id, g.pr, g.pc, COALESCE(depth, 0) AS depth FROM g LEFT JOIN fx_pixels p ON p.view_id = g.view_id AND p.pr = g.pr + 4 AND p.pc = g.pc + 4", "depth")
 add("r6_common_bbox", lambda v: ra.common_bbox(v("fx_pixels"), ["view_id"], F.col("depth") > 60, 2).withColumn("side", ra.snap_pow2(F.col("bottom") - F.col("top"))),
     'SELECT *, (2 ** CEIL(LOG2(GREATEST(bottom - top, 1))))::BIGINT AS side FROM (SELECT view_id, MIN(pr) - 2 AS top, MAX(pr) + 2 AS bottom, MIN(pc) - 2 AS "left", MAX(pc) + 2 AS "right" FROM fx_pixels WHERE depth > 60 GROUP BY 1)')
-add("r7_tile_normalize", lambda v: ra.tile_normalize(v("fx_pixels"), 4, FORE, 2.5).drop("event_id", "tr", "tc"),
+add("r7_tile_normalize", lambda v: ra.tile_normalize(v("fx_pixels"), 4, fore(), 2.5).drop("event_id", "tr", "tc"),
     "SELECT view_id, pr, pc, CASE WHEN depth >= 20 THEN (depth - MIN(CASE WHEN depth >= 20 THEN depth END) OVER (PARTITION BY view_id, pr // 4, pc // 4)) / 2.5 ELSE depth END AS depth FROM fx_pixels", "depth")
 add("r8_signal_on_foreground", lambda v: ra.signal_on_foreground(v("fx_pixels").withColumns({"signal": F.col("pc") * 1.5, "depth": F.when(F.col("depth") < 20, 0.0).otherwise(F.col("depth"))}), "signal", 0.0, -1.0).select("view_id", "pr", "pc", "signal"),
     "SELECT view_id, pr, pc, CASE WHEN depth < 20 THEN -1.0 ELSE pc * 1.5 END AS signal FROM fx_pixels", "signal")
