@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.plans import fusion_queries, geometry_queries, mesh_queries, spatial_queries, stream_queries, table_queries  # noqa: F401
+from pointweave.plans import fusion_queries, geometry_queries, mesh_queries, pipeline_queries, spatial_queries, stream_queries, table_queries  # noqa: F401
 from pointweave.plans.registry import catalog
 
 
