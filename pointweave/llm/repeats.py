@@ -42,12 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import flat_bytes, mix64, pieces
+from pointweave.llm.common import flat_bytes, mix64, pieces, small_batches
 
 LENGTH, GRAM = 100, 8
 HELD_BYTES = 1 << 20
 #: Occurrences that a task reduces at a time.
 REDUCED = 400_000
+#: Occurrences beyond which the start positions of a trigger's phrases part ways,
+#: and rows that a task sorts at a time.
+MANY, KEYED = 4_000, 8_000
 
 U64 = np.uint64
 _LAST = (1 << 63) - 1
@@ -164,7 +167,7 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield from _rows(*(np.concatenate(x) for x in zip(*held)))
 
-    return docs.select("doc", "text").mapInArrow(run, _ROWS)
+    return small_batches(docs.select("doc", "text")).mapInArrow(run, _ROWS)
 
 
 def _compared(rows: DataFrame) -> DataFrame:
@@ -174,39 +177,101 @@ def _compared(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("nth", nth)
         .withColumn("mixed", F.min("own").over(key) != F.max("own").over(key))
+        .withColumn("many", F.count(F.lit(1)).over(key) > MANY)
         .withColumn("repeat", F.col("later") | (F.col("nth") > 1))
         .where("repeat or mixed")
-        .select("doc", "place", "repeat")
+        .select("key", "doc", "place", "repeat", "many")
     )
 
 
+_PLACED = "key long, own long, doc long, place long, later boolean, bytes binary"
+
+
 def _looked_into(joined: DataFrame, length: int) -> DataFrame:
-    """A row per start position of the firsts in ``joined``; key and own are two digests."""
+    """The firsts in ``joined`` with their bytes, by the digest of their trigger bytes.
+
+    Where more than ``MANY`` occurrences share the trigger bytes, a row for
+    each start position goes by the digest of its own string instead: such rows
+    are reduced like phrases, so none of these groups can grow with the corpus
+    either.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        count = 0
         for batch in batches:
-            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            keys, docs, places, texts = [], [], [], []
+            held: list[list[np.ndarray]] = []
+            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 data = text.as_py().encode()
                 tag = _tag(data)
-                at = [np.arange(p >> 32, (p >> 32) + (p >> 16 & 0xFFFF)) for p in set(marks.as_py()) if p & 0xFFFF == tag]
-                if not at:
-                    continue
-                place = np.concatenate(at)
-                place = place[place + length <= len(data)]
-                digest = [xxhash.xxh3_128_intdigest(data[p : p + length]) for p in place.tolist()]
-                key = np.array([x >> 64 for x in digest], U64).view(np.int64)
-                own = np.array([x & 0xFFFFFFFFFFFFFFFF for x in digest], U64).view(np.int64)
-                held.append([key, own, np.full(len(place), doc), place << 32 | 1 << 16 | tag])
-                count += len(place)
-                if count >= REDUCED:
-                    yield from _rows(*(np.concatenate(x) for x in zip(*held)))
-                    held, count = [], 0
+                for key, place, many in {(m["key"], m["place"], m["many"]) for m in marks}:
+                    at, n = place >> 32, place >> 16 & 0xFFFF
+                    if place & 0xFFFF != tag or at + n - 1 + length > len(data):
+                        continue
+                    if many:
+                        starts = np.arange(at, at + n)
+                        held.append([*_digests([(data[at : at + n - 1 + length], n)], length), np.full(n, doc), starts << 32 | 1 << 16 | tag])
+                    else:
+                        keys.append(key), docs.append(doc), places.append(place), texts.append(data[at : at + n - 1 + length])
+            zeros = np.zeros(len(keys), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(zeros), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(zeros > 0), pa.array(texts, pa.binary())], ["key", "own", "doc", "place", "later", "bytes"])
+            if held:
+                for part in _rows(*(np.concatenate(x) for x in zip(*held))):
+                    yield part.append_column("bytes", pa.nulls(part.num_rows, pa.binary()))
+
+    return small_batches(joined).mapInArrow(run, _PLACED)
+
+
+def _digests(texts: list[tuple[bytes, int]], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of the string at each of the first n positions of each text."""
+    digest = [xxhash.xxh3_128_digest(t[i : i + length]) for t, n in texts for i in range(n)]
+    both = np.frombuffer(b"".join(digest), ">i8").reshape(-1, 2)
+    return both[:, 0].astype(np.int64), both[:, 1].astype(np.int64)
+
+
+def _suffixes(placed: DataFrame, length: int) -> DataFrame:
+    """Start positions, among the firsts, whose string also starts earlier.
+
+    Rows arrive by key; the dictionary's suffixes of whole keys are sorted
+    together, a bounded number of keys at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def finish(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            later = rows.filter(rows["later"])
+            if later.num_rows:
+                yield pa.RecordBatch.from_arrays([later["doc"].combine_chunks(), later["place"].combine_chunks()], ["doc", "place"])
+            rows = rows.filter(pa.array(~rows["later"].to_numpy()))
+            texts = rows["bytes"].to_pylist()
+            key, own, doc, place = (rows[c].to_numpy() for c in ("key", "own", "doc", "place"))
+            whole = np.array([t is not None for t in texts], bool)
+            n = place[whole] >> 16 & 0xFFFF
+            one, two = _digests([(t, k) for t, k in zip((t for t in texts if t is not None), n.tolist())], length)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(place[whole], n)
+            at = ((at >> 32) + step) << 32 | 1 << 16 | at & 0xFFFF
+            parts = ([one, key[~whole]], [two, own[~whole]], [np.repeat(doc[whole], n), doc[~whole]], [at, place[~whole]])
+            for batch in _rows(*(np.concatenate(x) for x in parts)):
+                if batch.num_rows and batch.column(4)[0].as_py():
+                    yield batch.select(["doc", "place"])
+
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count < KEYED:
+                continue
+            rows = pa.Table.from_batches(held)
+            key = rows["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1], "left"))  # the last key may go on
+            if cut:
+                yield from finish(rows.slice(0, cut))
+                held, count = rows.slice(cut).to_batches(), rows.num_rows - cut
         if held:
-            yield from _rows(*(np.concatenate(x) for x in zip(*held)))
+            yield from finish(pa.Table.from_batches(held))
 
-    return joined.mapInArrow(run, _ROWS)
+    return small_batches(placed).mapInArrow(run, "doc long, place long")
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -215,12 +280,12 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = _compared(_parse(rows, length))
     marks = found.groupBy("doc").agg(
         F.collect_list(F.when(F.col("repeat"), F.col("place"))).alias("repeats"),
-        F.collect_list(F.when(~F.col("repeat"), F.col("place"))).alias("firsts"),
+        F.collect_list(F.when(~F.col("repeat"), F.struct("key", "place", "many"))).alias("firsts"),
     )
+    # both uses read the same columns, so that the texts are shuffled once
     joined = rows.join(marks, "doc", "left")
-    suffixes = _looked_into(joined.where(F.size("firsts") > 0).select("doc", "text", "firsts"), length)
-    nth = F.rank().over(Window.partitionBy("key", "own").orderBy("doc", "place"))
-    more = suffixes.withColumn("nth", nth).where("later or nth > 1").groupBy("doc").agg(F.collect_list("place").alias("more"))
+    placed = _looked_into(joined.where(F.size("firsts") > 0).select("doc", "doc_id", "text", "firsts"), length)
+    more = _suffixes(placed.repartition("key").sortWithinPartitions("key"), length).groupBy("doc").agg(F.collect_list("place").alias("more"))
     none = F.array().cast("array<bigint>")
     return joined.join(more, "doc", "left").select("doc_id", "text", F.concat(F.coalesce("repeats", none), F.coalesce("more", none)).alias("repeats"))
 
@@ -248,4 +313,4 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 kept.append(hashlib.sha256(left.tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return small_batches(spans(docs, length)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
