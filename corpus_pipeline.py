@@ -46,8 +46,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, their number and the text they decode to."""
-    path = tokenizer_path()
-    out = bpe.decode(bpe.encode(docs, path), path)
+    out = bpe.round_trip(docs, tokenizer_path())
     return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -21,7 +21,7 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -29,13 +29,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from pointweave.llm.common import small_batches
+
 #: White space as the file's library sees it (fixed value of the format).
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level pre-tokenizer's pattern (fixed value of the format).
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 #: Pre-tokens whose ids a worker keeps; beyond it the memo is emptied after a text.
-MEMO = 500_000
+MEMO = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -169,7 +171,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 ids = [bpe.encode(t or "") for t in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, "ids"])
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -184,7 +186,30 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = [bpe.decode(x or []) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, schema)
+    return small_batches(kept).mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and what they decode to, ``decoded``, made in one pass.
+
+    One worker a task holds the vocabulary then, where :func:`encode` followed
+    by :func:`decode` has two.  Clashing columns are replaced.
+    """
+    content = tokenizer_file(docs.sparkSession, path)
+    kept = docs.drop("ids", "decoded")
+    schema = T.StructType([*kept.schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _loaded(content)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
+                ids = [pa.array(bpe.encode(t.as_py() or ""), pa.int32()) for t in part.column(text)]
+                texts = [bpe.decode(x.to_pylist()) for x in ids]
+                at = pa.array([0, *accumulate(map(len, ids))], pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(at, pa.concat_arrays(ids)), pa.array(texts, pa.string())], [*part.schema.names, "ids", "decoded"])
+
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -202,4 +227,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 decoded_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

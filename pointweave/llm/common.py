@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +25,20 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(text.cast("binary")) % folds == 0
 
 
-def map_batches(
-    df: DataFrame,
-    make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]],
-    schema: str,
-) -> DataFrame:
-    """``mapInArrow`` with state built once in each task."""
+#: Rows that a task holds at a time where it hands texts to Python.
+BATCH_ROWS = 1000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for batch in batches:
-            yield from step(batch)
 
-    return df.mapInArrow(run, schema)
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of ``BATCH_ROWS`` rows in its session.
+
+    Whole texts are long, and the default of 10000 rows holds tens of MB on
+    either side of each Python worker.  A value that the user set stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def pieces(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:

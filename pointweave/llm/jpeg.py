@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pointweave.llm.common import small_batches
+
 #: Blocks of a grid row that :func:`encode` makes, and blocks coded at a time.
 GRID, CHUNK = 256, 16_384
 
@@ -395,7 +397,7 @@ def store(docs: DataFrame) -> DataFrame:
                     media.append(encode(data + bytes(-len(data) % 64 if data else 64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def read(stored: DataFrame, batch_bytes: int = 1 << 18) -> DataFrame:
@@ -417,7 +419,7 @@ def read(stored: DataFrame, batch_bytes: int = 1 << 18) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names)
                     start, held, files = i + 1, 0, []
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return small_batches(stored.select("doc_id", "n_bytes", "media")).mapInArrow(run, schema)
 
 
 _TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import LOWER, held_out
+from pointweave.llm.common import LOWER, held_out, small_batches
 
 BUCKETS = 1 << 15
 STEPS = 12
@@ -72,7 +72,7 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarra
                     yield from flush()
         yield from flush()
 
-    rows = docs.select("text", "lang").where("text is not null and lang is not null").mapInArrow(count, "lang string, bucket long, n long")
+    rows = small_batches(docs.select("text", "lang").where("text is not null and lang is not null")).mapInArrow(count, "lang string, bucket long, n long")
     table = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(table["lang"].unique())
     counts = np.full((buckets, len(names)), SMOOTHING)
@@ -134,7 +134,7 @@ def predict(docs: DataFrame, names: list[str], probabilities: np.ndarray, steps:
                 langs.append(names[k]), scores.append(float(min(1.0, share[k]))), sizes.append(int((share > 0).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())], ["doc_id", "lang_pred", "score", "n_langs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs int")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs int")
 
 
 def report(docs: DataFrame) -> DataFrame:

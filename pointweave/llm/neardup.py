@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import LOWER, byte_table, durable, flat_bytes, mix64, pieces, word_hashes
+from pointweave.llm.common import LOWER, byte_table, durable, flat_bytes, mix64, pieces, small_batches, word_hashes
 from pointweave.operators.graph import connected_components
 
 REGISTERS, MANTISSA = 256, 10
@@ -46,7 +46,7 @@ COLLISION = 0.169919 * 2.0**-MANTISSA
 SLACK = 6.0
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
-HELD_BYTES = 2 << 20
+HELD_BYTES = 1 << 19
 
 U64 = np.uint64
 _WORD = byte_table(set(range(256)) - {32, *range(9, 14)})
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "node", "n", "regs", "packed"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n long, regs binary, packed binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, node long, n long, regs binary, packed binary")
 
 
 def _texts(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
