@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import LOWER, byte_table, flat_bytes, pieces, word_hashes
+from pointweave.llm.common import LOWER, byte_table, flat_bytes, pieces, small_batches, word_hashes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 #: Words of a shard, and text bytes that a task holds at once (longer texts whole).
 SHARD_WORDS = 400_000
-HELD_BYTES = 2 << 20
+HELD_BYTES = 1 << 20
 
 #: 0-9, A-Z (lower-cased), a-z and every byte of a non-ASCII character.
 _WORD = byte_table([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
@@ -147,19 +147,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
                 for lo, hi in pieces(texts, HELD_BYTES):
                     yield _searched(batch, lo, hi, suffixes)
 
-        parts.append(keyed.mapInArrow(run, _HITS))
+        parts.append(small_batches(keyed).mapInArrow(run, _HITS))
     if len(parts) == 1:
         return parts[0]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
     # a document's rows of the several blocks; repeated rows have equal spans
-    return out.groupBy("doc_id", "text_key").agg(
+    found = out.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(
         F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         F.max("longest").alias("longest"),
-    ).join(keyed.select("doc_id", "text_key"), ["doc_id", "text_key"], "right")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key"))
+    return keyed.select("doc_id", "text_key").join(found, same).drop("of", "of_key")
 
 
 def _searched(batch: pa.RecordBatch, lo: int, hi: int, suffixes: Suffixes) -> pa.RecordBatch:
@@ -223,5 +225,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
                     dirty[np.searchsorted(at, place, "right") - 1] = True
                     yield batch.slice(lo, hi - lo).filter(pa.array(~dirty))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = small_batches(out).mapInArrow(run, docs.schema)
     return out
