@@ -112,20 +112,40 @@ def reduce_with(votes: DataFrame, reducer: Callable[[Column], Column], key: Sequ
     return collect_variants(votes, key, value).select(*key, reducer(F.col("votes")).alias("distance"))
 
 
+#: Elimination of u, v and w = u v from the normal equations of a + b u + c v + d w,
+#: level by level; a direction without spread is left out.
+_ELIMINATION = (
+    {"iu": "CASE WHEN suu > 1e-12 THEN 1 / suu ELSE 0 END"},
+    {
+        "vv1": "svv - suv * suv * iu", "ww1": "sww - suw * suw * iu", "vw1": "svw - suv * suw * iu", "v1": "sv - su * suv * iu", "w1": "sw - su * suw * iu",
+        "n1": "n - su * su * iu", "bv1": "bv - suv * bu * iu", "bw1": "bw - suw * bu * iu", "bd1": "bd - su * bu * iu",
+    },
+    {"iv": "CASE WHEN vv1 > 1e-12 THEN 1 / vv1 ELSE 0 END"},
+    {"ww2": "ww1 - vw1 * vw1 * iv", "w2": "w1 - v1 * vw1 * iv", "n2": "n1 - v1 * v1 * iv", "bw2": "bw1 - vw1 * bv1 * iv", "bd2": "bd1 - v1 * bv1 * iv"},
+    {"iw": "CASE WHEN ww2 > 1e-12 THEN 1 / ww2 ELSE 0 END"},
+    {"n3": "n2 - w2 * w2 * iw", "bd3": "bd2 - w2 * bw2 * iw"},
+)
+_FITTED = "CASE WHEN lu > 0 OR hu < 0 OR lv > 0 OR hv < 0 THEN NULL WHEN n3 > 1e-9 THEN bd3 / n3 ELSE bd / n END"
+
+
 def least_squares_fit(candidates: DataFrame, key: Sequence[str], u: str, v: str, d: str) -> DataFrame:
-    """a + b u + c v fitted to each target's neighbours, evaluated at (0, 0).
+    """a + b u + c v + d u v fitted to each target's neighbours, evaluated at (0, 0).
 
-    ``u`` and ``v`` are offsets from the target.  The plane's normal equations
-    come from summed moments and Cramer's rule, so neighbours combine map-side;
-    a singular system gives the mean value.
+    ``u`` and ``v`` are offsets from the target; a target outside its
+    neighbours' box gets null.  The moments are sums that combine map-side, and
+    the 4 x 4 system is eliminated in columns.
     """
+    cu, cv, cd = F.col(u), F.col(v), F.col(d)
+    cw = cu * cv
+    sums = {"su": cu, "sv": cv, "sw": cw, "bd": cd, "suu": cu * cu, "svv": cv * cv, "sww": cw * cw, "suv": cu * cv, "suw": cu * cw, "svw": cv * cw, "bu": cu * cd, "bv": cv * cd, "bw": cw * cd}
     m = candidates.groupBy(*key).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
-        *(F.sum(e).alias(a) for a, e in {"su": F.col(u), "sv": F.col(v), "sd": F.col(d), "suu": F.col(u) * F.col(u), "svv": F.col(v) * F.col(v), "suv": F.col(u) * F.col(v), "sud": F.col(u) * F.col(d), "svd": F.col(v) * F.col(d)}.items()),
+        *(F.sum(e).alias(a) for a, e in sums.items()),
+        F.min(cu).alias("lu"), F.max(cu).alias("hu"), F.min(cv).alias("lv"), F.max(cv).alias("hv"),
     )
-    det = F.expr("n * (suu * svv - suv * suv) - su * (su * svv - suv * sv) + sv * (su * suv - suu * sv)")
-    top = F.expr("sd * (suu * svv - suv * suv) - su * (sud * svv - suv * svd) + sv * (sud * suv - suu * svd)")
-    return m.select(*key, F.when(F.abs(det) > 1e-12, top / det).otherwise(F.col("sd") / F.col("n")).alias("distance"), "n")
+    for level in _ELIMINATION:
+        m = m.withColumns({name: F.expr(e) for name, e in level.items()})
+    return m.select(*key, F.expr(_FITTED).alias("distance"), "n")
 
 
 def smooth(points: DataFrame, neighbours: DataFrame, alpha: float, power: int = 2, steps: int = 20, rate: float = 0.05, momentum: float = 0.9, every: int = 5) -> DataFrame:
@@ -151,12 +171,12 @@ def smooth(points: DataFrame, neighbours: DataFrame, alpha: float, power: int =
 
 
 def smooth_local_fit(votes: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """Mean over the neighbourhoods that hold a point of their local plane fits.
+    """Mean over the neighbourhoods that hold a point of their local bilinear fits.
 
     ``neighbours``: id, other, u, v (offsets); ``votes``: id, value.
     """
     local = neighbours.join(votes.select(F.col("id").alias("other"), "value"), "other")
-    fits = least_squares_fit(local, ["id"], "u", "v", "value").select("id", "distance")
+    fits = least_squares_fit(local, ["id"], "u", "v", "value").where("distance is not null").select("id", "distance")
     spread = neighbours.select("id", "other").join(fits, "id")
     return spread.groupBy(F.col("other").alias("id")).agg(F.avg("distance").alias("value"))
 

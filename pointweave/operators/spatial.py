@@ -69,8 +69,9 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), k
     known by ``by`` and ``query_key``.
     """
     ids = [*by, query_key]
+    points, queries = durable(points.select(*by, key, *xyz), "points"), durable(queries.select(*ids, *xyz), "queries")
     pts = points.select(*by, F.col(key).alias("other"), *(F.col(c).alias(f"p_{c}") for c in xyz))
-    pending = queries.select(*ids, *xyz)
+    pending = queries
     box = points.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max)))).first()
     groups = points.select(*by).distinct().count() if by else 1
     ends = queries.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max)))).first()
@@ -135,7 +136,7 @@ def _covered(lo: Column, hi: Column, size: Column | float) -> Column:
     return F.explode(F.sequence(_cell(lo, size), _cell(hi, size)))
 
 
-def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str, shape_key: str, corners: Sequence[Sequence[str]], distance: Column, extra: dict[str, Column], size: float, xyz: Sequence[str]) -> DataFrame:
+def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str, shape_key: str, corners: Sequence[Sequence[str]], distance: Column, extra: dict[str, Column], size: float | None, xyz: Sequence[str]) -> DataFrame:
     """The shape of least (distance, id) of each point, by growing reach.
 
     A round copies each shape to the cells that its box, grown by the reach,
@@ -143,15 +144,21 @@ def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str,
     """
     cells = [f"cell{i}" for i in range(3)]
     ids = [*by, key]
-    pending, done = points.select(*ids, *xyz), []
+    # both sides are read in every round
+    shapes, points = durable(shapes, "shapes"), durable(points.select(*ids, *xyz), "points")
+    pending, done = points, []
     low, high = aabb(corners)
     span = shapes.agg(*(F.min(c) for c in low), *(F.max(c) for c in high)).first()
     own = points.agg(*(F.min(c) for c in xyz), *(F.max(c) for c in xyz)).first()
     if span[0] is None or own[0] is None:
         reach, extent = 1.0, 0.0
     else:
-        extent = sum(max(span[i + 3], own[i + 3]) - min(span[i], own[i]) for i in range(3))
-        reach = size
+        sides = [max(span[i + 3], own[i + 3]) - min(span[i], own[i]) for i in range(3)]
+        extent = sum(sides)
+        if size is None:  # about the spacing of shapes inside a group
+            n = shapes.count() / max(1, shapes.select(*by).distinct().count() if by else 1)
+            size = max(sides) / max(1.0, n) ** (1 / 3)
+        reach = max(size, 1e-12)
     for _ in range(MAX_ROUNDS):
         last = reach >= extent
         grown = shapes
@@ -175,13 +182,13 @@ def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str,
     return out
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, by: Sequence[str] = (), key: str = "point_id", segment_key: str = "seg_id", a: Sequence[str] = ("ax", "ay", "az"), b: Sequence[str] = ("bx", "by_", "bz"), reach: float = 0.05, xyz: Sequence[str] = XYZ) -> DataFrame:
+def nearest_segment(points: DataFrame, segments: DataFrame, by: Sequence[str] = (), key: str = "point_id", segment_key: str = "seg_id", a: Sequence[str] = ("ax", "ay", "az"), b: Sequence[str] = ("bx", "by_", "bz"), reach: float | None = None, xyz: Sequence[str] = XYZ) -> DataFrame:
     """Distance, nearest segment and projection of each point; a tie goes to the least segment id."""
     d, q, t = segment_project(xyz, a, b)
     return _nearest(points, segments, by, key, segment_key, [a, b], d, {"qx": q[0], "qy": q[1], "qz": q[2], "t": t}, reach, xyz)
 
 
-def nearest_face(points: DataFrame, faces: DataFrame, by: Sequence[str] = (), key: str = "point_id", face_key: str = "fid", corners: Sequence[Sequence[str]] = (("ax", "ay", "az"), ("bx", "by_", "bz"), ("cx", "cy", "cz")), reach: float = 0.05, xyz: Sequence[str] = XYZ) -> DataFrame:
+def nearest_face(points: DataFrame, faces: DataFrame, by: Sequence[str] = (), key: str = "point_id", face_key: str = "fid", corners: Sequence[Sequence[str]] = (("ax", "ay", "az"), ("bx", "by_", "bz"), ("cx", "cy", "cz")), reach: float | None = None, xyz: Sequence[str] = XYZ) -> DataFrame:
     """Distance and nearest triangle of each point; a tie goes to the least face id."""
     return _nearest(points, faces, by, key, face_key, corners, F.sqrt(point_triangle(xyz, *corners)), {}, reach, xyz)
 

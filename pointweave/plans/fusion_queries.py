@@ -64,15 +64,6 @@ add(
     lambda v: fu.export_variants(v("fx_votes")),
     f"SELECT item_id, global_idx, global_idx::VARCHAR || chr(9) || array_to_string(list_transform(list_sort(list(value)), lambda x: printf('%.3f', x)), ',') AS line FROM fx_votes {_G}",
 )
-add(
-    "a11_plane_fit",
-    lambda v: fu.least_squares_fit(v("fx_votes").withColumns({"u": F.col("px") - 25.0, "w": F.col("py") - 4.0}), ["item_id", "patch_id"], "u", "w", "value").withColumn("n", F.col("n").cast("long")),
-    """WITH m AS (SELECT item_id, patch_id, COUNT(*)::DOUBLE AS n, SUM(px - 25) AS su, SUM(py - 4) AS sv, SUM(value) AS sd, SUM((px - 25) * (px - 25)) AS suu, SUM((py - 4) * (py - 4)) AS svv,
-      SUM((px - 25) * (py - 4)) AS suv, SUM((px - 25) * value) AS sud, SUM((py - 4) * value) AS svd FROM fx_votes GROUP BY 1, 2),
-    k AS (SELECT *, n * (suu * svv - suv * suv) - su * (su * svv - suv * sv) + sv * (su * suv - suu * sv) AS det FROM m)
-    SELECT item_id, patch_id, CASE WHEN ABS(det) > 1e-12 THEN (sd * (suu * svv - suv * suv) - su * (sud * svv - suv * svd) + sv * (sud * suv - suu * svd)) / det ELSE sd / n END AS distance, n::BIGINT AS n FROM k""",
-    "distance",
-)
 add("v2_user_reducer", lambda v: fu.reduce_with(v("fx_votes"), lambda a: F.element_at(a, -1) - F.element_at(a, 1)), f"SELECT item_id, global_idx, MAX(value) - MIN(value) AS distance FROM fx_votes {_G}", "distance")
 add("v3_transform_chain", lambda v: v("fx_votes").transform(lambda d: d.where("value < 0.85")).transform(fu.combine, "mean"), f"SELECT item_id, global_idx, AVG(value) AS distance, COUNT(*) AS n_pred FROM fx_votes WHERE value < 0.85 {_G}", "distance")
 add(

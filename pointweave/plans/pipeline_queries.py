@@ -20,17 +20,30 @@ _N2 = f"(SELECT q.item_id, q.point_id, p.point_id AS other, p.x - q.x AS u, p.y
 
 
 def _fit(rows: str, key: str) -> str:
-    """SQL of the plane fit over rows with u, w, value."""
-    return f"""(SELECT {key}, CASE WHEN ABS(n * (suu * svv - suv * suv) - su * (su * svv - suv * sv) + sv * (su * suv - suu * sv)) > 1e-12 THEN (sd * (suu * svv - suv * suv) - su * (sud * svv - suv * svd) + sv * (sud * suv - suu * svd)) / (n * (suu * svv - suv * suv) - su * (su * svv - suv * sv) + sv * (su * suv - suu * sv)) ELSE sd / n END AS fit
-      FROM (SELECT {key}, COUNT(*)::DOUBLE AS n, SUM(u) AS su, SUM(w) AS sv, SUM(value) AS sd, SUM(u * u) AS suu, SUM(w * w) AS svv, SUM(u * w) AS suv, SUM(u * value) AS sud, SUM(w * value) AS svd FROM {rows} GROUP BY {key}))"""
+    """SQL of the bilinear fit over rows with u, w (the second offset) and value.
+
+    The normal equations by Cramer's rule in the order (1, u, v, u v), for
+    neighbourhoods where the system is regular; else null.
+    """
+    names = ["1.0", "u", "w", "u * w"]
+    n = [[f"m{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+    sums = ", ".join(f"SUM({names[i]} * {names[j]}) AS m{i}{j}" for i in range(4) for j in range(i, 4)) + ", " + ", ".join(f"SUM({names[i]} * value) AS b{i}" for i in range(4))
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * {det([[r[c] for c in range(len(m)) if c != j] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+    top = [[f"b{i}", *n[i][1:]] for i in range(4)]
+    return f"(SELECT {key}, CASE WHEN lu <= 0 AND hu >= 0 AND lv <= 0 AND hv >= 0 THEN {det(top)} / {det(n)} END AS fit, k FROM (SELECT {key}, {sums}, MIN(u) AS lu, MAX(u) AS hu, MIN(w) AS lv, MAX(w) AS hv, COUNT(*) AS k FROM {rows} GROUP BY {key}))"
 
 
 add("j22_cross_view_candidates_3d", lambda v: pl.cross_view_candidates(ev(v), od(v), 3, 0.2503, None, I, XYZ).select("item_id", "point_id", "other"),
     f"SELECT item_id, point_id, other FROM {_nn(3, EVEN, ODD)} WHERE (item_id, point_id) IN (SELECT (item_id, point_id) FROM {_nn(3, EVEN, ODD)} GROUP BY item_id, point_id HAVING COUNT(*) = 3 AND MAX(d2) < 0.2503 * 0.2503)")
 add("j21_view_pair_filter", lambda v: pl.cross_view_candidates(ev(v), od(v), 3, 0.1203, 0.2003, I, ("x", "y"), 0.3).select("item_id", "point_id", "other"),
     f"WITH n AS (SELECT c.*, ABS(a.z - b.z) AS dz FROM {_N2} c JOIN fx_points a ON a.point_id = c.point_id JOIN fx_points b ON b.point_id = c.other WHERE rank <= 3), k AS (SELECT item_id, point_id FROM n GROUP BY 1, 2 HAVING COUNT(*) = 3 AND BOOL_AND(d2 < 0.1203 * 0.1203 AND dz < 0.2003)), g AS (SELECT item_id FROM k GROUP BY 1 HAVING COUNT(*) >= 0.3 * (SELECT COUNT(*) FROM fx_points t WHERE t.item_id = k.item_id AND t.point_id % 2 = 0)) SELECT item_id, point_id, other FROM n WHERE (item_id, point_id) IN (SELECT (item_id, point_id) FROM k) AND item_id IN (SELECT item_id FROM g)")
-add("a12_interpolated_fusion", lambda v: pl.interpolated_fusion(ev(v), od(v), "distance", 4, 0.2003),
-    f"WITH c AS (SELECT * FROM {_N2} WHERE rank <= 4), k AS (SELECT item_id, point_id FROM c GROUP BY 1, 2 HAVING COUNT(*) = 4 AND MAX(d2) < 0.2003 * 0.2003), l AS (SELECT c.* FROM c JOIN k USING (item_id, point_id)), a AS (SELECT item_id, point_id, fit AS value FROM {_fit('l', 'item_id, point_id')} UNION ALL SELECT item_id, point_id, distance FROM fx_points WHERE point_id % 2 = 0) SELECT item_id, point_id, AVG(value) AS distance, COUNT(*) AS n_pred FROM a GROUP BY 1, 2", "distance")
+add("a12_interpolated_fusion", lambda v: pl.interpolated_fusion(ev(v), od(v), "distance", 9, 0.3003),
+    f"WITH c AS (SELECT * FROM {_N2} WHERE rank <= 9), k AS (SELECT item_id, point_id FROM c GROUP BY 1, 2 HAVING COUNT(*) = 9 AND MAX(d2) < 0.3003 * 0.3003), l AS (SELECT c.* FROM c JOIN k USING (item_id, point_id)), a AS (SELECT item_id, point_id, fit AS value FROM {_fit('l', 'item_id, point_id')} WHERE fit IS NOT NULL UNION ALL SELECT item_id, point_id, distance FROM fx_points WHERE point_id % 2 = 0) SELECT item_id, point_id, AVG(value) AS distance, COUNT(*) AS n_pred FROM a GROUP BY 1, 2", "distance")
 
 
 def _smooth(v):
@@ -44,11 +57,11 @@ add("a13_smooth_l2", _smooth, f"WITH nb AS MATERIALIZED (SELECT point_id AS id,
 
 def _local(v):
     p = v("fx_points")
-    near = sp.knn(p, p, 6, I).join(p.select("point_id", F.col("x").alias("qx"), F.col("y").alias("qy")), "point_id").join(p.select(F.col("point_id").alias("other"), "x", "y"), "other")
+    near = sp.knn(p, p, 12, I).join(p.select("point_id", F.col("x").alias("qx"), F.col("y").alias("qy")), "point_id").join(p.select(F.col("point_id").alias("other"), "x", "y"), "other")
     return fu.smooth_local_fit(p.select(F.col("point_id").alias("id"), F.col("distance").alias("value")), near.select(F.col("point_id").alias("id"), "other", (F.col("x") - F.col("qx")).alias("u"), (F.col("y") - F.col("qy")).alias("v")))
 
 
-add("a14_smooth_local_fit", _local, f"WITH nb AS (SELECT n.point_id AS id, other, b.x - a.x AS u, b.y - a.y AS w, b.distance AS value FROM {_nn(6)} n JOIN fx_points a ON a.point_id = n.point_id JOIN fx_points b ON b.point_id = other), f AS (SELECT * FROM {_fit('nb', 'id')}) SELECT other AS id, AVG(fit) AS value FROM nb JOIN f USING (id) GROUP BY 1", "value")
+add("a14_smooth_local_fit", _local, f"WITH nb AS (SELECT n.point_id AS id, other, b.x - a.x AS u, b.y - a.y AS w, b.distance AS value FROM {_nn(12)} n JOIN fx_points a ON a.point_id = n.point_id JOIN fx_points b ON b.point_id = other), f AS (SELECT * FROM {_fit('nb', 'id')} WHERE fit IS NOT NULL) SELECT other AS id, AVG(fit) AS value FROM nb JOIN f USING (id) GROUP BY 1", "value")
 add("g3_sphere_neighbourhood", lambda v: pl.sphere_neighbourhood(v("fx_points"), v("fx_faces"), (0.0, 0.0, 0.0), 0.2003),
     f"WITH i AS (SELECT item_id, point_id AS vid FROM fx_points WHERE x * x + y * y + z * z < 0.2003 * 0.2003), fv AS {_FV}, t AS (SELECT DISTINCT item_id, fid FROM fv JOIN i USING (item_id, vid)), u AS (SELECT DISTINCT item_id, vid FROM fv JOIN t USING (item_id, fid)) SELECT * FROM fx_faces WHERE (item_id, fid) IN (SELECT (item_id, fid) FROM fv JOIN u USING (item_id, vid) GROUP BY item_id, fid HAVING COUNT(*) = 3)")
 add("j23_match_meshes_to_clouds", lambda v: pl.match_meshes_to_clouds(v("fx_points").where("point_id % 7 = 0"), faces_xyz(v).where("fid % 3 = 0"), v("fx_points").select(F.col("item_id").alias("cloud"), F.explode(F.array(F.col("item_id"), (F.col("item_id") + 1) % 10)).alias("mesh")).distinct(), 0.5))
@@ -86,3 +99,5 @@ add("l10_align_scans", lambda v: pl.align_scans(v("fx_points").drop("distance"),
 add("l11_consistent_whole_labels", lambda v: (lambda x: pl.consistent_whole_labels(x.select("item_id", "patch_id", "global_idx"), x, 0.75).select("item_id", "patch_id", "global_idx", "value", "fused"))(v("fx_votes").groupBy("item_id", "patch_id", "global_idx").agg(F.min("value").alias("value"))),
     "SELECT item_id, patch_id, global_idx, value, LEAST(MIN(value) OVER (PARTITION BY item_id, global_idx), 0.75) AS fused FROM (SELECT item_id, patch_id, global_idx, MIN(value) AS value FROM fx_votes GROUP BY 1, 2, 3)", "value", "fused")
 add("l12_mesh_vertex_patches", lambda v: pl.mesh_vertex_patches(v("fx_faces"), v("fx_points"), v("fx_points").where("point_id % 50 = 0").select(F.col("point_id").alias("seed"), F.col("point_id").alias("node")), v("fx_points").where("point_id % 211 = 3").select(F.col("point_id").alias("vid")), 15, 5))
+add("a11_bilinear_fit", lambda v: fu.least_squares_fit(v("fx_votes").withColumns({"u": F.col("px") - 25.0, "w": F.col("py") - 4.0}), ["item_id", "patch_id"], "u", "w", "value").select("item_id", "patch_id", "distance", F.col("n").cast("long").alias("n")),
+    f"SELECT item_id, patch_id, fit AS distance, k AS n FROM {_fit('(SELECT item_id, patch_id, px - 25 AS u, py - 4 AS w, value FROM fx_votes)', 'item_id, patch_id')}", "distance")

@@ -40,12 +40,12 @@ def cross_view_candidates(targets: DataFrame, sources: DataFrame, k: int, radius
 
 
 def interpolated_fusion(targets: DataFrame, sources: DataFrame, value: str, k: int, radius: float, how: str = "mean", by: Sequence[str] = (ITEM,)) -> DataFrame:
-    """A target's own value and the plane fit of its candidates, combined."""
+    """A target's own value and the bilinear fit of its candidates, combined."""
     near = cross_view_candidates(targets, sources, k, radius, None, by)
     t = targets.select(*by, "point_id", F.col("x").alias("tx"), F.col("y").alias("ty"))
     s = sources.select(*by, F.col("point_id").alias("other"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(value).alias("value"))
     local = near.join(t, [*by, "point_id"]).join(s, [*by, "other"]).withColumns({"u": F.col("sx") - F.col("tx"), "v": F.col("sy") - F.col("ty")})
-    fits = fu.least_squares_fit(local, [*by, "point_id"], "u", "v", "value").select(*by, "point_id", F.col("distance").alias("value"))
+    fits = fu.least_squares_fit(local, [*by, "point_id"], "u", "v", "value").where("distance is not null").select(*by, "point_id", F.col("distance").alias("value"))
     return fu.combine(targets.select(*by, "point_id", F.col(value).alias("value")).unionByName(fits), how, [*by, "point_id"])
 
 
