@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, chat, decontam, jpeg, langid, neardup, pii, quality, repeats, sharding
+from pointweave.llm import bpe, chat, decontam, jpeg, langid, neardup, oracles, pii, quality, repeats, sharding
 from pointweave.llm.common import table
 
 
@@ -41,7 +41,7 @@ def op6_hyperminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
 
 def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_snapshot_collapse": chat.ORACLE}
+    return {
+        "op6_hyperminhash_groups": oracles.NEAR_DUPLICATES,
+        "op7_suffix_decontamination": oracles.DECONTAMINATION,
+        "op8_snapshot_collapse": chat.ORACLE,
+    }
