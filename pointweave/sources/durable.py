@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_dir() -> str:
+    """One folder for this process, for sessions without executors elsewhere."""
+    path = tempfile.mkdtemp(prefix="spark-tables-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session names none (tests,
-    local mode) a folder beside the warehouse."""
+    """``spark.checkpoint.dir``.
+
+    Where the session names none: a temporary folder in local mode, whose
+    tasks all run on this machine, else a folder beside the warehouse.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return _local_dir()
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 

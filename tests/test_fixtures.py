@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,28 @@ def test_degenerate_triangle_and_segment(spark):
     df = spark.range(1).select(ge.segment_project((1.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0))[0].alias("d"), ge.point_triangle((0.0, 0.0, 2.0), (0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (2.0, 0.0, 0.0)).alias("t"))
     row = df.first()
     assert row["d"] == 1 and math.isclose(row["t"], 4)
+
+
+def test_bilinear_fit_is_least_squares(spark):
+    rng = np.random.default_rng(3)
+    u, v = rng.normal(size=(2, 30))
+    d = rng.normal(size=30)
+    rows = [(0, *map(float, r)) for r in zip(u, v, d)] + [(1, 0.5, 0.5, 1.0), (2, 0.0, 0.0, 7.0), (3, -1.0, 0.0, 2.0), (3, 1.0, 0.0, 4.0)]
+    out = {r["k"]: r["distance"] for r in fu.least_squares_fit(spark.createDataFrame(rows, "k long, u double, v double, d double"), ["k"], "u", "v", "d").collect()}
+    best = np.linalg.lstsq(np.stack([np.ones(30), u, v, u * v], 1), d, rcond=None)[0][0]
+    assert out[0] == pytest.approx(best)
+    assert out[1] is None and out[2] == pytest.approx(7) and out[3] == pytest.approx(3)
+
+
+def test_tables_without_a_named_folder(spark):
+    from pointweave.sources import durable
+
+    class Bare:
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: {"spark.sql.warehouse.dir": "hdfs:/w/"}.get(k, d))})
+        sparkContext = type("Context", (), {"master": "local[4]"})
+
+    own = durable.shared_dir(Bare)
+    assert own == durable.shared_dir(Bare) and "spark-tables-" in own
+    Bare.sparkContext.master = "local-cluster[2,1,1024]"
+    assert durable.shared_dir(Bare) == "hdfs:/w/checkpoints"
+    assert durable.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
