@@ -41,13 +41,17 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; n_chars counts the new text."""
     clean = pii.redact(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else clean
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids, their number and the text they decode to."""
+    """The documents' token ids, their number and the digest of what they decode to.
+
+    Columns of those names, or named ``decoded``, are replaced.
+    """
     out = bpe.round_trip(docs, tokenizer_path())
-    return out.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    own = ("ids", "n_tokens", "decoded", "decoded_sha256")
+    return out.select(*(c for c in docs.columns if c not in own), "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -58,7 +62,7 @@ STAGES = [
     ("encoding", encode),
 ]
 
-#: No stage but the last two has a form in SQL; tested against brute force.
+#: The classifier and the tokenizer have no form in SQL; tested against brute force.
 ORACLE_SQL = None
 
 

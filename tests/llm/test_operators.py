@@ -87,7 +87,7 @@ def test_jpeg_colour_without_restarts():
             gap = value - prior[part]
             prior[part] = value
             bits += _code([(abs(gap).bit_length(), gap, abs(gap).bit_length())], *dc)
-            bits += _code([(0x11 + 0xF0 * 0, 1, 1), (0x00, 0, 0)], *ac)
+            bits += _code([(0x11, 1, 1), (0x00, 0, 0)], *ac)
     bits += "1" * (-len(bits) % 8)
     scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
     s = jpeg._segment

@@ -4,7 +4,7 @@ import hashlib
 
 import corpus_pipeline
 from pointweave.llm import decontam, quality
-from tests.llm.test_operators import base_spans, groups
+from tests.llm.test_operators import base_spans, empty, groups, messy  # noqa: F401
 
 
 def test_stages(spark, sf):
@@ -42,3 +42,15 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "ids", "n_tokens"} <= set(out.columns)
+
+
+def test_stages_take_odd_tables(spark, sf, messy, empty):  # noqa: F811
+    odd = messy.selectExpr("*", "1 AS decoded", "2 AS n_tokens", "3 AS pii_text", "4 AS component")
+    for docs in (odd, odd.limit(0), empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            assert len(set(out.columns)) == len(out.columns)
+            if name != "encoding":
+                assert out.columns == docs.columns
+            n = out.count()
+            assert n == docs.count() if name in ("personal_data", "encoding") else n <= docs.count()
