@@ -96,11 +96,19 @@ add("g5_node_degree_classes", lambda v: gr.degrees(pairs(v)), f"SELECT item_id,
 add("g6_connect_dangling", lambda v: gr.connect_dangling(pairs(v), v("fx_points"), 0.2),
     f"""WITH d AS (SELECT * FROM {_DEG}), c AS (SELECT q.item_id, q.point_id AS e, p.point_id AS t, ROW_NUMBER() OVER (PARTITION BY q.item_id, q.point_id ORDER BY (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z), p.point_id) AS n FROM fx_points q JOIN d dq ON dq.node = q.point_id AND dq.degree = 1 JOIN fx_points p ON p.item_id = q.item_id AND p.point_id <> q.point_id
     JOIN d dp ON dp.node = p.point_id AND dp.degree <> 2 WHERE (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) < 0.04) SELECT DISTINCT item_id, LEAST(e, t) AS a, GREATEST(e, t) AS b FROM c WHERE n = 1 AND (LEAST(e, t), GREATEST(e, t)) NOT IN (SELECT (a, b) FROM {_PAIRS})""")
-add("g7_polyline_chains", lambda v: gr.polyline_chains(pairs(v)).groupBy("n_edges").agg(F.count(F.lit(1)).alias("n")))
+add("g7_polyline_chains", lambda v: gr.polyline_chains(pairs(v)).groupBy("n_edges").agg(F.count(F.lit(1)).alias("n")),
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY a, b) AS k, a, b FROM {_PAIRS}), m AS (SELECT node FROM {_DEG} WHERE degree = 2), t AS (SELECT k, node FROM (SELECT k, a AS node FROM e UNION ALL SELECT k, b FROM e) JOIN m USING (node)),
+    l AS MATERIALIZED (SELECT x.k AS s, y.k AS t FROM t x JOIN t y USING (node)), r AS (SELECT k AS node, k AS reach FROM e UNION SELECT r.node, l.t FROM r JOIN l ON l.s = r.reach),
+    c AS (SELECT node, MIN(reach) AS low FROM r GROUP BY 1) SELECT n_edges, COUNT(*) AS n FROM (SELECT low, COUNT(*) AS n_edges FROM c GROUP BY 1) GROUP BY 1""")
 add("g4_bfs_patches", lambda v: gr.bfs_patches(pairs(v), v("fx_points").where("point_id % 97 = 0").select(F.col("point_id").alias("seed"), F.col("point_id").alias("node")), 12, 4))
 _HOP = f"(WITH RECURSIVE e AS (SELECT a AS s, b AS t FROM {_PAIRS} UNION SELECT b, a FROM {_PAIRS}), r AS (SELECT point_id AS seed, point_id AS node, 0::BIGINT AS hop FROM fx_points WHERE point_id % 97 = 0 UNION SELECT r.seed, e.t, r.hop + 1 FROM r JOIN e ON e.s = r.node WHERE r.hop < 4) SELECT seed, node, MIN(hop) AS hop FROM r GROUP BY 1, 2)"
 add("g8_shortest_hops", lambda v: gr.frontier(pairs(v), v("fx_points").where("point_id % 97 = 0").select(F.col("point_id").alias("seed"), F.col("point_id").alias("node")), 4), f"SELECT seed, node, hop FROM {_HOP}")
-add("g10_split_segments", lambda v: gr.split_segments(v("fx_points").select(((F.col("point_id") / 10).cast("long") * 10).alias("seg_id"), "point_id", "x", "y", "z", "distance"), v("fx_segments").where("seg_id % 10 = 0").drop("item_id"), 0.05).groupBy("half").agg(F.count(F.lit(1)).alias("n")))
-add("g12_drop_small_components", lambda v: gr.drop_small_components(v("fx_segments").where("seg_id % 90 > 40"), 1e-9, 3.0, 3).select("item_id", "seg_id"))
+add("g10_split_segments", lambda v: gr.split_segments(v("fx_points").select(((F.col("point_id") / 10).cast("long") * 10).alias("seg_id"), "point_id", "x", "y", "z", "distance"), v("fx_segments").where("seg_id % 10 = 0").drop("item_id"), 0.05).groupBy("half").agg(F.count(F.lit(1)).alias("n")),
+    """WITH s AS (SELECT * FROM fx_segments WHERE seg_id % 10 = 0), t AS (SELECT s.seg_id, p.point_id, p.distance, p.x, p.y, p.z, ax, ay, az, bx, by_, bz, GREATEST(LEAST(((p.x - ax) * (bx - ax) + (p.y - ay) * (by_ - ay) + (p.z - az) * (bz - az)) / ((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2), 1.0), 0.0) AS t FROM s JOIN fx_points p ON (p.point_id // 10) * 10 = s.seg_id),
+    g AS (SELECT seg_id, MAX(ABS(SQRT((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by_ - ay)) ** 2 + (z - az - t * (bz - az)) ** 2) - distance)) AS gap FROM t WHERE t > 0 AND t < 1 GROUP BY 1), h AS (SELECT seg_id, COALESCE(gap, 0) >= 0.05 AS cut FROM s LEFT JOIN g USING (seg_id))
+    SELECT half, COUNT(*) AS n FROM (SELECT UNNEST(CASE WHEN cut THEN [1, 2] ELSE [0] END)::BIGINT AS half FROM h) GROUP BY 1""")
+add("g12_drop_small_components", lambda v: gr.drop_small_components(v("fx_segments").where("seg_id % 90 > 40"), 1e-9, 3.0, 3).select("item_id", "seg_id"),
+    """WITH o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY seg_id) AS pos, SQRT((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2) AS length FROM fx_segments), k AS (SELECT *, pos - ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY seg_id) AS island FROM o WHERE seg_id % 90 > 40)
+    SELECT item_id, seg_id FROM (SELECT *, SUM(length) OVER w AS total, COUNT(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY item_id, island)) WHERE NOT (total < 3.0 AND n <= 3)""")
 add("g13_sample_segments", lambda v: gr.sample_segments(v("fx_segments"), 0.0603),
     "WITH s AS (SELECT *, FLOOR(SQRT((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2) / 0.0603)::BIGINT AS n FROM fx_segments), e AS (SELECT *, UNNEST(CASE WHEN n >= 2 THEN range(n) WHEN n = 1 THEN [0] ELSE [0, 1] END) AS pos FROM s), t AS (SELECT *, CASE WHEN n >= 2 THEN pos / (n - 1) ELSE pos END AS t FROM e) SELECT item_id, seg_id, pos::BIGINT AS pos, ax + t * (bx - ax) AS x, ay + t * (by_ - ay) AS y, az + t * (bz - az) AS z FROM t", "x", "y", "z")

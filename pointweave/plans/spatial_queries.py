@@ -75,7 +75,18 @@ add("a74_corner_probability", lambda v: (lambda n: sp.corner_probability(sp.vari
     f"SELECT item_id, point_id, (CASE WHEN s > 0.5 THEN 1.0 ELSE 0 END + CASE WHEN s > 5 THEN 1.0 ELSE 0 END + CASE WHEN s > 50 THEN 1.0 ELSE 0 END) / 3 AS corner FROM (SELECT n.item_id, n.point_id, SUM((b.distance - a.distance) ** 2 / d2) AS s FROM {_nn(5)} n JOIN fx_points a ON a.point_id = n.point_id JOIN fx_points b ON b.point_id = other WHERE d2 > 0 GROUP BY 1, 2)", "corner")
 add("a75_knn_regress", lambda v: sp.knn_mean(sp.knn(v("fx_points"), od(v), 6, I), od(v), "distance", I), f"SELECT n.item_id, n.point_id, AVG(f.distance) AS distance FROM {_nn(6, 'TRUE', ODD)} n JOIN fx_points f ON f.point_id = other GROUP BY 1, 2", "distance")
 add("k8_farthest_pair", lambda v: sp.farthest_pair(v("fx_points"), I), f"SELECT item_id, a, b, SQRT(d) AS length FROM (SELECT q.item_id, q.point_id AS a, p.point_id AS b, ROUND({_D2}, 9) AS d, ROW_NUMBER() OVER (PARTITION BY q.item_id ORDER BY ROUND({_D2}, 9) DESC, q.point_id, p.point_id) AS n FROM fx_points q JOIN fx_points p ON q.item_id = p.item_id AND q.point_id < p.point_id) WHERE n = 1", "length")
-add("k9_farthest_point_sampling", lambda v: sp.farthest_points(v("fx_points"), 4, I))
+
+
+def _farthest(k: int) -> str:
+    """Rounds of farthest-point sampling, unrolled."""
+    ctes = ["c1 AS (SELECT p.*, 0::DOUBLE AS gap, 1 AS n FROM fx_points p JOIN (SELECT item_id, MIN(point_id) AS point_id FROM fx_points GROUP BY 1) USING (item_id, point_id))", "g0 AS (SELECT *, 1e300::DOUBLE AS gap FROM fx_points)"]
+    for i in range(1, k):
+        ctes.append(f"g{i} AS (SELECT q.item_id, q.point_id, q.x, q.y, q.z, CASE WHEN q.point_id = p.point_id THEN -1 ELSE LEAST(q.gap, ROUND({_D2}, 12)) END AS gap FROM g{i - 1} q JOIN c{i} p USING (item_id))")
+        ctes.append(f"c{i + 1} AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY gap DESC, point_id) AS n FROM g{i}) WHERE n = 1)")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT item_id, point_id, {i}::BIGINT AS rank FROM c{i}" for i in range(1, k + 1))
+
+
+add("k9_farthest_point_sampling", lambda v: sp.farthest_points(v("fx_points"), 4, I), _farthest(4))
 add("k11_thin", lambda v: sp.thin(v("fx_points"), 0.1567, I, 9).select("item_id", "point_id"), f"SELECT item_id, point_id FROM fx_points q WHERE NOT EXISTS (SELECT 1 FROM fx_points p WHERE p.item_id = q.item_id AND p.point_id <> q.point_id AND {_D2} <= 0.1567 * 0.1567 AND md5('9|' || p.point_id) < md5('9|' || q.point_id))")
 add("j21_cross_view_candidates", lambda v: (lambda n: n.groupBy("item_id", "point_id").agg(F.max("d2").alias("far"), F.count(F.lit(1)).alias("n")).where("n = 4 and far < 0.0401").select("item_id", "point_id"))(sp.knn(ev(v), od(v), 4, I, xyz=("x", "y"))),
     f"SELECT item_id, point_id FROM (SELECT q.item_id, q.point_id, (q.x - p.x) ** 2 + (q.y - p.y) ** 2 AS d2, ROW_NUMBER() OVER (PARTITION BY q.item_id, q.point_id ORDER BY (q.x - p.x) ** 2 + (q.y - p.y) ** 2, p.point_id) AS rank FROM fx_points q JOIN fx_points p USING (item_id) WHERE {EVEN} AND {ODD}) WHERE rank <= 4 GROUP BY 1, 2 HAVING COUNT(*) = 4 AND MAX(d2) < 0.0401")
