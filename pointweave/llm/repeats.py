@@ -25,10 +25,13 @@ and knows the others to be repeats.  So a phrase that fills a third of the
 corpus is a row per task in the shuffle.
 
 Defined results: a null text counts as empty; texts under ``length`` bytes
-keep everything.  A null id sorts after all others.  Rows of one id are parts
-of one document whose places are told apart by a 16-bit digest of the text;
-repeated rows are the same row and get the same result.  An empty table gives
-an empty table; further columns are not read.
+keep everything.  A null id sorts after all others.  Rows of one id (or of
+none) are parts of one document, told apart by ``part``, a 64-bit digest of the
+text: of equal strings the one at the least place in its row comes first, then
+the one of least part.  Marks are grouped and joined by id and part, so that no
+group grows with the number of rows of an id.  Repeated rows are the same row
+and get the same result.  An empty table gives an empty table; further columns
+are not read.
 """
 
 from __future__ import annotations
@@ -54,10 +57,9 @@ MANY, KEYED = 4_000, 8_000
 
 U64 = np.uint64
 _LAST = (1 << 63) - 1
-
-
-def _tag(text: bytes) -> int:
-    return xxhash.xxh32_intdigest(text) & 0xFFFF
+_COUNT = (1 << 32) - 1
+#: Texts with firsts that a task remembers, to look into repeated rows once.
+SEEN = 100_000
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,62 +94,57 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return trigger[first], at[first], np.diff(np.r_[first, len(at)])
 
 
-def _reduced(key: np.ndarray, own: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _reduced(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the earliest of equal (key, own), and of the later ones.
 
-    Rows of the same document and place are the same occurrence (a repeated row).
+    Rows of the same document, part and place are the same occurrence (a repeated row).
     """
-    order = np.lexsort((place, doc, own, key))
-    k, o, d, p = key[order], own[order], doc[order], place[order]
+    order = np.lexsort((part, place, doc, own, key))
+    k, o, d, t, p = key[order], own[order], doc[order], part[order], place[order]
     new = np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])]
     start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    same = (d == d[start]) & (p == p[start])
+    same = (d == d[start]) & (t == t[start]) & (p == p[start])
     return order[new], order[~same]
 
 
-_ROWS = "key long, own long, doc long, place long, later boolean"
+_COLUMNS = ["key", "own", "doc", "part", "place"]
+_ROWS = "key long, own long, doc long, part long, place long, later boolean"
 
 
-def _rows(key: np.ndarray, own: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The earliest of equal rows, and the runs of those known to be repeats."""
     if not len(key):
         return
-    first, later = _reduced(key, own, doc, place)
-    yield _batch(key[first], own[first], doc[first], place[first], False)
+    first, later = _reduced(key, own, doc, part, place)
+    yield _batch(key[first], own[first], doc[first], part[first], place[first], False)
     if len(later):
-        # neighbouring phrases of a document join into one run
-        order = later[np.lexsort((place[later], doc[later]))]
-        d, p = doc[order], place[order]
-        start, count, tag = p >> 32, (p >> 16) & 0xFFFF, p & 0xFFFF
-        joins = (d[1:] == d[:-1]) & (tag[1:] == tag[:-1]) & (start[1:] == start[:-1] + count[:-1])
+        # neighbouring phrases of a text join into one run; repeated rows count once
+        order = later[np.lexsort((place[later], part[later], doc[later]))]
+        d, t, p = doc[order], part[order], place[order]
+        once = np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1])]
+        d, t, start, count = d[once], t[once], p[once] >> 32, p[once] & _COUNT
+        joins = (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (start[1:] == start[:-1] + count[:-1])
         head = np.flatnonzero(np.r_[True, ~joins])
-        total = np.add.reduceat(count, head)
-        # a run's count has 16 bits: longer ones are cut
-        cuts = -(-total // 0xFFFF)
-        which = np.repeat(np.arange(len(head)), cuts)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        at = start[head][which] + nth * 0xFFFF
-        size = np.minimum(total[which] - nth * 0xFFFF, 0xFFFF)
-        place = at << 32 | size << 16 | tag[head][which]
-        spread = mix64((d[head][which].astype(U64) ^ place.astype(U64))).view(np.int64)
-        yield _batch(spread, np.zeros(len(place), np.int64), d[head][which], place, True)
+        place = start[head] << 32 | np.add.reduceat(count, head)
+        spread = mix64(mix64(d[head].view(U64) ^ place.view(U64)) ^ t[head].view(U64)).view(np.int64)
+        yield _batch(spread, np.zeros(len(place), np.int64), d[head], t[head], place, True)
 
 
-def _batch(key: np.ndarray, own: np.ndarray, doc: np.ndarray, place: np.ndarray, later: bool) -> pa.RecordBatch:
-    arrays = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, own, doc, place)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(key), later))], ["key", "own", "doc", "place", "later"])
+def _batch(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray, later: bool) -> pa.RecordBatch:
+    arrays = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, own, doc, part, place)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(key), later))], [*_COLUMNS, "later"])
 
 
 def _parse(docs: DataFrame, length: int) -> DataFrame:
-    """Occurrences of phrases.  place packs start << 32, count << 16 and the text's tag."""
+    """Occurrences of phrases.  place packs start << 32 and count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         count = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in pieces(batch.column(1), HELD_BYTES):
-                data, offsets = flat_bytes(batch.column(1), lo, hi)
+            ids, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for lo, hi in pieces(batch.column(2), HELD_BYTES):
+                data, offsets = flat_bytes(batch.column(2), lo, hi)
                 trigger, first, n = phrases(data, offsets, length)
                 if not len(first):
                     continue
@@ -157,9 +154,8 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
                 key = np.array([digest(raw[a : a + near]) for a in trigger.tolist()], U64).view(np.int64)
                 own = np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (first + n - 1 + length).tolist())], U64).view(np.int64)
                 row = np.searchsorted(offsets, first, "right") - 1
-                tags = np.array([_tag(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int64)
-                place = (first - offsets[row]) << 32 | n << 16 | tags[row]
-                held.append([key, own, ids[lo:hi][row], place])
+                place = (first - offsets[row]) << 32 | n
+                held.append([key, own, ids[lo:hi][row], parts[lo:hi][row], place])
                 count += len(key)
                 if count >= REDUCED:
                     yield from _rows(*(np.concatenate(x) for x in zip(*held)))
@@ -167,24 +163,24 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield from _rows(*(np.concatenate(x) for x in zip(*held)))
 
-    return small_batches(docs.select("doc", "text")).mapInArrow(run, _ROWS)
+    return small_batches(docs.select("doc", "part", "text")).mapInArrow(run, _ROWS)
 
 
 def _compared(rows: DataFrame) -> DataFrame:
     """Rows in suffix order with what they are: a repeat, or a first that must be looked into."""
     key = Window.partitionBy("key")
-    nth = F.rank().over(Window.partitionBy("key", "own").orderBy("doc", "place"))
+    nth = F.rank().over(Window.partitionBy("key", "own").orderBy("doc", "place", "part"))
     return (
         rows.withColumn("nth", nth)
         .withColumn("mixed", F.min("own").over(key) != F.max("own").over(key))
         .withColumn("many", F.count(F.lit(1)).over(key) > MANY)
         .withColumn("repeat", F.col("later") | (F.col("nth") > 1))
         .where("repeat or mixed")
-        .select("key", "doc", "place", "repeat", "many")
+        .select("key", "doc", "part", "place", "repeat", "many")
     )
 
 
-_PLACED = "key long, own long, doc long, place long, later boolean, bytes binary"
+_PLACED = f"{_ROWS}, bytes binary"
 
 
 def _looked_into(joined: DataFrame, length: int) -> DataFrame:
@@ -197,26 +193,32 @@ def _looked_into(joined: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            keys, docs, places, texts = [], [], [], []
+            keys, docs, parts, places, texts = [], [], [], [], []
             held: list[list[np.ndarray]] = []
-            for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+            for doc, part, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if (doc, part) in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add((doc, part))
                 data = text.as_py().encode()
-                tag = _tag(data)
-                for key, place, many in {(m["key"], m["place"], m["many"]) for m in marks}:
-                    at, n = place >> 32, place >> 16 & 0xFFFF
-                    if place & 0xFFFF != tag or at + n - 1 + length > len(data):
-                        continue
+                for key, place, many in {(m["key"], m["place"], m["many"]) for m in marks.as_py()}:
+                    at, n = place >> 32, place & _COUNT
                     if many:
                         starts = np.arange(at, at + n)
-                        held.append([*_digests([(data[at : at + n - 1 + length], n)], length), np.full(n, doc), starts << 32 | 1 << 16 | tag])
+                        held.append([*_digests([(data[at : at + n - 1 + length], n)], length), np.full(n, doc), np.full(n, part), starts << 32 | 1])
                     else:
-                        keys.append(key), docs.append(doc), places.append(place), texts.append(data[at : at + n - 1 + length])
+                        keys.append(key), docs.append(doc), parts.append(part), places.append(place), texts.append(data[at : at + n - 1 + length])
             zeros = np.zeros(len(keys), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(zeros), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(zeros > 0), pa.array(texts, pa.binary())], ["key", "own", "doc", "place", "later", "bytes"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(zeros), *(pa.array(x, pa.int64()) for x in (docs, parts, places)), pa.array(zeros > 0), pa.array(texts, pa.binary())],
+                [*_COLUMNS, "later", "bytes"],
+            )
             if held:
-                for part in _rows(*(np.concatenate(x) for x in zip(*held))):
-                    yield part.append_column("bytes", pa.nulls(part.num_rows, pa.binary()))
+                for rows in _rows(*(np.concatenate(x) for x in zip(*held))):
+                    yield rows.append_column("bytes", pa.nulls(rows.num_rows, pa.binary()))
 
     return small_batches(joined).mapInArrow(run, _PLACED)
 
@@ -242,20 +244,19 @@ def _suffixes(placed: DataFrame, length: int) -> DataFrame:
         def finish(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             later = rows.filter(rows["later"])
             if later.num_rows:
-                yield pa.RecordBatch.from_arrays([later["doc"].combine_chunks(), later["place"].combine_chunks()], ["doc", "place"])
+                yield pa.RecordBatch.from_arrays([later[c].combine_chunks() for c in _COLUMNS[2:]], _COLUMNS[2:])
             rows = rows.filter(pa.array(~rows["later"].to_numpy()))
             texts = rows["bytes"].to_pylist()
-            key, own, doc, place = (rows[c].to_numpy() for c in ("key", "own", "doc", "place"))
+            key, own, doc, part, place = (rows[c].to_numpy() for c in _COLUMNS)
             whole = np.array([t is not None for t in texts], bool)
-            n = place[whole] >> 16 & 0xFFFF
+            n = place[whole] & _COUNT
             one, two = _digests([(t, k) for t, k in zip((t for t in texts if t is not None), n.tolist())], length)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(place[whole], n)
-            at = ((at >> 32) + step) << 32 | 1 << 16 | at & 0xFFFF
-            parts = ([one, key[~whole]], [two, own[~whole]], [np.repeat(doc[whole], n), doc[~whole]], [at, place[~whole]])
+            at = (np.repeat(place[whole] >> 32, n) + step) << 32 | 1
+            parts = ([one, key[~whole]], [two, own[~whole]], [np.repeat(doc[whole], n), doc[~whole]], [np.repeat(part[whole], n), part[~whole]], [at, place[~whole]])
             for batch in _rows(*(np.concatenate(x) for x in parts)):
-                if batch.num_rows and batch.column(4)[0].as_py():
-                    yield batch.select(["doc", "place"])
+                if batch.num_rows and batch.column("later")[0].as_py():
+                    yield batch.select(_COLUMNS[2:])
 
         for batch in batches:
             held.append(batch)
@@ -271,23 +272,24 @@ def _suffixes(placed: DataFrame, length: int) -> DataFrame:
         if held:
             yield from finish(pa.Table.from_batches(held))
 
-    return small_batches(placed).mapInArrow(run, "doc long, place long")
+    return small_batches(placed).mapInArrow(run, "doc long, part long, place long")
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text and ``repeats``: packed runs of start positions that are repeats."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", F.xxhash64("text"))
     found = _compared(_parse(rows, length))
-    marks = found.groupBy("doc").agg(
-        F.collect_list(F.when(F.col("repeat"), F.col("place"))).alias("repeats"),
-        F.collect_list(F.when(~F.col("repeat"), F.struct("key", "place", "many"))).alias("firsts"),
+    # sets, as every task that has a repeated row sends its marks
+    marks = found.groupBy("doc", "part").agg(
+        F.collect_set(F.when(F.col("repeat"), F.col("place"))).alias("repeats"),
+        F.collect_set(F.when(~F.col("repeat"), F.struct("key", "place", "many"))).alias("firsts"),
     )
     # both uses read the same columns, so that the texts are shuffled once
-    joined = rows.join(marks, "doc", "left")
-    placed = _looked_into(joined.where(F.size("firsts") > 0).select("doc", "doc_id", "text", "firsts"), length)
-    more = _suffixes(placed.repartition("key").sortWithinPartitions("key"), length).groupBy("doc").agg(F.collect_list("place").alias("more"))
+    joined = rows.join(marks, ["doc", "part"], "left")
+    placed = _looked_into(joined.where(F.size("firsts") > 0).select("doc", "part", "text", "firsts", "doc_id"), length)
+    more = _suffixes(placed.repartition("key").sortWithinPartitions("key"), length).groupBy("doc", "part").agg(F.collect_set("place").alias("more"))
     none = F.array().cast("array<bigint>")
-    return joined.join(more, "doc", "left").select("doc_id", "text", F.concat(F.coalesce("repeats", none), F.coalesce("more", none)).alias("repeats"))
+    return joined.join(more, ["doc", "part"], "left").select("doc_id", "text", F.concat(F.coalesce("repeats", none), F.coalesce("more", none)).alias("repeats"))
 
 
 def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -301,10 +303,9 @@ def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 gone = np.zeros(len(data), bool)
                 place = np.array(marks.as_py(), np.int64)
                 if len(place):
-                    place = place[(place & 0xFFFF) == _tag(data)]
                     step = np.zeros(len(data) + 1, np.int64)
                     np.add.at(step, place >> 32, 1)
-                    np.add.at(step, np.minimum((place >> 32) + (place >> 16 & 0xFFFF) - 1 + length, len(data)), -1)
+                    np.add.at(step, np.minimum((place >> 32) + (place & _COUNT) - 1 + length, len(data)), -1)
                     gone = np.cumsum(step[:-1]) > 0
                 left = np.frombuffer(data, np.uint8)[~gone]
                 sizes.append(len(data))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pointweave.llm import bpe, chat, decontam, jpeg, langid, neardup, pii, quality, queries, repeats, sharding
@@ -136,6 +137,45 @@ def test_repeats_of_low_entropy_text(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in out} == expected
 
 
+def removed_in_parts(rows, length):
+    """As ``removed``, by row: texts of one id, or of none, are parts of one document in the order of place and digest."""
+    parts = {(2**63 - 1 if d is None else d, xxhash.xxh64_intdigest(t.encode(), 42) - 2**64 * (xxhash.xxh64_intdigest(t.encode(), 42) >> 63)): t.encode() for d, t in rows}
+    least = {}
+    for (d, part), data in parts.items():
+        for p in range(len(data) - length + 1):
+            at = (d, p, part)
+            least[data[p : p + length]] = min(at, least.get(data[p : p + length], at))
+    out = {}
+    for (d, part), data in parts.items():
+        gone = bytearray(len(data))
+        for p in range(len(data) - length + 1):
+            if least[data[p : p + length]] != (d, p, part):
+                gone[p : p + length] = b"\1" * length
+        left = bytes(x for x, g in zip(data, gone) if not g)
+        out[None if d == 2**63 - 1 else d, data.decode()] = (len(data), len(data) - len(left), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(left).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("many", [2, 4000])
+def test_repeats_of_rows_that_share_an_id(spark, many, monkeypatch):
+    """More texts under one id than 16-bit digests tell apart; marks of one row must not reach another."""
+    monkeypatch.setattr(repeats, "MANY", many)
+    rng = random.Random(12)
+    passage = [prose(rng, 40) for _ in range(12)]
+    heads = ["", passage[0] + " "]  # equal phrases at equal places
+    rows = []
+    for i in range(1000):
+        doc = None if i % 3 else i % 2 + 7
+        rows.append((doc, rng.choice(heads) + prose(rng, rng.randrange(1, 60)) + rng.choice(["", " " + rng.choice(passage)]) + f" {i}"))
+    copies = rows[:20] * 10
+    expected = removed_in_parts(rows, 100)
+    got = repeats.spans(spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(5), 100)
+    # no group holds the marks of many rows
+    assert got.agg(F.max(F.size("repeats"))).first()[0] < 400
+    out = repeats.report(spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r["doc_id"], *tuple(r)[1:]) for r in out) == Counter((d, *expected[d, t]) for d, t in rows + copies)
+
+
 # 3 -------------------------------------------------------------------------------------------------
 
 
