@@ -51,6 +51,8 @@ HELD_BYTES = 1 << 19
 U64 = np.uint64
 _WORD = byte_table(set(range(256)) - {32, *range(9, 14)})
 _PROBES = (mix64(np.arange(REGISTERS * 64, dtype=U64) + U64(77)) % U64(REGISTERS)).astype(np.int64).reshape(64, REGISTERS)
+#: Where the probes find none, the filled register of least rank lends: sets that share most registers agree on it as often.
+_RANKS = mix64(np.arange(REGISTERS * REGISTERS, dtype=U64) + U64(REGISTERS * 64 + 77)).reshape(REGISTERS, REGISTERS)
 
 
 def rows_per_band(threshold: float) -> int:
@@ -102,7 +104,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
         out[empty[good]] = out[to[good]]
         empty = empty[~good]
     have = np.flatnonzero(source)
-    out[empty] = out[have[(empty * 7919 + 13) % len(have)]]
+    out[empty] = out[have[_RANKS[np.ix_(empty, have)].argmin(axis=1)]]
     return out
 
 

@@ -288,6 +288,18 @@ def test_near_duplicates(spark, messy, empty, k, percent):
     assert neardup.report(messy, k, percent).count() == messy.count() and neardup.report(empty, k, percent).count() == 0
 
 
+@pytest.mark.parametrize("common,every,percent", [(4, 5, 80), (6, 7, 85)])
+def test_short_texts_share_a_band(common, every, percent):
+    """Sets of a few shingles at the threshold meet in a band as surely as long ones."""
+    rng = np.random.default_rng(5)
+    rows = neardup.rows_per_band(percent / 100)
+    bands = neardup.REGISTERS // rows
+    for _ in range(4000):
+        h = rng.integers(0, 2**64, every, dtype=np.uint64)
+        same = neardup.sketch(np.sort(h)) == neardup.sketch(np.sort(h[:common]))
+        assert same[: bands * rows].reshape(bands, rows).all(axis=1).any()
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**64, 3000, dtype=np.uint64)
