@@ -88,10 +88,11 @@ def polyline_chains(edges: DataFrame, by: tuple[str, ...] = ("item_id",)) -> Dat
     return named.groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("n_edges"), F.min(F.struct("a", "b")).alias("first")).select(*by, "n_edges", F.col("first.a").alias("a"), F.col("first.b").alias("b"))
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, hops: int, every: int = 3) -> DataFrame:
+def frontier(edges: DataFrame, seeds: DataFrame, hops: int, every: int = 3, size: int | None = None) -> DataFrame:
     """Hop distance from each seed to the nodes within ``hops``: all seeds expand together, one join a level.
 
-    edges: a, b (either direction); seeds: seed, node.
+    edges: a, b (either direction); seeds: seed, node.  With ``size``, seeds
+    that have reached so many nodes expand no further.
     """
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     reached = seeds.select("seed", "node", F.lit(0).cast("long").alias("hop"))
@@ -105,13 +106,18 @@ def frontier(edges: DataFrame, seeds: DataFrame, hops: int, every: int = 3) -> D
         reached = reached.unionAll(edge_of)
         if hop % every == 0:
             reached = durable(reached, "frontier")
+        if size is not None:
+            edge_of = edge_of.join(reached.groupBy("seed").count().where(F.col("count") < size), "seed", "left_semi")
     return reached
 
 
-def bfs_patches(edges: DataFrame, seeds: DataFrame, size: int, hops: int) -> DataFrame:
-    """The first ``size`` nodes of each seed by (hop, node)."""
+def bfs_patches(edges: DataFrame, seeds: DataFrame, size: int, hops: int | None = None) -> DataFrame:
+    """The first ``size`` nodes of each seed by (hop, node), of those within ``hops`` if that is given.
+
+    A level adds a node at least, so ``size`` - 1 levels fill each patch or reach all that can be.
+    """
     w = Window.partitionBy("seed").orderBy("hop", "node")
-    return frontier(edges, seeds, hops).withColumn("nth", F.row_number().over(w).cast("long")).where(F.col("nth") <= size)
+    return frontier(edges, seeds, size - 1 if hops is None else hops, size=size).withColumn("nth", F.row_number().over(w).cast("long")).where(F.col("nth") <= size)
 
 
 def split_segments(points: DataFrame, segments: DataFrame, threshold: float) -> DataFrame:

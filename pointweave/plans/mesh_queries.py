@@ -100,7 +100,7 @@ add("g7_polyline_chains", lambda v: gr.polyline_chains(pairs(v)).groupBy("n_edge
     f"""WITH RECURSIVE e AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY a, b) AS k, a, b FROM {_PAIRS}), m AS (SELECT node FROM {_DEG} WHERE degree = 2), t AS (SELECT k, node FROM (SELECT k, a AS node FROM e UNION ALL SELECT k, b FROM e) JOIN m USING (node)),
     l AS MATERIALIZED (SELECT x.k AS s, y.k AS t FROM t x JOIN t y USING (node)), r AS (SELECT k AS node, k AS reach FROM e UNION SELECT r.node, l.t FROM r JOIN l ON l.s = r.reach),
     c AS (SELECT node, MIN(reach) AS low FROM r GROUP BY 1) SELECT n_edges, COUNT(*) AS n FROM (SELECT low, COUNT(*) AS n_edges FROM c GROUP BY 1) GROUP BY 1""")
-add("g4_bfs_patches", lambda v: gr.bfs_patches(pairs(v), v("fx_points").where("point_id % 97 = 0").select(F.col("point_id").alias("seed"), F.col("point_id").alias("node")), 12, 4))
+add("g4_bfs_patches", lambda v: gr.bfs_patches(pairs(v), v("fx_points").where("point_id % 97 = 0").select(F.col("point_id").alias("seed"), F.col("point_id").alias("node")), 12))
 _HOP = f"(WITH RECURSIVE e AS (SELECT a AS s, b AS t FROM {_PAIRS} UNION SELECT b, a FROM {_PAIRS}), r AS (SELECT point_id AS seed, point_id AS node, 0::BIGINT AS hop FROM fx_points WHERE point_id % 97 = 0 UNION SELECT r.seed, e.t, r.hop + 1 FROM r JOIN e ON e.s = r.node WHERE r.hop < 4) SELECT seed, node, MIN(hop) AS hop FROM r GROUP BY 1, 2)"
 add("g8_shortest_hops", lambda v: gr.frontier(pairs(v), v("fx_points").where("point_id % 97 = 0").select(F.col("point_id").alias("seed"), F.col("point_id").alias("node")), 4), f"SELECT seed, node, hop FROM {_HOP}")
 add("g10_split_segments", lambda v: gr.split_segments(v("fx_points").select(((F.col("point_id") / 10).cast("long") * 10).alias("seg_id"), "point_id", "x", "y", "z", "distance"), v("fx_segments").where("seg_id % 10 = 0").drop("item_id"), 0.05).groupBy("half").agg(F.count(F.lit(1)).alias("n")),
