@@ -5,34 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointweave.operators.tables import looked_up
 from pointweave.sources.durable import durable
 
 MAX_ROUNDS = 40
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-    return both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
+    least = both.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("edges")).select("src", "edges", F.least("src", "low").alias("low"))
+    return looked_up(both.where("dst > src"), least, "src", "edges", 2 * total).select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("src").agg(F.min("dst").alias("low"))
-    moved = edges.join(least, "src").where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = edges.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("edges"))
+    moved = looked_up(edges, least, "src", "edges", total).where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
     return moved.unionAll(least.select("src", F.col("low").alias("dst"))).distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component (the least node reachable) for every node with an edge.
 
-    Large-star and small-star rounds: every round is one grouped minimum with
-    map-side combine and one join, and is written to the shared folder.  The
-    driver sees a row count and a checksum a round, never an edge.
+    Large-star and small-star rounds: every round is two grouped minima with
+    map-side combine, each looked up without gathering the edges of a hub, and
+    is written to the shared folder.  The driver sees a row count and a
+    checksum a round, never an edge.
     """
     now = edges.select(F.greatest(src, dst).alias("src"), F.least(src, dst).alias("dst")).where("src > dst").distinct()
-    mark = None
+    now, mark = durable(now, "components"), None
     for _ in range(MAX_ROUNDS):
-        now = durable(_small_star(_large_star(now)), "components")
+        wide = durable(_large_star(now, now.count()), "components")
+        now = durable(_small_star(wide, wide.count()), "components")
         seen = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == mark or seen[0] == 0:
             break

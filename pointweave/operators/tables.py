@@ -231,3 +231,24 @@ def weighted_subsample(df: DataFrame, group: Sequence[str], n: int, theta: float
     """n rows of each group without replacement, weight exp(-theta distance): least -ln(u) / weight."""
     cost = -F.ln(uniform(seed, *key)) / F.exp(-theta * F.col(distance))
     return top_k(df.withColumn("cost", cost), group, ["cost", *key], n).drop("cost")
+
+
+#: Keys that :func:`looked_up` sends to every task; each other key has at most 1 in ``HOT`` of the rows.
+HOT = 2_000
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` with the columns that ``found`` has for their key (null where it has none).
+
+    ``found`` has each key once, and in ``count`` how many of the ``total``
+    rows have it.  Keys of more than 1 in ``HOT`` rows are fewer than ``HOT``,
+    whatever the data: these alone are broadcast, so that a key that fills a
+    third of the rows meets its value where its rows lie.  The others are
+    joined by a shuffle in which none of them stands out.
+    """
+    often = found.where(F.col(count) * HOT > total).drop(count)
+    rare = found.where(F.col(count) * HOT <= total).drop(count)
+    own = [c for c in found.columns if c not in (key, count)]
+    hot = rows.join(F.broadcast(often), key)
+    cold = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rare, key, "left")
+    return hot.select(*rows.columns, *own).unionAll(cold.select(*rows.columns, *own))
