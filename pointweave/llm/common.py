@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,27 +80,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-_BASE = 0x2545F4914F6CDD1D
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        m = 1 << (n - 1).bit_length()
-        for kind, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            out = np.full(m, base, np.uint64)
-            out[0] = 1
-            _POWERS[kind] = np.multiply.accumulate(out)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+_TURN = np.uint64(0xA24BAED4963EE407)
+#: Words up to this length are hashed eight bytes at a time, all at once; longer ones by xxh3.
+SHORT = 64
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_hashes(data: np.ndarray, is_word: np.ndarray, lower: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of concatenated texts: start, end, 64-bit hash, and words up to each text.
 
     ``is_word`` and ``lower`` are tables of 256 entries.  A word is a maximal
-    run of word bytes inside one text.  The hash is a polynomial of the bytes
-    modulo 2**64, scrambled together with the length.
+    run of word bytes inside one text.  The hash mixes eight bytes at a time
+    into two lanes.  Words of one length of at most eight bytes never share a
+    hash; others may by chance, so what a hash finds is confirmed on bytes.
     """
     n = len(data)
     if n == 0:
@@ -115,11 +108,26 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray, lower: np.ndarray, offset
     last[inner - 1] = inside[inner - 1]
     starts = np.flatnonzero(first)
     ends = np.flatnonzero(last) + 1
-    up, down = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((lower[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h = mix64(h + (ends - starts).astype(np.uint64) * _ODD)
+    size = ends - starts
+    folded = np.zeros(n + 8, np.uint8)
+    folded[:n] = lower[data]
+    eight = np.ndarray(n, "<u8", folded, strides=(1,))
+    h = mix64((eight[starts] & _KEPT[np.minimum(size, 8)]) ^ size.astype(np.uint64) * _ODD)
+    rest = np.flatnonzero((size > 8) & (size <= SHORT))
+    if len(rest):
+        a, b = h[rest], h[rest] * _TURN
+        going = np.arange(len(rest))
+        for at in range(8, SHORT, 8):
+            going = going[size[rest[going]] > at]
+            if not len(going):
+                break
+            word = rest[going]
+            chunk = eight[starts[word] + at] & _KEPT[np.minimum(size[word] - at, 8)]
+            a[going] = mix64(a[going] ^ chunk)
+            b[going] = mix64(b[going] + chunk * _TURN)
+        h[rest] = a ^ (b << np.uint64(32) | b >> np.uint64(32))
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(folded[starts[i] : ends[i]].tobytes())
     return starts, ends, h, np.searchsorted(starts, offsets)
 
 
@@ -132,3 +140,8 @@ def byte_table(chosen: Iterable[int]) -> np.ndarray:
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def lowered(text: bytes) -> bytes:
+    """A-Z to a-z, other bytes as they are."""
+    return text.translate(LOWER.tobytes())

@@ -5,15 +5,23 @@ buckets; a bucket holds, for its least hash, the leading-zero count and
 ``MANTISSA`` further bits (16 bits in all).  Empty buckets borrow from filled
 ones by a fixed probe sequence.  Bands of registers propose candidates, the
 collision-corrected Jaccard estimate discards the hopeless ones, and the full
-shingle sets decide.
+shingle sets decide: first as hashes, and a link at last as the words' bytes.
 
 Pairs inside a band's bucket are not enumerated.  First each member is
 compared with one centre of its bucket and the verified links form components.
-Only buckets whose members still lie in several components are looked at
-again, in blocks of bounded size, where each member outside the largest
-component is compared with the members of other components through an inverted
-index.  Two members of one component need no further link, so no link between
-different texts is lost that could join components.
+Two members of one component need no further link.  Members of buckets that
+still hold several components are looked at again through their rarest
+shingles: linked sets share one of the first n - ceil(t n) + 1 in the order of
+(occurs in one component only, frequency, hash), so a member whose edits make up
+that many needs no comparison, and the others meet only those that share such a
+shingle.  These meet in blocks of bounded text, where each member outside the
+largest component is compared with the members of other components through an
+inverted index.  No link between different texts is lost that could join
+components.
+
+Equal sets are grouped by a 128-bit digest before anything else, so copies are
+one node; what a group finds out goes back to its rows, however many they
+are, by ``looked_up``.
 
 Defined results: words are runs of non-space bytes after A-Z are lower-cased;
 a text with fewer words than a shingle has them all as its one shingle; a null
@@ -21,35 +29,38 @@ or wordless text has the empty set and is linked with nothing.  Rows of equal
 sets are one node, whatever their ids, so repeated rows and ties share a
 component; its id is the least doc_id of its rows (nulls aside), and a row is
 kept if it has that id.  A row with a null id in a group of such rows only has
-a null component and is kept.  Node ids are 64-bit digests of the sets.
+a null component and is kept.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import LOWER, byte_table, durable, flat_bytes, mix64, pieces, small_batches, word_hashes
+from pointweave.llm.common import LOWER, byte_table, durable, flat_bytes, lowered, mix64, pieces, small_batches, word_hashes
 from pointweave.operators.graph import connected_components
+from pointweave.operators.tables import looked_up
 
 REGISTERS, MANTISSA = 256, 10
 #: Chance that registers of different minima agree (HyperMinHash paper).
 COLLISION = 0.169919 * 2.0**-MANTISSA
 #: Standard errors of slack that the estimate is given before the sets decide.
 SLACK = 6.0
-#: Members of a bucket that are compared in one block.
-BLOCK = 2048
+#: Shingles of the members that a block holds (a larger set is a block's only one of its half).
+BLOCK = 400_000
 HELD_BYTES = 1 << 19
 
 U64 = np.uint64
 _WORD = byte_table(set(range(256)) - {32, *range(9, 14)})
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _PROBES = (mix64(np.arange(REGISTERS * 64, dtype=U64) + U64(77)) % U64(REGISTERS)).astype(np.int64).reshape(64, REGISTERS)
 #: Where the probes find none, the filled register of least rank lends: sets that share most registers agree on it as often.
 _RANKS = mix64(np.arange(REGISTERS * REGISTERS, dtype=U64) + U64(REGISTERS * 64 + 77)).reshape(REGISTERS, REGISTERS)
@@ -120,30 +131,46 @@ def jaccard_parts(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return common, len(both) - common
 
 
+def confirmed(a: bytes, b: bytes, width: int, percent: int) -> bool:
+    """Whether two texts are linked, by the bytes of their words."""
+    sets = []
+    for text in (a, b):
+        words = _WORDS.findall(lowered(text))
+        sets.append({b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))})
+    common = len(sets[0] & sets[1])
+    return 100 * common >= percent * (len(sets[0]) + len(sets[1]) - common)
+
+
+_SIGNATURES = "doc_id long, mark binary, digest binary, n long, regs binary, packed binary"
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node, n, regs and the packed text of each row."""
+    """doc_id, mark (md5 of the text), digest of the set, its size, registers and the packed text of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             for lo, hi in pieces(texts, HELD_BYTES):
                 data, offsets = flat_bytes(texts, lo, hi)
                 sets = shingle_sets(data, offsets, width)
-                nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 regs = [sketch(s).tobytes() if len(s) else None for s in sets]
                 packed = [pack.compress(data[a:b].tobytes()) if len(s) else None for s, a, b in zip(sets, offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary()), pa.array(packed, pa.binary())],
-                    ["doc_id", "node", "n", "regs", "packed"],
+                    [*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(regs, pa.binary()), pa.array(packed, pa.binary())],
+                    ["doc_id", "mark", "digest", "n", "regs", "packed"],
                 )
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, node long, n long, regs binary, packed binary")
+    return small_batches(docs.select("doc_id", F.unhex(F.md5("text")).alias("mark"), "text")).mapInArrow(run, _SIGNATURES)
 
 
-def _texts(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data = [zstandard.decompress(p) for p in packed]
-    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+def _hashed(texts: list[bytes], width: int) -> list[np.ndarray]:
+    return shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), width)
+
+
+def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["src", "dst"])
 
 
 def _verify(pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -151,13 +178,14 @@ def _verify(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     t = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[int, np.ndarray] = {}
+        memo: dict[int, tuple[bytes, np.ndarray]] = {}
 
-        def own_set(node: int, packed: pa.Scalar) -> np.ndarray:
+        def member(node: int, packed: pa.Scalar) -> tuple[bytes, np.ndarray]:
             if node not in memo:
                 if len(memo) >= 64:
                     memo.clear()
-                memo[node] = shingle_sets(*_texts([packed.as_py()]), width)[0]
+                text = zstandard.decompress(packed.as_py())
+                memo[node] = text, _hashed([text], width)[0]
             return memo[node]
 
         for batch in batches:
@@ -169,20 +197,21 @@ def _verify(pairs: DataFrame, width: int, percent: int) -> DataFrame:
                 slack = SLACK * math.sqrt(t * (1 - t) / min(REGISTERS, na[i], nb[i]))
                 if estimate(np.frombuffer(c["regs_a"][i].as_py(), np.uint16), np.frombuffer(c["regs_b"][i].as_py(), np.uint16)) < t - slack:
                     continue
-                one, two = (own_set(node, packed[i]) for node, packed in ((a[i], c["packed_a"]), (b[i], c["packed_b"])))
-                common, union = jaccard_parts(one, two)
-                if 100 * common >= percent * union:
+                one, two = member(a[i], c["packed_a"][i]), member(b[i], c["packed_b"][i])
+                common, union = jaccard_parts(one[1], two[1])
+                if 100 * common >= percent * union and confirmed(one[0], two[0], width, percent):
                     links.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["src", "dst"])
+            yield _links(links)
 
     return pairs.mapInArrow(run, "src long, dst long")
 
 
-def _block_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _block_links(nodes: np.ndarray, labels: np.ndarray, texts: list[bytes], width: int, percent: int) -> list[tuple[int, int]]:
     """Links between members of different components, one per member and component."""
     names, own, sizes = np.unique(labels, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return []
+    sets = _hashed(texts, width)
     n = np.array([len(s) for s in sets])
     vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
     member = np.repeat(np.arange(len(sets)), n)
@@ -198,21 +227,23 @@ def _block_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray],
             continue
         common = np.bincount(np.concatenate([posting[starts[t] : starts[t + 1]] for t in terms.tolist()]), minlength=len(sets))
         linked = np.flatnonzero((100 * common >= percent * (n + n[x] - common)) & (own != own[x]))
-        _, first = np.unique(own[linked], return_index=True)
-        out += [(int(nodes[x]), int(nodes[y])) for y in linked[first].tolist()]
+        met: set[int] = set()
+        for y in linked.tolist():
+            if own[y] not in met and confirmed(texts[x], texts[y], width, percent):
+                met.add(own[y])
+                out.append((int(nodes[x]), int(nodes[y])))
     return out
 
 
 def _resolve(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links across components inside blocks; rows are sorted by block."""
+    """Links across components inside blocks; rows (gram, i, j, node, label, packed) are sorted by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
 
         def finish() -> pa.RecordBatch:
-            sets = shingle_sets(*_texts([r[2] for r in held]), width)
-            links = _block_links(np.array([r[0] for r in held]), np.array([r[1] for r in held]), sets, percent)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["src", "dst"])
+            texts = [zstandard.decompress(r[2]) for r in held]
+            return _links(_block_links(np.array([r[0] for r in held]), np.array([r[1] for r in held]), texts, width, percent))
 
         for batch in batches:
             c = [batch.column(i).to_pylist() for i in range(6)]
@@ -225,20 +256,59 @@ def _resolve(members: DataFrame, width: int, percent: int) -> DataFrame:
         if held:
             yield finish()
 
-    return members.mapInArrow(run, "src long, dst long")
+    return small_batches(members).mapInArrow(run, "src long, dst long")
+
+
+def _grams(members: DataFrame, width: int) -> DataFrame:
+    """A row for each shingle of (node, label, n, packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                sets = _hashed([zstandard.decompress(p) for p in part.column(3).to_pylist()], width)
+                size = [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *(pa.array(np.repeat(part.column(i).to_numpy(), size)) for i in range(3))], ["gram", "node", "label", "n"])
+
+    return small_batches(members.select("node", "label", "n", "packed")).mapInArrow(run, "gram long, node long, label long, n long")
+
+
+def _rare(grams: DataFrame, percent: int) -> DataFrame:
+    """Of each node the shingles by which a linked node of another component must be met."""
+    seen = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram", "rows", F.col("rows").alias("freq"))
+    shared = looked_up(grams, seen, "gram", "rows", grams.count()).where("freq IS NOT NULL")
+    own = Window.partitionBy("node")
+    nth = F.row_number().over(own.orderBy("freq", "gram"))
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    length = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
+    return shared.select("gram", "node", "label", "n", (nth + alone <= length).alias("first")).where("first").drop("first")
+
+
+def _meetings(rare: DataFrame) -> DataFrame:
+    """gram, blocks of the shingles at which several components meet; of those with equal members one."""
+    met = rare.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.sum("n").alias("shingles"),
+        *(F.bit_xor(F.xxhash64(F.lit(k), F.col("node"))).alias(f"who_{k}") for k in (1, 2)),
+    )
+    same = met.where("low <> high").groupBy("members", "who_1", "who_2").agg(F.min("gram").alias("gram"), F.first("shingles").alias("shingles"))
+    return same.select("gram", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
 
 
 def components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n) of each row, and (node, component) of linked nodes."""
+    """The rows' signatures, and (digest, rows, first) of each set with words: how many rows
+    have it, and the first row (doc_id, mark) of its component."""
     threshold = percent / 100
     rows = rows_per_band(threshold)
     bands = REGISTERS // rows
     least = math.ceil(threshold / (1 - threshold) - 1e-9) if percent < 100 else 1
     every = durable(signatures(docs, width), "signatures")
     # sets too small to be linked with another than themselves need no candidates
-    sized = every.where(F.col("n") >= least)
+    nodes = durable(every.where(F.col("n") >= least).select("digest", "n", "regs", "packed").dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
     # odd bands order nodes downwards, so that their centres differ
-    banded = sized.select(
+    banded = nodes.select(
         "node",
         F.posexplode(F.array(*(F.xxhash64(F.substring("regs", 1 + 2 * rows * i, 2 * rows), F.lit(i)) for i in range(bands)))).alias("band", "key"),
     ).select("key", F.when(F.col("band") % 2 == 0, F.col("node")).otherwise(F.bitwise_not("node")).alias("placed"), (F.col("band") % 2 == 1).alias("odd"))
@@ -246,48 +316,55 @@ def components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
     turned = lambda c: F.when(F.col("odd"), F.bitwise_not(c)).otherwise(F.col(c))
     cells = durable(banded.join(centres, "key").select("key", turned("placed").alias("node"), turned("centre").alias("centre")).distinct(), "cells")
     pairs = cells.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    full = sized.dropDuplicates(["node"])
-    side = lambda s: full.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"), F.col("packed").alias(f"packed_{s}"))
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"), F.col("packed").alias(f"packed_{s}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     links = durable(_verify(joined, width, percent), "links")
     labels = durable(connected_components(links), "labels")
-    # buckets whose members still lie in several components
+    # members of buckets that still hold several components
     named = cells.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    open_keys = (
-        named.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"))
-        .where("low <> high and members > 2")
-        .select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    )
+    open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high and members > 2").select("key")
+    members = named.join(open_keys, "key", "left_semi").select("node", "label").distinct().join(nodes.select("node", "n", "packed"), "node")
+    rare = durable(_rare(durable(_grams(members, width), "grams"), percent), "rare")
     placed = (
-        named.join(open_keys, "key")
+        rare.join(_meetings(rare), "gram")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .select("key", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        .join(full.select("node", "packed"), "node")
-        .select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "label", "packed")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
+        .select("gram", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        .join(nodes.select("node", "packed"), "node")
+        .select("gram", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "label", "packed")
+        .repartition("gram", "i", "j")
+        .sortWithinPartitions("gram", "i", "j")
     )
     more = durable(_resolve(placed, width, percent), "links")
     if not more.isEmpty():
         edges = more.unionAll(labels.select(F.col("node").alias("src"), F.col("component").alias("dst")))
         labels = durable(connected_components(edges), "labels")
-    return every.select("doc_id", "node", "n"), labels
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    sets = every.where("n > 0").groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("rows"))
+    linked = durable(labels.join(nodes.select("node", "digest"), "node").join(sets.select("digest", "first"), "digest").select("digest", "component", "first"), "linked")
+    lowest = linked.groupBy("component").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("members"))
+    of_set = looked_up(linked.select("digest", "component"), lowest, "component", "members", linked.count()).select("digest", "low")
+    return every, sets.join(of_set, "digest", "left").select("digest", "rows", F.coalesce("low", "first").alias("first"))
 
 
 def report(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """n_shingles, component_id and kept of every row."""
-    every, labels = components(docs, width, percent)
-    placed = every.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
-    lowest = placed.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("lowest"))
-    out = placed.join(lowest, "group", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    every, found = components(docs, width, percent)
+    own = every.select("doc_id", "digest", "n")
+    placed = looked_up(own.where("n > 0"), found, "digest", "rows", every.count()).select("doc_id", "n", F.col("first.doc_id").alias("component_id"))
+    wordless = own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return placed.unionAll(wordless).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows of a group but those of its least doc_id.
+    """``docs`` without the rows of a group but one: the least by (doc_id, nulls last, md5 of the text).
 
-    Rows without an id stay.
+    Of rows that are equal in both, one stays.  Rows without words all stay.
     """
-    keep = report(docs.select("doc_id", "text"), width, percent).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns).unionAll(docs.where("doc_id is null"))
+    _, found = components(docs.select("doc_id", "text"), width, percent)
+    kept = found.select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark")).distinct()
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.where(worded).select(F.struct(*docs.columns).alias("own"), F.col("doc_id").alias("id"), F.unhex(F.md5("text")).alias("mark"))
+    # equal rows meet as one row of each task, before the winners are looked up
+    once = own.dropDuplicates(["id", "mark"])
+    out = once.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi")
+    return out.select(*(F.col("own")[c].alias(c) for c in docs.columns)).unionAll(docs.where(~worded))

@@ -18,12 +18,16 @@ DECONTAMINATION = r"""
 WITH words AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
 w AS MATERIALIZED (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM words),
 items AS (SELECT id AS item, w, least(10, len(w)) AS m FROM w WHERE kind = 'b' AND len(w) > 0),
-g AS MATERIALIZED (SELECT DISTINCT item, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g FROM (SELECT item, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM items)),
+g AS MATERIALIZED (SELECT item, m, i AS j, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g FROM (SELECT item, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM items)),
 docs AS (SELECT id AS doc_id, w, m FROM w, (SELECT DISTINCT m FROM g) WHERE kind = 'd' AND len(w) >= m),
 p AS (SELECT doc_id, i, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs)),
-hit AS MATERIALIZED (SELECT doc_id, i, m, item, b.item AS it FROM p JOIN g b USING (m, g)),
+hit AS MATERIALIZED (SELECT doc_id, i, j, m, b.item AS it FROM p JOIN g b USING (m, g)),
 x AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY 1),
-y AS (SELECT doc_id, count(DISTINCT it) AS n_items, string_agg(DISTINCT it::VARCHAR, ',' ORDER BY it::VARCHAR) AS names FROM hit GROUP BY 1)
-SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN x ON x.doc_id = id LEFT JOIN y ON y.doc_id = id WHERE kind = 'd'
+y AS (SELECT doc_id, count(DISTINCT it) AS n_items, string_agg(DISTINCT it::VARCHAR, ',' ORDER BY it::VARCHAR) AS names FROM hit GROUP BY 1),
+runs AS (SELECT doc_id, min(i) - 1 AS begun, count(*) + min(m) - 1 AS n
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, it, i - j ORDER BY i) AS run FROM hit) GROUP BY doc_id, it, i - j, run),
+z AS (SELECT doc_id, max(n) AS longest, arg_min(begun, row(-n, begun)) AS longest_at FROM runs GROUP BY 1)
+SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(longest, 0) AS longest, longest_at
+FROM w LEFT JOIN x ON x.doc_id = id LEFT JOIN y ON y.doc_id = id LEFT JOIN z ON z.doc_id = id WHERE kind = 'd'
 """

@@ -41,7 +41,7 @@ def op6_hyperminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_item")
 
 
 def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
