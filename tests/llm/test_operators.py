@@ -288,6 +288,35 @@ def test_near_duplicates(spark, messy, empty, k, percent):
     assert neardup.report(messy, k, percent).count() == messy.count() and neardup.report(empty, k, percent).count() == 0
 
 
+def test_many_members_of_open_buckets(spark, monkeypatch):
+    """Copies of one text with many edits: most pairs lie under the threshold, some link across components; small blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 2_000)
+    rng = random.Random(31)
+    base = prose(rng, 90).split()
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randrange(1, 14)):
+            w[rng.randrange(len(w))] = rng.choice([f"q{rng.randrange(6)}", f"w{i}", "stone"])
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for k, percent in ((3, 85), (5, 80)):
+        expected = groups(rows, k, percent)
+        assert len({c for _, c in expected.values()}) > 3
+        for r in neardup.report(docs, k, percent).collect():
+            assert (r["n_shingles"], r["component_id"]) == expected[r["doc_id"]]
+
+
+def test_one_row_of_each_group_stays(spark, messy):
+    rng = random.Random(32)
+    base, other = prose(rng, 100), prose(rng, 100)
+    rows = [(None, base), (None, base), (4, base), (4, base), (4, base + " tail"), (9, other), (None, None), (None, None), (8, " "), (None, other + " x"), (None, "only here"), (None, "only here")]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, mark int").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"]) for r in neardup.representatives(docs).collect()), key=repr)
+    assert [r for r in kept if r[0] == 4] == [min([(4, base), (4, base + " tail")], key=lambda r: hashlib.md5(r[1].encode()).digest())]
+    assert [r for r in kept if r[0] != 4] == sorted([(9, other), (None, None), (None, None), (8, " "), (None, "only here")], key=repr)
+
+
 @pytest.mark.parametrize("common,every,percent", [(4, 5, 80), (6, 7, 85)])
 def test_short_texts_share_a_band(common, every, percent):
     """Sets of a few shingles at the threshold meet in a band as surely as long ones."""
@@ -314,6 +343,76 @@ def windows(text):
     return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
 
 
+def longest_match(words, items, window=10):
+    """Length and first place of the longest match that starts where a whole window stands."""
+    best = (0, None)
+    for i in range(len(words)):
+        runs = []
+        for v in items:
+            for j in range(len(v)):
+                k = 0
+                while i + k < len(words) and j + k < len(v) and words[i + k] == v[j + k]:
+                    k += 1
+                runs.append((k, k >= min(window, len(v)) and j + min(window, len(v)) <= len(v)))
+        if any(whole for _, whole in runs) and max(k for k, _ in runs) > best[0]:
+            best = (max(k for k, _ in runs), i)
+    return best
+
+
+def thue_morse(n):
+    """Two different words of 2^n letters that polynomial hashes modulo 2^64 cannot tell apart from n = 10 on."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 10, 11])
+def test_long_words_that_collide_in_polynomials(spark, n):
+    a, b = thue_morse(n)
+    docs = spark.createDataFrame([(1, f"alpha beta {a}"), (2, f"alpha beta {b}"), (3, b)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in decontam.report(docs, spark.createDataFrame([(7, a)], "item_id long, text string")).collect()}
+    assert [out[d]["n_hit"] for d in (1, 2, 3)] == [1, 0, 0]
+    assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in neardup.report(docs).collect())
+
+
+def test_windows_and_links_are_confirmed_on_bytes(monkeypatch):
+    """With a hash that sees lengths only, different words still match nothing."""
+    import pyarrow as pa
+
+    hashed = decontam.word_hashes
+
+    def poor(*args):
+        starts, ends, _, at = hashed(*args)
+        return starts, ends, (ends - starts).astype(np.uint64), at
+
+    monkeypatch.setattr(decontam, "word_hashes", poor)
+    known = decontam.Benchmark([("x", "one two six ten")], 3)
+    texts = pa.array(["how two six ten", "one two six", "and for the win"])
+    found = decontam.Found(texts, 0, 3, known)
+    assert {(d, p - int(found.at[d])) for d, p, *_ in found.hits} == {(0, 1), (1, 0)}
+    assert neardup.confirmed(b"a b c d", b"A b c d", 3, 100) and not neardup.confirmed(b"a b c d", b"a b c e", 3, 85)
+
+
+def test_repetitive_text(spark):
+    """A thousand equal words against twenty thousand: no pair of a suffix and a place is made."""
+    docs = spark.createDataFrame([(1, "word " * 20_000), (2, "word " * 9), (3, "other")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "word " * 1000), (2, "Word " * 300)], "item_id long, text string")
+    out = {r["doc_id"]: r for r in decontam.report(docs, bench).collect()}
+    assert (out[1]["n_hit"], out[1]["n_items"], out[1]["longest"], out[1]["longest_at"]) == (20_000, 2, 1000, 0)
+    assert not out[2]["contaminated"] and out[3]["longest"] == 0 and out[3]["longest_at"] is None
+
+
+def test_suffix_array_is_in_order():
+    rng = np.random.default_rng(3)
+    for letters in (1, 2, 5, 300):
+        h = rng.integers(0, letters, 500).astype(np.uint64)
+        stop = np.repeat([100, 101, 350, 500], [100, 1, 249, 150])
+        array = decontam.SuffixArray(h, stop, 500)
+        follow = [tuple(array.ids[i : stop[i]].tolist()) for i in array.order.tolist()]
+        assert follow == sorted(follow) and sorted(array.order.tolist()) == list(range(500))
+
+
 @pytest.mark.parametrize("block", [1 << 20, 600])
 def test_decontamination(spark, messy, empty, block):
     rng = random.Random(5)
@@ -326,7 +425,7 @@ def test_decontamination(spark, messy, empty, block):
         for g in [tuple(w[j : j + 10]) for j in range(len(w) - 9)] or ([tuple(w)] if w else []):
             marks.setdefault(g, set()).add(i)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontam.report(messy, bench, block_bytes=block)
+    out = decontam.report(messy, bench, block_bytes=block).cache()
     assert out.count() == messy.count() and decontam.report(empty, bench, block_bytes=block).count() == 0
     for r in out.where("doc_id is not null").collect():
         w = windows(docs[r["doc_id"]])
@@ -339,7 +438,8 @@ def test_decontamination(spark, messy, empty, block):
         names = sorted(str(i) for i in found if i is not None)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(names), bool(hit))
         assert r["items_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest()
-    clean = decontam.clean(messy, bench)
+        assert (r["longest"], r["longest_at"]) == longest_match(w, [windows(t or "") for _, t in items])
+    clean = decontam.clean(messy, bench, block_bytes=block)
     assert clean.columns == messy.columns and clean.count() == out.where("not contaminated").count()
     assert decontam.report(messy, bench.limit(0)).where("contaminated").count() == 0
 
