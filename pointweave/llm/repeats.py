@@ -10,15 +10,23 @@ window alone, so equal strings are cut alike wherever they stand.  The start
 positions that share a trigger form a phrase; it is taken together with the
 ``length`` bytes that follow, which is all of the parse's suffix that matters.
 
-Suffix order.  Phrases are the dictionary; each distinct one is compared once,
-however often the corpus repeats it.  All occurrences are sorted by (digest
-of the bytes at the trigger, digest of the phrase, doc_id, place): the order
-of the parse's suffixes up to equality of the bytes that matter, with digests
-in the place of ranks.  In this order,
-an occurrence that is not the first of its phrase is a repeat as a whole; a
-first one can only repeat parts of other phrases that share its trigger bytes.
-For those alone the dictionary's suffixes, one per start position, are sorted
-the same way, and all but the first of equal ones are repeats.
+Dictionary and parse.  The distinct phrases are the dictionary, the occurrences
+the parse.  All occurrences are sorted by (trigger bytes, phrase, doc_id,
+place), where digests stand for the first two: a phrase is looked at once,
+however often the corpus repeats it, and every occurrence that is not the first
+of its phrase is a repeat as a whole.  A first one can only repeat parts of other
+phrases that share its trigger bytes.  For those, the phrases that meet in a
+task form one dictionary text, and its suffix array, built by prefix doubling
+over the bytes to the depth of ``length``, brings equal strings together; with
+the occurrences of their phrases, the earliest of each stays and the others are
+repeats.  Matches matter to ``length`` bytes only, so neither array goes deeper,
+and arrays are per task, as no order across tasks is needed.
+
+Frequent triggers.  A first pass counts trigger bytes.  Those of more than 1 in
+``HOT`` occurrences (fewer than ``HOT``, whatever the corpus; only these reach
+the driver) are dealt by phrase instead, and so are triggers of more than
+``MANY`` occurrences: the start positions of their firsts then part ways by the
+digests of their own strings, so that no trigger gathers in a task.
 
 Every task first reduces what it read: of equal phrases it sends the earliest
 and knows the others to be repeats.  So a phrase that fills a third of the
@@ -54,6 +62,8 @@ REDUCED = 400_000
 #: Occurrences beyond which the start positions of a trigger's phrases part ways,
 #: and rows that a task sorts at a time.
 MANY, KEYED = 4_000, 8_000
+#: Triggers of a larger share of all occurrences than 1 in ``HOT`` are dealt by phrase.
+HOT = 2_000
 
 U64 = np.uint64
 _LAST = (1 << 63) - 1
@@ -108,15 +118,20 @@ def _reduced(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray
 
 
 _COLUMNS = ["key", "own", "doc", "part", "place"]
-_ROWS = "key long, own long, doc long, part long, place long, later boolean"
+_ROWS = "key long, own long, doc long, part long, place long, later boolean, hot boolean"
 
 
-def _rows(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """The earliest of equal rows, and the runs of those known to be repeats."""
     if not len(key):
         return
+    if hot is None or not len(hot):
+        often = np.zeros(len(key), bool)
+    else:  # the occurrences of a frequent trigger part ways by their phrases
+        often = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        key = np.where(often, mix64(key.view(U64) ^ mix64(own.view(U64))).view(np.int64), key)
     first, later = _reduced(key, own, doc, part, place)
-    yield _batch(key[first], own[first], doc[first], part[first], place[first], False)
+    yield _batch(key[first], own[first], doc[first], part[first], place[first], False, often[first])
     if len(later):
         # neighbouring phrases of a text join into one run; repeated rows count once
         order = later[np.lexsort((place[later], part[later], doc[later]))]
@@ -127,16 +142,56 @@ def _rows(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, p
         head = np.flatnonzero(np.r_[True, ~joins])
         place = start[head] << 32 | np.add.reduceat(count, head)
         spread = mix64(mix64(d[head].view(U64) ^ place.view(U64)) ^ t[head].view(U64)).view(np.int64)
-        yield _batch(spread, np.zeros(len(place), np.int64), d[head], t[head], place, True)
+        yield _batch(spread, np.zeros(len(place), np.int64), d[head], t[head], place, True, np.zeros(len(place), bool))
 
 
-def _batch(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray, later: bool) -> pa.RecordBatch:
+def _batch(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray, later: bool, hot: np.ndarray) -> pa.RecordBatch:
     arrays = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, own, doc, part, place)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(key), later))], [*_COLUMNS, "later"])
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(key), later)), pa.array(hot)], [*_COLUMNS, "later", "hot"])
+
+
+def _trigger_keys(raw: bytes, trigger: np.ndarray, length: int) -> np.ndarray:
+    """Digests of the bytes that every string of a trigger is sure to share."""
+    near = length - 63 if length >= 64 + GRAM else GRAM
+    return np.array([xxhash.xxh3_64_intdigest(raw[a : a + near]) for a in trigger.tolist()], U64).view(np.int64)
+
+
+def frequent_triggers(docs: DataFrame, length: int) -> np.ndarray:
+    """Sorted keys of the triggers of more than 1 in ``HOT`` occurrences: fewer than ``HOT``, however large the corpus.
+
+    A task sends the keys of more than 1 in 4 ``HOT`` of its own occurrences, so
+    that a trigger that is missed has less than 1.25 in ``HOT`` of all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def finish() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n * 4 * HOT > count
+            # the row without a key tells how many there were
+            return pa.RecordBatch.from_arrays([pa.array([None, *key[often].tolist()], pa.int64()), pa.array([count, *n[often].tolist()], pa.int64())], ["key", "n"])
+
+        for batch in batches:
+            for lo, hi in pieces(batch.column(0), HELD_BYTES):
+                data, offsets = flat_bytes(batch.column(0), lo, hi)
+                held.append(_trigger_keys(data.tobytes(), phrases(data, offsets, length)[0], length))
+                count += len(held[-1])
+            if count >= REDUCED:
+                yield finish()
+                held, count = [], 0
+        if count:
+            yield finish()
+
+    found = small_batches(docs.select("text").where("text IS NOT NULL")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    total = found.where("key IS NULL").agg(F.sum("n").alias("total"))
+    often = found.join(F.broadcast(total), F.col("n") * HOT > F.col("total")).where("key IS NOT NULL").select("key")
+    return np.sort(np.array([r["key"] for r in often.collect()], np.int64))
 
 
 def _parse(docs: DataFrame, length: int) -> DataFrame:
     """Occurrences of phrases.  place packs start << 32 and count."""
+    hot = frequent_triggers(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -150,18 +205,17 @@ def _parse(docs: DataFrame, length: int) -> DataFrame:
                     continue
                 raw = data.tobytes()
                 digest = xxhash.xxh3_64_intdigest
-                near = length - 63 if length >= 64 + GRAM else GRAM
-                key = np.array([digest(raw[a : a + near]) for a in trigger.tolist()], U64).view(np.int64)
+                key = _trigger_keys(raw, trigger, length)
                 own = np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (first + n - 1 + length).tolist())], U64).view(np.int64)
                 row = np.searchsorted(offsets, first, "right") - 1
                 place = (first - offsets[row]) << 32 | n
                 held.append([key, own, ids[lo:hi][row], parts[lo:hi][row], place])
                 count += len(key)
                 if count >= REDUCED:
-                    yield from _rows(*(np.concatenate(x) for x in zip(*held)))
+                    yield from _rows(*(np.concatenate(x) for x in zip(*held)), hot)
                     held, count = [], 0
         if held:
-            yield from _rows(*(np.concatenate(x) for x in zip(*held)))
+            yield from _rows(*(np.concatenate(x) for x in zip(*held)), hot)
 
     return small_batches(docs.select("doc", "part", "text")).mapInArrow(run, _ROWS)
 
@@ -172,8 +226,8 @@ def _compared(rows: DataFrame) -> DataFrame:
     nth = F.rank().over(Window.partitionBy("key", "own").orderBy("doc", "place", "part"))
     return (
         rows.withColumn("nth", nth)
-        .withColumn("mixed", F.min("own").over(key) != F.max("own").over(key))
-        .withColumn("many", F.count(F.lit(1)).over(key) > MANY)
+        .withColumn("mixed", F.col("hot") | (F.min("own").over(key) != F.max("own").over(key)))
+        .withColumn("many", F.col("hot") | (F.count(F.lit(1)).over(key) > MANY))
         .withColumn("repeat", F.col("later") | (F.col("nth") > 1))
         .where("repeat or mixed")
         .select("key", "doc", "part", "place", "repeat", "many")
@@ -213,8 +267,8 @@ def _looked_into(joined: DataFrame, length: int) -> DataFrame:
                         keys.append(key), docs.append(doc), parts.append(part), places.append(place), texts.append(data[at : at + n - 1 + length])
             zeros = np.zeros(len(keys), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(zeros), *(pa.array(x, pa.int64()) for x in (docs, parts, places)), pa.array(zeros > 0), pa.array(texts, pa.binary())],
-                [*_COLUMNS, "later", "bytes"],
+                [pa.array(keys, pa.int64()), pa.array(zeros), *(pa.array(x, pa.int64()) for x in (docs, parts, places)), pa.array(zeros > 0), pa.array(zeros > 0), pa.array(texts, pa.binary())],
+                [*_COLUMNS, "later", "hot", "bytes"],
             )
             if held:
                 for rows in _rows(*(np.concatenate(x) for x in zip(*held))):
@@ -230,6 +284,40 @@ def _digests(texts: list[tuple[bytes, int]], length: int) -> tuple[np.ndarray, n
     return both[:, 0].astype(np.int64), both[:, 1].astype(np.int64)
 
 
+def alike(text: np.ndarray, length: int) -> np.ndarray:
+    """For each position the rank of its ``length``-byte string among all of the text's, equal for equal strings.
+
+    The text's suffix array to that depth: positions are sorted by their first
+    eight bytes, and what is still alike by the ranks of both halves of a string
+    of twice the length.  Strings that run past the end are filled with zeros.
+    """
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    reach = min(8, length)
+    key = np.ndarray(n, ">u8", padded, strides=(1,)).astype(U64) >> U64(8 * (8 - reach))
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]][:n]
+    rank = np.zeros(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
+    while reach < length:
+        step = min(reach, length - reach)
+        slots = np.flatnonzero(~(new & np.r_[new[1:], True]))
+        if not len(slots):
+            break
+        place = order[slots]
+        far = place + step
+        pair = rank[place] * (n + 1) + np.where(far < n, rank[np.minimum(far, n - 1)], 0)
+        by = np.argsort(pair, kind="stable")
+        place, pair = place[by], pair[by]
+        fresh = np.r_[True, pair[1:] != pair[:-1]]
+        order[slots] = place
+        new[slots] |= fresh
+        rank[place] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))] + 1
+        reach += step
+    return rank
+
+
 def _suffixes(placed: DataFrame, length: int) -> DataFrame:
     """Start positions, among the firsts, whose string also starts earlier.
 
@@ -246,17 +334,20 @@ def _suffixes(placed: DataFrame, length: int) -> DataFrame:
             if later.num_rows:
                 yield pa.RecordBatch.from_arrays([later[c].combine_chunks() for c in _COLUMNS[2:]], _COLUMNS[2:])
             rows = rows.filter(pa.array(~rows["later"].to_numpy()))
-            texts = rows["bytes"].to_pylist()
             key, own, doc, part, place = (rows[c].to_numpy() for c in _COLUMNS)
+            texts = rows["bytes"].to_pylist()
             whole = np.array([t is not None for t in texts], bool)
+            # the dictionary: the phrases' bytes one after another, and where each string starts
+            size = np.array([len(t) for t in texts if t is not None], np.int64)
+            rank = alike(np.frombuffer(b"".join(t for t in texts if t is not None), np.uint8), length)
             n = place[whole] & _COUNT
-            one, two = _digests([(t, k) for t, k in zip((t for t in texts if t is not None), n.tolist())], length)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = (np.repeat(place[whole] >> 32, n) + step) << 32 | 1
-            parts = ([one, key[~whole]], [two, own[~whole]], [np.repeat(doc[whole], n), doc[~whole]], [np.repeat(part[whole], n), part[~whole]], [at, place[~whole]])
-            for batch in _rows(*(np.concatenate(x) for x in parts)):
-                if batch.num_rows and batch.column("later")[0].as_py():
-                    yield batch.select(_COLUMNS[2:])
+            ranks = rank[np.repeat(np.cumsum(size) - size, n) + step]
+            strings = [np.repeat(key[whole], n), ranks, np.repeat(doc[whole], n), np.repeat(part[whole], n), (np.repeat(place[whole] >> 32, n) + step) << 32 | 1]
+            for found in (strings, [x[~whole] for x in (key, own, doc, part, place)]):
+                for batch in _rows(*found):
+                    if batch.num_rows and batch.column("later")[0].as_py():
+                        yield batch.select(_COLUMNS[2:])
 
         for batch in batches:
             held.append(batch)
