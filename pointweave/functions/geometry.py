@@ -54,7 +54,7 @@ def bounded_label(p: Vector, proj: Vector, most: float, scale: float = 1.0, eps:
     gap = minus(proj, p)
     length = norm(gap)
     d = F.least(length / scale, F.lit(most))
-    near = length / scale < most
+    near = length / scale <= most
     return d, [F.when(near, g / (length + eps)).otherwise(0.0) for g in gap]
 
 

@@ -114,6 +114,43 @@ def frontier(edges: DataFrame, seeds: DataFrame, hops: int, every: int = 3, size
     return reached
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, every: int = 10) -> DataFrame:
+    """Nodes of a shortest path from ``seed`` to ``target``, thinned to each ``every``-th and the target: seed, target, node, hop.
+
+    edges: a, b (either direction); pairs: seed, target.  All seeds expand
+    together, a level a join, until their targets are reached or nothing new
+    is; a node remembers its least predecessor.  Paths are unrolled from the
+    targets the same way.  Targets that cannot be reached have no rows.
+    """
+    pairs = durable(pairs.select("seed", "target").distinct(), "paths")
+    both = durable(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "paths")
+    front = durable(pairs.select("seed", F.col("seed").alias("node"), F.lit(None).cast("long").alias("back"), F.lit(0).cast("long").alias("hop")).distinct(), "paths")
+    reached, open_ = front, pairs.where("seed <> target")
+    hop = 0
+    while not open_.isEmpty() and not front.isEmpty():
+        hop += 1
+        going = front.join(open_.select("seed").distinct(), "seed", "left_semi")
+        new = going.join(both, F.col("node") == F.col("a")).groupBy("seed", F.col("b").alias("at")).agg(F.min("node").alias("back"))
+        new = new.join(reached.select("seed", F.col("node").alias("at")), ["seed", "at"], "left_anti")
+        front = durable(new.select("seed", F.col("at").alias("node"), "back", F.lit(hop).cast("long").alias("hop")), "paths")
+        reached = reached.unionAll(front)
+        if hop % 4 == 0:
+            reached = durable(reached, "paths")
+        open_ = durable(open_.join(front.select("seed", F.col("node").alias("target")), ["seed", "target"], "left_anti"), "paths")
+    reached = durable(reached, "paths")
+    here = durable(pairs.join(reached.withColumnRenamed("node", "target"), ["seed", "target"]).select("seed", "target", F.col("target").alias("node"), "back", "hop"), "paths")
+    steps = [here]
+    for _ in range(hop):
+        before = reached.select("seed", "node", F.col("back").alias("prior"), F.col("hop").alias("at"))
+        here = here.where("back is not null").select("seed", "target", F.col("back").alias("node")).join(before, ["seed", "node"])
+        here = durable(here.select("seed", "target", "node", F.col("prior").alias("back"), F.col("at").alias("hop")), "paths")
+        steps.append(here)
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionAll(step)
+    return out.where((F.col("hop") % every == 0) | (F.col("node") == F.col("target"))).select("seed", "target", "node", "hop")
+
+
 def bfs_patches(edges: DataFrame, seeds: DataFrame, size: int, hops: int | None = None) -> DataFrame:
     """The first ``size`` nodes of each seed by (hop, node), of those within ``hops`` if that is given.
 
@@ -127,14 +164,15 @@ def split_segments(points: DataFrame, segments: DataFrame, threshold: float) ->
     """Segments split at the matched point whose distance to the segment differs most from its own value.
 
     points: seg_id, point_id, x, y, z, distance; segments: seg_id and end
-    points.  One round; rounds compose.
+    points.  Points at an end (to 9 digits of its length) split nothing.  One
+    round; rounds compose.
     """
     from pointweave.functions.geometry import segment_project
 
     a, b = ("ax", "ay", "az"), ("bx", "by_", "bz")
     d, _, t = segment_project(("x", "y", "z"), a, b)
     gap = F.abs(d - F.col("distance"))
-    near = points.join(segments, "seg_id").withColumns({"gap": F.round(gap, 9), "t": t}).where("t > 0 and t < 1")
+    near = points.join(segments, "seg_id").withColumns({"gap": F.round(gap, 9), "t": t}).where("t > 1e-9 and t < 1 - 1e-9")
     worst = near.groupBy("seg_id").agg(F.min(F.struct((-F.col("gap")).alias("far"), "point_id", "x", "y", "z")).alias("w")).where(-F.col("w.far") >= threshold)
     cut = segments.join(worst, "seg_id", "left")
     mid = [F.col("w.x"), F.col("w.y"), F.col("w.z")]

@@ -137,7 +137,7 @@ def _covered(lo: Column, hi: Column, size: Column | float) -> Column:
 
 
 def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str, shape_key: str, corners: Sequence[Sequence[str]], distance: Column, extra: dict[str, Column], size: float | None, xyz: Sequence[str]) -> DataFrame:
-    """The shape of least (distance, id) of each point, by growing reach.
+    """The shape of least (distance to 12 digits, id) of each point, by growing reach.
 
     A round copies each shape to the cells that its box, grown by the reach,
     covers; points whose nearest shape is within the reach are settled.
@@ -166,7 +166,7 @@ def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str,
         for i in range(3):
             grown = grown.withColumn(cells[i], _covered(low[i] - reach, high[i] + reach, cell))
         pairs = _in_cells(pending, xyz, cell).join(grown, [*by, *cells]).withColumn("distance", distance)
-        best = pairs.groupBy(*ids).agg(F.min(F.struct(F.col("distance"), F.col(shape_key), *(c.alias(n) for n, c in extra.items()))).alias("best"))
+        best = pairs.groupBy(*ids).agg(F.min(F.struct(F.round("distance", 12).alias("rounded"), F.col(shape_key), F.col("distance"), *(c.alias(n) for n, c in extra.items()))).alias("best"))
         found = best.select(*ids, F.col("best.distance").alias("distance"), F.col(f"best.{shape_key}").alias(shape_key), *(F.col(f"best.{n}").alias(n) for n in extra))
         settled = durable(found if last else found.where(F.col("distance") <= reach), "nearest")
         done.append(settled)

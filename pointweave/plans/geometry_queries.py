@@ -11,19 +11,21 @@ from pointweave.plans.registry import add
 
 P, A, B = ("px", "py", "pz"), ("ax", "ay", "az"), ("bx", "by_", "bz")
 XYZ = ("x", "y", "z")
-_SEG = "SELECT s.item_id, s.seg_id, p.point_id, p.x AS px, p.y AS py, p.z AS pz, ax, ay, az, bx, by_, bz FROM fx_segments s JOIN fx_points p ON p.item_id = s.item_id AND p.point_id % 20 = 3"
+_SEG = "SELECT s.item_id, s.seg_id, p.point_id, p.x AS px, p.y AS py, p.z AS pz, ax, ay, az, bx, by_, bz FROM fx_sharp_segments s JOIN fx_points p ON p.item_id = s.item_id"
 _T = "GREATEST(LEAST(((px - ax) * (bx - ax) + (py - ay) * (by_ - ay) + (pz - az) * (bz - az)) / NULLIF((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) + (bz - az) * (bz - az), 0), 1.0), 0.0)"
-_PROJ = f"WITH s AS ({_SEG}), t AS (SELECT *, {_T} AS t FROM s), q AS (SELECT *, ax + t * (bx - ax) AS qx, ay + t * (by_ - ay) AS qy, az + t * (bz - az) AS qz FROM t), d AS (SELECT *, SQRT((px - qx) * (px - qx) + (py - qy) * (py - qy) + (pz - qz) * (pz - qz)) AS dist FROM q)"
-
-
-def _pairs(v):
-    p = v("fx_points").where("point_id % 20 = 3").select("item_id", "point_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-    return v("fx_segments").join(p, "item_id")
+_PROJ = f"""WITH s AS ({_SEG}), t AS (SELECT *, {_T} AS t FROM s), q AS (SELECT *, ax + t * (bx - ax) AS qx, ay + t * (by_ - ay) AS qy, az + t * (bz - az) AS qz FROM t),
+  a AS (SELECT *, SQRT((px - qx) * (px - qx) + (py - qy) * (py - qy) + (pz - qz) * (pz - qz)) AS dist FROM q),
+  d AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id, point_id ORDER BY ROUND(dist, 12), seg_id) AS nth FROM a) WHERE nth = 1)"""
 
 
 def _projected(v):
+    """Each point on its nearest sharp segment."""
+    from pointweave.operators.spatial import nearest_segment
+
+    near = nearest_segment(v("fx_points"), v("fx_sharp_segments"), ["item_id"]).select("item_id", "point_id", "seg_id")
     d, q, t = ge.segment_project(P, A, B)
-    return _pairs(v).withColumns({"dist": d, "t": t, "qx": q[0], "qy": q[1], "qz": q[2]})
+    own = v("fx_points").select("item_id", "point_id", *(F.col(c).alias(f"p{c}") for c in XYZ))
+    return near.join(own, ["item_id", "point_id"]).join(v("fx_sharp_segments"), ["item_id", "seg_id"]).withColumns({"dist": d, "t": t, "qx": q[0], "qy": q[1], "qz": q[2]})
 
 
 def _label(v):
@@ -60,7 +62,7 @@ def measured(v):
     return corners(v).withColumns({"area": area, "e0": edges[0], "e1": edges[1], "e2": edges[2], "circum": ge.circumradius(edges, area), "inner": ge.inradius(edges, area)})
 
 
-add("f1_bounded_label", _label, _PROJ + " SELECT seg_id, point_id, LEAST(dist, 0.1) AS label, CASE WHEN dist < 0.1 THEN (qx - px) / (dist + 1e-6) ELSE 0 END AS nx, CASE WHEN dist < 0.1 THEN (qy - py) / (dist + 1e-6) ELSE 0 END AS ny, CASE WHEN dist < 0.1 THEN (qz - pz) / (dist + 1e-6) ELSE 0 END AS nz FROM d", "label", "nx", "ny", "nz")
+add("f1_bounded_label", _label, _PROJ + " SELECT seg_id, point_id, LEAST(dist, 0.1) AS label, CASE WHEN dist <= 0.1 THEN (qx - px) / (dist + 1e-6) ELSE 0 END AS nx, CASE WHEN dist <= 0.1 THEN (qy - py) / (dist + 1e-6) ELSE 0 END AS ny, CASE WHEN dist <= 0.1 THEN (qz - pz) / (dist + 1e-6) ELSE 0 END AS nz FROM d", "label", "nx", "ny", "nz")
 add("f2_segment_project", lambda v: _projected(v).select("seg_id", "point_id", "dist", "t", "qx"), _PROJ + " SELECT seg_id, point_id, dist, t, qx FROM d", "dist", "t", "qx")
 add("f3_aabb", _box, "SELECT seg_id, LEAST(ax, bx) - 0.01 AS lx, LEAST(ay, by_) - 0.01 AS ly, LEAST(az, bz) - 0.01 AS lz, GREATEST(ax, bx) + 0.01 AS hx, GREATEST(ay, by_) + 0.01 AS hy, GREATEST(az, bz) + 0.01 AS hz FROM fx_segments", "lx", "ly", "lz", "hx", "hy", "hz")
 add("f4_triangles", lambda v: measured(v).select("fid", "item_id", "area", "e0", "circum", "inner"), _TRI + " SELECT fid, item_id, area, e0, e0 * e1 * e2 / (4 * area) AS circum, 2 * area / (e0 + e1 + e2) AS inner FROM tri".replace("AS inner", 'AS "inner"'), "area", "e0", "circum", '"inner"')
@@ -76,6 +78,15 @@ def _pixel(v):
 
 
 add("f7_to_pixel", _pixel, "SELECT * FROM (SELECT point_id, ROUND_EVEN(y / 0.0123 + 10, 0)::BIGINT AS pr, ROUND_EVEN(x / 0.0123 + 10, 0)::BIGINT AS pc, TRUE AS inside FROM fx_points) WHERE pr > 0 AND pr < 20 AND pc > 0 AND pc < 20")
+add("f6_unproject", lambda v: (lambda uvz: v("fx_points").select("point_id", *(c.alias(n) for c, n in zip(ge.unproject(2.0, uvz), XYZ))))(ge.project(2.0, [F.col("x"), F.col("y"), F.col("z") + 3])), "SELECT point_id, x, y, z + 3 AS z FROM fx_points", "x", "y", "z")
+
+
+def _metric(v):
+    x, y = ge.from_pixel(F.col("pr"), F.col("pc"), 0.0123, 0.0123, 16, 64)
+    return v("fx_pixels").select("view_id", "pr", "pc", x.alias("x"), y.alias("y"))
+
+
+add("f7_from_pixel", _metric, "SELECT view_id, pr, pc, (pc - 8) * 0.0123 AS x, (pr - 32) * 0.0123 AS y FROM fx_pixels", "x", "y")
 add("f8_ortho_points", lambda v: v("fx_pixels").where("depth <> 0").select("view_id", "pr", "pc", *(c.alias(n) for c, n in zip(ge.ortho_point(F.col("pr"), F.col("pc"), F.col("depth"), 0.02, 16, 64), XYZ))),
     "SELECT view_id, pr, pc, (pc - 7.5) * 0.02 AS x, (pr - 31.5) * 0.02 AS y, depth AS z FROM fx_pixels WHERE depth <> 0", "x", "y", "z")
 add("f9_rotate_scale", lambda v: v("fx_points").select("point_id", *(c.alias(n) for c, n in zip(ge.transform_point(ge.matmul4(ge.rotation("z", 0.3), ge.scaling(2.0)), XYZ), XYZ))),
@@ -91,6 +102,8 @@ add("f14_tangent_frame", lambda v: (lambda t, b: v("fx_points").select("point_id
 _PATH = "concat('d', {s}, '/d', {s}, '_h', {s}, '_feat_', {k}, '.yml')"
 add("f15_ids_from_paths", lambda v: v("pages").withColumn("path", F.expr(_PATH.format(s="cast(page_id as string)", k="'007'"))).select("page_id", ge.item_id_from_path(F.col("path")).alias("item"), ge.modality_from_path(F.col("path")).alias("modality")),
     "SELECT page_id, 'd' || page_id || '_h' || page_id || '_007' AS item, 'feat' AS modality FROM pages")
+add("f15_chunk_from_path", lambda v: v("pages").select("page_id", ge.chunk_from_path(F.expr("concat('/data/abc_', lpad(cast(page_id % 100 as string), 4, '0'), '_obj_v00.7z')")).alias("plain"), ge.chunk_from_path(F.expr("concat('/data/', lpad(cast(page_id as string), 4, '0'), '_obj_v00/x.yml')")).alias("chunk")),
+    "SELECT page_id, lpad((page_id % 100)::VARCHAR, 4, '0') AS plain, lpad(page_id::VARCHAR, 4, '0') AS chunk FROM pages")
 _UN = lambda s: f"((('0x' || substr(md5('{s}|' || point_id), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0"
 add("f16_add_noise", lambda v: ge.add_noise(v("fx_points"), "z", 0.01, 11, ["point_id"]).select("point_id", "z"), f"SELECT point_id, z + 0.01 * SQRT(-2 * LN({_UN(11)})) * COS(2 * PI() * {_UN(12)}) AS z FROM fx_points", "z")
 add("f16_many_scales", lambda v: ge.many_scales(v("fx_points"), "isotropic", [0.0, 0.01, 0.05], 11, ["point_id"]).select("point_id", "noise_scale", "x"),
@@ -129,6 +142,8 @@ add("r4_tiles", lambda v: ra.tiles(v("fx_pixels"), 6, 4, 16, fore()).groupBy("vi
     "SELECT view_id, tr, tc, COUNT(*) AS n, SUM(pr - tr)::BIGINT AS s FROM fx_pixels, (SELECT UNNEST([0, 4, 8])::BIGINT AS tr), (SELECT UNNEST([0, 4, 8])::BIGINT AS tc) WHERE pr >= tr AND pr < tr + 6 AND pc >= tc AND pc < tc + 6 GROUP BY 1, 2, 3 HAVING SUM(CASE WHEN depth >= 20 THEN 1 ELSE 0 END) > 0")
 add("r5_crop_pad", lambda v: ra.pad(ra.crop_center(v("fx_pixels").select("view_id", "pr", "pc", "depth"), 16, 16, 8, 8), 8, 8, {"depth": 0.0}),
     "WITH g AS (SELECT view_id, r AS pr, c AS pc FROM (SELECT DISTINCT view_id FROM fx_pixels WHERE pr BETWEEN 4 AND 11 AND pc BETWEEN 4 AND 11), (SELECT UNNEST(range(8)) AS r), (SELECT UNNEST(range(8)) AS c)) SELECT g.view_id, g.pr, g.pc, COALESCE(depth, 0) AS depth FROM g LEFT JOIN fx_pixels p ON p.view_id = g.view_id AND p.pr = g.pr + 4 AND p.pc = g.pc + 4", "depth")
+add("r5_uncrop", lambda v: ra.uncrop(ra.crop_center(v("fx_pixels").select("view_id", "pr", "pc", "depth"), 16, 16, 8, 8), 16, 16, 8, 8), "SELECT view_id, pr, pc, depth FROM fx_pixels WHERE pr BETWEEN 4 AND 11 AND pc BETWEEN 4 AND 11", "depth")
+add("r6_snap_inside", lambda v: ra.common_bbox(v("fx_pixels"), ["view_id"], F.col("depth") > 60, 2).select("view_id", ra.snap_inside(F.col("top"), F.lit(9).cast("long"), 16).alias("top")), "SELECT view_id, GREATEST(LEAST(MIN(pr) - 2, 16 - 9), 0)::BIGINT AS top FROM fx_pixels WHERE depth > 60 GROUP BY 1")
 add("r6_common_bbox", lambda v: ra.common_bbox(v("fx_pixels"), ["view_id"], F.col("depth") > 60, 2).withColumn("side", ra.snap_pow2(F.col("bottom") - F.col("top"))),
     'SELECT *, (2 ** CEIL(LOG2(GREATEST(bottom - top, 1))))::BIGINT AS side FROM (SELECT view_id, MIN(pr) - 2 AS top, MAX(pr) + 2 AS bottom, MIN(pc) - 2 AS "left", MAX(pc) + 2 AS "right" FROM fx_pixels WHERE depth > 60 GROUP BY 1)')
 add("r7_tile_normalize", lambda v: ra.tile_normalize(v("fx_pixels"), 4, fore(), 2.5).drop("event_id", "tr", "tc"),

@@ -10,6 +10,7 @@ from pointweave.operators import mesh as ms
 from pointweave.operators import spatial as sp
 from pointweave.plans.geometry_queries import _TRI, ca, cb, cc, measured
 from pointweave.plans.registry import add
+from pointweave.plans.spatial_queries import NEAREST_SEGMENT, point_faces
 
 _FV = "(SELECT item_id, fid, v0 AS vid FROM fx_faces UNION ALL SELECT item_id, fid, v1 FROM fx_faces UNION ALL SELECT item_id, fid, v2 FROM fx_faces)"
 _SV = f"(SELECT DISTINCT item_id, surf_id, vid FROM fx_surface_faces JOIN {_FV} USING (item_id, fid))"
@@ -82,7 +83,15 @@ add("a70_voxel_spec", lambda v: ms.curve_extents(v("fx_curve_verts"), _V(v), v("
     f"SELECT item_id, step, CEIL(box / step)::BIGINT AS grid, CEIL(LOG2(box / step))::BIGINT AS depth FROM (SELECT item_id, QUANTILE_CONT(extent, 0.05) / 8 AS step FROM {_EXT} GROUP BY 1) JOIN {_BOX} USING (item_id)", "step")
 add("a76_flat_patch", lambda v: v("fx_votes").groupBy("item_id", "patch_id").agg(F.bool_and(F.col("value") >= 0.05).alias("flat")), "SELECT item_id, patch_id, BOOL_AND(value >= 0.05) AS flat FROM fx_votes GROUP BY 1, 2")
 add("a77_extent_profile", lambda v: measured(v).groupBy("item_id").agg(F.avg("area").alias("mean_area"), F.avg((F.col("e0") + F.col("e1") + F.col("e2")) / 3).alias("mean_edge"), F.count(F.lit(1)).alias("n_faces")), _TRI + " SELECT item_id, AVG(area) AS mean_area, AVG((e0 + e1 + e2) / 3) AS mean_edge, COUNT(*) AS n_faces FROM tri GROUP BY 1", "mean_area", "mean_edge")
-add("j13_annotate_points", lambda v: ms.annotate_points(v("fx_points").select("item_id", "point_id", "x", "y", "z"), measured(v).withColumnRenamed("by", "by_"), v("fx_surface_faces"), v("fx_segments").withColumn("curve_id", F.expr("seg_id div 7")), ms.surface_curves(*args(v), v("fx_curve_verts"), v("fx_curves")), 0.3))
+_PLACED = f"""(SELECT n.item_id, n.point_id, sf.surf_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id, point_id ORDER BY ROUND(distance, 12), fid) AS nth FROM {point_faces("tri.item_id = p.item_id", "p.item_id, p.point_id, tri.fid")}) n JOIN fx_surface_faces sf ON sf.item_id = n.item_id AND sf.fid = n.fid WHERE nth = 1)"""
+_ADJACENT = f"(SELECT DISTINCT s.item_id, s.surf_id, c.curve_id FROM fx_surface_faces s JOIN {_FV} f USING (item_id, fid) JOIN fx_curve_verts c USING (item_id, vid) JOIN fx_curves k USING (item_id, curve_id) WHERE k.sharp)"
+_ND = "SQRT((p.x - ax - t * (bx - ax)) ** 2 + (p.y - ay - t * (by_ - ay)) ** 2 + (p.z - az - t * (bz - az)) ** 2)"
+_NT = "GREATEST(LEAST(((p.x - ax) * (bx - ax) + (p.y - ay) * (by_ - ay) + (p.z - az) * (bz - az)) / ((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2), 1.0), 0.0)"
+add("j13_annotate_points", lambda v: ms.annotate_points(v("fx_points").select("item_id", "point_id", "x", "y", "z"), measured(v).withColumnRenamed("by", "by_"), v("fx_surface_faces"), v("fx_sharp_segments"), ms.surface_curves(*args(v), v("fx_curve_verts"), v("fx_curves")), 0.3),
+    f"""{_TRI}, placed AS MATERIALIZED {_PLACED}, near AS (SELECT p.item_id, p.point_id, l.surf_id, seg_id, {_ND} AS d FROM fx_points p JOIN placed l USING (item_id, point_id) JOIN {_ADJACENT} a ON a.item_id = l.item_id AND a.surf_id = l.surf_id,
+      LATERAL (SELECT *, {_NT} AS t FROM fx_sharp_segments g WHERE g.item_id = a.item_id AND g.curve_id = a.curve_id) s),
+    best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id, point_id, surf_id ORDER BY ROUND(d, 12), seg_id) AS nth FROM near) WHERE nth = 1)
+    SELECT item_id, point_id, surf_id, LEAST(COALESCE(d, 0.3), 0.3) AS distance, CASE WHEN d < 0.3 THEN seg_id END AS seg_id FROM placed LEFT JOIN best USING (item_id, point_id, surf_id)""", "distance")
 # graph
 _PAIRS = "(SELECT q.item_id, q.point_id AS a, p.point_id AS b FROM fx_points q JOIN fx_points p ON q.item_id = p.item_id AND q.point_id < p.point_id AND (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) <= 0.1234 * 0.1234)"
 pairs = lambda v: sp.radius_pairs(v("fx_points"), 0.1234, ["item_id"]).select("item_id", "a", "b")
@@ -100,15 +109,23 @@ add("g7_polyline_chains", lambda v: gr.polyline_chains(pairs(v)).groupBy("n_edge
     f"""WITH RECURSIVE e AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY a, b) AS k, a, b FROM {_PAIRS}), m AS (SELECT node FROM {_DEG} WHERE degree = 2), t AS (SELECT k, node FROM (SELECT k, a AS node FROM e UNION ALL SELECT k, b FROM e) JOIN m USING (node)),
     l AS MATERIALIZED (SELECT x.k AS s, y.k AS t FROM t x JOIN t y USING (node)), r AS (SELECT k AS node, k AS reach FROM e UNION SELECT r.node, l.t FROM r JOIN l ON l.s = r.reach),
     c AS (SELECT node, MIN(reach) AS low FROM r GROUP BY 1) SELECT n_edges, COUNT(*) AS n FROM (SELECT low, COUNT(*) AS n_edges FROM c GROUP BY 1) GROUP BY 1""")
-add("g4_bfs_patches", lambda v: gr.bfs_patches(pairs(v), v("fx_points").where("point_id % 97 = 0").select(F.col("point_id").alias("seed"), F.col("point_id").alias("node")), 12))
-_HOP = f"(WITH RECURSIVE e AS (SELECT a AS s, b AS t FROM {_PAIRS} UNION SELECT b, a FROM {_PAIRS}), r AS (SELECT point_id AS seed, point_id AS node, 0::BIGINT AS hop FROM fx_points WHERE point_id % 97 = 0 UNION SELECT r.seed, e.t, r.hop + 1 FROM r JOIN e ON e.s = r.node WHERE r.hop < 4) SELECT seed, node, MIN(hop) AS hop FROM r GROUP BY 1, 2)"
-add("g8_shortest_hops", lambda v: gr.frontier(pairs(v), v("fx_points").where("point_id % 97 = 0").select(F.col("point_id").alias("seed"), F.col("point_id").alias("node")), 4), f"SELECT seed, node, hop FROM {_HOP}")
-add("g10_split_segments", lambda v: gr.split_segments(v("fx_points").select(((F.col("point_id") / 10).cast("long") * 10).alias("seg_id"), "point_id", "x", "y", "z", "distance"), v("fx_segments").where("seg_id % 10 = 0").drop("item_id"), 0.05).groupBy("half").agg(F.count(F.lit(1)).alias("n")),
-    """WITH s AS (SELECT * FROM fx_segments WHERE seg_id % 10 = 0), t AS (SELECT s.seg_id, p.point_id, p.distance, p.x, p.y, p.z, ax, ay, az, bx, by_, bz, GREATEST(LEAST(((p.x - ax) * (bx - ax) + (p.y - ay) * (by_ - ay) + (p.z - az) * (bz - az)) / ((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2), 1.0), 0.0) AS t FROM s JOIN fx_points p ON (p.point_id // 10) * 10 = s.seg_id),
-    g AS (SELECT seg_id, MAX(ABS(SQRT((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by_ - ay)) ** 2 + (z - az - t * (bz - az)) ** 2) - distance)) AS gap FROM t WHERE t > 0 AND t < 1 GROUP BY 1), h AS (SELECT seg_id, COALESCE(gap, 0) >= 0.05 AS cut FROM s LEFT JOIN g USING (seg_id))
+seeds = lambda v: v("fx_points").where("point_id % 100 = 0").select(F.col("point_id").alias("seed"), F.col("point_id").alias("node"))
+#: Breadth-first levels; no shortest path of the fixtures is longer than the bound.
+_HOP = f"(WITH RECURSIVE e AS MATERIALIZED (SELECT a AS s, b AS t FROM {_PAIRS} UNION SELECT b, a FROM {_PAIRS}), r AS (SELECT point_id AS seed, point_id AS node, 0::BIGINT AS hop FROM fx_points WHERE point_id % 100 = 0 UNION SELECT r.seed, e.t, r.hop + 1 FROM r JOIN e ON e.s = r.node WHERE r.hop < 60) SELECT seed, node, MIN(hop) AS hop FROM r GROUP BY 1, 2)"
+add("g4_bfs_patches", lambda v: gr.bfs_patches(pairs(v), seeds(v), 12), f"SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY seed ORDER BY hop, node) AS nth FROM {_HOP}) WHERE nth <= 12")
+_WIDE = _PAIRS.replace("0.1234", "0.1803")
+#: From every hundredth point to the tenth of the points of its item, of which the graph reaches some only.
+targets = lambda v: v("fx_points").where("point_id % 100 = 0").select("item_id", F.col("point_id").alias("seed")).join(v("fx_points").where("point_id % 10 = 3").select("item_id", F.col("point_id").alias("target")), "item_id").select("seed", "target")
+add("g8_shortest_hops", lambda v: gr.shortest_paths(sp.radius_pairs(v("fx_points"), 0.1803, ["item_id"]).select("a", "b"), targets(v), 3),
+    f"""WITH RECURSIVE h AS MATERIALIZED {_HOP.replace("0.1234", "0.1803")}, e AS MATERIALIZED (SELECT a AS s, b AS t FROM {_WIDE} UNION SELECT b, a FROM {_WIDE}),
+    back AS MATERIALIZED (SELECT h.seed, h.node, h.hop, MIN(p.node) AS back FROM h LEFT JOIN e ON e.t = h.node LEFT JOIN h p ON p.seed = h.seed AND p.node = e.s AND p.hop = h.hop - 1 WHERE h.hop = 0 OR p.node IS NOT NULL GROUP BY 1, 2, 3),
+    path AS (SELECT b.seed, b.node AS target, b.node, b.hop, b.back FROM back b WHERE b.node % 10 = 3 UNION ALL SELECT path.seed, path.target, b.node, b.hop, b.back FROM path JOIN back b ON b.seed = path.seed AND b.node = path.back)
+    SELECT seed, target, node, hop FROM path WHERE hop % 3 = 0 OR node = target""")
+add("g10_split_segments", lambda v: (lambda near: gr.split_segments(near, v("fx_sharp_segments").select("seg_id", "ax", "ay", "az", "bx", "by_", "bz"), 0.1).groupBy("half").agg(F.count(F.lit(1)).alias("n")))(
+    sp.nearest_segment(v("fx_points"), v("fx_sharp_segments"), ["item_id"]).select("point_id", "seg_id").join(v("fx_points"), "point_id").select("seg_id", "point_id", "x", "y", "z", "distance")),
+    f"""WITH g AS (SELECT seg_id, MAX(ROUND(ABS(distance - own), 9)) AS gap FROM {NEAREST_SEGMENT} WHERE t > 1e-9 AND t < 1 - 1e-9 GROUP BY 1), h AS (SELECT seg_id, COALESCE(gap, 0) >= 0.1 AS cut FROM fx_sharp_segments LEFT JOIN g USING (seg_id))
     SELECT half, COUNT(*) AS n FROM (SELECT UNNEST(CASE WHEN cut THEN [1, 2] ELSE [0] END)::BIGINT AS half FROM h) GROUP BY 1""")
-add("g12_drop_small_components", lambda v: gr.drop_small_components(v("fx_segments").where("seg_id % 90 > 40"), 1e-9, 3.0, 3).select("item_id", "seg_id"),
-    """WITH o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY seg_id) AS pos, SQRT((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2) AS length FROM fx_segments), k AS (SELECT *, pos - ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY seg_id) AS island FROM o WHERE seg_id % 90 > 40)
-    SELECT item_id, seg_id FROM (SELECT *, SUM(length) OVER w AS total, COUNT(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY item_id, island)) WHERE NOT (total < 3.0 AND n <= 3)""")
+add("g12_drop_small_components", lambda v: gr.drop_small_components(v("fx_sharp_segments"), 1e-9, 2.5, 7).select("item_id", "seg_id"),
+    """SELECT item_id, seg_id FROM (SELECT *, SUM(SQRT((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2)) OVER w AS total, COUNT(*) OVER w AS n FROM fx_sharp_segments WINDOW w AS (PARTITION BY item_id, curve_id)) WHERE NOT (total < 2.5 AND n <= 7)""")
 add("g13_sample_segments", lambda v: gr.sample_segments(v("fx_segments"), 0.0603),
     "WITH s AS (SELECT *, FLOOR(SQRT((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2) / 0.0603)::BIGINT AS n FROM fx_segments), e AS (SELECT *, UNNEST(CASE WHEN n >= 2 THEN range(n) WHEN n = 1 THEN [0] ELSE [0, 1] END) AS pos FROM s), t AS (SELECT *, CASE WHEN n >= 2 THEN pos / (n - 1) ELSE pos END AS t FROM e) SELECT item_id, seg_id, pos::BIGINT AS pos, ax + t * (bx - ax) AS x, ay + t * (by_ - ay) AS y, az + t * (bz - az) AS z FROM t", "x", "y", "z")

@@ -8,10 +8,10 @@ from pointweave.operators import fusion as fu
 from pointweave.operators import mesh as ms
 from pointweave.operators import spatial as sp
 from pointweave.plans import pipelines as pl
-from pointweave.plans.geometry_queries import _M, measured
+from pointweave.plans.geometry_queries import _M, _TRI, measured
 from pointweave.plans.mesh_queries import _FV
 from pointweave.plans.registry import add
-from pointweave.plans.spatial_queries import EVEN, ODD, _nn, ev, od
+from pointweave.plans.spatial_queries import _D2, EVEN, ODD, PCA, _nn, ev, od, point_faces
 
 I = ["item_id"]  # noqa: E741
 XYZ = ("x", "y", "z")
@@ -64,8 +64,22 @@ def _local(v):
 add("a14_smooth_local_fit", _local, f"WITH nb AS (SELECT n.point_id AS id, other, b.x - a.x AS u, b.y - a.y AS w, b.distance AS value FROM {_nn(12)} n JOIN fx_points a ON a.point_id = n.point_id JOIN fx_points b ON b.point_id = other), f AS (SELECT * FROM {_fit('nb', 'id')} WHERE fit IS NOT NULL) SELECT other AS id, AVG(fit) AS value FROM nb JOIN f USING (id) GROUP BY 1", "value")
 add("g3_sphere_neighbourhood", lambda v: pl.sphere_neighbourhood(v("fx_points"), v("fx_faces"), (0.0, 0.0, 0.0), 0.2003),
     f"WITH i AS (SELECT item_id, point_id AS vid FROM fx_points WHERE x * x + y * y + z * z < 0.2003 * 0.2003), fv AS {_FV}, t AS (SELECT DISTINCT item_id, fid FROM fv JOIN i USING (item_id, vid)), u AS (SELECT DISTINCT item_id, vid FROM fv JOIN t USING (item_id, fid)) SELECT * FROM fx_faces WHERE (item_id, fid) IN (SELECT (item_id, fid) FROM fv JOIN u USING (item_id, vid) GROUP BY item_id, fid HAVING COUNT(*) = 3)")
-add("j23_match_meshes_to_clouds", lambda v: pl.match_meshes_to_clouds(v("fx_points").where("point_id % 7 = 0"), faces_xyz(v).where("fid % 3 = 0"), v("fx_points").select(F.col("item_id").alias("cloud"), F.explode(F.array(F.col("item_id"), (F.col("item_id") + 1) % 10)).alias("mesh")).distinct(), 0.5))
-add("g11_endpoint_candidates", lambda v: pl.endpoint_candidates(v("fx_points"), 0.2, 0.4))
+candidates = lambda v: v("fx_points").select(F.col("item_id").alias("cloud"), F.explode(F.array(F.col("item_id"), (F.col("item_id") + 1) % 10)).alias("mesh")).distinct()
+add("j23_match_meshes_to_clouds", lambda v: pl.match_meshes_to_clouds(v("fx_points"), faces_xyz(v), candidates(v), 0.5),
+    f"""{_TRI}, near AS (SELECT cloud, mesh, point_id, MIN(distance) AS d FROM {point_faces("tri.item_id = p.item_id OR tri.item_id = (p.item_id + 1) % 10", "p.item_id AS cloud, tri.item_id AS mesh, p.point_id")} GROUP BY 1, 2, 3)
+    SELECT cloud, mesh, worst, ROW_NUMBER() OVER (PARTITION BY cloud ORDER BY worst, mesh) AS rank FROM (SELECT cloud, mesh, MAX(ROUND(d * d, 9)) AS worst FROM near GROUP BY 1, 2) WHERE worst < 0.5 QUALIFY rank <= 5""", "worst")
+_ROW = [["xx - l", "xy", "xz"], ["xy", "yy - l", "yz"], ["xz", "yz", "zz - l"]]
+
+
+def _crossed(i: int, j: int) -> str:
+    a, b = _ROW[i], _ROW[j]
+    return ", ".join(f"({a[p]}) * ({b[q]}) - ({a[q]}) * ({b[p]}) AS c{i}{j}{n}" for n, (p, q) in zip("xyz", ((1, 2), (2, 0), (0, 1))))
+
+
+_AXIS = f"""(SELECT item_id, point_id, n, {", ".join(f"CASE WHEN s01 >= s02 AND s01 >= s12 THEN c01{n} WHEN s02 >= s12 THEN c02{n} ELSE c12{n} END AS e{n}" for n in "xyz")}, GREATEST(s01, s02, s12) AS size FROM (
+  SELECT *, {", ".join(f"c{k}x ** 2 + c{k}y ** 2 + c{k}z ** 2 AS s{k}" for k in ("01", "02", "12"))} FROM (SELECT *, {_crossed(0, 1)}, {_crossed(0, 2)}, {_crossed(1, 2)} FROM (SELECT *, r1 * (xx + yy + zz) AS l FROM {PCA}))))"""
+add("g11_endpoint_candidates", lambda v: pl.endpoint_candidates(v("fx_points"), 0.2, 0.4),
+    f"SELECT item_id, point_id, side FROM (SELECT q.item_id, q.point_id, ABS(AVG(SIGN((p.x - q.x) * ex + (p.y - q.y) * ey + (p.z - q.z) * ez))) AS side FROM fx_points q JOIN {_AXIS} a ON a.point_id = q.point_id AND n > 5 AND size > 0 JOIN fx_points p ON p.item_id = q.item_id AND {_D2} < 0.2 * 0.2 GROUP BY 1, 2) WHERE side > 0.4", "side")
 _CLU = "(SELECT point_id, item_id, x, y, z, CASE WHEN distance > 0.1003 THEN 'corner' ELSE 'curve' END AS kind FROM fx_points)"
 _CP = f"(SELECT q.point_id AS a, p.point_id AS b FROM {_CLU} q JOIN {_CLU} p ON q.item_id = p.item_id AND q.kind = p.kind AND q.point_id < p.point_id AND (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) <= 0.1234 * 0.1234)"
 add("g15_corner_curve_segmentation", lambda v: pl.corner_curve_segmentation(v("fx_points"), F.col("distance"), 0.1003, 0.1234),
@@ -73,31 +87,42 @@ add("g15_corner_curve_segmentation", lambda v: pl.corner_curve_segmentation(v("f
 
 
 def _prune(v):
-    near = sp.radius_join(v("fx_points").select("point_id", *XYZ), v("fx_points").select(F.expr("point_id div 5").alias("prim"), *XYZ), 0.2)
-    distances = near.groupBy("point_id", F.col("p_prim").alias("prim")).agg(F.min(F.sqrt("d2")).alias("d")).where("point_id div 5 <> prim")
-    precision = v("fx_points").groupBy(F.expr("point_id div 5").alias("prim")).agg(F.sum((F.col("distance") < 0.05).cast("long")).alias("hits"), F.count(F.lit(1)).alias("n"))
-    return pl.prune_primitives(distances, precision, 0.1, rounds=3)
+    prim = F.expr("point_id div 5").alias("prim")
+    near = sp.radius_join(v("fx_points").select("item_id", "point_id", *XYZ), v("fx_points").select("item_id", prim, *XYZ), 0.3, I)
+    distances = near.groupBy("item_id", "point_id", F.col("p_prim").alias("prim")).agg(F.min(F.sqrt("d2")).alias("d")).where("point_id div 5 <> prim")
+    precision = v("fx_points").groupBy("item_id", prim).agg(F.sum((F.col("distance") < 0.05).cast("long")).alias("hits"), F.count(F.lit(1)).alias("n"))
+    return pl.prune_primitives(distances, precision, 0.15)
 
 
 add("g14_prune_primitives", _prune)
 
 
-def _annotated(v):
-    return (faces_xyz(v), v("fx_surface_faces"), v("fx_segments").withColumn("curve_id", F.expr("seg_id div 7")), ms.surface_curves(v("fx_faces"), v("fx_surface_faces"), v("fx_curve_verts"), v("fx_curves")))
+def _shape(v):
+    return pl.Shape(faces_xyz(v), v("fx_surface_faces"), v("fx_sharp_segments"), v("fx_curve_verts"), v("fx_curves"))
 
 
 _ONE = [1.0, 0.0, 0.0, 0.01, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
-few = lambda v: v("fx_points").where("item_id < 4").select("item_id", "point_id", *XYZ)
-add("l3_annotate_scan_points", lambda v: pl.annotate_scan_points(few(v), _ONE, *_annotated(v), 0.3, 0.05))
-add("l4_annotate_scan_views", lambda v: pl.annotate_scan_views(few(v).withColumn("z", F.col("z") + 2), v("fx_points"), 1.0, 0.02, 0.02, 32, 32),
-    "WITH h AS (SELECT item_id AS view_id, ROUND_EVEN(y / (z + 2) / 0.02 + 16, 0)::BIGINT AS pr, ROUND_EVEN(x / (z + 2) / 0.02 + 16, 0)::BIGINT AS pc, z + 2 AS depth, point_id, distance FROM fx_points WHERE item_id < 4) SELECT view_id, pr, pc, depth, point_id, distance FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY view_id, pr, pc ORDER BY depth, point_id) AS n FROM h WHERE pr > 0 AND pr < 32 AND pc > 0 AND pc < 32) WHERE n = 1", "depth", "distance")
-add("l7_repair_patches", lambda v: pl.repair_patches(v("fx_points"), v("fx_points").where("point_id % 3 = 0").select("item_id", "point_id", (F.col("distance") / 2).alias("distance"))), "SELECT item_id, point_id, x, y, z, CASE WHEN point_id % 3 = 0 THEN distance / 2 ELSE distance END AS distance FROM fx_points", "x", "y", "z", "distance")
+cloud = lambda v: v("fx_points").select("item_id", "point_id", *XYZ)
+add("l3_annotate_scan_points", lambda v: pl.annotate_scan_points(cloud(v), _ONE, _shape(v), 0.3, 0.05, 3, 20, 0.1567))
+add("l4_annotate_scan_views", lambda v: pl.annotate_scan_views(cloud(v).withColumn("z", F.col("z") + 2), [*_ONE[:11], -2.0, *_ONE[12:]], _shape(v), 0.3, 0.05, 1.0, 0.02, 0.02, 32, 32))
+add("l7_repair_patches", lambda v: pl.repair_patches(v("fx_votes").select("patch_id", F.col("global_idx").alias("point_id"), "value").distinct().groupBy("patch_id", "point_id").agg(F.min("value").alias("distance")).join(cloud(v), "point_id").withColumn("patch_id", F.expr("item_id * 16 + patch_id")), _shape(v), 0.3, 0.05))
 add("l8_mesh_patches", lambda v: pl.mesh_patches(v("fx_faces"), v("fx_faces").select("item_id", F.expr("fid div 10").alias("patch_id"), "fid"), v("fx_curve_verts")).withColumn("vert_indices", F.array_join(F.transform("vert_indices", lambda x: x.cast("string")), ",")),
     f"WITH d AS (SELECT item_id, patch_id, vid, ROW_NUMBER() OVER (PARTITION BY item_id, patch_id ORDER BY vid) - 1 AS k FROM (SELECT DISTINCT item_id, fid // 10 AS patch_id, vid FROM {_FV})) SELECT item_id, patch_id, curve_id, string_agg(k::VARCHAR, ',' ORDER BY k) AS vert_indices FROM d JOIN fx_curve_verts USING (item_id, vid) GROUP BY 1, 2, 3")
-add("l9_extract_wireframe", lambda v: pl.extract_wireframe(v("fx_points"), 0.2, 0.02, 0.2, 0.5))
-add("l10_align_scans", lambda v: pl.align_scans(v("fx_points").drop("distance"), v("fx_points").where("item_id % 2 = 0").select("item_id").distinct().withColumn("m", F.array(*(F.lit(float(x)) for x in _M))), _ONE), "SELECT item_id, point_id, -y + 0.51 AS x, x - 0.25 AS y, z + 2 AS z FROM fx_points WHERE item_id % 2 = 0", "x", "y", "z")
+add("l9_extract_wireframe", lambda v: pl.extract_wireframe(v("fx_points"), 0.2, 0.02, 0.25, 6, [0.2, 1.0, 5.0], 0.5, 0.3, 0.05))
+
+def _aligned(v):
+    scans = v("fx_points").where("item_id % 2 = 0").select("item_id").distinct().withColumn("m", F.array(*(F.lit(float(x)) for x in _M)))
+    cameras = scans.select("item_id", F.lit(2.0).alias("focal"), (F.col("item_id") * 0.5).alias("cx"))
+    scales = ms.scale_factor(ms.curve_extents(v("fx_curve_verts"), v("fx_points").withColumnRenamed("point_id", "vid"), v("fx_curves")), v("fx_points"), 10.0, 0.02, 0.05, 8)
+    return pl.align_scans(v("fx_points").drop("distance"), scans, _ONE, cameras, scales).drop("scale")
+
+
+_SCALED = "(SELECT item_id, first * 0.02 * 8 / QUANTILE_CONT(extent * first, 0.05) AS scale FROM (SELECT item_id, curve_id, GREATEST(MAX(x) - MIN(x), MAX(y) - MIN(y), MAX(z) - MIN(z)) + 1e-8 AS extent FROM fx_curve_verts c JOIN fx_curves k USING (item_id, curve_id) JOIN (SELECT item_id, point_id AS vid, x, y, z FROM fx_points) p USING (item_id, vid) WHERE k.sharp GROUP BY 1, 2) JOIN (SELECT item_id, 10.0 / GREATEST(MAX(x) - MIN(x), MAX(y) - MIN(y), MAX(z) - MIN(z)) AS first FROM fx_points GROUP BY 1) USING (item_id) GROUP BY item_id, first)"
+add("l10_align_scans", _aligned, f"SELECT item_id, point_id, (-y + 0.51) / scale AS x, (x - 0.25) / scale AS y, (z + 2) / scale AS z, 2.0::DOUBLE AS focal, item_id * 0.5 AS cx FROM fx_points JOIN {_SCALED} USING (item_id) WHERE item_id % 2 = 0", "x", "y", "z", "cx")
 add("l11_consistent_whole_labels", lambda v: (lambda x: pl.consistent_whole_labels(x.select("item_id", "patch_id", "global_idx"), x, 0.75).select("item_id", "patch_id", "global_idx", "value", "fused"))(v("fx_votes").groupBy("item_id", "patch_id", "global_idx").agg(F.min("value").alias("value"))),
     "SELECT item_id, patch_id, global_idx, value, LEAST(MIN(value) OVER (PARTITION BY item_id, global_idx), 0.75) AS fused FROM (SELECT item_id, patch_id, global_idx, MIN(value) AS value FROM fx_votes GROUP BY 1, 2, 3)", "value", "fused")
-add("l12_mesh_vertex_patches", lambda v: pl.mesh_vertex_patches(v("fx_faces"), v("fx_points"), v("fx_points").where("point_id % 50 = 0").select(F.col("point_id").alias("seed"), F.col("point_id").alias("node")), v("fx_points").where("point_id % 211 = 3").select(F.col("point_id").alias("vid")), 15, 5))
+# from the fourth vertex of every curve that is not sharp
+vertex_seeds = lambda v: v("fx_curve_verts").join(v("fx_curves").where("not sharp"), ["item_id", "curve_id"]).groupBy("item_id", "curve_id").agg(F.get(F.array_sort(F.collect_list("vid")), F.lit(3)).alias("seed")).where("seed is not null").select("seed", F.col("seed").alias("node"))
+add("l12_mesh_vertex_patches", lambda v: pl.mesh_vertex_patches(_shape(v), v("fx_points").withColumnRenamed("point_id", "vid"), vertex_seeds(v), 5))
 add("a11_bilinear_fit", lambda v: fu.least_squares_fit(v("fx_votes").withColumns({"u": F.col("px") - 25.0, "w": F.col("py") - 4.0}), ["item_id", "patch_id"], "u", "w", "value").select("item_id", "patch_id", "distance", F.col("n").cast("long").alias("n")),
     f"SELECT item_id, patch_id, fit AS distance, k AS n FROM {_fit('(SELECT item_id, patch_id, px - 25 AS u, py - 4 AS w, value FROM fx_votes)', 'item_id, patch_id')}", "distance")

@@ -96,30 +96,35 @@ def endpoint_candidates(points: DataFrame, radius: float, threshold: float, by:
     return pairs.groupBy(*by, key).agg(F.abs(F.avg(side)).alias("side")).where(F.col("side") > threshold)
 
 
-def prune_primitives(distances: DataFrame, precision: DataFrame, threshold: float, beta: float = 0.5, rounds: int = 10) -> DataFrame:
-    """Primitives left after greedily removing the one whose removal raises F-beta most.
+def prune_primitives(distances: DataFrame, precision: DataFrame, threshold: float, beta: float = 0.5, by: Sequence[str] = (ITEM,)) -> DataFrame:
+    """Primitives left after greedily removing the one whose removal raises its shape's F-beta most, until none does.
 
-    distances: point_id, prim, d (nearest distance of a point to each primitive
-    near it); precision: prim, hits, n (samples of a primitive near the cloud,
-    and all).  A round is one grouped aggregation; the driver sees one row.
+    distances: by, point_id, prim, d (distance of a point to each primitive
+    near it); precision: by, prim, hits, n (samples of a primitive near the
+    cloud, and all).  A round removes a primitive of every shape that gains by
+    it; the driver sees whether any did.
     """
-    total = distances.select("point_id").distinct().count()
-    b2 = beta * beta
-    gone: list[int] = []
-    for _ in range(rounds):
-        left = distances.where(~F.col("prim").isin(gone)) if gone else distances
-        own = precision.where(~F.col("prim").isin(gone)) if gone else precision
-        w = Window.partitionBy("point_id").orderBy("d", "prim")
-        two = left.withColumn("nth", F.row_number().over(w)).groupBy("point_id").agg(F.min(F.when(F.col("nth") == 1, F.col("d"))).alias("d1"), F.min(F.when(F.col("nth") == 1, F.col("prim"))).alias("prim"), F.min(F.when(F.col("nth") == 2, F.col("d"))).alias("d2"))
-        lost = two.where((F.col("d1") < threshold) & (F.coalesce("d2", F.lit(float("inf"))) >= threshold)).groupBy("prim").agg(F.count(F.lit(1)).alias("lost"))
-        sums = own.agg(F.sum("hits").alias("h"), F.sum("n").alias("m")).join(F.broadcast(two.agg(F.sum((F.col("d1") < threshold).cast("long")).alias("r"))))
-        score = lambda h, m, r: F.coalesce((1 + b2) * (h / m) * (r / total) / F.nullif(b2 * (h / m) + r / total, F.lit(0.0)), F.lit(0.0))
-        each = own.join(lost, "prim", "left").join(F.broadcast(sums)).select("prim", score(F.col("h"), F.col("m"), F.col("r")).alias("now"), score(F.col("h") - F.col("hits"), F.nullif(F.col("m") - F.col("n"), F.lit(0)), F.col("r") - F.coalesce("lost", F.lit(0))).alias("without"))
-        best = each.orderBy(F.col("without").desc(), "prim").first()
-        if best is None or not best["without"] > best["now"] + 1e-12:
-            break
-        gone.append(best["prim"])
-    return precision.where(~F.col("prim").isin(gone)).select("prim") if gone else precision.select("prim")
+    b2, names = beta * beta, list(by)
+    distances, left = durable(distances.select(*by, "point_id", "prim", "d"), "prune"), durable(precision.select(*by, "prim", "hits", "n"), "prune")
+    total = durable(distances.select(*by, "point_id").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("total")), "prune")
+    score = lambda h, m, r: F.coalesce((1 + b2) * (h / m) * (r / F.col("total")) / F.nullif(b2 * (h / m) + r / F.col("total"), F.lit(0.0)), F.lit(0.0))
+    w = Window.partitionBy(*by, "point_id").orderBy("d", "prim")
+    while True:
+        ranked = distances.withColumn("nth", F.row_number().over(w)).where("nth <= 2")
+        two = ranked.groupBy(*by, "point_id").agg(*(F.min(F.when(F.col("nth") == k, F.col("d"))).alias(f"d{k}") for k in (1, 2)), F.min(F.when(F.col("nth") == 1, F.col("prim"))).alias("prim"))
+        near = two.where(F.col("d1") < threshold)
+        lost = near.where(F.coalesce("d2", F.lit(float("inf"))) >= threshold).groupBy(*by, "prim").agg(F.count(F.lit(1)).alias("lost"))
+        sums = left.groupBy(*by).agg(F.sum("hits").alias("h"), F.sum("n").alias("m")).join(near.groupBy(*by).agg(F.count(F.lit(1)).alias("r")), names, "left").join(total, names).fillna(0, ["r"])
+        each = left.join(lost, [*names, "prim"], "left").join(sums, names)
+        now = score(F.col("h"), F.col("m"), F.col("r"))
+        without = score(F.col("h") - F.col("hits"), F.nullif(F.col("m") - F.col("n"), F.lit(0)), F.col("r") - F.coalesce("lost", F.lit(0)))
+        gain = F.round(without, 12)
+        best = each.withColumns({"gain": gain, "now": F.round(now, 12)}).where("gain > now").groupBy(*by).agg(F.min(F.struct((-F.col("gain")).alias("gain"), "prim")).alias("best"))
+        gone = durable(best.select(*by, F.col("best.prim").alias("prim")), "prune")
+        if gone.isEmpty():
+            return left.select(*by, "prim")
+        left = durable(left.join(gone, [*names, "prim"], "left_anti"), "prune")
+        distances = durable(distances.join(gone, [*names, "prim"], "left_anti"), "prune")
 
 
 def corner_curve_segmentation(points: DataFrame, cornerness: Column, level: float, radius: float, by: Sequence[str] = (ITEM,)) -> DataFrame:
@@ -130,27 +135,97 @@ def corner_curve_segmentation(points: DataFrame, cornerness: Column, level: floa
     return split.select("kind", F.col("point_id").alias("node")).join(labels, "node")
 
 
-def annotate_scan_points(points: DataFrame, matrix: Sequence[float], faces_xyz: DataFrame, surface_faces: DataFrame, segments: DataFrame, surface_curve: DataFrame, most: float, far: float) -> DataFrame:
-    """Scan points moved into the mesh's frame, those far from it dropped, the rest labelled."""
+class Shape:
+    """The tables of annotated meshes that labels come from.
+
+    faces: item_id, fid, v0, v1, v2 and corner coordinates; surface_faces:
+    item_id, surf_id, fid; segments: item_id, curve_id, seg_id, va, vb (end
+    vertices) and end points; curve_verts: item_id, curve_id, vid; curves:
+    item_id, curve_id, type, sharp.
+    """
+
+    def __init__(self, faces: DataFrame, surface_faces: DataFrame, segments: DataFrame, curve_verts: DataFrame, curves: DataFrame) -> None:
+        self.faces, self.surface_faces, self.segments, self.curve_verts, self.curves = faces, surface_faces, segments, curve_verts, curves
+
+
+def on_mesh(points: DataFrame, shape: Shape, far: float) -> DataFrame:
+    """Points nearer than ``far`` to their mesh, with the face they lie on."""
+    near = sp.nearest_face(points.select(ITEM, "point_id", "x", "y", "z").distinct(), shape.faces, [ITEM]).where(F.col("distance") < far).select(ITEM, "point_id", "fid")
+    return durable(points.join(near, [ITEM, "point_id"]), "on_mesh")
+
+
+def label_patches(members: DataFrame, shape: Shape, most: float, how: str = "edges") -> DataFrame:
+    """Labels of the points of each patch: patch_id, point_id, distance, seg_id, and the patch's flag ``jump``.
+
+    members: item_id, patch_id, point_id, fid, x, y, z; a patch_id belongs to one item.  A patch sees the whole
+    surfaces that its points lie on, their sharp curves clipped to that
+    submesh, without boundary features (``how``).  Each point takes the
+    distance to the nearest segment of the curves at its surface, cut at
+    ``most``.  ``jump`` tells a patch in which a label and that of the nearest
+    neighbour differ by over 1.1 times their distance.
+    """
+    # every patch is a small mesh of its own: its id takes the item's place
+    own = durable(members.select(ITEM, "patch_id", "point_id", "fid", "x", "y", "z"), "members")
+    hits = own.select(ITEM, "patch_id", "fid").distinct()
+    touched = hits.join(shape.surface_faces, [ITEM, "fid"]).select(ITEM, "patch_id", "surf_id").distinct()
+    parts = durable(touched.join(shape.surface_faces, [ITEM, "surf_id"]).select(ITEM, "patch_id", "surf_id", "fid"), "members")
+    named = F.col("patch_id").alias(ITEM)
+    moved = lambda df: df.drop(ITEM).withColumnRenamed("patch_id", ITEM)
+    surface_faces = moved(parts)
+    faces = durable(moved(shape.faces.join(parts.select(ITEM, "patch_id", "fid").distinct(), [ITEM, "fid"])), "members")
+    verts = parts.join(ms.face_vertices(shape.faces), [ITEM, "fid"]).select(ITEM, "patch_id", "vid").distinct()
+    clipped = durable(verts.join(shape.curve_verts, [ITEM, "vid"]).select(ITEM, "patch_id", "curve_id", "vid"), "members")
+    curve_verts = durable(ms.drop_boundary_features(moved(clipped), faces, how), "members")
+    held = clipped.select(ITEM, "patch_id", "curve_id").distinct()
+    curves = moved(held.join(shape.curves, [ITEM, "curve_id"]))
+    end = lambda v: curve_verts.select(ITEM, "curve_id", F.col("vid").alias(v))
+    segments = moved(held.join(shape.segments, [ITEM, "curve_id"])).join(end("va"), [ITEM, "curve_id", "va"], "left_semi").join(end("vb"), [ITEM, "curve_id", "vb"], "left_semi")
+    points = own.select(named, "point_id", "x", "y", "z")
+    labels = durable(ms.annotate_points(points, faces, surface_faces, segments, ms.surface_curves(faces, surface_faces, curve_verts, curves), most), "labels")
+    return labels.join(discontinuous(points, labels), ITEM, "left").select(F.col(ITEM).alias("patch_id"), "point_id", "distance", "seg_id", F.coalesce("jump", F.lit(False)).alias("jump"))
+
+
+def discontinuous(points: DataFrame, labels: DataFrame, factor: float = 1.1) -> DataFrame:
+    """Groups with a label that differs from its nearest neighbour's by over ``factor`` times their distance."""
+    near = sp.knn(points, points, 2, [ITEM]).where("rank = 2")
+    one, two = labels.select(ITEM, "point_id", F.col("distance").alias("di")), labels.select(ITEM, F.col("point_id").alias("other"), F.col("distance").alias("dj"))
+    return near.join(one, [ITEM, "point_id"]).join(two, [ITEM, "other"]).groupBy(ITEM).agg(F.bool_or(F.abs(F.col("di") - F.col("dj")) > factor * F.sqrt("d2")).alias("jump"))
+
+
+def annotate_scan_points(points: DataFrame, matrix: Sequence[float], shape: Shape, most: float, far: float, patches: int, size: int, radius: float) -> DataFrame:
+    """Scan points in the mesh's frame, without those far from it, cut into patches that are labelled and flagged.
+
+    ``patches`` seeds a shape are spread by farthest-point sampling; each grows
+    breadth-first over the radius graph to ``size`` points.
+    """
     moved = points.withColumns(dict(zip("xyz", ge.transform_point(matrix, ("x", "y", "z")))))
-    near = sp.nearest_face(moved, faces_xyz, [ITEM]).where(F.col("distance") < far).select(ITEM, "point_id")
-    kept = durable(moved.join(near, [ITEM, "point_id"], "left_semi"), "scan")
-    return ms.annotate_points(kept, faces_xyz, surface_faces, segments, surface_curve, most)
+    kept = on_mesh(moved, shape, far)
+    links = durable(sp.radius_pairs(kept, radius, [ITEM]).select("a", "b"), "links")
+    seeds = sp.farthest_points(kept, patches, [ITEM]).select(F.col("point_id").alias("seed"), F.col("point_id").alias("node"))
+    grown = gr.bfs_patches(links, seeds, size).select(F.col("seed").alias("patch_id"), F.col("node").alias("point_id"))
+    return label_patches(grown.join(kept, "point_id"), shape, most)
+
 
+def annotate_scan_views(points: DataFrame, matrix: Sequence[float], shape: Shape, most: float, far: float, focal: float, sx: float, sy: float, width: int, height: int) -> DataFrame:
+    """Scan points labelled in the mesh's frame, projected into their view's image and z-buffered.
 
-def annotate_scan_views(points: DataFrame, labels: DataFrame, focal: float, sx: float, sy: float, width: int, height: int) -> DataFrame:
-    """Labelled points projected into an image and z-buffered: the label of the nearest point of each pixel."""
+    A pixel keeps its nearest point: view_id, pr, pc, depth, point_id, distance.
+    """
+    moved = points.withColumns(dict(zip("xyz", ge.transform_point(matrix, ("x", "y", "z")))))
+    kept = on_mesh(moved, shape, far)
+    labels = label_patches(kept.withColumn("patch_id", F.col(ITEM)), shape, most, "none").select(F.col("patch_id").alias(ITEM), "point_id", "distance")
     u, v, z = ge.project(focal, [F.col("x"), F.col("y"), F.col("z")])
     row, col, inside = ge.to_pixel(u, v, sx, sy, width, height)
-    hits = points.join(labels.select(ITEM, "point_id", "distance"), [ITEM, "point_id"]).withColumns({"pr": row, "pc": col, "inside": inside, "depth": z}).where("inside")
+    hits = points.join(labels, [ITEM, "point_id"]).withColumns({"pr": row, "pc": col, "inside": inside, "depth": z}).where("inside")
     from pointweave.operators.raster import z_buffer
 
     return z_buffer(hits.select(F.col(ITEM).alias("view_id"), "pr", "pc", "depth", "point_id", "distance"), tie="point_id")
 
 
-def repair_patches(stored: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stored points with recomputed labels; all other columns kept."""
-    return tb.apply_fixes(stored, labels, [ITEM, "point_id"], ["distance"])
+def repair_patches(stored: DataFrame, shape: Shape, most: float, far: float, how: str = "edges") -> DataFrame:
+    """Stored patch points with recomputed labels; all other columns kept, and the labels of points off the mesh."""
+    labels = label_patches(on_mesh(stored.select(ITEM, "patch_id", "point_id", "x", "y", "z"), shape, far), shape, most, how)
+    return tb.apply_fixes(stored, labels.select("patch_id", "point_id", "distance"), ["patch_id", "point_id"], ["distance"])
 
 
 def mesh_patches(faces: DataFrame, patch_faces: DataFrame, curve_verts: DataFrame) -> DataFrame:
@@ -163,15 +238,18 @@ def mesh_patches(faces: DataFrame, patch_faces: DataFrame, curve_verts: DataFram
     return dense.join(curve_verts, [ITEM, "vid"]).groupBy(ITEM, "patch_id", "curve_id").agg(F.array_sort(F.collect_list("dense")).alias("vert_indices"))
 
 
-def align_scans(points: DataFrame, alignments: DataFrame, board: Sequence[float]) -> DataFrame:
+def align_scans(points: DataFrame, alignments: DataFrame, board: Sequence[float], intrinsics: DataFrame | None = None, scales: DataFrame | None = None) -> DataFrame:
     """Points through their scan's alignment and the board's frame; scans without an alignment are dropped.
 
-    alignments: item_id, m (16 doubles).
+    alignments: item_id, m (16 doubles); intrinsics: item_id and the camera's
+    columns; scales: item_id, scale, by which the placed points are divided.
     """
     m = [F.element_at("m", i + 1) for i in range(16)]
     chain = ge.matmul4(board, m)
-    placed = points.join(alignments, ITEM)
-    return placed.withColumns(dict(zip("xyz", ge.transform_point(chain, ("x", "y", "z"))))).drop("m")
+    placed = points.join(alignments, ITEM).withColumns(dict(zip("xyz", ge.transform_point(chain, ("x", "y", "z"))))).drop("m")
+    if scales is not None:
+        placed = placed.join(scales.select(ITEM, "scale"), ITEM).withColumns({c: F.col(c) / F.col("scale") for c in "xyz"})
+    return placed if intrinsics is None else placed.join(intrinsics, ITEM)
 
 
 def consistent_whole_labels(crops: DataFrame, labels: DataFrame, cap: float) -> DataFrame:
@@ -183,17 +261,59 @@ def consistent_whole_labels(crops: DataFrame, labels: DataFrame, cap: float) ->
     return fu.push_back(own, fu.combine_ground_truth(own, cap))
 
 
-def mesh_vertex_patches(faces: DataFrame, vertices: DataFrame, seeds: DataFrame, short: DataFrame, size: int, hops: int) -> DataFrame:
-    """Vertex patches grown over mesh edges, without those that touch ``short`` vertices; centred and scaled."""
-    grown = gr.bfs_patches(ms.edges(faces).select("a", "b"), seeds, size, hops)
-    bad = grown.join(short.select(F.col("vid").alias("node")), "node", "left_semi").select("seed").distinct()
-    placed = grown.join(bad, "seed", "left_anti").join(vertices.select(F.col("point_id").alias("node"), "x", "y", "z"), "node")
+def mesh_vertex_patches(shape: Shape, vertices: DataFrame, seeds: DataFrame, size: int, short: int = 5, most_sharp: float = 0.6) -> DataFrame:
+    """Vertex patches grown over mesh edges, their sharp vertices labelled, centred and scaled.
+
+    Patches that touch a curve of under ``short`` vertices, or a surface of
+    whose vertices more than ``most_sharp`` are sharp, are dropped.  seeds:
+    seed, node; vertices: item_id, vid, x, y, z.
+    """
+    sharp = shape.curve_verts.join(shape.curves.where("sharp").select(ITEM, "curve_id"), [ITEM, "curve_id"]).select(ITEM, "vid").distinct().withColumn("sharp", F.lit(True))
+    brief = shape.curve_verts.groupBy(ITEM, "curve_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < short)
+    verts = ms.surface_vertices(shape.faces, shape.surface_faces).join(sharp, [ITEM, "vid"], "left").withColumn("sharp", F.coalesce("sharp", F.lit(False)))
+    edgy = verts.groupBy(ITEM, "surf_id").agg(F.avg(F.col("sharp").cast("double")).alias("share")).where(F.col("share") > most_sharp)
+    bad = shape.curve_verts.join(brief, [ITEM, "curve_id"], "left_semi").select("vid").unionAll(verts.join(edgy, [ITEM, "surf_id"], "left_semi").select("vid")).distinct()
+    grown = durable(gr.bfs_patches(ms.edges(shape.faces).select("a", "b"), seeds, size), "patches")
+    dropped = grown.join(bad.withColumnRenamed("vid", "node"), "node", "left_semi").select("seed").distinct()
+    placed = grown.join(dropped, "seed", "left_anti").join(vertices.select(ITEM, F.col("vid").alias("node"), "x", "y", "z"), "node")
+    placed = placed.join(sharp.withColumnRenamed("vid", "node"), [ITEM, "node"], "left").withColumn("sharp", F.coalesce("sharp", F.lit(False)))
     return ge.normalize_max(ge.center(placed, ["seed"], ("x", "y", "z")), ["seed"], ("x", "y", "z"))
 
 
-def extract_wireframe(points: DataFrame, near: float, spacing: float, radius: float, level: float) -> DataFrame:
-    """Near-feature points thinned, split into corners and curves and clustered; chains of the radius graph by size."""
-    kept = durable(sp.thin(points.where(F.col("distance") < near), spacing, [ITEM], 5), "feature")
-    clusters = corner_curve_segmentation(kept, F.col("distance") / near, level, radius)
-    sizes = clusters.groupBy("kind", "component").agg(F.count(F.lit(1)).alias("n_points"))
-    return sizes.groupBy("kind").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n_points").alias("n_points"))
+def extract_wireframe(points: DataFrame, near: float, spacing: float, radius: float, k: int, thresholds: Sequence[float], level: float, snap: float, split: float, rounds: int = 3) -> DataFrame:
+    """Corners and curves of a distance field as straight pieces: item_id, curve, seg_id, end points.
+
+    Points near features are thinned and their values averaged over neighbours;
+    where values vary most under the ``thresholds`` they are corners.  Corner and
+    curve points are clustered apart by the radius graph.  The two most
+    distant members of a curve cluster end its first piece, moved to the
+    nearest corner within ``snap``; pieces are split at the point whose distance
+    to them differs most from its own value, ``rounds`` times at most.
+    """
+    kept = durable(sp.thin(points.where(F.col("distance") < near), spacing, [ITEM], 5), "wire")
+    around = durable(sp.knn(kept, kept, k, [ITEM]), "wire")
+    smooth = durable(sp.knn_mean(around, kept, "distance", [ITEM]), "wire")
+    corner = sp.corner_probability(sp.variance_dynamics(smooth, around.where("rank > 1"), [ITEM], "distance"), thresholds, [ITEM])
+    field = kept.drop("distance").join(smooth, [ITEM, "point_id"]).join(corner, [ITEM, "point_id"], "left").fillna(0.0, ["corner"])
+    field = durable(field.select(ITEM, "point_id", "x", "y", "z", "distance", "corner"), "wire")
+    clusters = durable(corner_curve_segmentation(field, F.col("corner"), level, radius).select("kind", "component", F.col("node").alias("point_id")), "wire")
+    placed = durable(clusters.join(field, "point_id"), "wire")
+    centres = placed.where("kind = 'corner'").groupBy(ITEM, "component").agg(*(F.percentile(c, 0.5).alias(c) for c in "xyz"))
+    curve = placed.where("kind = 'curve'").select(ITEM, F.col("component").alias("curve"), "point_id", "x", "y", "z", "distance")
+    ends = sp.farthest_pair(curve, [ITEM, "curve"])
+    at = curve.select(ITEM, "curve", "point_id", "x", "y", "z")
+    tips = ends.select(ITEM, "curve", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("point_id")), F.struct(F.lit(1).alias("side"), F.col("b").alias("point_id")))).alias("e")).select(ITEM, "curve", "e.*")
+    tips = durable(tips.join(at, [ITEM, "curve", "point_id"]), "wire")
+    meet = sp.radius_join(tips, centres, snap, [ITEM]).groupBy(ITEM, "curve", "side").agg(F.min(F.struct("d2", "p_component", "p_x", "p_y", "p_z")).alias("to"))
+    tips = tips.join(meet, [ITEM, "curve", "side"], "left").select(ITEM, "curve", "side", *(F.coalesce(f"to.p_{c}", c).alias(c) for c in "xyz"))
+    side = lambda n, names: tips.where(F.col("side") == n).select(ITEM, "curve", *(F.col(c).alias(o) for c, o in zip("xyz", names)))
+    pieces = durable(side(0, ("ax", "ay", "az")).join(side(1, ("bx", "by_", "bz")), [ITEM, "curve"]).withColumn("seg_id", F.xxhash64(ITEM, "curve")), "wire")
+    for _ in range(rounds):
+        matched = sp.nearest_segment(curve, pieces, [ITEM, "curve"]).select("point_id", "seg_id").join(curve, "point_id")
+        halves = gr.split_segments(matched.select("seg_id", "point_id", "x", "y", "z", "distance"), pieces.select("seg_id", "ax", "ay", "az", "bx", "by_", "bz"), split)
+        halves = durable(halves.join(pieces.select(ITEM, "curve", "seg_id"), "seg_id").withColumn("seg_id", F.when(F.col("half") == 0, F.col("seg_id")).otherwise(F.xxhash64("seg_id", "half"))), "wire")
+        done = halves.where("half > 0").isEmpty()
+        pieces = halves.drop("half")
+        if done:
+            break
+    return pieces.select(ITEM, "curve", "seg_id", "ax", "ay", "az", "bx", "by_", "bz")

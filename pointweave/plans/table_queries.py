@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from pointweave.operators import tables as tb
 from pointweave.plans.registry import add
+from pointweave.sources import tables as so
 
-add("s1_read_table", lambda v: v("orders").select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders", "o_totalprice")
+add("s1_read_table", lambda v: so.through(v("orders"), "orders", lambda d, p: d.write.parquet(p), lambda p: so.read_table(v("orders").sparkSession, p, ["o_orderkey", "o_totalprice"], v("orders").schema)), "SELECT o_orderkey, o_totalprice FROM orders", "o_totalprice")
 add(
     "s3_join_modalities",
     lambda v: tb.join_modalities({"doc": v("documents").select("doc_id", "lang", "n_chars"), "label": v("labels"), "vec": v("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cls"))}, "doc_id"),
@@ -65,9 +66,9 @@ add("w3_global_index", lambda v: tb.global_index(v("fx_pixels").select("view_id"
 add("w4_reindex_dense", lambda v: tb.reindex_dense(v("fx_faces").select("item_id", "fid", "v0"), ["item_id"], "v0"), "SELECT item_id, fid, v0, DENSE_RANK() OVER (PARTITION BY item_id ORDER BY v0) - 1 AS dense FROM fx_faces")
 add(
     "w5_locate_in_shards",
-    lambda v: tb.locate_in_shards(v("orders").where("o_orderkey % 50 = 0").select(F.expr("o_orderkey div 3").alias("ordinal")).distinct(), v("fx_shards").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))),
+    lambda v: tb.locate_in_shards(v("orders").select(F.expr("o_orderkey div 3").alias("ordinal")).distinct(), v("fx_shards").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))),
     """WITH s AS (SELECT shard, n, COALESCE(SUM(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT shard, COUNT(*) AS n FROM fx_shards GROUP BY 1))
-    SELECT ordinal, shard, ordinal - start AS place FROM (SELECT DISTINCT o_orderkey // 3 AS ordinal FROM orders WHERE o_orderkey % 50 = 0) o JOIN s ON ordinal >= start AND ordinal < start + n""",
+    SELECT ordinal, shard, ordinal - start AS place FROM (SELECT DISTINCT o_orderkey // 3 AS ordinal FROM orders) o JOIN s ON ordinal >= start AND ordinal < start + n""",
 )
 add(
     "w6_best_worst_typical",

@@ -48,6 +48,18 @@ VIEWS = {
     "fx_surfaces": """
         SELECT DISTINCT item_id, surf_id, CASE surf_id % 3 WHEN 0 THEN 'Plane' WHEN 1 THEN 'Cylinder' ELSE 'BSpline' END AS type
         FROM fx_surface_faces""",
+    "fx_sharp_segments": """
+        SELECT s.item_id, c.curve_id, s.seg_id, k.point_id AS va, k.next_id AS vb, s.ax, s.ay, s.az, s.bx, s.by_, s.bz
+        FROM fx_segments s
+        JOIN (SELECT item_id, point_id, LEAD(point_id) OVER (PARTITION BY item_id ORDER BY point_id) AS next_id, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY point_id) - 1) / 7) AS BIGINT) AS curve_id FROM fx_points) k
+          ON k.item_id = s.item_id AND k.point_id = s.seg_id
+        JOIN fx_curves c ON c.item_id = k.item_id AND c.curve_id = k.curve_id
+        WHERE c.sharp""",
+    "fx_plane_faces": """
+        SELECT f.item_id, f.fid, f.v0, f.v1, f.v2
+        FROM fx_faces f JOIN fx_surface_faces sf ON sf.item_id = f.item_id AND sf.fid = f.fid
+        JOIN fx_surfaces s ON s.item_id = sf.item_id AND s.surf_id = sf.surf_id
+        WHERE s.type = 'Plane'""",
     "fx_pairs": """
         SELECT l_suppkey AS item_id,
                CAST(ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_discount, l_tax, l_quantity, l_extendedprice) AS BIGINT) AS sample_id,

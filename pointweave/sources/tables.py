@@ -20,11 +20,20 @@ def read_table(spark: SparkSession, path: str, labels: Sequence[str] | str = "*"
 
 
 def read_many(spark: SparkSession, path: str, schema: T.StructType, on_error: str = "skip") -> DataFrame:
-    """All shards of a folder with the file each row came from; unreadable ones are skipped or raise."""
+    """All shards of a folder with the file each row came from; unreadable ones are skipped or raise.
+
+    :func:`unread_files` tells which were skipped.
+    """
     reader = spark.read.schema(schema).option("ignoreCorruptFiles", str(on_error == "skip").lower()).option("recursiveFileLookup", "true")
     return reader.parquet(path).select("*", F.col("_metadata.file_path").alias("shard_file"))
 
 
+def unread_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Files of a folder that :func:`read_many` skipped: those in the listing that gave no row."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("shard_file"))
+    return listed.join(read_many(spark, path, schema).select("shard_file").distinct(), "shard_file", "left_anti")
+
+
 def mesh_text_to_tables(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and faces of mesh texts (item_id, text): ``v x y z`` and ``f a//n b//n c//n`` lines, 1-based to 0-based."""
     lines = texts.select("item_id", F.posexplode(F.split("text", "\\r?\\n")).alias("pos", "line")).withColumn("t", F.split(F.trim("line"), "\\s+"))
@@ -47,9 +56,21 @@ def features_from_json(blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def predictions_from_numbered_files(spark: SparkSession, path: str) -> DataFrame:
-    """Values of text files named ``test_<n>...``: patch number, place in the file, value."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract("_metadata.file_name", r"test_([0-9]+)", 1).cast("long").alias("patch_id"), F.posexplode(F.split(F.trim("value"), "\\s+")).alias("pos", "v"))
-    return rows.select("patch_id", F.col("pos").cast("long").alias("point_pos"), F.col("v").cast("double").alias("value"))
+    """Values of text files or folders named ``...test_<n>...``: patch number, place in the file, value."""
+    rows = _numbered_texts(spark, path).select("number", F.posexplode("words").alias("pos", "v"))
+    return rows.select(F.col("number").alias("patch_id"), F.col("pos").cast("long").alias("point_pos"), F.col("v").cast("double").alias("value"))
+
+
+def _numbered_texts(spark: SparkSession, path: str) -> DataFrame:
+    """A row a file: the last ``test_<n>`` of its path and the words of its text."""
+    number = F.regexp_extract("_metadata.file_path", r".*test_([0-9]+)", 1).cast("long").alias("number")
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(number, F.filter(F.split("value", "\\s+"), lambda w: w != "").alias("words"))
+
+
+def merge_numbered_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """One dataset of many text vectors: number, vector.  A file is a row; an empty one gives an empty vector."""
+    values = F.transform("words", lambda w: w.cast("double"))
+    return _numbered_texts(spark, path).select("number", values.alias("vector"))
 
 
 def parse_stat_lines(lines: DataFrame, column: str = "line") -> DataFrame:

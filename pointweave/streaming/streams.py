@@ -3,6 +3,11 @@
 Each function takes a streaming DataFrame (or any DataFrame, where the same
 expressions give the batch result) and returns the aggregated one; ``settle``
 runs a stream over what is there and returns its final table.
+
+What a sink has written lives in the shared folder beside the stream's own
+checkpoint, one folder a micro-batch: a batch that runs twice overwrites its
+own folder, and a stream that is started again on the same path goes on where
+it stopped.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointweave.operators.metrics import instances
 from pointweave.sources.durable import shared_dir
@@ -25,24 +31,50 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{head}/{name[:-1]}[{name[-1]}]")
 
 
-def settle(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run to the end of the available input and return the sink's final table.
+def replay(df: DataFrame, order: str, batches: int) -> DataFrame:
+    """A stream that brings the rows of ``df`` in ``batches`` micro-batches, by rising ``order``.
 
-    Results go to the shared folder: one table a batch, of which the last
-    counts in complete mode and all count in append mode.
+    Files are written one after another, as the file source reads them by age.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    cuts = df.select(F.percentile_approx(order, [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
+    place = sum(((F.col(order) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    for i in range(batches):
+        df.where(F.coalesce(place, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run(stream: DataFrame, path: str, mode: str, write) -> None:
+    sink = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write)
+    sink.trigger(availableNow=True).start().awaitTermination()
+
+
+def _written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Every row in the sink with the number of its batch; an empty table before the first."""
+    whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], whole).write.mode("append").partitionBy("batch").parquet(path)
+    return spark.read.schema(whole).parquet(path)
+
+
+def settle(stream: DataFrame, mode: str = "complete", path: str | None = None) -> DataFrame:
+    """Run to the end of the available input and return the sink's table.
+
+    The last batch counts in complete mode, and all count in append mode.  With
+    the ``path`` of an earlier run, that run is continued.
     """
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    seen: list[int] = []
+    path = path or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/{number}")
-        seen.append(number)
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    numbers = sorted(set(seen))
-    chosen = numbers[-1:] if mode == "complete" else numbers
-    return spark.read.schema(stream.schema).parquet(*(f"{path}/out/{n}" for n in chosen)) if chosen else spark.createDataFrame([], stream.schema)
+    _run(stream, path, mode, keep)
+    rows = _written(spark, f"{path}/out", stream.schema)
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == (-1 if last is None else last))
+    return rows.drop("batch")
 
 
 def stream_instances(pairs: DataFrame, threshold: float, instance: Sequence[str] = ("item_id",)) -> DataFrame:
@@ -67,34 +99,44 @@ def stream_gap_sessions(rows: DataFrame, ts: str, gap: str, late: str, by: Seque
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(*by, F.unix_micros("session_window.start").alias("start"), "n")
 
 
-def stream_apply_fixes(results: DataFrame, key: Sequence[str], ts: str, version: str, late: str) -> DataFrame:
+def stream_apply_fixes(results: DataFrame, key: Sequence[str], ts: str, version: str, late: str, path: str | None = None) -> DataFrame:
     """Idempotent upsert: of results that arrive twice or out of order, the highest version of each key.
 
-    Exact repeats within the watermark are dropped before they reach the merge.
+    Exact repeats within the watermark are dropped before they reach the sink.
+    A batch writes only the best row of each key that it brought; the table is
+    merged when it is read, and :func:`compact` merges what has gathered.
     """
     spark = results.sparkSession
-    path = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
     once = results.withWatermark(ts, late).dropDuplicatesWithinWatermark([*key, version])
-    best = F.max_by(F.struct(*(F.col(c) for c in results.columns if c not in key)), version).alias("best")
-    tables: list[str] = []
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(tables[-1])) if tables else batch
-        new = f"{path}/table/{number}"
-        rows.groupBy(*key).agg(best).select(*key, "best.*").select(batch.columns).write.mode("overwrite").parquet(new)
-        tables.append(new)
+        newest(batch, key, version).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    _run(once, path, "append", merge)
+    return newest(_written(spark, f"{path}/out", results.schema).drop("batch"), key, version)
+
+
+def newest(rows: DataFrame, key: Sequence[str], version: str) -> DataFrame:
+    """The row of the highest version of each key."""
+    best = F.max_by(F.struct(*(F.col(c) for c in rows.columns if c not in key)), version).alias("best")
+    return rows.groupBy(*key).agg(best).select(*key, "best.*").select(rows.columns)
+
 
-    once.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(merge).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(results.schema).parquet(tables[-1])
+def compact(spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], version: str) -> str:
+    """The upserted table of ``path`` as one batch in a new folder, whose path is returned; the old one is left alone."""
+    new = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    newest(_written(spark, f"{path}/out", schema).drop("batch"), key, version).write.parquet(f"{new}/out/batch=0")
+    return new
 
 
-def stream_shards(rows: DataFrame, n: int) -> DataFrame:
+def stream_shards(rows: DataFrame, n: int, path: str | None = None) -> DataFrame:
     """Flush rows to files of at most n rows; returns the rows with the file they went to."""
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
 
     def flush(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").option("maxRecordsPerFile", n).parquet(f"{path}/out/{number}")
+        batch.write.mode("overwrite").option("maxRecordsPerFile", n).parquet(f"{path}/out/batch={number}")
 
-    rows.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(flush).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{path}/out/*").withColumn("file", F.col("_metadata.file_path"))
+    _run(rows, path, "append", flush)
+    return _written(spark, f"{path}/out", rows.schema).drop("batch").withColumn("file", F.col("_metadata.file_path"))
