@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.operators.tables import looked_up
-from pointweave.sources.durable import durable
+from pointweave.sources.durable import durable, release
 
 MAX_ROUNDS = 40
 
@@ -35,7 +35,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now, mark = durable(now, "components"), None
     for _ in range(MAX_ROUNDS):
         wide = durable(_large_star(now, now.count()), "components")
+        release(now)
         now = durable(_small_star(wide, wide.count()), "components")
+        release(wide)
         seen = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == mark or seen[0] == 0:
             break

@@ -175,16 +175,17 @@ def crop_metrics(votes: DataFrame, truth: Column, probability: Column, q: float,
     return own.agg(m["mean_recall"].alias("mean_recall"), m["mean_fpr"].alias("mean_fpr"), F.count(F.lit(1)).alias("n_patches"))
 
 
-def kernel_distance(a: DataFrame, b: DataFrame, kind: str, xyz: Sequence[str], by: Sequence[str], most: int = 10_000, scale: float = 1.0) -> DataFrame:
+def kernel_distance(a: DataFrame, b: DataFrame, kind: str, xyz: Sequence[str], by: Sequence[str], most: int | None = 10_000, scale: float = 1.0) -> DataFrame:
     """Kernel discrepancy of two samples per group: mean k(a,a) + mean k(b,b) - 2 mean k(a,b).
 
-    A sample has at most ``most`` points a group (those of the least hash): the
-    measure is defined on samples.
+    A sample has at most ``most`` points a group (those of the least hash), as
+    the measure is defined on samples; with None it has all of them, and a
+    group of n points costs n * n kernel values.
     """
 
     def sample(df: DataFrame, tag: str) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(F.xxhash64(*xyz), *xyz)
-        own = df.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
+        own = df if most is None else df.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
         return own.select(*by, *(F.col(c).alias(f"{tag}_{c}") for c in xyz))
 
     def mean(x: DataFrame, y: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.functions.geometry import aabb, point_triangle, segment_project
-from pointweave.sources.durable import durable
+from pointweave.sources.durable import durable, release
 
 XYZ = ("x", "y", "z")
 #: Most rounds of growing cells; each doubles the cell.
@@ -63,41 +63,41 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float, by: Sequen
 def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), key: str = "point_id", query_key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
     """The k nearest points of each query, ranked by (d2, point key); itself included if it is a point.
 
-    Cells start at the size that holds about k points and double for the
-    queries whose k-th neighbour may lie beyond the cells looked at.  What a
-    round settles is written to the shared folder.  Rows of ``queries`` are
-    known by ``by`` and ``query_key``.
+    Every group has cells of its own size: at first that which holds about k of
+    its points, by the middle nine tenths of each axis, so that an outlier does
+    not widen the cells of the others.  Cells double for the queries whose k-th
+    neighbour may lie beyond the cells looked at.  What a round settles is
+    written to the shared folder.  Rows of ``queries`` are known by ``by`` and
+    ``query_key``.
     """
-    ids = [*by, query_key]
-    points, queries = durable(points.select(*by, key, *xyz), "points"), durable(queries.select(*ids, *xyz), "queries")
-    pts = points.select(*by, F.col(key).alias("other"), *(F.col(c).alias(f"p_{c}") for c in xyz))
-    pending = queries
-    box = points.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    groups = points.select(*by).distinct().count() if by else 1
-    ends = queries.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    if not box["n"] or ends["lo0"] is None:
-        return pending.limit(0).select(*ids, F.lit(0).cast("long").alias("other"), F.lit(0.0).alias("d2"), F.lit(0).cast("long").alias("rank"))
-    extent = max(max(box[f"hi{i}"], ends[f"hi{i}"]) - min(box[f"lo{i}"], ends[f"lo{i}"]) for i in range(len(xyz))) or 1.0
-    size = extent * (k * groups / box["n"]) ** (1 / len(xyz))
-    cells = [f"cell{i}" for i in range(len(xyz))]
+    ids, axes = [*by, query_key], range(len(xyz))
+    tails = [F.percentile_approx(c, [0.05, 0.95], 1000).alias(f"mid{i}") for i, c in enumerate(xyz)]
+    low = points.groupBy(*by).agg(F.count(F.lit(1)).alias("held"), *tails, *(f(c).alias(f"{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max))))
+    ends = queries.groupBy(*by).agg(*(f(c).alias(f"q{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max))))
+    wide = F.greatest(*(F.greatest(f"hi{i}", f"qhi{i}") - F.least(f"lo{i}", f"qlo{i}") for i in axes), F.lit(1e-300))
+    middle = F.greatest(*((F.col(f"mid{i}")[1] - F.col(f"mid{i}")[0]) / 0.9 for i in axes))
+    grids = low.join(ends, list(by)) if by else low.join(F.broadcast(ends))
+    grids = grids.withColumn("cell_extent", wide).withColumn("cell_size", F.when(middle > 0, middle).otherwise(F.col("cell_extent")) * F.pow(k / F.col("held"), F.lit(1.0 / len(xyz))))
+    grids = durable(grids.where("held > 0 and cell_extent is not null").select(*by, F.least("cell_size", "cell_extent").alias("cell_size"), "cell_extent"), "grids")
+    with_grid = lambda df: df.join(grids, list(by)) if by else df.join(F.broadcast(grids))
+    pts = durable(with_grid(points.select(*by, F.col(key).alias("other"), *(F.col(c).alias(f"p_{c}") for c in xyz))).drop("cell_extent"), "points")
+    pending = durable(with_grid(queries.select(*ids, *xyz)), "queries")
+    cells = [f"cell{i}" for i in axes]
     w = Window.partitionBy(*ids).orderBy("d2", "other")
     done = []
-    for _ in range(MAX_ROUNDS):
-        last = size >= extent
-        near = _around(pending, xyz, size).join(_in_cells(pts, [f"p_{c}" for c in xyz], size), [*by, *cells]).withColumn("d2", _d2(xyz, [f"p_{c}" for c in xyz]))
+    for step in range(MAX_ROUNDS):
+        size = F.col("cell_size") * float(2**step)
+        near = _around(pending, xyz, size).drop("cell_size").join(_in_cells(pts, [f"p_{c}" for c in xyz], size).drop("cell_size"), [*by, *cells]).withColumn("d2", _d2(xyz, [f"p_{c}" for c in xyz]))
         ranked = near.select(*ids, "other", "d2").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-        settled = ranked.withColumn("reach", F.max("d2").over(Window.partitionBy(*ids))).withColumn("have", F.count(F.lit(1)).over(Window.partitionBy(*ids)))
-        if not last:
-            # every point nearer than a cell's size lies in the cells around
-            settled = settled.where((F.col("have") == k) & (F.col("reach") <= size * size))
-        settled = durable(settled.drop("reach", "have"), "knn")
+        full = ranked.withColumn("reach", F.max("d2").over(Window.partitionBy(*ids))).withColumn("have", F.count(F.lit(1)).over(Window.partitionBy(*ids)))
+        # every point nearer than a cell's size lies in the cells around; cells as wide as the group hold all of it
+        full = full.join(grids, list(by)) if by else full.join(F.broadcast(grids))
+        settled = durable(full.where(((F.col("have") == k) & (F.col("reach") <= size * size)) | (size >= F.col("cell_extent"))).select(*ids, "other", "d2", "rank"), "knn")
         done.append(settled)
-        if last:
-            break
-        pending = durable(pending.join(settled.select(*ids).distinct(), ids, "left_anti"), "knn")
+        before, pending = pending, durable(pending.join(settled.select(*ids).distinct(), ids, "left_anti").where(size < F.col("cell_extent")), "knn")
+        release(before)
         if pending.isEmpty():
             break
-        size *= 2
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
@@ -139,15 +139,18 @@ def _covered(lo: Column, hi: Column, size: Column | float) -> Column:
 def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str, shape_key: str, corners: Sequence[Sequence[str]], distance: Column, extra: dict[str, Column], size: float | None, xyz: Sequence[str]) -> DataFrame:
     """The shape of least (distance to 12 digits, id) of each point, by growing reach.
 
-    A round copies each shape to the cells that its box, grown by the reach,
-    covers; points whose nearest shape is within the reach are settled.
+    Shapes have levels by size, and each level cells of its own size, so that a
+    large shape covers few cells however fine the others are; a point looks
+    into its cell of every level.  A round copies each shape to the cells that
+    its box, grown by the reach, covers; points whose nearest shape is within
+    the reach are settled.
     """
     cells = [f"cell{i}" for i in range(3)]
     ids = [*by, key]
+    low, high = aabb(corners)
     # both sides are read in every round
-    shapes, points = durable(shapes, "shapes"), durable(points.select(*ids, *xyz), "points")
+    shapes, points = durable(shapes.withColumn("shape_side", F.greatest(*(h - l for l, h in zip(low, high)))), "shapes"), durable(points.select(*ids, *xyz), "points")
     pending, done = points, []
-    low, high = aabb(corners)
     span = shapes.agg(*(F.min(c) for c in low), *(F.max(c) for c in high)).first()
     own = points.agg(*(F.min(c) for c in xyz), *(F.max(c) for c in xyz)).first()
     if span[0] is None or own[0] is None:
@@ -159,20 +162,25 @@ def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str,
             n = shapes.count() / max(1, shapes.select(*by).distinct().count() if by else 1)
             size = max(sides) / max(1.0, n) ** (1 / 3)
         reach = max(size, 1e-12)
+    base = reach
+    shapes = shapes.withColumn("shape_level", F.least(F.greatest(F.ceil(F.log2(F.greatest("shape_side", F.lit(base)) / base)), F.lit(0)), F.lit(60)).cast("int")).drop("shape_side")
+    levels = sorted(r[0] for r in shapes.select("shape_level").distinct().collect())  # at most 61
     for _ in range(MAX_ROUNDS):
         last = reach >= extent
+        cell = F.greatest(F.lit(float(reach)), base * F.pow(F.lit(2.0), F.col("shape_level")))
         grown = shapes
-        cell = max(reach, 1e-12)
         for i in range(3):
             grown = grown.withColumn(cells[i], _covered(low[i] - reach, high[i] + reach, cell))
-        pairs = _in_cells(pending, xyz, cell).join(grown, [*by, *cells]).withColumn("distance", distance)
+        asked = pending.withColumn("shape_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+        pairs = _in_cells(asked, xyz, cell).join(grown, [*by, "shape_level", *cells]).withColumn("distance", distance)
         best = pairs.groupBy(*ids).agg(F.min(F.struct(F.round("distance", 12).alias("rounded"), F.col(shape_key), F.col("distance"), *(c.alias(n) for n, c in extra.items()))).alias("best"))
         found = best.select(*ids, F.col("best.distance").alias("distance"), F.col(f"best.{shape_key}").alias(shape_key), *(F.col(f"best.{n}").alias(n) for n in extra))
         settled = durable(found if last else found.where(F.col("distance") <= reach), "nearest")
         done.append(settled)
         if last:
             break
-        pending = durable(pending.join(settled.select(*ids), ids, "left_anti"), "nearest")
+        before, pending = pending, durable(pending.join(settled.select(*ids), ids, "left_anti"), "nearest")
+        release(before)
         if pending.isEmpty():
             break
         reach *= 2

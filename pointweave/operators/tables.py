@@ -138,13 +138,17 @@ def reindex_dense(df: DataFrame, group: Sequence[str], column: str, name: str =
 def locate_in_shards(ordinals: DataFrame, sizes: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Shard and place of global ordinals, from cumulative shard sizes.
 
-    Shards are few (one row each); they travel as one sorted array.
+    Both sides meet in stretches of the mean shard's length: a shard covers the
+    stretches that it reaches into, fewer than two for each shard on average,
+    so a row meets the shards of its own stretch only.
     """
     w = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long"))
-    table = starts.where("n > 0").agg(F.array_sort(F.collect_list(F.struct("start", "shard"))).alias("shards"), F.sum("n").alias("total"))
-    found = F.element_at(F.filter("shards", lambda s: s["start"] <= F.col(ordinal)), -1)
-    return ordinals.join(F.broadcast(table)).where(F.col(ordinal) < F.col("total")).withColumn("at", found).select(*ordinals.columns, F.col("at.shard").alias("shard"), (F.col(ordinal) - F.col("at.start")).alias("place"))
+    starts = sizes.where("n > 0").withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long"))
+    width = sizes.where("n > 0").agg(F.greatest(F.lit(1), F.ceil(F.avg("n"))).cast("long").alias("width"))
+    placed = starts.join(F.broadcast(width)).withColumn("stretch", F.explode(F.sequence(F.expr("start div width"), F.expr("(start + n - 1) div width"))))
+    rows = ordinals.join(F.broadcast(width)).withColumn("stretch", F.expr(f"`{ordinal}` div width")).drop("width")
+    met = rows.join(placed.drop("width"), "stretch").where((F.col(ordinal) >= F.col("start")) & (F.col(ordinal) < F.col("start") + F.col("n")))
+    return met.select(*(F.col(c) for c in ordinals.columns), "shard", (F.col(ordinal) - F.col("start")).alias("place"))
 
 
 def best_worst_typical(df: DataFrame, group: Sequence[str], value: str, key: str, n: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pointweave.operators import graph as gr
 from pointweave.operators import mesh as ms
 from pointweave.operators import spatial as sp
 from pointweave.operators import tables as tb
-from pointweave.sources.durable import durable
+from pointweave.sources.durable import durable, release
 
 ITEM = "item_id"
 
@@ -123,8 +123,10 @@ def prune_primitives(distances: DataFrame, precision: DataFrame, threshold: floa
         gone = durable(best.select(*by, F.col("best.prim").alias("prim")), "prune")
         if gone.isEmpty():
             return left.select(*by, "prim")
+        before = left, distances, gone
         left = durable(left.join(gone, [*names, "prim"], "left_anti"), "prune")
         distances = durable(distances.join(gone, [*names, "prim"], "left_anti"), "prune")
+        release(*before)
 
 
 def corner_curve_segmentation(points: DataFrame, cornerness: Column, level: float, radius: float, by: Sequence[str] = (ITEM,)) -> DataFrame:

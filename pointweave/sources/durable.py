@@ -43,4 +43,20 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of :func:`durable` tables that nothing reads any more.
+
+    Call it when what was made of them has been written: a loop then holds
+    its newest tables only.
+    """
+    for df in tables:
+        path = df.__dict__.get("_durable_path")
+        if path is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
