@@ -221,6 +221,23 @@ class Found:
                 if own is not None:
                     self.hits.append((d, p, length, own))
 
+    def _longest(self, places: dict[int, list[int]]) -> Iterator[tuple[int, int, int, str | None]]:
+        """Of each text with hits: its number, the longest match's negative length, its first place, and its item."""
+        if not places:
+            return
+        texts = list(places)
+        words = np.concatenate([self.h[self.at[d] : self.at[d + 1]] for d in texts])
+        size = np.array([self.at[d + 1] - self.at[d] for d in texts])
+        begin = np.cumsum(size) - size
+        hits = np.array([len(places[d]) for d in texts])
+        text = np.repeat(np.arange(len(texts)), hits)
+        inner = np.concatenate([np.array(places[d]) - self.at[d] for d in texts])
+        length, place = self.benchmark.order().longest(words, begin[text] + inner, (begin + size)[text])
+        order = np.lexsort((inner, -length, text))
+        for chosen in order[np.cumsum(hits) - hits].tolist():
+            item = int(np.searchsorted(self.benchmark.at, place[chosen], "right")) - 1
+            yield texts[text[chosen]], -int(length[chosen]), int(inner[chosen]), self.benchmark.names[item]
+
     def rows(self, batch: pa.RecordBatch, lo: int, hi: int, last: bool) -> pa.RecordBatch:
         """The batch's rows [lo, hi) with what this block adds to earlier blocks' findings."""
         n = hi - lo
@@ -242,11 +259,8 @@ class Found:
                     spans[d][-1]["end"] = max(end, spans[d][-1]["end"])
                 else:
                     spans[d].append({"start": start, "end": end})
-            first = np.unique([p for p, _ in found])
-            length, place = self.benchmark.order().longest(self.h, first, np.full(len(first), self.at[d + 1]))
-            k = int(length.argmax())
-            item = self.benchmark.names[int(np.searchsorted(self.benchmark.at, place[k], "right")) - 1]
-            best[d] = min(best[d], (-int(length[k]), int(first[k] - self.at[d]), item), key=lambda b: b[:2])
+        for d, *longest in self._longest({d: sorted({p for p, _ in found}) for d, found in marked.items()}):
+            best[d] = min(best[d], tuple(longest), key=lambda b: b[:2])
         columns = {
             "n_words": pa.array(np.diff(self.at), pa.int64()),
             "spans": pa.array(spans, _SPANS),
