@@ -1,4 +1,4 @@
-"""SQL texts that must agree with the queries of operators 6 and 7."""
+"""SQL texts that must agree with the queries of operators 2, 6 and 7."""
 
 NEAR_DUPLICATES = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -31,3 +31,14 @@ SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_
   coalesce(longest, 0) AS longest, longest_at
 FROM w LEFT JOIN x ON x.doc_id = id LEFT JOIN y ON y.doc_id = id LEFT JOIN z ON z.doc_id = id WHERE kind = 'd'
 """
+
+REPEATS = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+later AS (SELECT doc_id, i, i > 100 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS apart FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM p) WHERE nth > 1),
+runs AS MATERIALIZED (SELECT doc_id, run, min(i) AS lo, max(i) + 100 AS hi FROM (SELECT *, sum(coalesce(apart, true)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM later) GROUP BY 1, 2),
+cut AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS prior FROM runs),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * prior + 1, 2 * (lo - prior)), '' ORDER BY lo) AS head, max(hi) AS hi, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM cut JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(hi, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -73,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_parsed_repeats": oracles.REPEATS,
         "op6_hyperminhash_groups": oracles.NEAR_DUPLICATES,
         "op7_suffix_decontamination": oracles.DECONTAMINATION,
         "op8_snapshot_collapse": chat.ORACLE,
