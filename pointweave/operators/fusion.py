@@ -183,11 +183,8 @@ def smooth_local_fit(votes: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 def quantile_mask(rows: DataFrame, q: float, group: Sequence[str], value: str) -> DataFrame:
     """Rows with ``inside``: strictly under their group's q-quantile."""
-    cut = rows.groupBy(*group).agg(F.percentile(value, q).alias("cut"))
-    return rows.join(cut, list(group)).withColumn("inside", F.col(value) < F.col("cut")).drop("cut")
+    from pointweave.operators.tables import quantile
 
+    cut = quantile(rows, group, value, q, "cut")
+    return rows.join(cut, list(group)).withColumn("inside", F.col(value) < F.col("cut")).drop("cut")
 
-def first_by(rows: DataFrame, group: Sequence[str], *order: str) -> DataFrame:
-    """The first row of each group in the given order."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")

@@ -43,7 +43,9 @@ def bad_points(pairs: DataFrame, threshold: float, by: Sequence[str] = (), norma
 
 def sqerr_quantile(pairs: DataFrame, q: float, by: Sequence[str] = ()) -> DataFrame:
     """Linear quantile of the squared error."""
-    return pairs.groupBy(*by).agg(F.percentile(_sq(), q).alias("q"))
+    from pointweave.operators.tables import quantile
+
+    return quantile(pairs, by, _sq(), q)
 
 
 def iou(pairs: DataFrame, true_t: float, pred_t: float, by: Sequence[str] = ()) -> DataFrame:

@@ -136,6 +136,11 @@ def _covered(lo: Column, hi: Column, size: Column | float) -> Column:
     return F.explode(F.sequence(_cell(lo, size), _cell(hi, size)))
 
 
+def _ranked(distance: Column, key: str) -> Column:
+    """What orders shapes: the distance to 12 digits, the id, the distance.  The expression is computed once."""
+    return F.element_at(F.transform(F.array(distance), lambda d: F.struct(F.round(d, 12).alias("rounded"), F.col(key), d.alias("distance"))), 1)
+
+
 def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str, shape_key: str, corners: Sequence[Sequence[str]], distance: Column, extra: dict[str, Column], size: float | None, xyz: Sequence[str]) -> DataFrame:
     """The shape of least (distance to 12 digits, id) of each point, by growing reach.
 
@@ -172,9 +177,9 @@ def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str,
         for i in range(3):
             grown = grown.withColumn(cells[i], _covered(low[i] - reach, high[i] + reach, cell))
         asked = pending.withColumn("shape_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-        pairs = _in_cells(asked, xyz, cell).join(grown, [*by, "shape_level", *cells]).withColumn("distance", distance)
-        best = pairs.groupBy(*ids).agg(F.min(F.struct(F.round("distance", 12).alias("rounded"), F.col(shape_key), F.col("distance"), *(c.alias(n) for n, c in extra.items()))).alias("best"))
-        found = best.select(*ids, F.col("best.distance").alias("distance"), F.col(f"best.{shape_key}").alias(shape_key), *(F.col(f"best.{n}").alias(n) for n in extra))
+        pairs = _in_cells(asked, xyz, cell).join(grown, [*by, "shape_level", *cells])
+        best = pairs.groupBy(*ids).agg(F.min(F.struct(_ranked(distance, shape_key).alias("at"), *(c.alias(n) for n, c in extra.items()))).alias("best"))
+        found = best.select(*ids, F.col("best.at.distance").alias("distance"), F.col(f"best.at.{shape_key}").alias(shape_key), *(F.col(f"best.{n}").alias(n) for n in extra))
         settled = durable(found if last else found.where(F.col("distance") <= reach), "nearest")
         done.append(settled)
         if last:
@@ -190,6 +195,22 @@ def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str,
     return out
 
 
+def faces_within(points: DataFrame, faces: DataFrame, bound: float, by: Sequence[str], per: Sequence[str], key: str = "point_id", face_key: str = "fid", corners: Sequence[Sequence[str]] = (("ax", "ay", "az"), ("bx", "by_", "bz"), ("cx", "cy", "cz")), xyz: Sequence[str] = XYZ) -> DataFrame:
+    """The nearest triangle of each point in every part (``per``) of the faces that comes nearer than ``bound``."""
+    cells = [f"cell{i}" for i in range(3)]
+    low, high = aabb(corners)
+    side = F.greatest(*(h - l for l, h in zip(low, high)), F.lit(float(bound)))
+    leveled = durable(faces.withColumn("shape_level", F.least(F.ceil(F.log2(side / bound)), F.lit(60)).cast("int")), "shapes")
+    levels = sorted(r[0] for r in leveled.select("shape_level").distinct().collect())  # at most 61
+    cell = bound * F.pow(F.lit(2.0), F.col("shape_level"))
+    for i in range(3):
+        leveled = leveled.withColumn(cells[i], _covered(low[i] - bound, high[i] + bound, cell))
+    asked = points.select(*by, key, *xyz).withColumn("shape_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    pairs = _in_cells(asked, xyz, cell).join(leveled, [*by, "shape_level", *cells])
+    best = pairs.groupBy(*by, *per, key).agg(F.min(_ranked(F.sqrt(point_triangle(xyz, *corners)), face_key)).alias("best")).where(F.col("best.distance") < bound)
+    return best.select(*by, *per, key, F.col(f"best.{face_key}").alias(face_key), F.col("best.distance").alias("distance"))
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, by: Sequence[str] = (), key: str = "point_id", segment_key: str = "seg_id", a: Sequence[str] = ("ax", "ay", "az"), b: Sequence[str] = ("bx", "by_", "bz"), reach: float | None = None, xyz: Sequence[str] = XYZ) -> DataFrame:
     """Distance, nearest segment and projection of each point; a tie goes to the least segment id."""
     d, q, t = segment_project(xyz, a, b)

@@ -129,6 +129,30 @@ def numbered(df: DataFrame, *order: str, name: str = "ordinal", buckets: int = 6
     return global_index(placed, [], "part", order).drop("part").withColumnRenamed("global_idx", name)
 
 
+def quantile(rows: DataFrame, by: Sequence[str], value: Column | str, q: float, name: str = "q", accuracy: int = 10_000) -> DataFrame:
+    """The exact linear q-quantile of each group, whatever a group's size.
+
+    An approximate quantile on either side brackets the wanted ranks; what lies
+    under the bracket is counted, and only the few values inside it are ordered.
+    Groups of up to 2 ``accuracy`` rows are their own bracket.  Nulls do not count.
+    """
+    names = list(by)
+    v = rows.select(*names, (F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).where("v IS NOT NULL")
+    ends = F.percentile_approx("v", [max(0.0, q - 3 / accuracy), min(1.0, q + 3 / accuracy)], accuracy)
+    cuts = v.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), ends.alias("ends"))
+    small = F.col("n") <= 2 * accuracy
+    cuts = cuts.select(*names, "n", F.when(small, F.col("low")).otherwise(F.col("ends")[0]).alias("low"), F.when(small, F.col("high")).otherwise(F.col("ends")[1]).alias("high"))
+    near = v.join(cuts, names) if names else v.join(F.broadcast(cuts))
+    # one row for each distinct value of the bracket, and one for all that lies under it
+    place = F.when(F.col("v") < F.col("low"), F.lit(float("-inf"))).otherwise(F.col("v")).alias("v")
+    counts = near.where("v <= high").groupBy(*names, "n", place).agg(F.count(F.lit(1)).alias("held"))
+    upto = F.sum("held").over((Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))).orderBy("v"))
+    rank = q * (F.col("n") - 1)
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+    both = counts.withColumn("upto", upto).groupBy(*names, "n").agg(at(F.floor(rank)).alias("lo"), at(F.ceil(rank)).alias("hi"))
+    return both.select(*names, (F.col("lo") + (rank - F.floor(rank)) * (F.col("hi") - F.col("lo"))).alias(name))
+
+
 def reindex_dense(df: DataFrame, group: Sequence[str], column: str, name: str = "dense") -> DataFrame:
     """Old id to 0-based dense id inside each group."""
     ids = df.select(*group, column).distinct()

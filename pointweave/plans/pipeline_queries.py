@@ -121,6 +121,7 @@ _SCALED = "(SELECT item_id, first * 0.02 * 8 / QUANTILE_CONT(extent * first, 0.0
 add("l10_align_scans", _aligned, f"SELECT item_id, point_id, (-y + 0.51) / scale AS x, (x - 0.25) / scale AS y, (z + 2) / scale AS z, 2.0::DOUBLE AS focal, item_id * 0.5 AS cx FROM fx_points JOIN {_SCALED} USING (item_id) WHERE item_id % 2 = 0", "x", "y", "z", "cx")
 add("l11_consistent_whole_labels", lambda v: (lambda x: pl.consistent_whole_labels(x.select("item_id", "patch_id", "global_idx"), x, 0.75).select("item_id", "patch_id", "global_idx", "value", "fused"))(v("fx_votes").groupBy("item_id", "patch_id", "global_idx").agg(F.min("value").alias("value"))),
     "SELECT item_id, patch_id, global_idx, value, LEAST(MIN(value) OVER (PARTITION BY item_id, global_idx), 0.75) AS fused FROM (SELECT item_id, patch_id, global_idx, MIN(value) AS value FROM fx_votes GROUP BY 1, 2, 3)", "value", "fused")
+add("l11_label_crops", lambda v: pl.label_crops(cloud(v), _shape(v), v("fx_faces").select("item_id", F.expr("item_id * 1000 + fid div 12").alias("patch_id"), "fid"), 0.05, 0.3))
 # from the fourth vertex of every curve that is not sharp
 vertex_seeds = lambda v: v("fx_curve_verts").join(v("fx_curves").where("not sharp"), ["item_id", "curve_id"]).groupBy("item_id", "curve_id").agg(F.get(F.array_sort(F.collect_list("vid")), F.lit(3)).alias("seed")).where("seed is not null").select("seed", F.col("seed").alias("node"))
 add("l12_mesh_vertex_patches", lambda v: pl.mesh_vertex_patches(_shape(v), v("fx_points").withColumnRenamed("point_id", "vid"), vertex_seeds(v), 5))

@@ -263,6 +263,23 @@ def consistent_whole_labels(crops: DataFrame, labels: DataFrame, cap: float) ->
     return fu.push_back(own, fu.combine_ground_truth(own, cap))
 
 
+def crop_members(points: DataFrame, shape: Shape, crops: DataFrame, bound: float) -> DataFrame:
+    """Points nearer than ``bound`` to a crop's faces, with the nearest of them: a row for each point and crop.
+
+    crops: item_id, patch_id, fid; a patch_id belongs to one item.
+    """
+    faces = crops.join(shape.faces, [ITEM, "fid"])
+    return sp.faces_within(points, faces, bound, [ITEM], ["patch_id"]).select(ITEM, "patch_id", "point_id", "fid").join(points, [ITEM, "point_id"])
+
+
+def label_crops(points: DataFrame, shape: Shape, crops: DataFrame, bound: float, most: float, how: str = "edges") -> DataFrame:
+    """Whole-shape points labelled in every crop that holds them, the least label of each pushed back to its crops."""
+    members = durable(crop_members(points.select(ITEM, "point_id", "x", "y", "z"), shape, crops, bound), "crops")
+    labels = label_patches(members, shape, most, how).select("patch_id", F.col("point_id").alias("global_idx"), F.col("distance").alias("value"))
+    own = members.select(ITEM, "patch_id", F.col("point_id").alias("global_idx"))
+    return consistent_whole_labels(own, own.join(labels, ["patch_id", "global_idx"]), most)
+
+
 def mesh_vertex_patches(shape: Shape, vertices: DataFrame, seeds: DataFrame, size: int, short: int = 5, most_sharp: float = 0.6) -> DataFrame:
     """Vertex patches grown over mesh edges, their sharp vertices labelled, centred and scaled.
 

@@ -101,6 +101,21 @@ def test_vertex_patches_follow_both_rules(spark, cube_shape):
     assert all(r["sharp"] for r in out)
 
 
+def test_crops_share_the_least_label(spark, cube_shape):
+    rows = on_cube(random.Random(8), 60)
+    points = spark.createDataFrame([(*r[:5],) for r in rows] + [(0, 900, 0.5, 0.5, 0.5)], "item_id long, point_id long, x double, y double, z double")
+    # one crop is the whole cube, the other the triangles of a single face, all of whose edges are boundary
+    crops = spark.createDataFrame([(0, 70, f) for f in range(12)] + [(0, 71, f) for f in (0, 1)], "item_id long, patch_id long, fid long")
+    out = pl.label_crops(points, cube_shape, crops, 0.02, 0.3).collect()
+    want = {r[1]: min(r[5], 0.3) for r in rows}
+    whole = {r["global_idx"]: r for r in out if r["patch_id"] == 70}
+    part = {r["global_idx"]: r for r in out if r["patch_id"] == 71}
+    assert set(whole) == set(want) and set(part) == {r[1] for r in rows if r[2] == 0.0}
+    assert {r["value"] for r in part.values()} == {0.3}
+    for own in (whole, part):
+        assert {i: r["fused"] for i, r in own.items()} == pytest.approx({i: want[i] for i in own})
+
+
 def greedy(near, stats, threshold, beta=0.5):
     """The same pruning for one shape, primitive by primitive."""
     total, left = len(near), dict(stats)
