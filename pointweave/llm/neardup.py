@@ -11,12 +11,13 @@ Pairs inside a band's bucket are not enumerated.  First each member is
 compared with one centre of its bucket and the verified links form components.
 Two members of one component need no further link.  Members of buckets that
 still hold several components are looked at again through their rarest
-shingles: linked sets share one of the first n - ceil(t n) + 1 in the order of
-(occurs in one component only, frequency, hash), so a member whose edits make up
-that many needs no comparison, and the others meet only those that share such a
-shingle.  These meet in blocks of bounded text, where each member outside the
-largest component is compared with the members of other components through an
-inverted index.  No link between different texts is lost that could join
+shingles: in the order of (occurs in one component only, frequency, hash), one of
+the first n - ceil(2 t n / (1 + t)) + 1 shingles of the smaller of two linked sets
+is among the first n - ceil(t n) + 1 of the other.  A member whose own edits make
+up that many needs no comparison, and shingles that are not among the first of any
+smaller set bring no one together.  The others meet in blocks of bounded text,
+where each member outside the largest component is compared with the members of
+other components through an inverted index.  No link between different texts is lost that could join
 components.
 
 Equal sets are grouped by a 128-bit digest before anything else, so copies are
@@ -45,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import LOWER, byte_table, durable, flat_bytes, lowered, mix64, pieces, small_batches, word_hashes
+from pointweave.llm.common import LOWER, byte_table, durable, flat_bytes, lowered, mix64, pieces, release, small_batches, word_hashes
 from pointweave.operators.graph import connected_components
 from pointweave.operators.tables import looked_up
 
@@ -281,7 +282,8 @@ def _rare(grams: DataFrame, percent: int) -> DataFrame:
     nth = F.row_number().over(own.orderBy("freq", "gram"))
     alone = F.col("n") - F.count(F.lit(1)).over(own)
     length = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
-    return shared.select("gram", "node", "label", "n", (nth + alone <= length).alias("first")).where("first").drop("first")
+    least = F.expr(f"n - ((2 * {percent} * n + {percent + 99}) div {percent + 100}) + 1")
+    return shared.select("gram", "node", "label", "n", (nth + alone <= length).alias("first"), (nth + alone <= least).alias("core")).where("first").drop("first")
 
 
 def _meetings(rare: DataFrame) -> DataFrame:
@@ -291,9 +293,10 @@ def _meetings(rare: DataFrame) -> DataFrame:
         F.min("label").alias("low"),
         F.max("label").alias("high"),
         F.sum("n").alias("shingles"),
+        F.bool_or("core").alias("core"),
         *(F.bit_xor(F.xxhash64(F.lit(k), F.col("node"))).alias(f"who_{k}") for k in (1, 2)),
     )
-    same = met.where("low <> high").groupBy("members", "who_1", "who_2").agg(F.min("gram").alias("gram"), F.first("shingles").alias("shingles"))
+    same = met.where("core and low <> high").groupBy("members", "who_1", "who_2").agg(F.min("gram").alias("gram"), F.first("shingles").alias("shingles"))
     return same.select("gram", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks"))
 
 
@@ -304,17 +307,23 @@ def components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
     rows = rows_per_band(threshold)
     bands = REGISTERS // rows
     least = math.ceil(threshold / (1 - threshold) - 1e-9) if percent < 100 else 1
-    every = durable(signatures(docs, width), "signatures")
+    signed = durable(signatures(docs, width), "signatures")
+    every = durable(signed.select("doc_id", "mark", "digest", "n"), "rows")
     # sets too small to be linked with another than themselves need no candidates
-    nodes = durable(every.where(F.col("n") >= least).select("digest", "n", "regs", "packed").dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = durable(signed.where(F.col("n") >= least).select("digest", "n", "regs", "packed").dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    release(signed)
     # odd bands order nodes downwards, so that their centres differ
     banded = nodes.select(
         "node",
         F.posexplode(F.array(*(F.xxhash64(F.substring("regs", 1 + 2 * rows * i, 2 * rows), F.lit(i)) for i in range(bands)))).alias("band", "key"),
     ).select("key", F.when(F.col("band") % 2 == 0, F.col("node")).otherwise(F.bitwise_not("node")).alias("placed"), (F.col("band") % 2 == 1).alias("odd"))
-    centres = banded.groupBy("key").agg(F.min("placed").alias("centre"), F.max("placed").alias("other")).where("centre <> other").select("key", "centre")
+    centres = banded.groupBy("key").agg(F.min("placed").alias("centre"), F.max("placed").alias("other"), F.count(F.lit(1)).alias("members")).where("centre <> other").select("key", "centre", "members")
+    met = looked_up(banded, centres, "key", "members", nodes.count() * bands).where("centre IS NOT NULL")
     turned = lambda c: F.when(F.col("odd"), F.bitwise_not(c)).otherwise(F.col(c))
-    cells = durable(banded.join(centres, "key").select("key", turned("placed").alias("node"), turned("centre").alias("centre")).distinct(), "cells")
+    cells = durable(met.select("key", turned("placed").alias("node"), turned("centre").alias("centre")).distinct(), "cells")
+    # what follows concerns members of shared buckets only
+    whole, nodes = nodes, durable(nodes.join(cells.select("node").distinct(), "node", "left_semi"), "nodes")
+    release(whole)
     pairs = cells.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"), F.col("packed").alias(f"packed_{s}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -324,7 +333,9 @@ def components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
     named = cells.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high and members > 2").select("key")
     members = named.join(open_keys, "key", "left_semi").select("node", "label").distinct().join(nodes.select("node", "n", "packed"), "node")
-    rare = durable(_rare(durable(_grams(members, width), "grams"), percent), "rare")
+    grams = durable(_grams(members, width), "grams")
+    rare = durable(_rare(grams, percent), "rare")
+    release(cells, grams)
     placed = (
         rare.join(_meetings(rare), "gram")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -335,12 +346,14 @@ def components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
         .sortWithinPartitions("gram", "i", "j")
     )
     more = durable(_resolve(placed, width, percent), "links")
+    release(rare, links)
     if not more.isEmpty():
         edges = more.unionAll(labels.select(F.col("node").alias("src"), F.col("component").alias("dst")))
         labels = durable(connected_components(edges), "labels")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
     sets = every.where("n > 0").groupBy("digest").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("rows"))
     linked = durable(labels.join(nodes.select("node", "digest"), "node").join(sets.select("digest", "first"), "digest").select("digest", "component", "first"), "linked")
+    release(nodes, labels, more)
     lowest = linked.groupBy("component").agg(F.min("first").alias("low"), F.count(F.lit(1)).alias("members"))
     of_set = looked_up(linked.select("digest", "component"), lowest, "component", "members", linked.count()).select("digest", "low")
     return every, sets.join(of_set, "digest", "left").select("digest", "rows", F.coalesce("low", "first").alias("first"))
