@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import flat_bytes, mix64, pieces, small_batches
+from pointweave.llm.common import durable, flat_bytes, mix64, pieces, release, small_batches
 
 LENGTH, GRAM = 100, 8
 HELD_BYTES = 1 << 20
@@ -118,7 +118,9 @@ def _reduced(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray
 
 
 _COLUMNS = ["key", "own", "doc", "part", "place"]
-_ROWS = "key long, own long, doc long, part long, place long, later boolean, hot boolean"
+#: kind of an occurrence: the first of its phrase in its task, a later one, or a first one of a frequent trigger.
+FIRST, LATER, OFTEN = 0, 1, 2
+_ROWS = "key long, own long, doc long, part long, place long, kind int"
 
 
 def _rows(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ def _rows(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, p
         often = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
         key = np.where(often, mix64(key.view(U64) ^ mix64(own.view(U64))).view(np.int64), key)
     first, later = _reduced(key, own, doc, part, place)
-    yield _batch(key[first], own[first], doc[first], part[first], place[first], False, often[first])
+    yield _batch(key[first], own[first], doc[first], part[first], place[first], np.where(often[first], OFTEN, FIRST))
     if len(later):
         # neighbouring phrases of a text join into one run; repeated rows count once
         order = later[np.lexsort((place[later], part[later], doc[later]))]
@@ -142,12 +144,12 @@ def _rows(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, p
         head = np.flatnonzero(np.r_[True, ~joins])
         place = start[head] << 32 | np.add.reduceat(count, head)
         spread = mix64(mix64(d[head].view(U64) ^ place.view(U64)) ^ t[head].view(U64)).view(np.int64)
-        yield _batch(spread, np.zeros(len(place), np.int64), d[head], t[head], place, True, np.zeros(len(place), bool))
+        yield _batch(spread, np.zeros(len(place), np.int64), d[head], t[head], place, np.full(len(place), LATER))
 
 
-def _batch(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray, later: bool, hot: np.ndarray) -> pa.RecordBatch:
+def _batch(key: np.ndarray, own: np.ndarray, doc: np.ndarray, part: np.ndarray, place: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
     arrays = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (key, own, doc, part, place)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(key), later)), pa.array(hot)], [*_COLUMNS, "later", "hot"])
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(kind.astype(np.int32))], [*_COLUMNS, "kind"])
 
 
 def _trigger_keys(raw: bytes, trigger: np.ndarray, length: int) -> np.ndarray:
@@ -183,10 +185,11 @@ def frequent_triggers(docs: DataFrame, length: int) -> np.ndarray:
         if count:
             yield finish()
 
-    found = small_batches(docs.select("text").where("text IS NOT NULL")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    total = found.where("key IS NULL").agg(F.sum("n").alias("total"))
-    often = found.join(F.broadcast(total), F.col("n") * HOT > F.col("total")).where("key IS NOT NULL").select("key")
-    return np.sort(np.array([r["key"] for r in often.collect()], np.int64))
+    counted = durable(small_batches(docs.select("text").where("text IS NOT NULL")).mapInArrow(run, "key long, n long"), "triggers")
+    total = counted.where("key IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counted.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * HOT > total).select("key").collect()
+    release(counted)
+    return np.sort(np.array([r["key"] for r in often], np.int64))
 
 
 def _parse(docs: DataFrame, length: int) -> DataFrame:
@@ -226,9 +229,9 @@ def _compared(rows: DataFrame) -> DataFrame:
     nth = F.rank().over(Window.partitionBy("key", "own").orderBy("doc", "place", "part"))
     return (
         rows.withColumn("nth", nth)
-        .withColumn("mixed", F.col("hot") | (F.min("own").over(key) != F.max("own").over(key)))
-        .withColumn("many", F.col("hot") | (F.count(F.lit(1)).over(key) > MANY))
-        .withColumn("repeat", F.col("later") | (F.col("nth") > 1))
+        .withColumn("mixed", (F.col("kind") == OFTEN) | (F.min("own").over(key) != F.max("own").over(key)))
+        .withColumn("many", (F.col("kind") == OFTEN) | (F.count(F.lit(1)).over(key) > MANY))
+        .withColumn("repeat", (F.col("kind") == LATER) | (F.col("nth") > 1))
         .where("repeat or mixed")
         .select("key", "doc", "part", "place", "repeat", "many")
     )
@@ -267,8 +270,8 @@ def _looked_into(joined: DataFrame, length: int) -> DataFrame:
                         keys.append(key), docs.append(doc), parts.append(part), places.append(place), texts.append(data[at : at + n - 1 + length])
             zeros = np.zeros(len(keys), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(zeros), *(pa.array(x, pa.int64()) for x in (docs, parts, places)), pa.array(zeros > 0), pa.array(zeros > 0), pa.array(texts, pa.binary())],
-                [*_COLUMNS, "later", "hot", "bytes"],
+                [pa.array(keys, pa.int64()), pa.array(zeros), *(pa.array(x, pa.int64()) for x in (docs, parts, places)), pa.array(zeros.astype(np.int32)), pa.array(texts, pa.binary())],
+                [*_COLUMNS, "kind", "bytes"],
             )
             if held:
                 for rows in _rows(*(np.concatenate(x) for x in zip(*held))):
@@ -330,10 +333,11 @@ def _suffixes(placed: DataFrame, length: int) -> DataFrame:
         count = 0
 
         def finish(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            later = rows.filter(rows["later"])
+            is_later = rows["kind"].to_numpy() == LATER
+            later = rows.filter(pa.array(is_later))
             if later.num_rows:
                 yield pa.RecordBatch.from_arrays([later[c].combine_chunks() for c in _COLUMNS[2:]], _COLUMNS[2:])
-            rows = rows.filter(pa.array(~rows["later"].to_numpy()))
+            rows = rows.filter(pa.array(~is_later))
             key, own, doc, part, place = (rows[c].to_numpy() for c in _COLUMNS)
             texts = rows["bytes"].to_pylist()
             whole = np.array([t is not None for t in texts], bool)
@@ -346,7 +350,7 @@ def _suffixes(placed: DataFrame, length: int) -> DataFrame:
             strings = [np.repeat(key[whole], n), ranks, np.repeat(doc[whole], n), np.repeat(part[whole], n), (np.repeat(place[whole] >> 32, n) + step) << 32 | 1]
             for found in (strings, [x[~whole] for x in (key, own, doc, part, place)]):
                 for batch in _rows(*found):
-                    if batch.num_rows and batch.column("later")[0].as_py():
+                    if batch.num_rows and batch.column("kind")[0].as_py() == LATER:
                         yield batch.select(_COLUMNS[2:])
 
         for batch in batches:
