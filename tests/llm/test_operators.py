@@ -527,3 +527,19 @@ def test_bpe_random_strings():
         s = "".join(rng.choice(letters) for _ in range(rng.randrange(40))) + rng.choice(["", "<|endoftext|>", " the", "'ll've"])
         ids = theirs.encode(s, add_special_tokens=False).ids
         assert ours.encode(s) == ids and ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
+
+
+def test_chat_with_a_long_conversation(spark):
+    """Fifteen hundred turns, logged whole and cut at three places."""
+    turns = [(k, "user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(1500)]
+    rows = [(conv, *t) for conv, n in ((1, 1500), (2, 700), (3, 1), (4, 1499)) for t in turns[:n]] + [(5, 0, "user", "other")]
+    out = {r["conv_id"]: r for r in chat.maximal(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == {1, 5} and out[1]["n_turns"] == 1500 and out[1]["text"].count("<|im_start|>") == 1500
+
+
+def test_quality_of_an_id_with_many_rows(spark):
+    rng = random.Random(45)
+    docs = [(i % 40 + 1, prose(rng, 30) if i % 2 else "!!! $$$ " * 5) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, quality int")
+    merit = quality.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert np.isfinite(merit.weights).all()
