@@ -143,9 +143,9 @@ add("r4_tiles", lambda v: ra.tiles(v("fx_pixels"), 6, 4, 16, fore()).groupBy("vi
 add("r5_crop_pad", lambda v: ra.pad(ra.crop_center(v("fx_pixels").select("view_id", "pr", "pc", "depth"), 16, 16, 8, 8), 8, 8, {"depth": 0.0}),
     "WITH g AS (SELECT view_id, r AS pr, c AS pc FROM (SELECT DISTINCT view_id FROM fx_pixels WHERE pr BETWEEN 4 AND 11 AND pc BETWEEN 4 AND 11), (SELECT UNNEST(range(8)) AS r), (SELECT UNNEST(range(8)) AS c)) SELECT g.view_id, g.pr, g.pc, COALESCE(depth, 0) AS depth FROM g LEFT JOIN fx_pixels p ON p.view_id = g.view_id AND p.pr = g.pr + 4 AND p.pc = g.pc + 4", "depth")
 add("r5_uncrop", lambda v: ra.uncrop(ra.crop_center(v("fx_pixels").select("view_id", "pr", "pc", "depth"), 16, 16, 8, 8), 16, 16, 8, 8), "SELECT view_id, pr, pc, depth FROM fx_pixels WHERE pr BETWEEN 4 AND 11 AND pc BETWEEN 4 AND 11", "depth")
-add("r6_snap_inside", lambda v: ra.common_bbox(v("fx_pixels"), ["view_id"], F.col("depth") > 60, 2).select("view_id", ra.snap_inside(F.col("top"), F.lit(9).cast("long"), 16).alias("top")), "SELECT view_id, GREATEST(LEAST(MIN(pr) - 2, 16 - 9), 0)::BIGINT AS top FROM fx_pixels WHERE depth > 60 GROUP BY 1")
-add("r6_common_bbox", lambda v: ra.common_bbox(v("fx_pixels"), ["view_id"], F.col("depth") > 60, 2).withColumn("side", ra.snap_pow2(F.col("bottom") - F.col("top"))),
-    'SELECT *, (2 ** CEIL(LOG2(GREATEST(bottom - top, 1))))::BIGINT AS side FROM (SELECT view_id, MIN(pr) - 2 AS top, MAX(pr) + 2 AS bottom, MIN(pc) - 2 AS "left", MAX(pc) + 2 AS "right" FROM fx_pixels WHERE depth > 60 GROUP BY 1)')
+add("r6_snap_inside", lambda v: ra.common_bbox(v("fx_pixels"), ["view_id"], F.col("depth") > 20, 2).select("view_id", ra.snap_inside(F.col("top"), F.lit(9).cast("long"), 16).alias("top")), "SELECT view_id, GREATEST(LEAST(MIN(pr) - 2, 16 - 9), 0)::BIGINT AS top FROM fx_pixels WHERE depth > 20 GROUP BY 1")
+add("r6_common_bbox", lambda v: ra.common_bbox(v("fx_pixels"), ["view_id"], F.col("depth") > 20, 2).withColumn("side", ra.snap_pow2(F.col("bottom") - F.col("top"))),
+    'SELECT *, (2 ** CEIL(LOG2(GREATEST(bottom - top, 1))))::BIGINT AS side FROM (SELECT view_id, MIN(pr) - 2 AS top, MAX(pr) + 2 AS bottom, MIN(pc) - 2 AS "left", MAX(pc) + 2 AS "right" FROM fx_pixels WHERE depth > 20 GROUP BY 1)')
 add("r7_tile_normalize", lambda v: ra.tile_normalize(v("fx_pixels"), 4, fore(), 2.5).drop("event_id", "tr", "tc"),
     "SELECT view_id, pr, pc, CASE WHEN depth >= 20 THEN (depth - MIN(CASE WHEN depth >= 20 THEN depth END) OVER (PARTITION BY view_id, pr // 4, pc // 4)) / 2.5 ELSE depth END AS depth FROM fx_pixels", "depth")
 add("r8_signal_on_foreground", lambda v: ra.signal_on_foreground(v("fx_pixels").withColumns({"signal": F.col("pc") * 1.5, "depth": F.when(F.col("depth") < 20, 0.0).otherwise(F.col("depth"))}), "signal", 0.0, -1.0).select("view_id", "pr", "pc", "signal"),
