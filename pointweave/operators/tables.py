@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointweave.sources.durable import durable, release
+
 # filters ---------------------------------------------------------------------------------------
 
 
@@ -105,28 +107,31 @@ def gather(rows: DataFrame, features: DataFrame, index: str, key: str) -> DataFr
 
 
 def global_index(df: DataFrame, group: Sequence[str], part: str, order: Sequence[str]) -> DataFrame:
-    """Offset of each part (counts of the parts before it) plus the place inside it.
-
-    Parts are numbered apart; only their counts meet in one window.
-    """
-    counts = df.groupBy(*group, part).agg(F.count(F.lit(1)).alias("n"))
-    w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
-    nth = F.row_number().over(Window.partitionBy(*group, part).orderBy(*order))
-    return df.withColumn("nth", nth).join(starts, [*group, part]).withColumn("global_idx", (F.col("start") + F.col("nth") - 1).cast("long")).drop("start", "nth")
+    """Place of each row in its group: parts follow each other, and rows inside a part have the given order."""
+    return numbered(df, part, *order, by=group, name="global_idx")
 
 
-def numbered(df: DataFrame, *order: str, name: str = "ordinal", buckets: int = 64, cut: Column | None = None) -> DataFrame:
-    """Dense 0-based number of every row in a total order, without one window over all rows.
+def numbered(df: DataFrame, *order: str, by: Sequence[str] = (), name: str = "ordinal") -> DataFrame:
+    """Dense 0-based number of every row of a group in the given order, without a window over a group.
 
-    The first order column, or a number ``cut`` that grows with it, is cut at
-    ``buckets`` approximate quantiles; rows are numbered inside a cut and
-    shifted by the counts of the cuts before.
+    Rows are cut at ranges of the whole key (group, order, place in the table), so a
+    group, or a value that fills a third of the rows, goes to as many tasks as its rows
+    need.  Each task sorts its range and counts on; the counts of the ranges,
+    of which there are as many as shuffle partitions, shift the numbers.  Rows of equal
+    keys get neighbouring numbers in any order; nulls come first.
     """
-    df = df.withColumn("cut_at", F.col(order[0]) if cut is None else cut)
-    cuts = df.select(F.percentile_approx(F.col("cut_at"), F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 10_000).alias("cuts"))
-    placed = df.join(F.broadcast(cuts)).withColumn("part", F.expr("aggregate(cuts, 0, (n, c) -> n + IF(cut_at > c, 1, 0))")).drop("cuts", "cut_at")
-    return global_index(placed, [], "part", order).drop("part").withColumnRenamed("global_idx", name)
+    keys = [*by, *order]
+    # written before it is cut: ranges are sampled from these files, and a lost task finds the same places
+    rows = durable(df.withColumn("row_place", F.monotonically_increasing_id()), "rows")
+    ranged = rows.repartitionByRange(*keys, "row_place").sortWithinPartitions(*keys, "row_place").drop("row_place")
+    placed = durable(ranged.withColumns({"row_range": F.spark_partition_id(), "row_nth": F.monotonically_increasing_id() % (1 << 33)}), "ranged")
+    release(rows)
+    counts = placed.groupBy("row_range", *by).agg(F.count(F.lit(1)).alias("n"), F.min("row_nth").alias("low"))
+    before = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("row_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(F.col("row_range").alias("of_range"), *(F.col(c).alias(f"of_{c}") for c in by), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by), F.col("row_range") == F.col("of_range"))
+    met = placed.join(shift if by else F.broadcast(shift), same)
+    return met.select(*df.columns, (F.col("row_nth") + F.col("shift")).cast("long").alias(name))
 
 
 def quantile(rows: DataFrame, by: Sequence[str], value: Column | str, q: float, name: str = "q", accuracy: int = 10_000) -> DataFrame:
@@ -155,8 +160,7 @@ def quantile(rows: DataFrame, by: Sequence[str], value: Column | str, q: float,
 
 def reindex_dense(df: DataFrame, group: Sequence[str], column: str, name: str = "dense") -> DataFrame:
     """Old id to 0-based dense id inside each group."""
-    ids = df.select(*group, column).distinct()
-    return df.join(ids.withColumn(name, (F.row_number().over(Window.partitionBy(*group).orderBy(column)) - 1).cast("long")), [*group, column])
+    return df.join(numbered(df.select(*group, column).distinct(), column, by=group, name=name), [*group, column])
 
 
 def locate_in_shards(ordinals: DataFrame, sizes: DataFrame, ordinal: str = "ordinal") -> DataFrame:
@@ -177,11 +181,11 @@ def locate_in_shards(ordinals: DataFrame, sizes: DataFrame, ordinal: str = "ordi
 
 def best_worst_typical(df: DataFrame, group: Sequence[str], value: str, key: str, n: int) -> DataFrame:
     """n lowest, n highest, and n around the median rank of each group."""
-    w = Window.partitionBy(*group)
-    ranked = df.withColumns({"rank": F.row_number().over(w.orderBy(value, key)), "all": F.count(F.lit(1)).over(w)})
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("all"))
+    ranked = numbered(df, value, key, by=group, name="rank").join(sizes, list(group)).withColumn("rank", F.col("rank") + 1)
     middle = F.floor(F.col("all") / 2) - n // 2
     kind = F.when(F.col("rank") <= n, "best").when(F.col("rank") > F.col("all") - n, "worst").when((F.col("rank") > middle) & (F.col("rank") <= middle + n), "typical")
-    return ranked.withColumn("kind", kind).where("kind is not null").drop("all").withColumn("rank", F.col("rank").cast("long"))
+    return ranked.withColumn("kind", kind).where("kind is not null").drop("all")
 
 
 def split_by_fraction(df: DataFrame, order: Sequence[str], fraction: float, batch: int) -> DataFrame:
@@ -199,10 +203,16 @@ def slices(df: DataFrame, order: Sequence[str], jobs: int) -> DataFrame:
 
 
 def gap_profile(events: DataFrame, group: Sequence[str], ts: str, tie: str) -> DataFrame:
-    """Elapsed milliseconds between successive events: 95 % quantile, mean, total hours."""
-    at = F.col(ts).cast("timestamp")
-    gap = (F.unix_micros(at) - F.unix_micros(F.lag(at).over(Window.partitionBy(*group).orderBy(ts, tie)))) / 1000
-    return events.withColumn("gap", gap).groupBy(*group).agg(F.percentile("gap", 0.95).alias("p95_ms"), F.avg("gap").alias("mean_ms"), (F.sum("gap") / 3.6e6).alias("hours"))
+    """Elapsed milliseconds between successive events: 95 % quantile, mean, total hours.
+
+    An event meets the one before it by its number, so a long group is no window.
+    """
+    own = events.select(*group, F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(tie).alias("tie"))
+    nth = durable(numbered(own, "at", "tie", by=group, name="nth"), "gaps")
+    prior = nth.select(*group, (F.col("nth") + 1).alias("nth"), F.col("at").alias("last"))
+    gaps = nth.join(prior, [*group, "nth"], "left").withColumn("gap", (F.col("at") - F.col("last")) / 1000)
+    sums = gaps.groupBy(*group).agg(F.avg("gap").alias("mean_ms"), (F.sum("gap") / 3.6e6).alias("hours"))
+    return sums.join(quantile(gaps, group, "gap", 0.95, "p95_ms"), list(group), "left").select(*group, "p95_ms", "mean_ms", "hours")
 
 
 # orders and samples ----------------------------------------------------------------------------
@@ -251,7 +261,7 @@ def uniform(seed: int, *key: str) -> Column:
 def block_shuffle(df: DataFrame, seed: int, shard: str, key: str, rank: int, world: int) -> DataFrame:
     """Shards permuted, rows permuted inside each; the rank-th of every ``world`` rows."""
     keyed = df.withColumns({"shard_key": shuffle_key(seed, shard), "row_key": shuffle_key(seed + 1, key)})
-    out = numbered(keyed, "shard_key", "row_key", cut=head_number(F.col("shard_key")))
+    out = numbered(keyed, "shard_key", "row_key")
     return out.where(F.col("ordinal") % world == rank).drop("shard_key", "row_key")
 
 

@@ -114,7 +114,7 @@ add("l1_profile_and_select", lambda v: tb.select_where(ms.type_counts(v("fx_curv
 
 def _training(v):
     kept = tb.filter_by_flags(v("fx_flags"), ["has_sharp"], ["has_smell_a"])
-    mixed = tb.numbered(kept.select("patch_id", tb.shuffle_key(7, "patch_id").alias("k")), "k", cut=tb.head_number(F.col("k")), name="place")
+    mixed = tb.numbered(kept.select("patch_id", tb.shuffle_key(7, "patch_id").alias("k")), "k", name="place")
     split = tb.split_by_fraction(mixed.drop("k"), ["place"], 0.8, 64)
     return split.where("place < 2000").select("patch_id", "place", "split")
 

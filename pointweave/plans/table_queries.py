@@ -95,7 +95,7 @@ add(
     lambda v: v("part").select("p_partkey", F.concat(F.lit("test_"), F.col("p_partkey").cast("string"), F.lit(".npy")).alias("name")).withColumn("place", F.array_join(tb.natural_key(F.col("name")), "/")),
     "SELECT p_partkey, 'test_' || p_partkey || '.npy' AS name, 'test_/' || lpad(p_partkey::VARCHAR, 20, '0') || '/.npy' AS place FROM part",
 )
-add("k6_shuffle", lambda v: tb.numbered(v("orders").select("o_orderkey", tb.shuffle_key(7, "o_orderkey").alias("k")), "k", cut=tb.head_number(F.col("k"))).drop("k"), "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY md5('7|' || o_orderkey)) - 1 AS ordinal FROM orders")
+add("k6_shuffle", lambda v: tb.numbered(v("orders").select("o_orderkey", tb.shuffle_key(7, "o_orderkey").alias("k")), "k").drop("k"), "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY md5('7|' || o_orderkey)) - 1 AS ordinal FROM orders")
 add(
     "k7_block_shuffle",
     lambda v: tb.block_shuffle(v("fx_shards").select("shard", "row_id"), 3, "shard", "row_id", 1, 4),
