@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, chat, decontam, jpeg, langid, neardup, oracles, pii, quality, repeats, sharding
+from pointweave.llm import bpe, chat, decontam, jpeg, langid, manifest, neardup, oracles, pii, quality, repeats, sharding
 from pointweave.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jpeg_media": op1_jpeg_media,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_snapshot_collapse": op8_snapshot_collapse,
         "op9_checked_pii": op9_checked_pii,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -77,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_hyperminhash_groups": oracles.NEAR_DUPLICATES,
         "op7_suffix_decontamination": oracles.DECONTAMINATION,
         "op8_snapshot_collapse": chat.ORACLE,
+        "op13_merkle_manifest": manifest.ORACLE,
     }
