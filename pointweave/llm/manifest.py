@@ -47,20 +47,20 @@ def leaf(text: Column) -> Column:
     return digest(*(field(F.col(c)) for c in FIELDS[:-1]), field(text))
 
 
+#: Lag and lead columns of all offsets, and what the slot and the run's length leave of them.
+_NEIGHBOURS = [f"{side}(digest, {k}) OVER (PARTITION BY tree, block ORDER BY pos) AS {side}_{k}" for side in ("lag", "lead") for k in range(1, ARITY)]
+_BEFORE = ", ".join(f"IF(slot >= {k}, lag_{k}, NULL)" for k in range(ARITY - 1, 0, -1))
+_AFTER = ", ".join(f"IF(slot + {k} < run, lead_{k}, NULL)" for k in range(1, ARITY))
+
+
 def _siblings(nodes: DataFrame) -> DataFrame:
-    """``before`` and ``after``: the digests of the other nodes of a node's run, and ``parent`` at its first child.
+    """``before`` and ``after``: the digests of the nodes of a node's run on either side of it.
 
     nodes: tree, pos, n (nodes of the tree at this level), digest.
     """
-    at = Window.partitionBy("tree", "block").orderBy("pos")
-    blocks = nodes.withColumn("block", F.expr(f"pos div {BLOCK}"))
-    slot = F.col("pos") % ARITY
-    run = F.least(F.lit(ARITY), F.col("n") - F.col("pos") + slot)
-    wide = blocks.withColumns({f"lag_{k}": F.lag("digest", k).over(at) for k in range(1, ARITY)} | {f"lead_{k}": F.lead("digest", k).over(at) for k in range(1, ARITY)})
-    before = [F.when(slot >= k, F.col(f"lag_{k}")) for k in range(ARITY - 1, 0, -1)]
-    after = [F.when(slot + k < run, F.col(f"lead_{k}")) for k in range(1, ARITY)]
-    out = wide.withColumns({"before": F.concat_ws("", *before), "after": F.concat_ws("", *after)})
-    return out.drop(*(f"{side}_{k}" for side in ("lag", "lead") for k in range(1, ARITY)))
+    blocks = nodes.selectExpr("*", f"pos div {BLOCK} AS block", f"pos % {ARITY} AS slot", f"least({ARITY}, n - pos + pos % {ARITY}) AS run")
+    wide = blocks.selectExpr("*", *_NEIGHBOURS)
+    return wide.selectExpr(*nodes.columns, "block", f"concat_ws('', {_BEFORE}) AS before", f"concat_ws('', {_AFTER}) AS after")
 
 
 def _grown(nodes: DataFrame) -> DataFrame:
