@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, chat, decontam, jpeg, langid, manifest, neardup, oracles, pii, quality, repeats, sharding
+from pointweave.llm import bpe, chat, decontam, jpeg, langid, manifest, neardup, oracles, pii, quality, repeats, sharding, tokenfiles
 from pointweave.llm.common import table
+from pointweave.sources.durable import shared_dir
 
 
 def tokenizer_path() -> str:
@@ -56,6 +58,13 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    return tokenfiles.report(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.report(table(spark, sf_dir, "documents"))
 
@@ -72,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_snapshot_collapse": op8_snapshot_collapse,
         "op9_checked_pii": op9_checked_pii,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op12_packed_token_files": op12_packed_token_files,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
