@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm import bpe, chat, decontam, jpeg, langid, manifest, neardup, oracles, pii, quality, repeats, sharding, tokenfiles
+from pointweave.llm import bpe, chat, decontam, jpeg, langid, manifest, neardup, oracles, phrases, pii, quality, repeats, sharding, tokenfiles
 from pointweave.llm.common import table
 from pointweave.sources.durable import shared_dir
 
@@ -58,6 +58,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_fm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_snapshot_collapse": op8_snapshot_collapse,
         "op9_checked_pii": op9_checked_pii,
         "op10_bpe_round_trip": op10_bpe_round_trip,
+        "op11_fm_collocations": op11_fm_collocations,
         "op12_packed_token_files": op12_packed_token_files,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
@@ -92,5 +97,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_hyperminhash_groups": oracles.NEAR_DUPLICATES,
         "op7_suffix_decontamination": oracles.DECONTAMINATION,
         "op8_snapshot_collapse": chat.ORACLE,
+        "op11_fm_collocations": phrases.ORACLE,
         "op13_merkle_manifest": manifest.ORACLE,
     }
