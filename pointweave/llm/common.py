@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +67,6 @@ def flat_bytes(texts: pa.Array, start: int, stop: int) -> tuple[np.ndarray, np.n
     return data, at - at[0]
 
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words (multiply, shift, multiply)."""
     x = x ^ (x >> np.uint64(31))
@@ -80,23 +77,35 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TURN = np.uint64(0xA24BAED4963EE407)
-#: Words up to this length are hashed eight bytes at a time, all at once; longer ones by xxh3.
-SHORT = 64
+_SECOND = np.uint64(0xA24BAED4963EE407)
+#: Words under this length are packed with it into 64 bits; longer ones have a digest.
+PACKED = 8
 _KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def word_hashes(data: np.ndarray, is_word: np.ndarray, lower: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of concatenated texts: start, end, 64-bit hash, and words up to each text.
+class _Digests(dict[bytes, bytes]):
+    """128-bit BLAKE2b digests of words, remembered up to a number of them."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 200_000:
+            self.clear()
+        out = self[word] = hashlib.blake2b(word, digest_size=16).digest()
+        return out
+
+
+_DIGESTS = _Digests()
+
+
+def word_lanes(data: np.ndarray, is_word: np.ndarray, lower: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of concatenated texts: start, end, 128 bits in two lanes (rows), and words up to each text.
 
     ``is_word`` and ``lower`` are tables of 256 entries.  A word is a maximal
-    run of word bytes inside one text.  The hash mixes eight bytes at a time
-    into two lanes.  Words of one length of at most eight bytes never share a
-    hash; others may by chance, so what a hash finds is confirmed on bytes.
+    run of word bytes inside one text.  Words of up to seven bytes are told
+    apart by each lane alone; longer ones by their 128-bit digests.
     """
     n = len(data)
     if n == 0:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((2, 0), np.uint64), np.zeros(len(offsets), np.int64)
     inside = is_word[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -112,23 +121,20 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray, lower: np.ndarray, offset
     folded = np.zeros(n + 8, np.uint8)
     folded[:n] = lower[data]
     eight = np.ndarray(n, "<u8", folded, strides=(1,))
-    h = mix64((eight[starts] & _KEPT[np.minimum(size, 8)]) ^ size.astype(np.uint64) * _ODD)
-    rest = np.flatnonzero((size > 8) & (size <= SHORT))
-    if len(rest):
-        a, b = h[rest], h[rest] * _TURN
-        going = np.arange(len(rest))
-        for at in range(8, SHORT, 8):
-            going = going[size[rest[going]] > at]
-            if not len(going):
-                break
-            word = rest[going]
-            chunk = eight[starts[word] + at] & _KEPT[np.minimum(size[word] - at, 8)]
-            a[going] = mix64(a[going] ^ chunk)
-            b[going] = mix64(b[going] + chunk * _TURN)
-        h[rest] = a ^ (b << np.uint64(32) | b >> np.uint64(32))
-    for i in np.flatnonzero(size > SHORT).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(folded[starts[i] : ends[i]].tobytes())
-    return starts, ends, h, np.searchsorted(starts, offsets)
+    packed = (eight[starts] & _KEPT[np.minimum(size, PACKED)]) | (np.minimum(size, PACKED).astype(np.uint64) << np.uint64(56))
+    lanes = np.stack([mix64(packed), mix64(packed ^ _SECOND)])
+    long = np.flatnonzero(size >= PACKED)
+    if len(long):
+        flat = folded.tobytes()
+        words = [flat[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        lanes[:, long] = np.frombuffer(b"".join(map(_DIGESTS.__getitem__, words)), "<u8").reshape(-1, 2).T
+    return starts, ends, lanes, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, is_word: np.ndarray, lower: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`word_lanes` with the first lane only: 64 bits, which may agree by chance; what they find is confirmed on bytes."""
+    starts, ends, lanes, at = word_lanes(data, is_word, lower, offsets)
+    return starts, ends, lanes[0], at
 
 
 def byte_table(chosen: Iterable[int]) -> np.ndarray:

@@ -20,9 +20,10 @@ where each member outside the largest component is compared with the members of
 other components through an inverted index.  No link between different texts is lost that could join
 components.
 
-Equal sets are grouped by a 128-bit digest before anything else, so copies are
-one node; what a group finds out goes back to its rows, however many they
-are, by ``looked_up``.
+Equal sets are grouped before anything else, so copies are one node; they are known
+by a 128-bit digest of their shingles, which are 128 bits each themselves (words of seven
+bytes or fewer whole, longer ones by BLAKE2b).  What a group finds out goes back to its rows,
+however many they are, by ``looked_up``.
 
 Defined results: words are runs of non-space bytes after A-Z are lower-cased;
 a text with fewer words than a shingle has them all as its one shingle; a null
@@ -35,18 +36,18 @@ a null component and is kept.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import LOWER, byte_table, durable, flat_bytes, lowered, mix64, pieces, release, small_batches, word_hashes
+from pointweave.llm.common import LOWER, byte_table, durable, flat_bytes, lowered, mix64, pieces, release, small_batches, word_lanes
 from pointweave.operators.graph import connected_components
 from pointweave.operators.tables import looked_up
 
@@ -62,6 +63,7 @@ HELD_BYTES = 1 << 19
 U64 = np.uint64
 _WORD = byte_table(set(range(256)) - {32, *range(9, 14)})
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+_FIRST, _OTHER = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 _PROBES = (mix64(np.arange(REGISTERS * 64, dtype=U64) + U64(77)) % U64(REGISTERS)).astype(np.int64).reshape(64, REGISTERS)
 #: Where the probes find none, the filled register of least rank lends: sets that share most registers agree on it as often.
 _RANKS = mix64(np.arange(REGISTERS * REGISTERS, dtype=U64) + U64(REGISTERS * 64 + 77)).reshape(REGISTERS, REGISTERS)
@@ -75,25 +77,41 @@ def rows_per_band(threshold: float) -> int:
     return rows
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each of the concatenated texts."""
-    _, _, h, at = word_hashes(data, _WORD, LOWER, offsets)
+def shingle_lanes(data: np.ndarray, offsets: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingles of each of the concatenated texts, 128 bits in two lanes."""
+    _, _, (a, b), at = word_lanes(data, _WORD, LOWER, offsets)
+    one, two = a.copy(), b.copy()
+    for i in range(1, min(width, len(a))):
+        n = len(a) - i
+        one[:n] = mix64(one[:n] * _FIRST + a[i:])
+        two[:n] = mix64((two[:n] ^ one[:n]) * _OTHER + b[i:])
+    one, two = mix64(one), mix64(two)
     out = []
-    key = h.copy()
-    for i in range(1, width):
-        key[: len(h) - i] = key[: len(h) - i] * U64(0x9E3779B97F4A7C15) + h[i:]
-    key = mix64(key)
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
         if hi - lo >= width:
-            own = np.sort(key[lo : hi - width + 1])
-            out.append(own[np.r_[True, own[1:] != own[:-1]]])
+            x, y = one[lo : hi - width + 1], two[lo : hi - width + 1]
+            order = np.argsort(x)
+            x, y = x[order], y[order]
+            again = x[1:] == x[:-1]
+            if np.any(again & (y[1:] != y[:-1])):  # two shingles that share a lane
+                order = np.lexsort((y, x))
+                x, y = x[order], y[order]
+                again = x[1:] == x[:-1]
+            fresh = np.r_[True, ~(again & (y[1:] == y[:-1]))]
+            out.append((x[fresh], y[fresh]))
         elif hi > lo:
-            out.append(np.array([xxhash.xxh3_64_intdigest(h[lo:hi].tobytes())], U64))
+            whole = hashlib.blake2b(np.stack([a[lo:hi], b[lo:hi]]).tobytes(), digest_size=16).digest()
+            out.append(tuple(np.frombuffer(whole, U64).reshape(2, 1)))
         else:
-            out.append(np.zeros(0, U64))
+            out.append((np.zeros(0, U64), np.zeros(0, U64)))
     return out
 
 
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+    """The first lane of :func:`shingle_lanes`: what searches for links goes by; it never decides on one."""
+    return [x for x, _ in shingle_lanes(data, offsets, width)]
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Registers of a sorted set: bucket by the top 8 bits, least hash in each."""
     bucket = (hashes >> U64(56)).astype(np.int64)
@@ -154,8 +172,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             texts = batch.column(2)
             for lo, hi in pieces(texts, HELD_BYTES):
                 data, offsets = flat_bytes(texts, lo, hi)
-                sets = shingle_sets(data, offsets, width)
-                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                lanes = shingle_lanes(data, offsets, width)
+                digests = [hashlib.blake2b(np.stack(pair).tobytes(), digest_size=16).digest() for pair in lanes]
+                sets = [x for x, _ in lanes]
                 regs = [sketch(s).tobytes() if len(s) else None for s in sets]
                 packed = [pack.compress(data[a:b].tobytes()) if len(s) else None for s, a, b in zip(sets, offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(

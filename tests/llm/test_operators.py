@@ -376,6 +376,52 @@ def test_long_words_that_collide_in_polynomials(spark, n):
     assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in neardup.report(docs).collect())
 
 
+#: Words that hashes of exclusive-or and sum in steps of eight bytes cannot tell apart.
+SWAPPED = ("v7ig3uqeybv200b0", "ofk2y4n1ds04413x")
+
+
+def test_words_that_collide_in_steps_of_eight_bytes(spark):
+    a, b = SWAPPED
+    tail = " one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"alpha beta {a}"), (2, f"alpha beta {b}"), (3, a + tail), (4, b + tail), (5, f"alpha beta {a} alpha beta {b}")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.report(docs).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 2, True), 3: (9, 3, True), 4: (9, 4, True), 5: (4, 5, True)}
+    assert neardup.representatives(docs.where("doc_id < 3")).count() == 2
+
+
+def test_words_of_every_length_are_told_apart():
+    rng = random.Random(9)
+    for size in range(1, 70):
+        word = bytearray(rng.choices(b"abcdefghijklmnopqrstuvwxyz0123456789", k=size))
+        forms = {bytes(word)}
+        for _ in range(40):
+            other = bytearray(word)
+            i, j = rng.randrange(size), rng.randrange(size)
+            other[i], other[j] = other[j], other[i]
+            if rng.random() < 0.5:
+                other[rng.randrange(size)] ^= 1 << rng.randrange(4)
+            if not set(other) & {32, *range(9, 14)}:
+                forms.add(bytes(other))
+        forms |= {f + b"\x01" for f in forms} | {f + b"\x07" for f in forms}
+        text = b" ".join(sorted(forms))
+        _, _, lanes, _ = neardup.word_lanes(np.frombuffer(text, np.uint8), neardup._WORD, neardup.LOWER, np.array([0, len(text)]))
+        assert lanes.shape[1] == len(forms) and all(len(set(lane.tolist())) == len(forms) for lane in lanes)
+
+
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_pieces_of_few_words(spark, width, percent):
+    """A batch of few words in all, beside a text that fills a batch of its own."""
+    for n in range(8):
+        text = " ".join(WORDS[:n]).encode()
+        (x, y), = neardup.shingle_lanes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), width)
+        assert len(x) == len(y) == (0 if n == 0 else max(1, n - width + 1))
+    rows = [(0, " ".join(f"w{i}" for i in range(90_000)))] + [(n, " ".join(WORDS[:n])) for n in range(1, 8)] + [(10, WORDS[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.report(docs, width, percent).collect()}
+    assert got == {0: (90_001 - width, 0), 10: (1, 1)} | {n: (max(1, n - width + 1), n) for n in range(1, 8)}
+    assert neardup.representatives(docs, width, percent).count() == 8
+
+
 def test_windows_and_links_are_confirmed_on_bytes(monkeypatch):
     """With a hash that sees lengths only, different words still match nothing."""
     import pyarrow as pa
