@@ -26,16 +26,16 @@ def _cell(c: Column, size: Column | float) -> Column:
     return F.floor(c / size).cast("long")
 
 
-def _around(df: DataFrame, xyz: Sequence[str], size: Column | float) -> DataFrame:
+def _around(df: DataFrame, xyz: Sequence[str], size: Column | float, origin: Sequence[str] | None = None) -> DataFrame:
     """Each row once for every cell within one cell of its own."""
     for i, c in enumerate(xyz):
-        own = _cell(F.col(c), size)
+        own = _cell(F.col(c) - F.col(origin[i]) if origin else F.col(c), size)
         df = df.withColumn(f"cell{i}", F.explode(F.sequence(own - 1, own + 1)))
     return df
 
 
-def _in_cells(df: DataFrame, xyz: Sequence[str], size: Column | float) -> DataFrame:
-    return df.withColumns({f"cell{i}": _cell(F.col(c), size) for i, c in enumerate(xyz)})
+def _in_cells(df: DataFrame, xyz: Sequence[str], size: Column | float, origin: Sequence[str] | None = None) -> DataFrame:
+    return df.withColumns({f"cell{i}": _cell(F.col(c) - F.col(origin[i]) if origin else F.col(c), size) for i, c in enumerate(xyz)})
 
 
 def _d2(a: Sequence[str], b: Sequence[str]) -> Column:
@@ -46,18 +46,21 @@ def _d2(a: Sequence[str], b: Sequence[str]) -> Column:
     return out
 
 
-def radius_join(queries: DataFrame, points: DataFrame, radius: float, by: Sequence[str] = (), xyz: Sequence[str] = XYZ, inclusive: bool = False) -> DataFrame:
+def radius_join(queries: DataFrame, points: DataFrame, radius: float | str, by: Sequence[str] = (), xyz: Sequence[str] = XYZ, inclusive: bool = False) -> DataFrame:
     """Pairs of a query and a point under the radius, with ``d2``.
 
-    Columns of ``points`` other than ``by`` get the prefix ``p_``.
+    Columns of ``points`` other than ``by`` get the prefix ``p_``.  A radius that
+    groups have of their own is the name of a column of both sides.
     """
     cells = [f"cell{i}" for i in range(len(xyz))]
+    own = isinstance(radius, str)
     right = points.select(*by, *(F.col(c).alias(f"p_{c}") for c in points.columns if c not in by))
-    right = _in_cells(right, [f"p_{c}" for c in xyz], radius)
-    left = _around(queries, xyz, radius)
+    right = _in_cells(right, [f"p_{c}" for c in xyz], F.col(f"p_{radius}") if own else radius)
+    left = _around(queries, xyz, F.col(radius) if own else radius)
     d2 = _d2(xyz, [f"p_{c}" for c in xyz])
+    most = F.col(radius) * F.col(radius) if own else F.lit(radius * radius)
     out = left.join(right, [*by, *cells]).drop(*cells).withColumn("d2", d2)
-    return out.where(F.col("d2") <= radius * radius if inclusive else F.col("d2") < radius * radius)
+    return out.where(F.col("d2") <= most if inclusive else F.col("d2") < most)
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), key: str = "point_id", query_key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
@@ -68,17 +71,21 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), k
     not widen the cells of the others.  Cells double for the queries whose k-th
     neighbour may lie beyond the cells looked at.  What a round settles is
     written to the shared folder.  Rows of ``queries`` are known by ``by`` and
-    ``query_key``.
+    ``query_key``.  Cells are counted from the low corner of a group, and are not
+    smaller than 2^-40 of its extent; a group without extent is one cell.
     """
     ids, axes = [*by, query_key], range(len(xyz))
     tails = [F.percentile_approx(c, [0.05, 0.95], 1000).alias(f"mid{i}") for i, c in enumerate(xyz)]
     low = points.groupBy(*by).agg(F.count(F.lit(1)).alias("held"), *tails, *(f(c).alias(f"{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max))))
     ends = queries.groupBy(*by).agg(*(f(c).alias(f"q{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max))))
-    wide = F.greatest(*(F.greatest(f"hi{i}", f"qhi{i}") - F.least(f"lo{i}", f"qlo{i}") for i in axes), F.lit(1e-300))
+    wide = F.greatest(*(F.greatest(f"hi{i}", f"qhi{i}") - F.least(f"lo{i}", f"qlo{i}") for i in axes))
     middle = F.greatest(*((F.col(f"mid{i}")[1] - F.col(f"mid{i}")[0]) / 0.9 for i in axes))
     grids = low.join(ends, list(by)) if by else low.join(F.broadcast(ends))
     grids = grids.withColumn("cell_extent", wide).withColumn("cell_size", F.when(middle > 0, middle).otherwise(F.col("cell_extent")) * F.pow(k / F.col("held"), F.lit(1.0 / len(xyz))))
-    grids = durable(grids.where("held > 0 and cell_extent is not null").select(*by, F.least("cell_size", "cell_extent").alias("cell_size"), "cell_extent"), "grids")
+    corner = [f"corner{i}" for i in axes]
+    size = F.greatest(F.least("cell_size", "cell_extent"), F.col("cell_extent") * 2.0**-40)
+    lowest = [F.least(f"lo{i}", f"qlo{i}").alias(c) for i, c in enumerate(corner)]
+    grids = durable(grids.where("held > 0 and cell_extent is not null").select(*by, F.when(size > 0, size).otherwise(1.0).alias("cell_size"), "cell_extent", *lowest), "grids")
     with_grid = lambda df: df.join(grids, list(by)) if by else df.join(F.broadcast(grids))
     pts = durable(with_grid(points.select(*by, F.col(key).alias("other"), *(F.col(c).alias(f"p_{c}") for c in xyz))).drop("cell_extent"), "points")
     pending = durable(with_grid(queries.select(*ids, *xyz)), "queries")
@@ -87,7 +94,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), k
     done = []
     for step in range(MAX_ROUNDS):
         size = F.col("cell_size") * float(2**step)
-        near = _around(pending, xyz, size).drop("cell_size").join(_in_cells(pts, [f"p_{c}" for c in xyz], size).drop("cell_size"), [*by, *cells]).withColumn("d2", _d2(xyz, [f"p_{c}" for c in xyz]))
+        near = _around(pending, xyz, size, corner).drop("cell_size").join(_in_cells(pts, [f"p_{c}" for c in xyz], size, corner).drop("cell_size", *corner), [*by, *cells]).withColumn("d2", _d2(xyz, [f"p_{c}" for c in xyz]))
         ranked = near.select(*ids, "other", "d2").withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
         full = ranked.withColumn("reach", F.max("d2").over(Window.partitionBy(*ids))).withColumn("have", F.count(F.lit(1)).over(Window.partitionBy(*ids)))
         # every point nearer than a cell's size lies in the cells around; cells as wide as the group hold all of it
@@ -98,6 +105,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), k
         release(before)
         if pending.isEmpty():
             break
+    release(pts, grids, pending)
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
@@ -114,9 +122,10 @@ def ball_query(queries: DataFrame, points: DataFrame, radius: float, nsample: in
     return queries.select(*ids).join(hits, ids, "left").withColumn("hits", filled)
 
 
-def radius_pairs(points: DataFrame, radius: float, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
+def radius_pairs(points: DataFrame, radius: float | str, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
     """Unordered pairs within the radius."""
-    pairs = radius_join(points.select(*by, key, *xyz), points.select(*by, key, *xyz), radius, by, xyz, inclusive=True)
+    own = points.select(*by, key, *xyz, *([radius] if isinstance(radius, str) else []))
+    pairs = radius_join(own, own, radius, by, xyz, inclusive=True)
     return pairs.where(F.col(key) < F.col(f"p_{key}")).select(*by, F.col(key).alias("a"), F.col(f"p_{key}").alias("b"), "d2")
 
 
@@ -302,14 +311,76 @@ def voxel_downsample(points: DataFrame, size: float, by: Sequence[str], values:
     return placed.groupBy(*by, *(f"cell{i}" for i in range(3))).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in (*xyz, *values)))
 
 
-def thin(points: DataFrame, radius: float, by: Sequence[str], seed: int, key: str = "point_id") -> DataFrame:
-    """Points without a neighbour of lower hash within the radius."""
+def _spaced(links: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The points that a maximal independent set leaves out: by, key.
+
+    links: by, first, second, where ``first`` goes before ``second``.  A round keeps the points
+    that come after nobody, drops their neighbours and forgets both, until no link is left:
+    what a walk through the points in that order would keep.
+    """
+    rows = list(by)
+    dropped = None
+    links = durable(links, "links")
+    while not links.isEmpty():
+        kept = links.select(*rows, F.col("first").alias("k")).distinct().join(links.select(*rows, F.col("second").alias("k")).distinct(), [*rows, "k"], "left_anti")
+        kept = durable(kept, "kept")
+        gone = durable(links.join(kept.withColumnRenamed("k", "first"), [*rows, "first"], "left_semi").select(*rows, F.col("second").alias("k")).distinct(), "gone")
+        dropped = gone if dropped is None else dropped.unionAll(gone)
+        # links of a kept point lead to dropped ones, so only these need to be forgotten
+        rest = links.join(gone.withColumnRenamed("k", "first"), [*rows, "first"], "left_anti").join(gone.withColumnRenamed("k", "second"), [*rows, "second"], "left_anti")
+        before, links = links, durable(rest.select(*rows, "first", "second"), "links")
+        release(before, kept)
+    return links.select(*rows, F.col("first").alias("k")) if dropped is None else dropped
+
+
+def thin(points: DataFrame, radius: float | str, by: Sequence[str], seed: int, key: str = "point_id") -> DataFrame:
+    """A maximal subset without two points within the radius, by hashed priority.
+
+    No two kept points are within the radius, and every dropped one is within it of a
+    kept one.  A radius that groups have of their own is the name of a column.
+    """
     from pointweave.operators.tables import shuffle_key
 
     pairs = radius_pairs(points, radius, by, key)
-    ka, kb = shuffle_key(seed, "a"), shuffle_key(seed, "b")
-    loser = pairs.select(*by, F.when(ka < kb, F.col("b")).otherwise(F.col("a")).alias(key)).distinct()
-    return points.join(loser, [*by, key], "left_anti")
+    ahead = F.struct(shuffle_key(seed, "a"), "a") < F.struct(shuffle_key(seed, "b"), "b")
+    links = pairs.select(*by, F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("second"))
+    return points.join(_spaced(links, by).withColumnRenamed("k", key), [*by, key], "left_anti")
+
+
+def spaced_sample(points: DataFrame, wanted: int, by: Sequence[str], seed: int, key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
+    """``wanted`` points of each group (all of a smaller one) as far apart as halving radii give: by, key, spacing.
+
+    The radius of a group starts at its extent.  Each level keeps a maximal set of points
+    that are farther than the radius from each other and from those kept before, then halves it.  The
+    level that would exceed the wanted number gives its first points by hash.
+    ``spacing`` is the radius at which a point came in; points that lie on kept ones come last, at 0.
+    """
+    from pointweave.operators.tables import numbered, shuffle_key
+
+    side = F.greatest(*(F.max(c) - F.min(c) for c in xyz))
+    floor = F.greatest(*(F.max(F.abs(c)) for c in xyz)) * 2.0**-40
+    sizes = durable(points.groupBy(*by).agg(side.alias("reach"), floor.alias("floor"), F.count(F.lit(1)).alias("all")), "sizes")
+    open_ = durable(points.select(*by, key, *xyz).join(sizes.select(*by, "reach", "floor"), list(by)), "open")
+    kept = None
+    for _ in range(MAX_ROUNDS):
+        free = open_
+        if kept is not None:
+            reaches = open_.groupBy(*by).agg(F.max("reach").alias("reach")).where("reach > 0")
+            near = radius_join(open_.where("reach > 0"), kept.select(*by, *xyz).join(reaches, list(by)), "reach", by, xyz, inclusive=True)
+            free = durable(open_.join(near.select(*by, key).distinct(), [*by, key], "left_anti"), "free")
+        level = thin(free.where("reach > 0"), "reach", by, seed, key).unionAll(free.where("reach <= 0"))
+        nth = numbered(level.withColumn("turn", shuffle_key(seed, key)), "turn", key, by=by, name="nth")
+        if kept is not None:
+            nth = nth.join(kept.groupBy(*by).agg(F.count(F.lit(1)).alias("have")), list(by)).withColumn("nth", F.col("nth") + F.col("have"))
+        new = nth.where(F.col("nth") < wanted).select(*by, key, *xyz, F.col("reach").alias("spacing"))
+        kept = durable(new if kept is None else kept.unionAll(new), "kept")
+        short = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("have")).join(sizes, list(by)).where(F.col("have") < F.least(F.lit(wanted), F.col("all"))).select(*by)
+        rest = open_.join(short, list(by), "left_semi").join(kept.select(*by, key), [*by, key], "left_anti")
+        before, open_ = open_, durable(rest.withColumn("reach", F.when(F.col("reach") / 2 > F.col("floor"), F.col("reach") / 2).otherwise(0.0)), "open")
+        release(before)
+        if open_.isEmpty():
+            break
+    return kept.select(*by, key, "spacing")
 
 
 def pca_ratio(points: DataFrame, radius: float, by: Sequence[str], key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:

@@ -99,6 +99,13 @@ def _farthest(k: int) -> str:
 
 
 add("k9_farthest_point_sampling", lambda v: sp.farthest_points(v("fx_points"), 4, I), _farthest(4))
-add("k11_thin", lambda v: sp.thin(v("fx_points"), 0.1567, I, 9).select("item_id", "point_id"), f"SELECT item_id, point_id FROM fx_points q WHERE NOT EXISTS (SELECT 1 FROM fx_points p WHERE p.item_id = q.item_id AND p.point_id <> q.point_id AND {_D2} <= 0.1567 * 0.1567 AND md5('9|' || p.point_id) < md5('9|' || q.point_id))")
+#: A walk through the points in the order of their hashes; each is kept if none kept before is within the radius.
+_WALK = """WITH RECURSIVE o AS MATERIALIZED (SELECT item_id, point_id, x, y, z, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY md5('9|' || point_id), point_id) AS n FROM fx_points),
+walk(item_id, n, kept) AS (SELECT DISTINCT item_id, 0::BIGINT, []::STRUCT(p BIGINT, x DOUBLE, y DOUBLE, z DOUBLE)[] FROM o
+  UNION ALL SELECT w.item_id, o.n, CASE WHEN len(list_filter(kept, lambda k: (k.x - o.x) ** 2 + (k.y - o.y) ** 2 + (k.z - o.z) ** 2 <= 0.1567 * 0.1567)) = 0 THEN list_append(kept, {'p': o.point_id, 'x': o.x, 'y': o.y, 'z': o.z}) ELSE kept END
+  FROM walk w JOIN o ON o.item_id = w.item_id AND o.n = w.n + 1)
+SELECT item_id, UNNEST(kept).p AS point_id FROM (SELECT * FROM walk QUALIFY ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY n DESC) = 1)"""
+add("k11_thin", lambda v: sp.thin(v("fx_points"), 0.1567, I, 9).select("item_id", "point_id"), _WALK)
+add("k11_spaced_sample", lambda v: sp.spaced_sample(v("fx_points"), 12, I, 9).select("item_id", "point_id", "spacing"))
 add("j21_cross_view_candidates", lambda v: (lambda n: n.groupBy("item_id", "point_id").agg(F.max("d2").alias("far"), F.count(F.lit(1)).alias("n")).where("n = 4 and far < 0.0401").select("item_id", "point_id"))(sp.knn(ev(v), od(v), 4, I, xyz=("x", "y"))),
     f"SELECT item_id, point_id FROM (SELECT q.item_id, q.point_id, (q.x - p.x) ** 2 + (q.y - p.y) ** 2 AS d2, ROW_NUMBER() OVER (PARTITION BY q.item_id, q.point_id ORDER BY (q.x - p.x) ** 2 + (q.y - p.y) ** 2, p.point_id) AS rank FROM fx_points q JOIN fx_points p USING (item_id) WHERE {EVEN} AND {ODD}) WHERE rank <= 4 GROUP BY 1, 2 HAVING COUNT(*) = 4 AND MAX(d2) < 0.0401")
