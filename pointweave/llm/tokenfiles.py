@@ -14,8 +14,7 @@ read by Spark (rows of text without a character set, and its binary source), so
 folder may be in any store that Spark reaches.  Beside them ``manifest`` holds the ids
 before each file, so that a stretch of the whole corpus opens its own files only.
 
-Encoding is the tokenizers library's.  The vocabulary's words end at white space, so a
-text is encoded as its pieces between spaces, and a piece met before is looked up.
+Encoding is the tokenizers library's; what it has encoded before is looked up.
 
 Defined results: a null or empty text has the end id alone; rows without an id come
 first; rows of one id are in the order of their texts' hashes; repeated rows are documents of
@@ -24,10 +23,13 @@ their own; an empty table gives no files and an empty result; other columns are
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,8 +43,12 @@ from pointweave.llm.common import small_batches
 BLOCK = 4096
 #: Ids after which a file ends at the next document.
 FILE_IDS = 1 << 24
-#: Pieces that a task remembers, and the longest of them in characters.
-SEEN, PIECE = 300_000, 64
+#: Pieces, and words, that a task remembers, and the longest of them in characters.
+SEEN, PIECE = 200_000, 64
+#: Fixed value: how the vocabulary cuts lower-cased text into words.
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What that means for printable ASCII.
+_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
 _HEADER = struct.Struct(">4sBxxxIIQQQ")
 _MAGIC = b"PWTF"
 
@@ -107,7 +113,14 @@ class File:
 
 
 class Encoder:
-    """The library's ids of a text, by pieces between spaces."""
+    """The library's ids of texts.
+
+    A vocabulary that splits at white space and at ``RULE`` gives a text the ids of its
+    pieces between spaces.  Pieces met before are looked up; new ones of printable
+    ASCII are cut as the rule cuts them, and the words among them not met before go to the
+    library's model.  Other new pieces are encoded as one text with a special token
+    between them.  Other vocabularies encode whole texts.
+    """
 
     def __init__(self, content: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own share of the machine
@@ -116,28 +129,63 @@ class Encoder:
         self.library = Tokenizer.from_str(content)
         self.library.no_truncation()
         self.library.no_padding()
-        self.seen: dict[str, bytes] = {"": b""}
-
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.seen) + len(pieces) > SEEN:
-            self.seen = {"": b""}
-        found = self.library.encode_batch(pieces, add_special_tokens=False)
-        self.seen.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(pieces, found))
+        told = json.loads(content)
+        special = [t for t in told["added_tokens"] if t["special"] and t["content"].startswith("<|") and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        spaced = any(n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " " for n in (told["normalizer"] or {}).get("normalizers", []))
+        suffix = told["model"].get("end_of_word_suffix")
+        self.by_pieces = bool(suffix and special and spaced and steps and steps[0].get("pattern") == {"Regex": RULE} and steps[0]["behavior"] == "Removed" and steps[0]["invert"])
+        if self.by_pieces:
+            self.model = self.library.model
+            self.between, self.mark = special[0]["content"], special[0]["id"]
+        self.seen: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _cut(self, joined: str) -> list[bytes]:
+        """Ids of the pieces between special tokens."""
+        ids = np.array(self.library.encode(joined, add_special_tokens=False).ids, "<u4")
+        raw, at = ids.tobytes(), [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+        return [raw[4 * (a + 1) : 4 * b] for a, b in zip(at, at[1:])]
+
+    def _learned(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        simple, odd, out = [], [], {}
+        for p in pieces:
+            if len(p) > PIECE or "<|" in p:
+                out[p] = self.whole(p)
+            else:
+                (simple if p.isascii() and p.isprintable() else odd).append(p)
+        parts = [_WORDS.findall(p.lower()) for p in simple]
+        new = list({w for part in parts for w in part if w not in self.words})
+        if len(self.words) + len(new) > SEEN:
+            self.words = {}
+            new = list({w for part in parts for w in part})
+        merge = self.model.tokenize
+        self.words.update((w, array("I", [t.id for t in merge(w)]).tobytes()) for w in new)
+        known = self.words
+        out.update((p, b"".join([known[w] for w in part])) for p, part in zip(simple, parts))
+        if odd:
+            out.update(zip(odd, self._cut(self.between.join(odd))))
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        pieces = text.split(" ")
+        if not self.by_pieces:
+            return self.whole(text)
+        pieces = text.replace("\n", " ").replace("\t", " ").split(" ")
         try:
             return b"".join(map(self.seen.__getitem__, pieces))
         except KeyError:
             pass
-        new = {p for p in pieces if len(p) <= PIECE and p not in self.seen}
-        kept = {p: None for p in pieces if len(p) <= PIECE}
-        if len(self.seen) + len(new) > SEEN:
-            new = set(kept)  # all of this text's pieces, as the others are forgotten
-        self.learn(sorted(new))
         known = self.seen
-        return b"".join(known[p] if len(p) <= PIECE else np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in pieces)
+        new = self._learned({p for p in pieces if p not in known})
+        out = b"".join([known[p] if p in known else new[p] for p in pieces])
+        if len(known) + len(new) > SEEN:
+            known.clear()
+        known.update((p, ids) for p, ids in new.items() if len(p) <= PIECE)
+        return out
 
 
 def vocabulary(content: str) -> int:

@@ -43,15 +43,28 @@ def test_pieces_give_the_ids_of_whole_texts(path, sf):
     texts = TEXTS + [t or "" for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()]
     with open(path) as f:
         encoder = tf.Encoder(f.read())
+    assert encoder.by_pieces
+    texts += ["".join(chr(c) for c in range(n, n + 40)) + " a" for n in range(0, 700, 3)]
+    texts += [f"a{chr(c)}b 'S{chr(c)}{chr(c)}'ll {chr(c)} don't''s </w> <| |>x" for c in [*range(128), 0x85, 0xA0, 0x1680, 0x2028, 0x3000, 0x301, 0xFEFF]]
     seen, tf.SEEN = tf.SEEN, 3000  # so that pieces are forgotten on the way
     try:
         whole = library(path).encode_batch(texts, add_special_tokens=False)
         for t, e in zip(texts, whole):
-            assert np.frombuffer(encoder.encode(t), "<u4").tolist() == e.ids
+            assert len(encoder.seen) <= 3000 + len(t) and np.frombuffer(encoder.encode(t), "<u4").tolist() == e.ids
     finally:
         tf.SEEN = seen
 
 
+def test_other_vocabularies_encode_whole_texts():
+    public = pytest.importorskip("public_tokenizers")
+    with open(public.path("byte_bpe_50k.json")) as f:
+        content = f.read()
+    encoder = tf.Encoder(content)
+    assert not encoder.by_pieces
+    for t in TEXTS:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == encoder.library.encode(t, add_special_tokens=False).ids
+
+
 def plain(rows, path, end=2):
     tok, out, at = library(path), [], 0
     for doc_id, text in rows:
