@@ -78,19 +78,64 @@ def connect_dangling(edges: DataFrame, points: DataFrame, radius: float, by: tup
     return best.distinct().join(edges.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), [*by, "a", "b"], "left_anti")
 
 
-def polyline_chains(edges: DataFrame, by: tuple[str, ...] = ("item_id",)) -> DataFrame:
-    """Number of edges of each maximal chain between nodes of degree other than 2, and of closed loops.
+def _followed(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pointer doubling along lists: (arc, head, rank, low) of the arcs that a head leads to, and (arc, low) of those in rings.
 
-    A chain is a component of edges that meet in degree-2 nodes; its name is
-    its least edge.
+    arcs: arc, back (the arc before, null at a head), low.  Each round doubles the
+    stretch that an arc has looked back over, so a list of n arcs takes about log2 n; ``low`` becomes
+    the least of that stretch.  A round that reaches no new head and changes no ``low`` leaves rings only.
+    """
+    state = durable(arcs.select("arc", F.coalesce("back", "arc").alias("head"), F.when(F.col("back").isNull(), 0).otherwise(1).cast("long").alias("rank"), "low", F.col("back").isNull().alias("led")), "arcs")
+    led, open_ = durable(state.where("led"), "led"), state.where("not led")
+    mark = None
+    while True:
+        at = state.select(F.col("arc").alias("head"), F.col("head").alias("next"), F.col("rank").alias("more"), F.col("low").alias("other"), F.col("led").alias("there"))
+        moved = durable(open_.join(at, "head").select("arc", F.col("next").alias("head"), (F.col("rank") + F.col("more")).alias("rank"), F.least("low", "other").alias("low"), F.col("there").alias("led")), "arcs")
+        seen = moved.agg(F.count_if("led"), F.coalesce(F.sum(F.when(~F.col("led"), F.xxhash64("arc", "low")).cast("decimal(38,0)")), F.lit(0)), F.count_if(~F.col("led"))).first()
+        before, led = led, led.unionAll(moved.where("led"))
+        state, open_ = led.unionAll(moved.where("not led")), moved.where("not led")
+        if seen[2] == 0 or (seen[0] == 0 and seen[1] == mark):
+            return led.select("arc", "head", "rank", "low"), open_.select("arc", "low")
+        mark = seen[1]
+
+
+def chain_vertices(edges: DataFrame, by: tuple[str, ...] = ("item_id",)) -> DataFrame:
+    """Vertices in order of each maximal chain between nodes of degree other than 2, and of each closed loop.
+
+    by, first, second (a chain's name: its first two vertices), closed, pos, node.  An open chain
+    runs from the lesser of its ends (with the vertex beside it); a closed loop starts and
+    ends at its least vertex, the seam, and goes towards the lesser of that one's neighbours.
+    Both directions of an edge are arcs, linked through nodes of degree 2, and numbered by
+    pointer doubling.  Repeated edges count once, and edges from a node to itself not at all.
     """
-    e = edges.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("edge", F.xxhash64(*by, "a", "b"))
-    mid = degrees(e, by).where("degree = 2").select(*by, "node")
-    at = e.select(*by, "edge", F.explode(F.array("a", "b")).alias("node")).join(mid, [*by, "node"])
-    links = at.groupBy(*by, "node").agg(F.min("edge").alias("src"), F.max("edge").alias("dst")).select("src", "dst")
-    labels = connected_components(links)
-    named = e.join(labels.withColumnRenamed("node", "edge"), "edge", "left").withColumn("chain", F.coalesce("component", "edge"))
-    return named.groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("n_edges"), F.min(F.struct("a", "b")).alias("first")).select(*by, "n_edges", F.col("first.a").alias("a"), F.col("first.b").alias("b"))
+    by = list(by)
+    e = edges.where("a <> b").select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("edge", 2 * F.monotonically_increasing_id())
+    e = durable(e, "chains")
+    arcs = durable(e.select(*by, "edge", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.lit(1).alias("side"), F.col("b").alias("u"), F.col("a").alias("v")))).alias("d")).select(*by, (F.col("edge") + F.col("d.side")).alias("arc"), "d.u", "d.v"), "chains")
+    # at a node of degree 2 each of the two arcs that come in goes on as the other's reverse
+    pairs = arcs.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"), F.min("arc").alias("one"), F.max("arc").alias("two")).where("n = 2")
+    links = pairs.select(F.explode(F.array(F.struct(F.col("one").bitwiseXOR(F.lit(1)).alias("arc"), F.col("two").alias("back")), F.struct(F.col("two").bitwiseXOR(F.lit(1)).alias("arc"), F.col("one").alias("back")))).alias("l")).select("l.*")
+    linked = durable(arcs.select("arc", F.col("u").alias("low")).join(links, "arc", "left"), "chains")
+    placed, rings = _followed(linked)
+    placed = placed.withColumn("closed", F.lit(False))
+    rings = durable(rings, "chains")
+    if not rings.isEmpty():
+        # the seam: arcs that leave the least vertex of their ring are its heads
+        cut = linked.select("arc", "back").join(rings, "arc").join(arcs.select("arc", "u"), "arc")
+        again, _ = _followed(cut.select("arc", F.when(F.col("u") != F.col("low"), F.col("back")).alias("back"), F.col("u").alias("low")))
+        placed = placed.unionAll(again.withColumn("closed", F.lit(True)))
+    placed = durable(placed.select("arc", "head", "rank", "closed").join(arcs, "arc"), "chains")
+    ends = placed.groupBy("head").agg(F.max(F.struct("rank", "u", "v")).alias("last"), F.min(F.struct("rank", "u", "v")).alias("start"))
+    # of the two directions, the one whose first two vertices come first
+    forward = ends.where(F.struct(F.col("start.u").alias("x"), F.col("start.v").alias("y")) <= F.struct(F.col("last.v").alias("x"), F.col("last.u").alias("y"))).select("head", F.col("start.u").alias("first"), F.col("start.v").alias("second"))
+    kept = placed.join(forward, "head")
+    nodes = F.when(F.col("rank") == 0, F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.col("u").alias("node")), F.struct(F.lit(1).cast("long").alias("pos"), F.col("v").alias("node")))).otherwise(F.array(F.struct((F.col("rank") + 1).alias("pos"), F.col("v").alias("node"))))
+    return kept.select(*by, "first", "second", "closed", F.explode(nodes).alias("n")).select(*by, "first", "second", "closed", "n.pos", "n.node")
+
+
+def polyline_chains(edges: DataFrame, by: tuple[str, ...] = ("item_id",)) -> DataFrame:
+    """Number of edges and first edge of each chain of :func:`chain_vertices`."""
+    return chain_vertices(edges, by).groupBy(*by, "first", "second", "closed").agg((F.count(F.lit(1)) - 1).alias("n_edges")).select(*by, "n_edges", "closed", F.col("first").alias("a"), F.col("second").alias("b"))
 
 
 def frontier(edges: DataFrame, seeds: DataFrame, hops: int, every: int = 3, size: int | None = None) -> DataFrame:

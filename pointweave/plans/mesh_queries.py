@@ -109,6 +109,18 @@ add("g7_polyline_chains", lambda v: gr.polyline_chains(pairs(v)).groupBy("n_edge
     f"""WITH RECURSIVE e AS MATERIALIZED (SELECT ROW_NUMBER() OVER (ORDER BY a, b) AS k, a, b FROM {_PAIRS}), m AS (SELECT node FROM {_DEG} WHERE degree = 2), t AS (SELECT k, node FROM (SELECT k, a AS node FROM e UNION ALL SELECT k, b FROM e) JOIN m USING (node)),
     l AS MATERIALIZED (SELECT x.k AS s, y.k AS t FROM t x JOIN t y USING (node)), r AS (SELECT k AS node, k AS reach FROM e UNION SELECT r.node, l.t FROM r JOIN l ON l.s = r.reach),
     c AS (SELECT node, MIN(reach) AS low FROM r GROUP BY 1) SELECT n_edges, COUNT(*) AS n FROM (SELECT low, COUNT(*) AS n_edges FROM c GROUP BY 1) GROUP BY 1""")
+#: Walks from each end of a chain, and around each loop from its least vertex.
+_CHAINS = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT item_id, a AS u, b AS v FROM {_PAIRS} UNION SELECT item_id, b, a FROM {_PAIRS}), d AS MATERIALIZED (SELECT item_id, u, COUNT(*) AS degree FROM e GROUP BY 1, 2),
+    walk AS (SELECT e.item_id, e.u AS first, e.v AS second, 1::BIGINT AS pos, e.u AS prior, e.v AS node FROM e JOIN d ON d.item_id = e.item_id AND d.u = e.u WHERE degree <> 2
+      UNION ALL SELECT w.item_id, first, second, pos + 1, node, e.v FROM walk w JOIN d ON d.item_id = w.item_id AND d.u = node AND degree = 2 JOIN e ON e.item_id = w.item_id AND e.u = node AND e.v <> prior),
+    tail AS (SELECT * FROM walk QUALIFY ROW_NUMBER() OVER (PARTITION BY item_id, first, second ORDER BY pos DESC) = 1),
+    loops AS MATERIALIZED (SELECT e.item_id, e.u, e.v FROM e WHERE (e.item_id, e.u) NOT IN (SELECT (item_id, node) FROM walk) AND (e.item_id, e.u) NOT IN (SELECT (item_id, first) FROM walk)),
+    ring AS (SELECT item_id, u AS first, v AS second, 1::BIGINT AS pos, u AS prior, v AS node FROM loops UNION ALL SELECT r.item_id, first, second, pos + 1, node, l.v FROM ring r JOIN loops l ON l.item_id = r.item_id AND l.u = node AND l.v <> prior WHERE node <> first),
+    seam AS (SELECT item_id, first, second FROM ring GROUP BY 1, 2, 3 HAVING first = MIN(node) AND second < ARG_MAX(prior, pos)),
+    rows AS (SELECT w.item_id, w.first, w.second, FALSE AS closed, w.pos, w.node FROM walk w JOIN tail t ON t.item_id = w.item_id AND t.first = w.first AND t.second = w.second WHERE (w.first, w.second) <= (t.node, t.prior)
+      UNION ALL SELECT item_id, first, second, TRUE, pos, node FROM ring JOIN seam USING (item_id, first, second))
+    SELECT * FROM rows UNION ALL SELECT DISTINCT item_id, first, second, closed, 0, first FROM rows"""
+add("g7_chain_vertices", lambda v: gr.chain_vertices(pairs(v)), _CHAINS)
 seeds = lambda v: v("fx_points").where("point_id % 100 = 0").select(F.col("point_id").alias("seed"), F.col("point_id").alias("node"))
 #: Breadth-first levels; no shortest path of the fixtures is longer than the bound.
 _HOP = f"(WITH RECURSIVE e AS MATERIALIZED (SELECT a AS s, b AS t FROM {_PAIRS} UNION SELECT b, a FROM {_PAIRS}), r AS (SELECT point_id AS seed, point_id AS node, 0::BIGINT AS hop FROM fx_points WHERE point_id % 100 = 0 UNION SELECT r.seed, e.t, r.hop + 1 FROM r JOIN e ON e.s = r.node WHERE r.hop < 60) SELECT seed, node, MIN(hop) AS hop FROM r GROUP BY 1, 2)"
