@@ -99,7 +99,7 @@ def _followed(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
         mark = seen[1]
 
 
-def chain_vertices(edges: DataFrame, by: tuple[str, ...] = ("item_id",)) -> DataFrame:
+def chain_vertices(edges: DataFrame, by: tuple[str, ...] = ("item_id",), stops: DataFrame | None = None) -> DataFrame:
     """Vertices in order of each maximal chain between nodes of degree other than 2, and of each closed loop.
 
     by, first, second (a chain's name: its first two vertices), closed, pos, node.  An open chain
@@ -107,6 +107,7 @@ def chain_vertices(edges: DataFrame, by: tuple[str, ...] = ("item_id",)) -> Data
     ends at its least vertex, the seam, and goes towards the lesser of that one's neighbours.
     Both directions of an edge are arcs, linked through nodes of degree 2, and numbered by
     pointer doubling.  Repeated edges count once, and edges from a node to itself not at all.
+    Chains also end at the nodes of ``stops`` (by, node), whatever their degree.
     """
     by = list(by)
     e = edges.where("a <> b").select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("edge", 2 * F.monotonically_increasing_id())
@@ -114,6 +115,8 @@ def chain_vertices(edges: DataFrame, by: tuple[str, ...] = ("item_id",)) -> Data
     arcs = durable(e.select(*by, "edge", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.lit(1).alias("side"), F.col("b").alias("u"), F.col("a").alias("v")))).alias("d")).select(*by, (F.col("edge") + F.col("d.side")).alias("arc"), "d.u", "d.v"), "chains")
     # at a node of degree 2 each of the two arcs that come in goes on as the other's reverse
     pairs = arcs.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"), F.min("arc").alias("one"), F.max("arc").alias("two")).where("n = 2")
+    if stops is not None:
+        pairs = pairs.join(stops.select(*by, F.col("node").alias("v")), [*by, "v"], "left_anti")
     links = pairs.select(F.explode(F.array(F.struct(F.col("one").bitwiseXOR(F.lit(1)).alias("arc"), F.col("two").alias("back")), F.struct(F.col("two").bitwiseXOR(F.lit(1)).alias("arc"), F.col("one").alias("back")))).alias("l")).select("l.*")
     linked = durable(arcs.select("arc", F.col("u").alias("low")).join(links, "arc", "left"), "chains")
     placed, rings = _followed(linked)

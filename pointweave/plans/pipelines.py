@@ -299,15 +299,92 @@ def mesh_vertex_patches(shape: Shape, vertices: DataFrame, seeds: DataFrame, siz
     return ge.normalize_max(ge.center(placed, ["seed"], ("x", "y", "z")), ["seed"], ("x", "y", "z"))
 
 
-def extract_wireframe(points: DataFrame, near: float, spacing: float, radius: float, k: int, thresholds: Sequence[float], level: float, snap: float, split: float, rounds: int = 3) -> DataFrame:
-    """Corners and curves of a distance field as straight pieces: item_id, curve, seg_id, end points.
+def skeleton(field: DataFrame, corners: DataFrame, radius: float, snap: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes (item_id, node, corner, x, y, z, distance) and edges (item_id, a, b) of the curves that points lie along.
+
+    field: item_id, point_id, component (of the corner cluster of a corner point, else
+    null), x, y, z, distance; corners: item_id, component, x, y, z.  Curve points are covered by a
+    spaced subset; each belongs to its nearest member, and a member within ``snap`` of a corner
+    to that corner.  Nodes are linked where points of theirs are within the radius.  The longest
+    link of each triangle goes, as do short branches of one link at a junction.  An open end
+    is the farthest of the points that belong to it.
+    """
+    own = field.select(ITEM, "point_id", "x", "y", "z", "distance")
+    curve = durable(own.join(field.where("component IS NULL").select(ITEM, "point_id"), [ITEM, "point_id"], "left_semi"), "curve")
+    seeds = durable(sp.thin(curve, radius, [ITEM], 11), "seeds")
+    met = sp.radius_join(seeds.select(ITEM, "point_id", "x", "y", "z"), corners.select(ITEM, "component", "x", "y", "z"), snap, [ITEM]).groupBy(ITEM, "point_id").agg(F.min(F.struct("d2", "p_component")).alias("to"))
+    to = durable(seeds.select(ITEM, "point_id").join(met, [ITEM, "point_id"], "left").select(ITEM, F.col("point_id").alias("other"), F.coalesce("to.p_component", "point_id").alias("node")), "seeds")
+    nearest = sp.knn(curve.select(ITEM, "point_id", "x", "y", "z"), seeds, 1, [ITEM]).select(ITEM, "point_id", "other").join(to, [ITEM, "other"]).select(ITEM, "point_id", "node")
+    cells = durable(nearest.unionAll(field.where("component IS NOT NULL").select(ITEM, "point_id", F.col("component").alias("node"))), "cells")
+    near = sp.radius_pairs(own, radius, [ITEM]).select(ITEM, F.col("a").alias("point_id"), "b")
+    ends = near.join(cells.withColumnRenamed("node", "one"), [ITEM, "point_id"]).select(ITEM, "one", F.col("b").alias("point_id")).join(cells.withColumnRenamed("node", "two"), [ITEM, "point_id"])
+    links = ends.where("one <> two").select(ITEM, F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    places = seeds.join(to.where("node = other").select(ITEM, F.col("other").alias("point_id")), [ITEM, "point_id"], "left_semi").select(ITEM, F.col("point_id").alias("node"), F.lit(False).alias("corner"), "x", "y", "z", "distance")
+    nodes = durable(places.unionAll(corners.select(ITEM, F.col("component").alias("node"), F.lit(True).alias("corner"), "x", "y", "z", F.lit(0.0).alias("distance"))), "nodes")
+    at = lambda side: nodes.select(ITEM, F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in "xyz"))
+    gap = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in "xyz"), F.lit(0.0))
+    sized = durable(links.join(at("a"), [ITEM, "a"]).join(at("b"), [ITEM, "b"]).select(ITEM, "a", "b", F.struct(F.round(gap, 12).alias("d2"), "a", "b").alias("size")), "links")
+    both = sized.unionAll(sized.select(ITEM, F.col("b").alias("a"), F.col("a").alias("b"), "size"))
+    # of the three links of a triangle the greatest goes
+    around = both.select(ITEM, "a", F.col("b").alias("c"), F.col("size").alias("ac")).join(both.select(ITEM, F.col("a").alias("c"), "b", F.col("size").alias("cb")), [ITEM, "c"]).where("a < b")
+    longest = sized.join(around, [ITEM, "a", "b"]).where("size > ac AND size > cb").select(ITEM, "a", "b").distinct()
+    edges = sized.join(longest, [ITEM, "a", "b"], "left_anti")
+    # branches of one short link
+    kind = durable(gr.degrees(edges, (ITEM,)), "degrees").join(nodes.select(ITEM, "node", "corner"), [ITEM, "node"])
+    open_ = kind.where("degree = 1 AND NOT corner").select(ITEM, "node")
+    junction = kind.where("degree > 2").select(ITEM, "node")
+    spur = edges.select(ITEM, "a", "b", "size", F.explode(F.array(F.struct(F.col("a").alias("tip"), F.col("b").alias("root")), F.struct(F.col("b").alias("tip"), F.col("a").alias("root")))).alias("e")).select(ITEM, "a", "b", "size", "e.*")
+    spur = spur.join(open_.withColumnRenamed("node", "tip"), [ITEM, "tip"], "left_semi")
+    short = spur.join(junction.withColumnRenamed("node", "root"), [ITEM, "root"], "left_semi").where(F.col("size.d2") <= 2.25 * radius * radius).select(ITEM, "a", "b")
+    edges = durable(edges.join(short, [ITEM, "a", "b"], "left_anti").select(ITEM, "a", "b"), "edges")
+    # open ends reach as far as their points do
+    tips = spur.join(edges, [ITEM, "a", "b"], "left_semi").select(ITEM, F.col("tip").alias("node"), F.col("root"))
+    far = cells.join(tips, [ITEM, "node"]).join(own, [ITEM, "point_id"]).join(nodes.select(ITEM, F.col("node").alias("root"), *(F.col(c).alias(f"r_{c}") for c in "xyz")), [ITEM, "root"])
+    reach = sum(((F.col(c) - F.col(f"r_{c}")) * (F.col(c) - F.col(f"r_{c}")) for c in "xyz"), F.lit(0.0))
+    end = far.groupBy(ITEM, "node").agg(F.min(F.struct((-F.round(reach, 12)).alias("far"), "point_id", "x", "y", "z", "distance")).alias("end"))
+    moved = nodes.join(end, [ITEM, "node"], "left").select(ITEM, "node", "corner", *(F.coalesce(f"end.{c}", c).alias(c) for c in ("x", "y", "z", "distance")))
+    return durable(moved, "nodes"), edges
+
+
+def straight_pieces(vertices: DataFrame, split: float) -> DataFrame:
+    """Pieces of ordered polylines, split until each vertex fits: item_id, curve, lo, hi and end points.
+
+    vertices: item_id, curve, pos (from 0), x, y, z, distance.  A piece is split at the vertex whose
+    distance to it differs most from its own value, while that is at least ``split``.  A curve that
+    ends where it starts is first split at the vertex farthest from there.
+    """
+    at = [ITEM, "curve"]
+    last = vertices.groupBy(*at).agg(F.max("pos").alias("n"))
+    ends = lambda pos, side: vertices.select(*at, F.col("pos").alias(pos), *(F.col(c).alias(f"{side}{c}") for c in "xyz"))
+    own = durable(vertices.join(last, at).select(*vertices.columns, F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")), "pieces")
+    d, _, _ = ge.segment_project(("x", "y", "z"), ("ax", "ay", "az"), ("bx", "by", "bz"))
+    ring = F.expr("ax = bx AND ay = by AND az = bz")
+    done = None
+    while True:
+        # interior vertices of the open pieces; pieces that are not split again are done
+        placed = own.join(ends("lo", "a"), [*at, "lo"]).join(ends("hi", "b"), [*at, "hi"])
+        inner = placed.where("pos > lo AND pos < hi").withColumns({"gap": F.round(F.abs(d - F.when(ring, 0.0).otherwise(F.col("distance"))), 9), "ring": ring})
+        worst = inner.groupBy(*at, "lo", "hi").agg(F.min(F.struct((-F.col("gap")).alias("far"), "pos", "ring")).alias("w")).where((-F.col("w.far") >= split) | F.col("w.ring"))
+        cut = durable(worst.select(*at, "lo", "hi", F.col("w.pos").alias("mid")), "pieces")
+        ready = own.select(*at, "lo", "hi").distinct().join(cut, [*at, "lo", "hi"], "left_anti")
+        done = ready if done is None else done.unionAll(ready)
+        done = durable(done, "done")
+        if cut.isEmpty():
+            break
+        halves = own.join(cut, [*at, "lo", "hi"]).select(*vertices.columns, F.explode(F.expr("filter(array(struct(lo AS lo, mid AS hi), struct(mid AS lo, hi AS hi)), h -> pos BETWEEN h.lo AND h.hi)")).alias("h"))
+        before, own = own, durable(halves.select(*vertices.columns, "h.lo", "h.hi"), "pieces")
+        release(before, cut)
+    return done.join(ends("lo", "a"), [*at, "lo"]).join(ends("hi", "b"), [*at, "hi"]).withColumnRenamed("by", "by_")
+
+
+def extract_wireframe(points: DataFrame, near: float, spacing: float, radius: float, k: int, thresholds: Sequence[float], level: float, snap: float, split: float) -> DataFrame:
+    """Corners and curves of a distance field as straight pieces: item_id, curve, closed, seg_id, end points.
 
     Points near features are thinned and their values averaged over neighbours;
-    where values vary most under the ``thresholds`` they are corners.  Corner and
-    curve points are clustered apart by the radius graph.  The two most
-    distant members of a curve cluster end its first piece, moved to the
-    nearest corner within ``snap``; pieces are split at the point whose distance
-    to them differs most from its own value, ``rounds`` times at most.
+    where values vary most under the ``thresholds`` they are corners, which are
+    clustered by the radius graph.  The :func:`skeleton` of the rest, with the corners as
+    nodes, falls into chains between corners, junctions and open ends, and closed
+    curves with a seam; each chain becomes as few pieces as fit (:func:`straight_pieces`).
     """
     kept = durable(sp.thin(points.where(F.col("distance") < near), spacing, [ITEM], 5), "wire")
     around = durable(sp.knn(kept, kept, k, [ITEM]), "wire")
@@ -315,24 +392,18 @@ def extract_wireframe(points: DataFrame, near: float, spacing: float, radius: fl
     corner = sp.corner_probability(sp.variance_dynamics(smooth, around.where("rank > 1"), [ITEM], "distance"), thresholds, [ITEM])
     field = kept.drop("distance").join(smooth, [ITEM, "point_id"]).join(corner, [ITEM, "point_id"], "left").fillna(0.0, ["corner"])
     field = durable(field.select(ITEM, "point_id", "x", "y", "z", "distance", "corner"), "wire")
-    clusters = durable(corner_curve_segmentation(field, F.col("corner"), level, radius).select("kind", "component", F.col("node").alias("point_id")), "wire")
-    placed = durable(clusters.join(field, "point_id"), "wire")
-    centres = placed.where("kind = 'corner'").groupBy(ITEM, "component").agg(*(F.percentile(c, 0.5).alias(c) for c in "xyz"))
-    curve = placed.where("kind = 'curve'").select(ITEM, F.col("component").alias("curve"), "point_id", "x", "y", "z", "distance")
-    ends = sp.farthest_pair(curve, [ITEM, "curve"])
-    at = curve.select(ITEM, "curve", "point_id", "x", "y", "z")
-    tips = ends.select(ITEM, "curve", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("point_id")), F.struct(F.lit(1).alias("side"), F.col("b").alias("point_id")))).alias("e")).select(ITEM, "curve", "e.*")
-    tips = durable(tips.join(at, [ITEM, "curve", "point_id"]), "wire")
-    meet = sp.radius_join(tips, centres, snap, [ITEM]).groupBy(ITEM, "curve", "side").agg(F.min(F.struct("d2", "p_component", "p_x", "p_y", "p_z")).alias("to"))
-    tips = tips.join(meet, [ITEM, "curve", "side"], "left").select(ITEM, "curve", "side", *(F.coalesce(f"to.p_{c}", c).alias(c) for c in "xyz"))
-    side = lambda n, names: tips.where(F.col("side") == n).select(ITEM, "curve", *(F.col(c).alias(o) for c, o in zip("xyz", names)))
-    pieces = durable(side(0, ("ax", "ay", "az")).join(side(1, ("bx", "by_", "bz")), [ITEM, "curve"]).withColumn("seg_id", F.xxhash64(ITEM, "curve")), "wire")
-    for _ in range(rounds):
-        matched = sp.nearest_segment(curve, pieces, [ITEM, "curve"]).select("point_id", "seg_id").join(curve, "point_id")
-        halves = gr.split_segments(matched.select("seg_id", "point_id", "x", "y", "z", "distance"), pieces.select("seg_id", "ax", "ay", "az", "bx", "by_", "bz"), split)
-        halves = durable(halves.join(pieces.select(ITEM, "curve", "seg_id"), "seg_id").withColumn("seg_id", F.when(F.col("half") == 0, F.col("seg_id")).otherwise(F.xxhash64("seg_id", "half"))), "wire")
-        done = halves.where("half > 0").isEmpty()
-        pieces = halves.drop("half")
-        if done:
-            break
-    return pieces.select(ITEM, "curve", "seg_id", "ax", "ay", "az", "bx", "by_", "bz")
+    labels = corner_curve_segmentation(field, F.col("corner"), level, radius).where("kind = 'corner'").select(F.col("node").alias("point_id"), "component")
+    # a corner point without another near it is a cluster of its own
+    told = field.join(labels, "point_id", "left").withColumn("component", F.when(F.col("corner") > level, F.coalesce("component", "point_id")))
+    told = durable(told.select(ITEM, "point_id", "component", "x", "y", "z", "distance"), "wire")
+    clusters = told.where("component IS NOT NULL")
+    centres = None
+    for c in "xyz":
+        mid = tb.quantile(clusters, [ITEM, "component"], c, 0.5, c)
+        centres = mid if centres is None else centres.join(mid, [ITEM, "component"])
+    nodes, edges = skeleton(told, durable(centres, "wire"), radius, snap)
+    chains = gr.chain_vertices(edges, (ITEM,), nodes.where("corner").select(ITEM, "node"))
+    vertices = chains.withColumn("curve", F.xxhash64(ITEM, "first", "second")).join(nodes.drop("corner"), [ITEM, "node"])
+    vertices = durable(vertices.select(ITEM, "curve", "closed", "pos", "x", "y", "z", "distance"), "wire")
+    pieces = straight_pieces(vertices.drop("closed"), split).withColumn("seg_id", F.xxhash64("curve", "lo"))
+    return pieces.join(vertices.where("pos = 0").select(ITEM, "curve", "closed"), [ITEM, "curve"]).select(ITEM, "curve", "closed", "seg_id", "ax", "ay", "az", "bx", "by_", "bz")
