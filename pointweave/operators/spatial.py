@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,51 +155,52 @@ def _ranked(distance: Column, key: str) -> Column:
 def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str, shape_key: str, corners: Sequence[Sequence[str]], distance: Column, extra: dict[str, Column], size: float | None, xyz: Sequence[str]) -> DataFrame:
     """The shape of least (distance to 12 digits, id) of each point, by growing reach.
 
-    Shapes have levels by size, and each level cells of its own size, so that a
-    large shape covers few cells however fine the others are; a point looks
-    into its cell of every level.  A round copies each shape to the cells that
-    its box, grown by the reach, covers; points whose nearest shape is within
-    the reach are settled.
+    Every group has a first reach of its own, about the spacing of the middle nine tenths
+    of its shapes, so groups far apart or of other sizes do not widen each other's cells.
+    Shapes have levels by size, and each level cells of its own size, so that a large shape
+    covers few cells however fine the others are; a point looks into its cell of
+    every level that its group has.  A round copies the shapes of groups with open
+    points to the cells that their boxes, grown by the reach, cover; points whose nearest
+    shape is within the reach are settled, and all of a group once the reach is its extent.
     """
-    cells = [f"cell{i}" for i in range(3)]
+    axes = range(3)
+    cells, corner = [f"cell{i}" for i in axes], [f"corner{i}" for i in axes]
     ids = [*by, key]
     low, high = aabb(corners)
-    # both sides are read in every round
-    shapes, points = durable(shapes.withColumn("shape_side", F.greatest(*(h - l for l, h in zip(low, high)))), "shapes"), durable(points.select(*ids, *xyz), "points")
-    pending, done = points, []
-    span = shapes.agg(*(F.min(c) for c in low), *(F.max(c) for c in high)).first()
-    own = points.agg(*(F.min(c) for c in xyz), *(F.max(c) for c in xyz)).first()
-    if span[0] is None or own[0] is None:
-        reach, extent = 1.0, 0.0
-    else:
-        sides = [max(span[i + 3], own[i + 3]) - min(span[i], own[i]) for i in range(3)]
-        extent = sum(sides)
-        if size is None:  # about the spacing of shapes inside a group
-            n = shapes.count() / max(1, shapes.select(*by).distinct().count() if by else 1)
-            size = max(sides) / max(1.0, n) ** (1 / 3)
-        reach = max(size, 1e-12)
-    base = reach
-    shapes = shapes.withColumn("shape_level", F.least(F.greatest(F.ceil(F.log2(F.greatest("shape_side", F.lit(base)) / base)), F.lit(0)), F.lit(60)).cast("int")).drop("shape_side")
-    levels = sorted(r[0] for r in shapes.select("shape_level").distinct().collect())  # at most 61
-    for _ in range(MAX_ROUNDS):
-        last = reach >= extent
-        cell = F.greatest(F.lit(float(reach)), base * F.pow(F.lit(2.0), F.col("shape_level")))
-        grown = shapes
-        for i in range(3):
-            grown = grown.withColumn(cells[i], _covered(low[i] - reach, high[i] + reach, cell))
-        asked = pending.withColumn("shape_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-        pairs = _in_cells(asked, xyz, cell).join(grown, [*by, "shape_level", *cells]).withColumn("distance", distance)
-        best = pairs.groupBy(*ids).agg(F.min(F.struct(F.round("distance", 12).alias("rounded"), F.col(shape_key), F.col("distance"), *(c.alias(n) for n, c in extra.items()))).alias("best"))
-        found = best.select(*ids, F.col("best.distance").alias("distance"), F.col(f"best.{shape_key}").alias(shape_key), *(F.col(f"best.{n}").alias(n) for n in extra))
-        settled = durable(found if last else found.where(F.col("distance") <= reach), "nearest")
+    tails = [F.percentile_approx(l, [0.05, 0.95], 1000).alias(f"mid{i}") for i, l in enumerate(low)]
+    spans = shapes.groupBy(*by).agg(F.count(F.lit(1)).alias("held"), *tails, *(F.min(l).alias(f"lo{i}") for i, l in enumerate(low)), *(F.max(h).alias(f"hi{i}") for i, h in enumerate(high)))
+    own = points.groupBy(*by).agg(*(f(c).alias(f"q{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max))))
+    grids = spans.join(own, list(by)) if by else spans.join(F.broadcast(own))
+    middle = F.greatest(*((F.col(f"mid{i}")[1] - F.col(f"mid{i}")[0]) / 0.9 for i in axes))
+    spread = F.when(middle > 0, middle).otherwise(F.greatest(*(F.col(f"hi{i}") - F.col(f"lo{i}") for i in axes))) * F.pow(F.col("held"), F.lit(-1 / 3)) if size is None else F.lit(float(size))
+    extent = sum((F.greatest(f"hi{i}", f"qhi{i}") - F.least(f"lo{i}", f"qlo{i}") for i in axes), F.lit(0.0))
+    grids = grids.where("held > 0").withColumn("extent", extent).where("extent IS NOT NULL").withColumn("base", F.greatest(spread, F.col("extent") * 2.0**-40))
+    grids = durable(grids.select(*by, "extent", F.when(F.col("base") > 0, F.col("base")).otherwise(1.0).alias("base"), *(F.least(f"lo{i}", f"qlo{i}").alias(c) for i, c in enumerate(corner))), "grids")
+    with_grid = lambda df: df.join(grids, list(by)) if by else df.join(F.broadcast(grids))
+    side = F.greatest(*(h - l for l, h in zip(low, high)), F.col("base"))
+    shapes = durable(with_grid(shapes).withColumn("shape_level", F.least(F.greatest(F.ceil(F.log2(side / F.col("base"))), F.lit(0)), F.lit(60)).cast("int")), "shapes")
+    levels = shapes.groupBy(*by).agg(F.collect_set("shape_level").alias("levels"))  # at most 61 in a group
+    placed = with_grid(points.select(*ids, *xyz))
+    pending = durable(placed.join(levels, list(by)) if by else placed.join(F.broadcast(levels)), "points")
+    asking, done = shapes, []
+    for step in range(MAX_ROUNDS):
+        reach = F.col("base") * float(2**step)
+        cell = F.greatest(reach, F.col("base") * F.pow(F.lit(2.0), F.col("shape_level")))
+        grown = asking
+        for i in axes:
+            grown = grown.withColumn(cells[i], _covered(low[i] - reach - F.col(corner[i]), high[i] + reach - F.col(corner[i]), cell))
+        asked = pending.withColumn("shape_level", F.explode("levels")).drop("levels")
+        pairs = _in_cells(asked, xyz, cell, corner).join(grown.drop("base", "extent", *corner), [*by, "shape_level", *cells]).withColumn("distance", distance)
+        best = pairs.groupBy(*ids).agg(F.min(F.struct(F.round("distance", 12).alias("rounded"), F.col(shape_key), F.col("distance"), *(c.alias(n) for n, c in extra.items()))).alias("best"), F.first("base").alias("base"), F.first("extent").alias("extent"))
+        found = best.where((F.col("best.distance") <= reach) | (reach >= F.col("extent")))
+        settled = durable(found.select(*ids, F.col("best.distance").alias("distance"), F.col(f"best.{shape_key}").alias(shape_key), *(F.col(f"best.{n}").alias(n) for n in extra)), "nearest")
         done.append(settled)
-        if last:
-            break
-        before, pending = pending, durable(pending.join(settled.select(*ids), ids, "left_anti"), "nearest")
+        before, pending = pending, durable(pending.where(reach < F.col("extent")).join(settled.select(*ids), ids, "left_anti"), "nearest")
         release(before)
         if pending.isEmpty():
             break
-        reach *= 2
+        asking = shapes.join(pending.select(*by).distinct(), list(by), "left_semi") if by else shapes
+    release(shapes, grids, pending)
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
@@ -264,45 +267,126 @@ def fbeta(a: DataFrame, b: DataFrame, by: Sequence[str], threshold: float, beta:
     return p.join(r, list(by)).withColumn("fbeta", F.coalesce(f, F.lit(0.0)))
 
 
+#: Points of a cell that :func:`farthest_pair` compares one by one, and the most halvings of its cells.
+FEW, HALVINGS = 32, 16
+
+
 def farthest_pair(points: DataFrame, by: Sequence[str], key: str = "point_id", xyz: Sequence[str] = XYZ, directions: int = 13) -> DataFrame:
     """The two most distant members of each group, ties by ids.
 
-    Only points that can end a longest pair are compared: those at least as
-    far from the group's centre as half the longest pair known, which the
-    ends along fixed directions give.
+    The ends along fixed directions give a length that the longest pair has at least.
+    Only points that can end such a pair are looked at, and of equal places the two least
+    ids.  Cells of them form pairs whose boxes bound the distance from above; pairs
+    under the length known go, cells of the others are halved along each axis and their
+    members raise the length, until cells hold few points, which are compared.
     """
+    by, axes = list(by), range(len(xyz))
     centre = points.groupBy(*by).agg(*(F.avg(c).alias(f"c_{c}") for c in xyz))
     steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)][:directions]
     along = lambda s: s[0] * F.col(xyz[0]) + s[1] * F.col(xyz[1]) + s[2] * F.col(xyz[2])
     # the span along a direction is at most sqrt(|s|^2) times a distance: a lower bound of the longest pair
-    spans = points.groupBy(*by).agg(F.greatest(*((F.max(along(s)) - F.min(along(s))) / float(sum(x * x for x in s)) ** 0.5 for s in steps)).alias("span"))
-    far = points.join(centre, list(by)).withColumn("r", F.sqrt(_d2(xyz, [f"c_{c}" for c in xyz])))
+    spans = points.groupBy(*by).agg(F.greatest(*((F.max(along(s)) - F.min(along(s))) / float(sum(x * x for x in s)) ** 0.5 for s in steps)).alias("span"), *(F.min(c).alias(f"lo_{c}") for c in xyz), F.greatest(*(F.max(c) - F.min(c) for c in xyz)).alias("side"))
+    far = points.join(centre, by).withColumn("r", F.sqrt(_d2(xyz, [f"c_{c}" for c in xyz])))
     most = far.groupBy(*by).agg(F.max("r").alias("most"))
-    ends = far.join(spans, list(by)).join(most, list(by)).where(F.col("r") + F.col("most") >= F.col("span") - 1e-9).select(*by, key, *xyz)
-    other = ends.select(*by, *(F.col(c).alias(f"o_{c}") for c in (key, *xyz)))
-    pairs = ends.join(other, list(by)).where(F.col(key) < F.col(f"o_{key}"))
-    best = pairs.groupBy(*by).agg(F.min(F.struct((-F.round(_d2(xyz, [f"o_{c}" for c in xyz]), 9)).alias("far"), F.col(key).alias("a"), F.col(f"o_{key}").alias("b"))).alias("best"))
+    ends = far.join(spans, by).join(most, by).where(F.col("r") + F.col("most") >= F.col("span") - 1e-9)
+    two = ends.groupBy(*by, *xyz, "span", "side", *(f"lo_{c}" for c in xyz)).agg(F.min(key).alias("one"), F.max(key).alias("last"), F.count(F.lit(1)).alias("copies"))
+    second = ends.join(two.where("copies > 1").select(*by, *xyz, "one"), [*by, *xyz]).where(F.col(key) > F.col("one")).groupBy(*by, *xyz).agg(F.min(key).alias("other"))
+    kept = two.join(second, [*by, *xyz], "left").withColumn(key, F.explode(F.array_compact(F.array("one", "other"))))
+    kept = durable(kept.select(*by, key, *xyz, "span", F.when(F.col("side") > 0, F.col("side")).otherwise(1.0).alias("side"), *(f"lo_{c}" for c in xyz)), "ends")
+
+    def cut(level: int) -> list[Column]:
+        return [F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / F.col("side") * float(2**level)), F.lit(2**level - 1)).cast("long").alias(f"cell{i}") for i, c in enumerate(xyz)]
+
+    cells = [f"cell{i}" for i in axes]
+    boxes_of = lambda level: kept.select("*", *cut(level)).groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{m}{i}") for i, c in enumerate(xyz) for m, f in (("min", F.min), ("max", F.max))), F.min(F.struct(key, *xyz)).alias("member"), F.first("span").alias("span"))
+    sided = lambda df, s: df.select(*by, *(F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in by))
+    level, pairs, length = 2, None, None
+    while True:
+        boxes = durable(boxes_of(level), "boxes")
+        a, b = sided(boxes, "a"), sided(boxes, "b").drop("b_span")
+        if pairs is None:
+            met = a.join(b, by)
+        else:  # children of the pairs that are left
+            parents = lambda s: [(F.expr(f"{s}_{c} div 2")).alias(f"{s}_up{i}") for i, c in enumerate(cells)]
+            ups = lambda s: [f"{s}_up{i}" for i in axes]
+            up = pairs.select(*by, *(F.col(f"{s}_{c}").alias(f"{s}_up{i}") for s in "ab" for i, c in enumerate(cells)))
+            met = up.join(a.select("*", *parents("a")), [*by, *ups("a")]).join(b.select("*", *parents("b")), [*by, *ups("b")]).drop(*ups("a"), *ups("b"))
+        met = met.where(F.struct(*(f"a_{c}" for c in cells)) <= F.struct(*(f"b_{c}" for c in cells)))
+        widest = sum((F.pow(F.greatest(F.col(f"a_max{i}") - F.col(f"b_min{i}"), F.col(f"b_max{i}") - F.col(f"a_min{i}")), F.lit(2.0)) for i in axes), F.lit(0.0))
+        gap = sum((F.pow(F.col(f"a_member.{c}") - F.col(f"b_member.{c}"), F.lit(2.0)) for c in xyz), F.lit(0.0))
+        met = met.withColumns({"widest": F.sqrt(widest), "gap": F.sqrt(gap)}).where(F.col("widest") >= F.col("a_span") - 1e-9)
+        met = durable(met.select(*by, *(f"{s}_{c}" for s in "ab" for c in cells), "a_n", "b_n", "a_span", "widest", "gap"), "pairs")
+        length = met.groupBy(*by).agg(F.greatest(F.max("gap"), F.max("a_span")).alias("length"))
+        before, pairs = pairs, durable(met.join(length, by).where(F.col("widest") >= F.col("length") - 1e-9), "pairs")
+        release(met, boxes, *([before] if before is not None else []))
+        if level == HALVINGS or (pairs.agg(F.max(F.greatest("a_n", "b_n"))).first()[0] or 0) <= FEW:
+            break
+        level += 1
+    own = kept.select(*by, key, *xyz, *cut(level))
+    one = own.select(*by, key, *xyz, *(F.col(c).alias(f"a_{c}") for c in cells))
+    two = own.select(*by, *(F.col(c).alias(f"o_{c}") for c in (key, *xyz)), *(F.col(c).alias(f"b_{c}") for c in cells))
+    found = pairs.select(*by, *(f"{s}_{c}" for s in "ab" for c in cells)).join(one, [*by, *(f"a_{c}" for c in cells)]).join(two, [*by, *(f"b_{c}" for c in cells)]).where(F.col(key) != F.col(f"o_{key}"))
+    best = found.groupBy(*by).agg(F.min(F.struct((-F.round(_d2(xyz, [f"o_{c}" for c in xyz]), 9)).alias("far"), F.least(key, f"o_{key}").alias("a"), F.greatest(key, f"o_{key}").alias("b"))).alias("best"))
     return best.select(*by, F.col("best.a").alias("a"), F.col("best.b").alias("b"), F.sqrt(-F.col("best.far")).alias("length"))
 
 
-def farthest_points(points: DataFrame, k: int, by: Sequence[str], key: str = "point_id", xyz: Sequence[str] = XYZ, every: int = 4) -> DataFrame:
-    """Farthest-point sampling of every group at once: k rounds of one grouped maximum and one join.
+#: Candidates of a group that :func:`farthest_points` looks at in a round.
+CANDIDATES = 512
+
 
-    Starts at the least id; ties go to the least id.  Rank 1 is the start.
+def farthest_points(points: DataFrame, k: int, by: Sequence[str], key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
+    """Farthest-point sampling of every group at once, several winners a round: by, key, rank.
+
+    Starts at the least id; ties go to the least id.  Rank 1 is the start.  A round takes
+    the ``CANDIDATES`` points of a group that are farthest from all winners.  Among these
+    the next winners are exact while their gaps exceed the least of the candidates', as no other point
+    has a greater one.  Then the gaps of points are renewed, each by the winners that are nearer than
+    the greatest gap.
     """
-    first = points.groupBy(*by).agg(F.min(key).alias(key)).join(points.select(*by, key, *xyz), [*by, key])
-    state = points.select(*by, key, *xyz, F.lit(float("inf")).alias("gap"))
-    chosen = durable(first.select(*by, key, *xyz, F.lit(1).cast("long").alias("rank")), "farthest")
-    out = chosen
-    for rank in range(2, k + 1):
-        new = chosen.select(*by, F.col(key).alias("new_key"), *(F.col(c).alias(f"n_{c}") for c in xyz))
-        state = state.join(new, list(by)).withColumn("gap", F.when(F.col(key) == F.col("new_key"), -1.0).otherwise(F.least("gap", F.round(_d2(xyz, [f"n_{c}" for c in xyz]), 12)))).select(*by, key, *xyz, "gap")
-        if rank % every == 0:
-            state = durable(state, "farthest")
-        best = state.where("gap >= 0").groupBy(*by).agg(F.min(F.struct((-F.col("gap")).alias("far"), F.col(key), *(F.col(c) for c in xyz))).alias("best"))
-        chosen = durable(best.select(*by, *(F.col(f"best.{c}").alias(c) for c in (key, *xyz)), F.lit(rank).cast("long").alias("rank")), "farthest")
-        out = out.unionAll(chosen)
-    return out.select(*by, key, "rank")
+    by = list(by)
+    start = points.groupBy(*by).agg(F.min(key).alias(key)).join(points.select(*by, key, *xyz), [*by, key])
+    out = durable(start.select(*by, key, F.lit(1).cast("long").alias("rank")), "farthest")
+    new = start.select(*by, F.col(key).alias("new_key"), *(F.col(c).alias(f"n_{c}") for c in xyz))
+    gap = F.when(F.col(key) == F.col("new_key"), -1.0).otherwise(F.round(_d2(xyz, [f"n_{c}" for c in xyz]), 12))
+    state = durable(points.select(*by, key, *xyz).join(new, by).select(*by, key, *xyz, gap.alias("gap")), "gaps")
+    kinds = dict(points.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"{key} {kinds[key]}", *(f"{c} double" for c in xyz), "rank long"])
+
+    def winners(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key, kind="stable").reset_index(drop=True)
+        at, gaps, ids = rows[list(xyz)].to_numpy(float), rows["gap"].to_numpy(float).copy(), rows[key].to_numpy()
+        # outside the candidates no gap exceeds the least of theirs; where all are candidates there is none outside
+        floor = gaps.min() if len(rows) == CANDIDATES else -1.0
+        rank, picked = int(rows["rank"].iloc[0]), []
+        while rank < k and len(ids):
+            best = int(gaps.argmax())  # the first of equals has the least id
+            if gaps[best] < 0 or (picked and gaps[best] <= floor):
+                break
+            rank += 1
+            picked.append((best, rank))
+            gaps = np.minimum(gaps, np.round(((at - at[best]) ** 2).sum(axis=1), 12))
+            gaps[best] = -1.0
+        own = rows.iloc[[i for i, _ in picked]]
+        return own[[*by, key, *xyz]].assign(**{c: own[c].astype(float) for c in xyz}, rank=np.array([r for _, r in picked], np.int64))
+
+    while True:
+        have = out.groupBy(*by).agg(F.max("rank").alias("rank")).where(F.col("rank") < k)
+        first = Window.partitionBy(*by).orderBy(F.desc("gap"), key)
+        candidates = state.where("gap >= 0").join(have, by).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= CANDIDATES)
+        won = durable(candidates.groupBy(*by).applyInPandas(winners, schema), "farthest")
+        if won.isEmpty():
+            break
+        out = out.unionAll(won.select(*by, key, "rank"))
+        # a winner changes the gaps of points that are nearer to it than the group's greatest gap
+        open_ = state.where("gap >= 0").groupBy(*by).agg(F.sqrt(F.max("gap")).alias("reach")).join(have.select(*by), by)
+        live = state.where("gap >= 0").join(open_, by)
+        near = radius_join(live.withColumn("reach", F.col("reach") * (1 + 1e-9)).where("reach > 0"), won.join(open_, by).select(*by, key, *xyz, (F.col("reach") * (1 + 1e-9)).alias("reach")).where("reach > 0"), "reach", by, xyz, inclusive=True)
+        moved = near.groupBy(*by, key).agg(F.min(F.when(F.col(key) == F.col(f"p_{key}"), -1.0).otherwise(F.round("d2", 12))).alias("less"))
+        same = live.where("reach <= 0").join(won.select(*by, key, F.lit(-1.0).alias("less")), [*by, key]).select(*by, key, "less")
+        renewed = live.drop("reach").join(moved.unionAll(same), [*by, key], "left").withColumn("gap", F.least("gap", F.coalesce("less", "gap"))).drop("less")
+        before, state = state, durable(renewed, "gaps")
+        release(before)
+    return out
 
 
 def voxel_downsample(points: DataFrame, size: float, by: Sequence[str], values: Sequence[str], xyz: Sequence[str] = XYZ) -> DataFrame:
