@@ -44,13 +44,18 @@ BLOCK = 4096
 #: Ids after which a file ends at the next document.
 FILE_IDS = 1 << 24
 #: Pieces, and words, that a task remembers, and the longest of them in characters.
-SEEN, PIECE = 200_000, 64
+SEEN, PIECE = 300_000, 64
 #: Fixed value: how the vocabulary cuts lower-cased text into words.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: What that means for printable ASCII.
-_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Pieces of printable ASCII and Latin-1 letters, and what the rule means for them.
+_PLAIN = re.compile(r"[!-~\xC0-\xD6\xD8-\xF6\xF8-\xFF]*").fullmatch
+_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^a-z0-9\xDF-\xF6\xF8-\xFF]+").findall
+#: How the vocabulary writes bytes that stand for no printable character.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 _HEADER = struct.Struct(">4sBxxxIIQQQ")
 _MAGIC = b"PWTF"
+#: Widths that are numpy's own.
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 def width(vocabulary: int) -> int:
@@ -60,6 +65,8 @@ def width(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids one after another in ``bits`` bits each, lowest bits first, up to a whole byte."""
+    if bits in _WHOLE:
+        return ids.astype(_WHOLE[bits]).tobytes()
     out = []
     for lo in range(0, len(ids), 64 * BLOCK):
         part = np.ascontiguousarray(ids[lo : lo + 64 * BLOCK], "<u4")
@@ -73,6 +80,8 @@ def unpack(data: np.ndarray, offsets: np.ndarray, bits: int, start: int, stop: i
     if start >= stop:
         return np.zeros(0, np.uint32)
     low = int(offsets[first])
+    if bits in _WHOLE:
+        return np.frombuffer(data[low : int(offsets[last])].tobytes(), _WHOLE[bits])[start - first * BLOCK : stop - first * BLOCK].astype(np.uint32)
     held = np.zeros(int(offsets[last]) - low + 8, np.uint8)
     held[:-8] = data[low : int(offsets[last])]
     eight = np.ndarray(len(held) - 7, "<u8", held, strides=(1,))
@@ -117,8 +126,8 @@ class Encoder:
 
     A vocabulary that splits at white space and at ``RULE`` gives a text the ids of its
     pieces between spaces.  Pieces met before are looked up; new ones of printable
-    ASCII are cut as the rule cuts them, and the words among them not met before go to the
-    library's model.  Other new pieces are encoded as one text with a special token
+    ASCII and Latin-1 letters are cut as the rule cuts them, and the words among them not met
+    before go to the library's model.  Other new pieces are encoded as one text with a special token
     between them.  Other vocabularies encode whole texts.
     """
 
@@ -150,22 +159,26 @@ class Encoder:
         raw, at = ids.tobytes(), [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
         return [raw[4 * (a + 1) : 4 * b] for a, b in zip(at, at[1:])]
 
+    def _merged(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _learned(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        simple, odd, out = [], [], {}
+        known, odd, out = self.words, [], {}
+        if len(known) > SEEN:
+            known.clear()
         for p in pieces:
             if len(p) > PIECE or "<|" in p:
                 out[p] = self.whole(p)
+            elif _PLAIN(p):
+                ids = b""
+                for word in _WORDS(p.lower()):
+                    if word not in known:
+                        known[word] = self._merged(word)
+                    ids += known[word]
+                out[p] = ids
             else:
-                (simple if p.isascii() and p.isprintable() else odd).append(p)
-        parts = [_WORDS.findall(p.lower()) for p in simple]
-        new = list({w for part in parts for w in part if w not in self.words})
-        if len(self.words) + len(new) > SEEN:
-            self.words = {}
-            new = list({w for part in parts for w in part})
-        merge = self.model.tokenize
-        self.words.update((w, array("I", [t.id for t in merge(w)]).tobytes()) for w in new)
-        known = self.words
-        out.update((p, b"".join([known[w] for w in part])) for p, part in zip(simple, parts))
+                odd.append(p)
         if odd:
             out.update(zip(odd, self._cut(self.between.join(odd))))
         return out

@@ -45,6 +45,7 @@ def test_pieces_give_the_ids_of_whole_texts(path, sf):
         encoder = tf.Encoder(f.read())
     assert encoder.by_pieces
     texts += ["".join(chr(c) for c in range(n, n + 40)) + " a" for n in range(0, 700, 3)]
+    texts += [f"x{chr(c)}Y {chr(c)}{chr(c)}'s{chr(c).upper()}" for c in range(0x80, 0x250)]
     texts += [f"a{chr(c)}b 'S{chr(c)}{chr(c)}'ll {chr(c)} don't''s </w> <| |>x" for c in [*range(128), 0x85, 0xA0, 0x1680, 0x2028, 0x3000, 0x301, 0xFEFF]]
     seen, tf.SEEN = tf.SEEN, 3000  # so that pieces are forgotten on the way
     try:
