@@ -151,7 +151,9 @@ def least_squares_fit(candidates: DataFrame, key: Sequence[str], u: str, v: str,
 def smooth(points: DataFrame, neighbours: DataFrame, alpha: float, power: int = 2, steps: int = 20, rate: float = 0.05, momentum: float = 0.9, every: int = 5) -> DataFrame:
     """Momentum descent on sum (f - f0)^2 + alpha sum |f - f_j|^power over a neighbour table.
 
-    ``points`` has id and value; ``neighbours`` has id and other.  Each step is
+    ``points`` has id and value; ``neighbours`` has id and other.  A row pulls
+    its id alone; the slope of the sum over all rows has each row in both
+    directions.  Each step is
     one join and one grouped sum; the state is written to the shared folder
     every ``every`` steps.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.operators.tables import looked_up
+from pointweave.operators.tables import looked_up, quantile
 from pointweave.sources.durable import durable, release
 
 MAX_ROUNDS = 40
@@ -62,7 +62,12 @@ def component_sizes(components: DataFrame, least: int = 1) -> DataFrame:
 
 def component_centers(components: DataFrame, points: DataFrame, key: str = "point_id", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """Median of each axis over a component's points."""
-    return components.join(points.select(F.col(key).alias("node"), *xyz), "node").groupBy("component").agg(*(F.percentile(c, 0.5).alias(c) for c in xyz))
+    placed = components.join(points.select(F.col(key).alias("node"), *xyz), "node")
+    out = None
+    for c in xyz:
+        mid = quantile(placed, ["component"], c, 0.5, c)
+        out = mid if out is None else out.join(mid, "component")
+    return out
 
 
 def connect_dangling(edges: DataFrame, points: DataFrame, radius: float, by: tuple[str, ...] = ("item_id",), key: str = "point_id") -> DataFrame:

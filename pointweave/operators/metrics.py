@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointweave.operators.tables import numbered, quantile
+from pointweave.sources.durable import durable
 
 
 def _sq() -> Column:
@@ -96,16 +100,23 @@ def _dataset(strict: bool = False) -> dict[str, Column]:
     rate = F.sum(F.when(negatives > 0, F.col("fp") / negatives).otherwise(1.0 if strict else 0.0))
     return {
         "mean_rmse": F.avg("rmse"),
-        "q95_rmse": F.percentile("rmse", 0.95),
         "mean_recall": F.avg(F.when(positives > 0, F.col("tp") / positives)),
         "mean_fpr": rate / F.nullif(has, F.lit(0)),
     }
 
 
+def _summed(own: DataFrame, by: Sequence[str], strict: bool = False) -> DataFrame:
+    """Dataset metrics of the instances of each group; the quantile needs no buffer of a group's values."""
+    sums = own.groupBy(*by).agg(*(c.alias(n) for n, c in _dataset(strict).items()))
+    cut = quantile(own, by, "rmse", 0.95, "q95_rmse")
+    met = sums.join(cut, list(by), "left") if by else sums.join(F.broadcast(cut), F.lit(True), "left")
+    return met.select(*by, "mean_rmse", "q95_rmse", "mean_recall", "mean_fpr")
+
+
 def dataset_metrics(pairs: DataFrame, threshold: float, instance: Sequence[str] = ("item_id",), by: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Mean and 0.95-quantile RMSE, mean recall and mean false positive rate over instances."""
     own = instances(pairs, threshold, [*by, *instance])
-    return own.groupBy(*by).agg(*(c.alias(n) for n, c in _dataset(strict).items()))
+    return _summed(own, by, strict)
 
 
 def metric_suite(pairs: DataFrame, r: float, multiples: Sequence[float] = (1.0, 4.0), instance: Sequence[str] = ("item_id",), by: Sequence[str] = ()) -> DataFrame:
@@ -116,21 +127,21 @@ def metric_suite(pairs: DataFrame, r: float, multiples: Sequence[float] = (1.0,
     own = sq.groupBy(*by, *instance, "threshold").agg(
         F.sqrt(F.avg(_sq())).alias("rmse"), _count(a & p).alias("tp"), _count(a & ~p).alias("fn"), _count(~a & p).alias("fp"), _count(~a & ~p).alias("tn")
     )
-    return own.groupBy(*by, "threshold").agg(*(c.alias(n) for n, c in _dataset().items()))
+    return _summed(own, [*by, "threshold"])
 
 
 def paper_metrics(pairs: DataFrame, r: float, by: Sequence[str] = ("item_id",)) -> DataFrame:
     """One row of named metrics per instance."""
     t, p = F.col("true_d") < r, F.col("pred_d") < r
-    return pairs.groupBy(*by).agg(
+    rest = pairs.groupBy(*by).agg(
         F.sqrt(F.avg(_sq())).alias("rmse"),
-        F.percentile(_sq(), 0.95).alias("q95"),
         (_count(_sq() > r * r) / F.count(F.lit(1))).alias("bad_r"),
         (_count(_sq() > 16 * r * r) / F.count(F.lit(1))).alias("bad_4r"),
         (_count(t & p) / F.nullif(_count(t | p), F.lit(0))).alias("iou"),
         (_count(~t & p) / (_count(~t) + F.lit(1e-6))).alias("fpr"),
         F.count(F.lit(1)).alias("n"),
     )
+    return rest.join(quantile(pairs, by, _sq(), 0.95, "q95"), list(by), "left").select(*by, "rmse", "q95", "bad_r", "bad_4r", "iou", "fpr", "n")
 
 
 def mean_by_config(rows: DataFrame, config: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -150,8 +161,11 @@ def histogram(rows: DataFrame, value: str, bins: int, low: float, high: float, b
 
 
 def alignment_quantiles(rows: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return rows.groupBy(*by).agg(q.alias("q")).select(*by, *(F.element_at("q", i + 1).alias(n) for i, n in enumerate(("q50", "q95", "q99"))))
+    out = None
+    for name, q in (("q50", 0.5), ("q95", 0.95), ("q99", 0.99)):
+        cut = quantile(rows, by, value, q, name)
+        out = cut if out is None else out.join(cut, list(by))
+    return out
 
 
 def metric_matrix(rows: DataFrame, method: str, metric: str, value: str, names: dict[str, str]) -> DataFrame:
@@ -177,24 +191,38 @@ def crop_metrics(votes: DataFrame, truth: Column, probability: Column, q: float,
     return own.agg(m["mean_recall"].alias("mean_recall"), m["mean_fpr"].alias("mean_fpr"), F.count(F.lit(1)).alias("n_patches"))
 
 
+#: Points of a tile, whose pairs a task sums up at a time.
+TILE = 256
+
+
 def kernel_distance(a: DataFrame, b: DataFrame, kind: str, xyz: Sequence[str], by: Sequence[str], most: int | None = 10_000, scale: float = 1.0) -> DataFrame:
     """Kernel discrepancy of two samples per group: mean k(a,a) + mean k(b,b) - 2 mean k(a,b).
 
     A sample has at most ``most`` points a group (those of the least hash), as
-    the measure is defined on samples; with None it has all of them, and a
-    group of n points costs n * n kernel values.
+    the measure is defined on samples; with None it has all of them.  Points are
+    numbered and gathered in tiles of ``TILE``; a pair of tiles becomes one number inside a task, so a
+    group of n points costs n * n kernel values but (n / TILE)^2 rows.
     """
-
-    def sample(df: DataFrame, tag: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(F.xxhash64(*xyz), *xyz)
-        own = df if most is None else df.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
-        return own.select(*by, *(F.col(c).alias(f"{tag}_{c}") for c in xyz))
+    by = list(by)
+
+    def tiles(df: DataFrame, tag: str) -> DataFrame:
+        keyed = df.select(*by, F.xxhash64(*xyz).alias("place"), *(F.col(c).cast("double").alias(c) for c in xyz))
+        nth = numbered(keyed, "place", *xyz, by=by, name="nth")
+        own = nth if most is None else nth.where(F.col("nth") < most)
+        return durable(own.groupBy(*by, F.expr(f"nth div {TILE}").alias("tile")).agg(F.flatten(F.collect_list(F.array(*xyz))).alias(f"{tag}_at"), F.count(F.lit(1)).alias(f"{tag}_n")).drop("tile"), "tiles")
+
+    @F.pandas_udf("double")
+    def summed(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right):
+            d2 = ((x.reshape(-1, 1, len(xyz)) - y.reshape(1, -1, len(xyz))) ** 2).sum(axis=2)
+            out.append({"energy": lambda: -np.sqrt(d2), "gaussian": lambda: np.exp(-d2 / (2 * scale * scale)), "laplacian": lambda: np.exp(-np.sqrt(d2) / scale)}[kind]().sum())
+        return pd.Series(out)
 
     def mean(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
-        d2 = sum(((F.col(f"l_{c}") - F.col(f"r_{c}")) * (F.col(f"l_{c}") - F.col(f"r_{c}")) for c in xyz), F.lit(0.0))
-        k = {"energy": -F.sqrt(d2), "gaussian": F.exp(-d2 / (2 * scale * scale)), "laplacian": F.exp(-F.sqrt(d2) / scale)}[kind]
-        return x.join(y, list(by)).groupBy(*by).agg(F.avg(k).alias(name))
+        met = x.select(*by, F.col("s_at").alias("l_at"), F.col("s_n").alias("l_n")).join(y.select(*by, F.col("s_at").alias("r_at"), F.col("s_n").alias("r_n")), by)
+        return met.select(*by, summed("l_at", "r_at").alias("k"), (F.col("l_n") * F.col("r_n")).alias("n")).groupBy(*by).agg((F.sum("k") / F.sum("n")).alias(name))
 
-    la, ra, lb, rb = sample(a, "l"), sample(a, "r"), sample(b, "l"), sample(b, "r")
-    out = mean(la, ra, "aa").join(mean(lb, rb, "bb"), list(by)).join(mean(la, rb, "ab"), list(by))
+    one, two = tiles(a, "s"), tiles(b, "s")
+    out = mean(one, one, "aa").join(mean(two, two, "bb"), by).join(mean(one, two, "ab"), by)
     return out.select(*by, (F.col("aa") + F.col("bb") - 2 * F.col("ab")).alias("distance"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointweave.functions import geometry as ge
+from pointweave.operators import graph as gr
 from pointweave.operators import raster as ra
 from pointweave.operators.tables import uniform
 from pointweave.plans.registry import add
@@ -163,3 +164,8 @@ add("s14_points_from_views", lambda v: _views(v).select("global_idx", "x", "y",
 add("a59_flag_background", lambda v: v("fx_pixels").groupBy("view_id").agg(F.bool_or(F.col("depth") < 20).alias("has_background"), F.count(F.lit(1)).alias("n")), "SELECT view_id, BOOL_OR(depth < 20) AS has_background, COUNT(*) AS n FROM fx_pixels GROUP BY 1")
 add("a59_flag_depth_discontinuity", lambda v: ra.sobel(v("fx_pixels"), F.col("depth") >= 2).groupBy("view_id").agg(F.bool_or(F.col("magnitude") > 10.5).alias("jump")), f"SELECT view_id, BOOL_OR(magnitude > 10.5) AS jump FROM ({_SOB}) GROUP BY 1")
 add("v5_tile_expansion", lambda v: v("fx_pixels").select("view_id", "pr", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pc"))).alias("step")).groupBy("view_id", "step").agg(F.count(F.lit(1)).alias("n")), "SELECT view_id, step, COUNT(*) AS n FROM (SELECT view_id, UNNEST(range(pc + 1)) AS step FROM fx_pixels) GROUP BY 1, 2")
+add("v5_sampled_segments", lambda v: gr.sample_segments(v("fx_segments"), 0.0603).groupBy("item_id", "seg_id").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last")),
+    "SELECT item_id, seg_id, CASE WHEN n >= 1 THEN n ELSE 2 END AS n, CASE WHEN n >= 1 THEN n - 1 ELSE 1 END AS last FROM (SELECT *, FLOOR(SQRT((bx - ax) ** 2 + (by_ - ay) ** 2 + (bz - az) ** 2) / 0.0603)::BIGINT AS n FROM fx_segments)")
+add("v5_tiled_pixels", lambda v: ra.tiles(v("fx_pixels"), 6, 3, 16, fore()).groupBy("view_id", "pr", "pc").agg(F.count(F.lit(1)).alias("n")),
+    """WITH t AS (SELECT UNNEST([0, 3, 6, 9])::BIGINT AS o), p AS (SELECT view_id, pr, pc, depth, r.o AS tr, c.o AS tc FROM fx_pixels JOIN t r ON pr >= r.o AND pr < r.o + 6 JOIN t c ON pc >= c.o AND pc < c.o + 6)
+    SELECT view_id, pr, pc, COUNT(*) AS n FROM p WHERE (view_id, tr, tc) IN (SELECT (view_id, tr, tc) FROM p WHERE depth >= 20) GROUP BY 1, 2, 3""")

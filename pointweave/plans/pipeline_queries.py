@@ -46,14 +46,21 @@ add("a12_interpolated_fusion", lambda v: pl.interpolated_fusion(ev(v), od(v), "d
     f"WITH c AS (SELECT * FROM {_N2} WHERE rank <= 9), k AS (SELECT item_id, point_id FROM c GROUP BY 1, 2 HAVING COUNT(*) = 9 AND MAX(d2) < 0.3003 * 0.3003), l AS (SELECT c.* FROM c JOIN k USING (item_id, point_id)), a AS (SELECT item_id, point_id, fit AS value FROM {_fit('l', 'item_id, point_id')} WHERE fit IS NOT NULL UNION ALL SELECT item_id, point_id, distance FROM fx_points WHERE point_id % 2 = 0) SELECT item_id, point_id, AVG(value) AS distance, COUNT(*) AS n_pred FROM a GROUP BY 1, 2", "distance")
 
 
-def _smooth(v):
+def _smooth(v, power=2, mutual=False):
     near = sp.knn(v("fx_points"), v("fx_points"), 5, I).where("rank > 1").select(F.col("point_id").alias("id"), "other")
-    return fu.smooth(v("fx_points").select(F.col("point_id").alias("id"), F.col("distance").alias("value")), near, 0.1, steps=3, rate=0.05, momentum=0.9, every=2)
+    if mutual:
+        near = near.unionAll(near.select(F.col("other").alias("id"), F.col("id").alias("other")))
+    return fu.smooth(v("fx_points").select(F.col("point_id").alias("id"), F.col("distance").alias("value")), near, 0.1, power, steps=3, rate=0.05, momentum=0.9, every=2)
 
 
 _STEP = "s{k} AS (SELECT s.id, f0, f - 0.05 * (0.9 * m + 2 * (f - f0) + 0.1 * pull) AS f, 0.9 * m + 2 * (f - f0) + 0.1 * pull AS m FROM s{j} s JOIN (SELECT n.id, SUM(2 * (a.f - b.f)) AS pull FROM nb n JOIN s{j} a ON a.id = n.id JOIN s{j} b ON b.id = n.other GROUP BY 1) p USING (id))"
 add("a13_smooth_l2", _smooth, f"WITH nb AS MATERIALIZED (SELECT point_id AS id, other FROM {_nn(5)} WHERE rank > 1), s0 AS (SELECT point_id AS id, distance AS f0, 1.0::DOUBLE AS f, 0.0::DOUBLE AS m FROM fx_points), " + ", ".join(_STEP.format(k=k, j=k - 1).replace(" AS (SELECT", " AS MATERIALIZED (SELECT", 1) for k in (1, 2, 3)) + " SELECT id, f AS value FROM s3", "value")
 
+_BOTH = f"WITH n1 AS MATERIALIZED (SELECT point_id AS id, other FROM {_nn(5)} WHERE rank > 1), nb AS MATERIALIZED (SELECT id, other FROM n1 UNION ALL SELECT other, id FROM n1), s0 AS (SELECT point_id AS id, distance AS f0, 1.0::DOUBLE AS f, 0.0::DOUBLE AS m FROM fx_points), "
+_TV = _STEP.replace("SUM(2 * (a.f - b.f))", "SUM(SIGN(a.f - b.f))")
+for _name, _power, _step in (("a13_smooth_l2_mutual", 2, _STEP), ("a13_smooth_tv", 1, _TV)):
+    add(_name, lambda v, power=_power: _smooth(v, power, True), _BOTH + ", ".join(_step.format(k=k, j=k - 1).replace(" AS (SELECT", " AS MATERIALIZED (SELECT", 1) for k in (1, 2, 3)) + " SELECT id, f AS value FROM s3", "value")
+
 
 def _local(v):
     p = v("fx_points")

@@ -23,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``.
 
     Where the session names none: a temporary folder in local mode, whose
-    tasks all run on this machine, else a folder beside the warehouse.
+    tasks all run on this machine, else a folder beside the warehouse, if that
+    is in a store that all machines share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -31,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master == "local" or master.startswith("local["):
         return _local_dir()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith("file:") or "://" not in warehouse:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a local folder of each machine")
+    return warehouse + "/checkpoints"
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

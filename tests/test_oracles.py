@@ -43,6 +43,11 @@ def test_query_equals_sql(name, spark, sf, duck):
         assert a == pytest.approx(b, abs=2e-6) if all(isinstance(x, (int, float)) for x in a) else a == b
 
 
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(NAMES)))
+def test_query_without_sql_gives_rows(name, spark, sf):
+    assert catalog.queries()[name](spark, sf).count() > 0
+
+
 def test_registry_is_whole():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) > 200
