@@ -6,10 +6,9 @@ shard changes only the records for which it wins, so rows move only into it,
 and a shard's share follows its weight.  The law is ``key``: key and shard
 weights alone decide; sizes and texts do not.
 
-Slots are numbered without gathering a shard in one task: records are ranked
-inside fine cells of a shard (a hash of the key picks the cell), and the
-cells' starting numbers come from a running sum over shards x cells counts, a
-table whose size is a parameter and not the data's.
+Slots are numbered by ranges of (shard, key, text's crc32, size), each of which a task
+sorts and counts on from the ranges before it (``numbered``), so neither a shard nor a
+key with a third of the rows meets in one task.
 
 Defined results: a null id is a key like another (all such rows share a
 shard); repeated ids share a shard and get slots of their own; a null text has
@@ -21,12 +20,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pointweave.operators.tables import numbered
+
 SHARDS = 40
-#: Cells per shard for numbering; 40 x 256 counts travel to every task.
-CELLS = 256
 _SCALE = float(2**53)
 
 
@@ -43,7 +42,7 @@ def shard_of(key: Column, weights: list[float]) -> Column:
     return (F.least(*best) if len(best) > 1 else best[0])["shard"]
 
 
-def assign(docs: DataFrame, weights: list[float] | None = None, cells: int = CELLS) -> DataFrame:
+def assign(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     weights = weights or [1.0] * SHARDS
     data = F.col("text").cast("binary")
@@ -51,23 +50,8 @@ def assign(docs: DataFrame, weights: list[float] | None = None, cells: int = CEL
         "doc_id",
         (F.coalesce(F.octet_length(data), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32(data), F.lit(0)).cast("long").alias("text_crc32"),
+        F.lit("key").alias("law"),
         shard_of(F.col("doc_id"), weights).alias("shard"),
         shard_of(F.col("doc_id"), [*weights, sum(weights) / len(weights)]).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col("doc_id"), F.lit("cell")), F.lit(cells)).cast("int").alias("cell"),
-    )
-    cell = Window.partitionBy("shard", "cell")
-    ranked = placed.withColumn("place", F.row_number().over(cell.orderBy("doc_id", "text_crc32", "size")))
-    # at most shards x cells rows: a bound that the data do not move
-    counts = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return ranked.join(F.broadcast(starts), ["shard", "cell"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("key").alias("law"),
-        "shard",
-        (F.col("start") + F.col("place") - 1).cast("long").alias("slot"),
-        "grown_shard",
-        F.col("cell"),
     )
+    return numbered(placed, "doc_id", "text_crc32", "size", by=["shard"], name="slot")

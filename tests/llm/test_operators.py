@@ -193,6 +193,31 @@ def test_sharding(spark, messy, empty):
             assert (r["size"], r["text_crc32"]) == (len(data) + 16, zlib.crc32(data))
 
 
+def test_slots_of_a_hot_key(spark):
+    """A third of the rows have no id and another third one id and text: slots are gapless, over several tasks."""
+    rows = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id", "CASE WHEN id % 3 = 1 THEN 'same' ELSE concat('t', id) END AS text")
+    out = sharding.assign(rows)
+    slots = {}
+    for r in out.select("shard", "slot").collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 30_000
+
+
+def test_released_copies_of_several_blocks(spark, tmp_path):
+    """Twenty blocks of a benchmark: the same findings as with one, and no more than two copies of the documents on disk."""
+    import os
+
+    rng = random.Random(12)
+    items = [(i, prose(rng, 40)) for i in range(60)]
+    docs = spark.createDataFrame([(i, prose(rng, 60) + " " + (items[i % 60][1] if i % 5 == 0 else "") + f" {rng.random()}") for i in range(200)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    here = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(here))
+    many = sorted(map(tuple, decontam.report(docs, bench, block_bytes=3000).drop("longest_item").collect()))
+    assert many == sorted(map(tuple, decontam.report(docs, bench).drop("longest_item").collect()))
+    assert len(set(os.listdir(here)) - before) <= 2
+
+
 def test_sharding_follows_weights(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     n = {r["shard"]: r["count"] for r in sharding.assign(docs, [1.0, 2.0, 5.0]).groupBy("shard").count().collect()}
