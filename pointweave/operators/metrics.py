@@ -105,7 +105,7 @@ def _dataset(strict: bool = False) -> dict[str, Column]:
     }
 
 
-def _summed(own: DataFrame, by: Sequence[str], strict: bool = False) -> DataFrame:
+def dataset_summary(own: DataFrame, by: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Dataset metrics of the instances of each group; the quantile needs no buffer of a group's values."""
     sums = own.groupBy(*by).agg(*(c.alias(n) for n, c in _dataset(strict).items()))
     cut = quantile(own, by, "rmse", 0.95, "q95_rmse")
@@ -116,7 +116,7 @@ def _summed(own: DataFrame, by: Sequence[str], strict: bool = False) -> DataFram
 def dataset_metrics(pairs: DataFrame, threshold: float, instance: Sequence[str] = ("item_id",), by: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Mean and 0.95-quantile RMSE, mean recall and mean false positive rate over instances."""
     own = instances(pairs, threshold, [*by, *instance])
-    return _summed(own, by, strict)
+    return dataset_summary(own, by, strict)
 
 
 def metric_suite(pairs: DataFrame, r: float, multiples: Sequence[float] = (1.0, 4.0), instance: Sequence[str] = ("item_id",), by: Sequence[str] = ()) -> DataFrame:
@@ -127,7 +127,7 @@ def metric_suite(pairs: DataFrame, r: float, multiples: Sequence[float] = (1.0,
     own = sq.groupBy(*by, *instance, "threshold").agg(
         F.sqrt(F.avg(_sq())).alias("rmse"), _count(a & p).alias("tp"), _count(a & ~p).alias("fn"), _count(~a & p).alias("fp"), _count(~a & ~p).alias("tn")
     )
-    return _summed(own, [*by, "threshold"])
+    return dataset_summary(own, [*by, "threshold"])
 
 
 def paper_metrics(pairs: DataFrame, r: float, by: Sequence[str] = ("item_id",)) -> DataFrame:

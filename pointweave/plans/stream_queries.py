@@ -36,11 +36,11 @@ def _stream(name: str, order: str, table: str, build, sql: str, *doubles: str) -
 
 
 pairs = lambda s: s.select(F.col("l_suppkey").alias("item_id"), F.col("l_discount").alias("true_d"), F.col("l_tax").alias("pred_d"))
-_stream("t1_stream_metrics", "l_orderkey", "lineitem", lambda s: st.settle(st.stream_instances(pairs(s), 0.025)).agg(*(c.alias(n) for n, c in me._dataset().items())), f"WITH {_inst(0.025)} SELECT {_SET.format(s='0.0')} FROM inst", "mean_rmse", "q95_rmse", "mean_recall", "mean_fpr")
+_stream("t1_stream_metrics", "l_orderkey", "lineitem", lambda s: me.dataset_summary(st.settle(st.stream_instances(pairs(s), 0.025), key=["item_id"])), f"WITH {_inst(0.025)} SELECT {_SET.format(s='0.0')} FROM inst", "mean_rmse", "q95_rmse", "mean_recall", "mean_fpr")
 # append mode: a window is emitted when the watermark, the greatest time less the lateness, has passed its end
 _stream("t2_stream_flag_rates", "ts", "events", lambda s: st.settle(st.stream_flag_rates(s.withColumn("flag", F.col("value") > 50.05), "ts", "flag", "1 hour", "1 hour", ["event_type"]), "append"),
         "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, event_type, COUNT(*) AS n, AVG(CASE WHEN value > 50.05 THEN 1.0 ELSE 0 END) AS rate FROM events GROUP BY 1, 2 HAVING epoch_us(MIN(time_bucket(INTERVAL 1 HOUR, ts))) + 3600000000 <= (SELECT epoch_ms(MAX(ts)) FROM events) * 1000 - 3600000000", "rate")
-_stream("t3_stream_fusion", "l_orderkey", "lineitem", lambda s: st.settle(st.stream_fusion(s.select("l_partkey", (F.col("l_discount") * 10).alias("value")), ["l_partkey"])), "SELECT l_partkey, MIN(l_discount * 10) AS low, AVG(l_discount * 10) AS mean, COUNT(*) AS n FROM lineitem GROUP BY 1", "low", "mean")
+_stream("t3_stream_fusion", "l_orderkey", "lineitem", lambda s: st.settle(st.stream_fusion(s.select("l_partkey", (F.col("l_discount") * 10).alias("value")), ["l_partkey"]), key=["l_partkey"]), "SELECT l_partkey, MIN(l_discount * 10) AS low, AVG(l_discount * 10) AS mean, COUNT(*) AS n FROM lineitem GROUP BY 1", "low", "mean")
 _stream("t4_stream_apply_fixes", "ts", "events", lambda s: st.stream_apply_fixes(s.select("user_id", "event_id", "value", "ts"), ["user_id"], "ts", "event_id", "1 day").select("user_id", "event_id", "value"), "SELECT user_id, MAX(event_id) AS event_id, ARG_MAX(value, event_id) AS value FROM events GROUP BY 1", "value")
 _stream("t5_stream_gap_sessions", "ts", "events", lambda s: st.settle(st.stream_gap_sessions(s, "ts", "6 hours", "1 day", ["user_id"]), "append"),
         "WITH g AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), n AS (SELECT *, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(MIN(ts)) AS start, COUNT(*) AS n FROM n GROUP BY user_id, k HAVING epoch_us(MAX(ts)) + 21600000000 <= (SELECT epoch_ms(MAX(ts)) FROM events) * 1000 - 86400000000")

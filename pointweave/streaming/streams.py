@@ -5,9 +5,10 @@ expressions give the batch result) and returns the aggregated one; ``settle``
 runs a stream over what is there and returns its final table.
 
 What a sink has written lives in the shared folder beside the stream's own
-checkpoint, one folder a micro-batch: a batch that runs twice overwrites its
-own folder, and a stream that is started again on the same path goes on where
-it stopped.
+checkpoint: a batch that runs twice overwrites its own folders, and a stream that is
+started again on the same path goes on where it stopped.  Appended rows have one
+folder a micro-batch.  Keyed results come as the changes of each batch into a
+:class:`KeyedTable`, which merges them as it goes.
 """
 
 from __future__ import annotations
@@ -57,14 +58,87 @@ def _written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(whole).parquet(path)
 
 
-def settle(stream: DataFrame, mode: str = "complete", path: str | None = None) -> DataFrame:
+class KeyedTable:
+    """The latest row of each key, from batches of changed rows.
+
+    A batch adds a folder of its changes.  Once the changes hold half as many rows as
+    what was merged before, or ``MOST`` folders, the same step merges all into one, so
+    a row is rewritten about as often as the table doubles.  A manifest for each
+    batch names the folders that count; those that neither it nor the one before names are
+    deleted, so that a batch that failed half-way can run again.  The latest row
+    is that of the highest ``version``, or of the last batch where none is named.
+    """
+
+    MOST = 8
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], version: str | None = None) -> None:
+        self.spark, self.path, self.key, self.version = spark, path, list(key), version
+        self.schema = T.StructType([*schema.fields, T.StructField("folded", T.LongType())])
+        self.columns = schema.names
+
+    def _listed(self, folder: str) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        store = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+
+    def _delete(self, folder: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+    def parts(self, before: int | None = None) -> list[tuple[str, int]]:
+        """Folders, merged rows first, and their numbers of rows, as the last manifest (under ``before``) has them."""
+        numbers = [int(n) for n in self._listed("manifest") if n.isdigit() and "_SUCCESS" in self._listed(f"manifest/{n}")]
+        numbers = [n for n in numbers if before is None or n < before]
+        if not numbers:
+            return []
+        return [(r.folder, r.rows) for r in self.spark.read.parquet(f"{self.path}/manifest/{max(numbers)}").orderBy("place").collect()]  # at most MOST
+
+    def _merged(self, parts: list[tuple[str, int]]) -> DataFrame:
+        rows = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{folder}" for folder, _ in parts))
+        order = F.struct(*([self.version] if self.version else []), "folded")
+        best = F.max_by(F.struct(*(c for c in self.schema.names if c not in self.key)), order).alias("best")
+        return rows.groupBy(*self.key).agg(best).select(*self.key, "best.*").select(self.schema.names)
+
+    def fold(self, batch: DataFrame, number: int) -> None:
+        held = self.parts(number)
+        self._write(batch.select(*self.columns, F.lit(number).cast("long").alias("folded")), f"{number}-changes")
+        parts = [*held, (f"{number}-changes", self._rows(f"{number}-changes"))]
+        if len(parts) > self.MOST or 2 * sum(n for _, n in parts[1:]) >= parts[0][1]:
+            self._write(self._merged(parts), f"{number}-merged")
+            parts = [(f"{number}-merged", self._rows(f"{number}-merged"))]
+        rows = self.spark.createDataFrame([(i, folder, n) for i, (folder, n) in enumerate(parts)], "place int, folder string, rows long")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{number}")
+        for folder in set(self._listed("data")) - {folder for folder, _ in (*held, *parts)}:
+            self._delete(f"data/{folder}")
+        for old in sorted((int(n) for n in self._listed("manifest") if n.isdigit() and int(n) < number))[:-1]:
+            self._delete(f"manifest/{old}")
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/data/{folder}")
+
+    def _rows(self, folder: str) -> int:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{folder}").count()
+
+    def read(self) -> DataFrame:
+        parts = self.parts()
+        if not parts:
+            return self.spark.createDataFrame([], self.schema).select(self.columns)
+        return self._merged(parts).select(self.columns)
+
+
+def settle(stream: DataFrame, mode: str = "complete", path: str | None = None, key: Sequence[str] | None = None) -> DataFrame:
     """Run to the end of the available input and return the sink's table.
 
-    The last batch counts in complete mode, and all count in append mode.  With
+    With ``key``, the key columns of an aggregation, only what a batch changes is written (update mode).
+    Otherwise the last batch counts in complete mode, and all count in append mode.  With
     the ``path`` of an earlier run, that run is continued.
     """
     spark = stream.sparkSession
     path = path or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    if key is not None:
+        table = KeyedTable(spark, f"{path}/out", stream.schema, key)
+        _run(stream, path, "update", table.fold)
+        return table.read()
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
@@ -102,19 +176,15 @@ def stream_gap_sessions(rows: DataFrame, ts: str, gap: str, late: str, by: Seque
 def stream_apply_fixes(results: DataFrame, key: Sequence[str], ts: str, version: str, late: str, path: str | None = None) -> DataFrame:
     """Idempotent upsert: of results that arrive twice or out of order, the highest version of each key.
 
-    Exact repeats within the watermark are dropped before they reach the sink.
-    A batch writes only the best row of each key that it brought; the table is
-    merged when it is read, and :func:`compact` merges what has gathered.
+    Exact repeats within the watermark are dropped before they reach the sink,
+    a :class:`KeyedTable` that merges the batches as they come.
     """
     spark = results.sparkSession
     path = path or f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
     once = results.withWatermark(ts, late).dropDuplicatesWithinWatermark([*key, version])
-
-    def merge(batch: DataFrame, number: int) -> None:
-        newest(batch, key, version).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
-
-    _run(once, path, "append", merge)
-    return newest(_written(spark, f"{path}/out", results.schema).drop("batch"), key, version)
+    table = KeyedTable(spark, f"{path}/out", results.schema, key, version)
+    _run(once, path, "append", lambda batch, number: table.fold(newest(batch, key, version), number))
+    return table.read()
 
 
 def newest(rows: DataFrame, key: Sequence[str], version: str) -> DataFrame:
@@ -126,7 +196,7 @@ def newest(rows: DataFrame, key: Sequence[str], version: str) -> DataFrame:
 def compact(spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], version: str) -> str:
     """The upserted table of ``path`` as one batch in a new folder, whose path is returned; the old one is left alone."""
     new = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    newest(_written(spark, f"{path}/out", schema).drop("batch"), key, version).write.parquet(f"{new}/out/batch=0")
+    KeyedTable(spark, f"{path}/out", schema, key, version).read().write.parquet(f"{new}/out/batch=0")
     return new
 
 
