@@ -234,20 +234,48 @@ def nearest_face(points: DataFrame, faces: DataFrame, by: Sequence[str] = (), ke
     return _nearest(points, faces, by, key, face_key, corners, F.sqrt(point_triangle(xyz, *corners)), {}, reach, xyz)
 
 
+#: Vectors of a tile; a task compares two tiles at a time.
+VECTORS = 4096
+
+
 def knn_feature(rows: DataFrame, k: int, group: str, key: str, vector: str) -> DataFrame:
-    """k nearest in feature space inside each group, ranked by (d2, key).
+    """k nearest in feature space inside each group, ranked by (d2 to 9 digits, key): group, key, other, d2, rank.
 
-    ``|x|^2 - 2 x y + |y|^2`` over array columns; groups are patches, whose
-    size the caller bounds.
+    Exact in any dimension.  A group is dealt to tiles of ``VECTORS`` rows by the hash of the key;
+    a task multiplies two tiles and keeps k for each row, so what is sent on grows with
+    rows x tiles and never with pairs.
     """
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    own = rows.select(group, key, F.transform(vector, lambda x: x.cast("double")).alias("u"))
-    own = own.withColumn("uu", total(F.transform("u", lambda x: x * x)))
-    other = own.select(group, F.col(key).alias("other"), F.col("u").alias("v"), F.col("uu").alias("vv"))
-    d2 = F.col("uu") - 2 * total(F.zip_with("u", "v", lambda x, y: x * y)) + F.col("vv")
-    w = Window.partitionBy(group, key).orderBy("d2", "other")
-    pairs = own.join(other, group).withColumn("d2", F.round(d2, 9)).select(group, key, "other", "d2")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    from pointweave.operators.tables import numbered
+
+    own = rows.select(group, key, F.transform(vector, lambda x: x.cast("double")).alias("u"), F.xxhash64(key).alias("turn"))
+    nth = durable(numbered(own, "turn", key, by=[group], name="nth"), "vectors")
+    sizes = nth.groupBy(group).agg(F.expr(f"(count(1) - 1) div {VECTORS}").alias("last"))
+    tiled = nth.join(sizes, group).select(group, key, "u", F.expr(f"nth div {VECTORS}").alias("own"), F.sequence(F.lit(0).cast("long"), "last").alias("all"))
+    left = tiled.select(group, F.col("own").alias("one"), F.explode("all").alias("two"), key, "u")
+    right = tiled.select(F.col(group).alias(group), F.explode("all").alias("one"), F.col("own").alias("two"), F.col(key).alias("other"), F.col("u").alias("v"))
+    kinds = dict(rows.dtypes)
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("other")
+        y, names = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, 1)), b["other"].to_numpy()
+        parts = []
+        for lo in range(0, len(a), 512) if len(b) else ():
+            x, ids = np.stack(a["u"].to_numpy()[lo : lo + 512]), a[key].to_numpy()[lo : lo + 512]
+            d2 = np.round((x * x).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y * y).sum(axis=1), 9)
+            # all that tie with the k-th, then the first k by (d2, key): names are in order
+            most = np.partition(d2, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+            row, at = np.nonzero(d2 <= most[:, None])
+            order = np.lexsort((at, d2[row, at], row))
+            row, at = row[order], at[order]
+            start = np.searchsorted(row, np.arange(len(x)))
+            kept = np.arange(len(row)) - start[row] < k
+            parts.append(pd.DataFrame({group: a[group].iloc[0], key: ids[row[kept]], "other": names[at[kept]], "d2": d2[row[kept], at[kept]]}))
+        return pd.concat(parts) if parts else pd.DataFrame({group: [], key: [], "other": [], "d2": []})
+
+    pair = [group, "one", "two"]
+    near = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(nearest, f"`{group}` {kinds[group]}, `{key}` {kinds[key]}, other {kinds[key]}, d2 double")
+    first = Window.partitionBy(group, key).orderBy("d2", "other")
+    return near.withColumn("rank", F.row_number().over(first).cast("long")).where(F.col("rank") <= k)
 
 
 def chamfer(a: DataFrame, b: DataFrame, by: Sequence[str], key: str = "point_id") -> DataFrame:

@@ -99,3 +99,15 @@ def test_nearest_segments_of_groups_far_apart(spark):
     for item, point_id, *p in points:
         own = sorted((round(reach(p, s), 12), s[1]) for s in shapes if s[0] == item)
         assert got[point_id][1] == pytest.approx(own[0][0], abs=1e-9) and got[point_id][0] in {i for d, i in own if d - own[0][0] < 1e-9}
+
+
+def test_nearest_vectors_across_tiles(spark, monkeypatch):
+    monkeypatch.setattr(sp, "VECTORS", 7)
+    rng = random.Random(11)
+    rows = [(i % 2, i, [float(rng.randrange(3)) for _ in range(5)]) for i in range(50)] + [(2, 90, [1.0] * 5)]
+    got = {}
+    for r in sp.knn_feature(spark.createDataFrame(rows, "g long, id long, v array<double>"), 4, "g", "id", "v").collect():
+        got.setdefault(r.id, []).append((r["rank"], r.d2, r.other))
+    for g, i, v in rows:
+        want = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for h, j, w in rows if h == g)[:4]
+        assert [(d, o) for _, d, o in sorted(got[i])] == want
