@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     if master == "local" or master.startswith("local["):
         return _local_dir()
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if warehouse.startswith("file:") or "://" not in warehouse:
+    if warehouse.startswith("file:") or ":" not in warehouse:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a local folder of each machine")
     return warehouse + "/checkpoints"
 
