@@ -15,7 +15,8 @@ Matches that hold no whole window are not reported.
 The benchmark travels to the tasks in blocks of at most ``block_bytes`` of
 text.  The driver holds one block at a time and what is broadcast has a fixed
 bound however large the benchmark grows: with several blocks, documents pass
-the blocks one after another, written to the shared folder in between.
+the blocks one after another, written to the shared folder in between; what a
+block has read is deleted, so two copies stand there at most.
 
 Defined results: a null or wordless text has no words and is clean; null or
 wordless items have no window; equal items all count; an item without an id
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import LOWER, byte_table, durable, flat_bytes, lowered, pieces, small_batches, word_hashes
+from pointweave.llm.common import LOWER, byte_table, durable, flat_bytes, lowered, pieces, release, small_batches, word_hashes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -302,9 +303,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
                 for lo, hi in pieces(batch.column("text"), SHARD_BYTES):
                     yield Found(batch.column("text"), lo, hi, known).rows(batch, lo, hi, last)
 
-        out = small_batches(out).mapInArrow(run, _HITS if last else _HITS.replace("doc_id long", "doc_id long, text string"))
+        before, out = out, small_batches(out).mapInArrow(run, _HITS if last else _HITS.replace("doc_id long", "doc_id long, text string"))
         if not last:
             out = durable(out, "matches")
+            release(before)
             sent.destroy()
     return out
 
@@ -340,8 +342,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
                     dirty[[d for d, *_ in Found(batch.column("text"), lo, hi, known).hits]] = True
                     yield batch.slice(lo, hi - lo).filter(pa.array(~dirty))
 
-        out = small_batches(out).mapInArrow(run, docs.schema)
+        before, out = out, small_batches(out).mapInArrow(run, docs.schema)
         if not last:
             out = durable(out, "clean")
+            release(before)
             sent.destroy()
     return out
