@@ -10,8 +10,8 @@ Phrases grow a word a level.  A shard finds the intervals of the phrases that ar
 so far by backward search in both directions, and extends each to the right through
 the reverse BWT; the forward interval moves by the number of lesser symbols.  An
 extension counts only if the phrase without its first word is frequent too, as no other
-can be.  Local counts are summed over shards, and what is frequent goes back to the shards
-that hold it.  Two numbers come with each count: how many of the occurrences have a word
+can be.  Local counts are packed by bucket of the phrase and summed over shards, and what is
+frequent goes back to the shards that hold it.  Two numbers come with each count: how many of the occurrences have a word
 to their left and to their right, which the two intervals tell.
 
 Defined results: a null or empty text has no words; documents without a language belong
@@ -32,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import LOWER, durable, release, small_batches
+from pointweave.llm.common import LOWER, durable, mix64, release, small_batches
 
 #: Words of a shard; a longer piece of text makes a longer shard.
 SHARD = 1 << 20
+#: Least number of buckets that local counts are summed in.
+BUCKETS = 256
 #: Symbols of a sequence: the end of a piece, a run of words that are nowhere frequent, then words.
 END, RARE, WORD = 0, 1, 2
 
@@ -181,6 +183,27 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, byte by byte, as numbers of one range share their high bytes."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays), 1)
+
+
+def _arrays(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(widths), 0, []
+    for kind, width in zip(kinds, widths):
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
+
+#: What a shard tells of an extension: name of the phrase, last word, occurrences, those with a word before and behind.
+_LOCAL = ("<i8", "<i8", "<i4", "<i4", "<i4")
+#: What is summed up of a frequent one, and what its shards are told.
+_SUMMED, _BACK = ("<i8",) * 6, ("<i8",) * 3
+
+
 def _indexes(sequences: DataFrame, depth: int) -> DataFrame:
     """shard, gids (global number of each local word) and both BWTs; sequences: shard, seq, frequent (local, gid)."""
 
@@ -204,11 +227,22 @@ def _indexes(sequences: DataFrame, depth: int) -> DataFrame:
     return sequences.select("shard", "seq", "frequent").mapInArrow(run, "shard long, gids binary, forward binary, backward binary")
 
 
-def _grown(indexes: DataFrame, size: int) -> DataFrame:
-    """Phrases of size + 1 words in each shard: shard, prefix, last, words, count, before, after.
+def _known(gids: np.ndarray, told: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Names and symbols of the frequent phrases of a shard, from what it was told level by level."""
+    names, symbols = gids, np.arange(len(gids)).reshape(-1, 1) + WORD
+    for level in told:
+        parts = [_arrays(data, *_BACK) for data in level]
+        name, prefix, last = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(names)
+        heads = order[np.searchsorted(names[order], prefix)]
+        names, symbols = name, np.hstack([symbols[heads], (np.searchsorted(gids, last) + WORD).reshape(-1, 1)])
+    return names, symbols
 
-    indexes: shard, gids, forward, backward and, for size > 1, ``known``: the frequent
-    phrases of ``size`` words that the shard holds (name, words).
+
+def _grown(indexes: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Phrases of size + 1 words in each shard, packed by bucket: bucket, shard, data.
+
+    indexes: shard, gids, forward, backward and what the shard was told of each level so far.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,13 +250,7 @@ def _grown(indexes: DataFrame, size: int) -> DataFrame:
             for i in range(batch.num_rows):
                 gids = _unpacked(batch.column(1)[i].as_py(), np.int64)
                 index = Index(*(_unpacked(batch.column(c)[i].as_py(), np.int32) for c in (2, 3)), len(gids) + WORD)
-                if size == 1:
-                    words = np.arange(len(gids)).reshape(-1, 1) + WORD
-                    names = gids
-                else:
-                    known = batch.column(4)[i].values
-                    names = known.field("name").to_numpy()
-                    words = np.searchsorted(gids, known.field("words").flatten().to_numpy()).reshape(-1, size) + WORD
+                names, words = _known(gids, [batch.column(4 + c)[i].as_py() for c in range(size - 1)])
                 parent, symbol, low, back, found = index.extended(*index.find(words))
                 if size > 1:
                     # the extension without its first word has a head and a last word too: is it among the known?
@@ -233,11 +261,69 @@ def _grown(indexes: DataFrame, size: int) -> DataFrame:
                     at = np.minimum(np.searchsorted(have, key), len(have) - 1)
                     keep = (tails >= 0) & (have[at] == key)
                     parent, symbol, low, back, found = (x[keep] for x in (parent, symbol, low, back, found))
-                columns = [np.full(len(parent), batch.column(0)[i].as_py(), np.int64), names[parent], gids[symbol - WORD], found, found - index.forward.bounded(low, found), found - index.backward.bounded(back, found)]
-                for lo in range(0, len(parent), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 16)]) for c in columns], ["shard", "prefix", "last", "count", "before", "after"])
+                prefix, last = names[parent], gids[symbol - WORD]
+                columns = [prefix, last, found, found - index.forward.bounded(low, found), found - index.backward.bounded(back, found)]
+                bucket = (mix64(mix64(prefix.astype(np.uint64)) + last.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((last, prefix, bucket))
+                bucket, columns = bucket[order], [c[order] for c in columns]
+                cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)] if len(bucket) else np.zeros(1, np.int64)
+                packs = [_planes(np.diff(columns[0][x:y], prepend=0), *(c[x:y].astype(k) for c, k in zip(columns[1:], _LOCAL[1:]))) for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(np.full(len(packs), batch.column(0)[i].as_py(), np.int64)), pa.array(packs, pa.binary())], ["bucket", "shard", "data"])
+
+    return indexes.mapInArrow(run, "bucket long, shard long, data binary")
+
+
+def _merged(packs: DataFrame, least: int) -> DataFrame:
+    """Rows of a bucket summed up: shard (-1: the sums), data.  A frequent phrase gets a name, told to the shards that hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def finish() -> pa.RecordBatch:
+            parts = [_arrays(data, *_LOCAL) for _, data in held]
+            shard = np.repeat([s for s, _ in held], [len(p[0]) for p in parts])
+            prefix = np.concatenate([np.cumsum(p[0]) for p in parts])
+            last, *numbers = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(1, 5))
+            order = np.lexsort((shard, last, prefix))
+            shard, prefix, last = shard[order], prefix[order], last[order]
+            fresh = np.r_[True, (prefix[1:] != prefix[:-1]) | (last[1:] != last[:-1])]
+            starts = np.flatnonzero(fresh)
+            sums = [np.add.reduceat(x[order], starts) for x in numbers]
+            often = sums[0] >= least
+            names = (at << 32) + np.cumsum(often) - 1
+            out = [(-1, _planes(*(x[often] for x in (names, prefix[starts], last[starts], *sums))))]
+            group = np.cumsum(fresh) - 1
+            rows = np.flatnonzero(often[group])
+            rows = rows[np.argsort(shard[rows], kind="stable")]
+            cuts = np.r_[np.flatnonzero(np.r_[True, shard[rows][1:] != shard[rows][:-1]]), len(rows)] if len(rows) else np.zeros(1, np.int64)
+            for x, y in zip(cuts.tolist(), cuts[1:].tolist()):
+                own = rows[x:y]
+                out.append((int(shard[own[0]]), _planes(names[group[own]], prefix[own], last[own])))
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([d for _, d in out], pa.binary())], ["shard", "data"])
+
+        for batch in batches:
+            for bucket, shard, data in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if bucket != at:
+                    if held:
+                        yield finish()
+                    at, held = bucket, []
+                held.append((shard, data))
+        if held:
+            yield finish()
+
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard long, data binary")
+
+
+def _spelled(merged: DataFrame) -> DataFrame:
+    """name, prefix, last, count, before and after of the frequent phrases."""
+    names = ["name", "prefix", "last", "count", "before", "after"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _arrays(data, *_SUMMED)], names)
 
-    return indexes.mapInArrow(run, "shard long, prefix long, last long, count long, before long, after long")
+    return merged.where("shard = -1").select("data").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _places(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -262,20 +348,20 @@ def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, Data
     own = told.join(words.select("lang", "word", "gid"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("local", "gid")).alias("frequent"))
     indexes = durable(_indexes(sharded.select("shard", "seq").join(own, "shard"), longest), "indexes")
     release(sharded)
+    # as many buckets as keep each in a task's memory
+    buckets = max(BUCKETS, (totals.agg(F.sum("n")).first()[0] or 0) >> 21)
     known = words.select(F.col("gid").alias("name"), F.array("gid").alias("words"))
     levels, asked = [], indexes
     for size in range(1, longest):
-        local = durable(_grown(asked, size), "local")
-        summed = local.groupBy("prefix", "last").agg(*(F.sum(c).alias(c) for c in ("count", "before", "after"))).where(F.col("count") >= least)
-        named = durable(summed.withColumn("name", F.monotonically_increasing_id()), "named")
-        level = durable(named.join(known.select(F.col("name").alias("prefix"), "words"), "prefix").select("name", "prefix", "last", F.concat("words", F.array("last")).alias("words"), "count", "before", "after"), "phrases")
-        release(named)
+        merged = durable(_merged(_grown(asked, size, buckets), least), "merged")
+        level = durable(_spelled(merged).join(known.select(F.col("name").alias("prefix"), "words"), "prefix").select("name", F.concat("words", F.array("last")).alias("words"), "count", "before", "after"), "phrases")
         levels.append(level.select("words", "count", "before", "after"))
         known = level.select("name", "words")
         if size + 1 < longest:
-            back = local.join(level.select("prefix", "last", "name", "words"), ["prefix", "last"]).groupBy("shard").agg(F.collect_list(F.struct("name", "words")).alias("known"))
-            asked = durable(indexes.join(back, "shard"), "asked")
-        release(local)
+            told = merged.where("shard >= 0").groupBy("shard").agg(F.collect_list("data").alias(f"told_{size}"))
+            before, asked = asked, durable(asked.join(told, "shard"), "asked")
+            release(before)
+        release(merged)
     return words, totals, levels
 
 
