@@ -22,6 +22,7 @@ frequent phrases, gives an empty result; other columns are not read, whatever th
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointweave.llm.common import LOWER, durable, mix64, release, small_batches
+from pointweave.sources.durable import shared_dir
 
 #: Words of a shard; a longer piece of text makes a longer shard.
 SHARD = 1 << 20
@@ -336,18 +338,33 @@ def _places(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return place[ids[len(rows) :]]
 
 
+def _bucketed(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table bucketed by shard: what shards are told comes to its rows, which are not shuffled again."""
+    spark, table = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    out._durable_path, out._table = path, table
+    return out
+
+
+def _dropped(table: DataFrame) -> None:
+    table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._table}")
+    release(table)
+
+
 def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Words (gid, lang, word, count), words in all of each language (lang, n), and the phrases of 2 to ``longest``
     words that occur ``least`` times: name, words (gids), count, before, after."""
-    sharded = durable(shards(docs), "shards")
+    sharded = _bucketed(shards(docs), "shards")
     told = sharded.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("shard", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("held"))
     counts = durable(told.groupBy("lang", "word").agg(F.sum("held").alias("count")), "counts")
     totals = durable(counts.groupBy("lang").agg(F.sum("count").alias("n")), "totals")
     words = durable(counts.where(F.col("count") >= least).withColumn("gid", F.monotonically_increasing_id()), "words")
     release(counts)
     own = told.join(words.select("lang", "word", "gid"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("local", "gid")).alias("frequent"))
-    indexes = durable(_indexes(sharded.select("shard", "seq").join(own, "shard"), longest), "indexes")
-    release(sharded)
+    indexes = _bucketed(_indexes(sharded.select("shard", "seq").join(own, "shard"), longest), "indexes")
+    _dropped(sharded)
     # as many buckets as keep each in a task's memory
     buckets = max(BUCKETS, (totals.agg(F.sum("n")).first()[0] or 0) >> 21)
     known = words.select(F.col("gid").alias("name"), F.array("gid").alias("words"))
@@ -358,10 +375,10 @@ def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, Data
         levels.append(level.select("words", "count", "before", "after"))
         known = level.select("name", "words")
         if size + 1 < longest:
-            told = merged.where("shard >= 0").groupBy("shard").agg(F.collect_list("data").alias(f"told_{size}"))
-            before, asked = asked, durable(asked.join(told, "shard"), "asked")
-            release(before)
+            told = durable(merged.where("shard >= 0").groupBy("shard").agg(F.collect_list("data").alias(f"told_{size}")), "told")
+            asked = asked.join(told, "shard")
         release(merged)
+    _dropped(indexes)
     return words, totals, levels
 
 
