@@ -1,7 +1,7 @@
 """Phrase collocations from FM-indexes over word ids (operator 11).
 
 A shard is what a task reads, one language at a time and about ``SHARD`` words, and keeps
-its own dictionary.  Words that occur often enough anywhere get a number; in a shard's
+its own dictionary.  Words travel packed by bucket, and those that occur often enough anywhere get a number; in a shard's
 sequence the others become one common symbol a run, and piece ends another.  The shard's
 index is the BWT of that sequence and of its reverse, from suffixes ordered to the
 longest phrase's depth, which is all that intervals of such phrases need.
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -206,16 +207,87 @@ _LOCAL = ("<i8", "<i8", "<i4", "<i4", "<i4")
 _SUMMED, _BACK = ("<i8",) * 6, ("<i8",) * 3
 
 
+#: What a shard tells of a word besides its bytes, and what it is told of a frequent one: place in its dictionary (as steps), occurrences or number.
+_HELD, _FOUND = ("<i4", "<i4"), ("<i4", "<i8")
+
+
+def _word_packs(sharded: DataFrame, buckets: int) -> DataFrame:
+    """Each shard's words by bucket of the word: bucket, shard, lang, words (by line ends, which are in no word), data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column(2)[i].values.cast(pa.binary()).to_pylist()
+                counts = batch.column(3)[i].values.to_numpy()
+                bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]), len(order)] if len(order) else np.zeros(1, np.int64)
+                parts = [order[x:y] for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+                columns = [
+                    pa.array(bucket[order[cuts[:-1]]].astype(np.int64)),
+                    pa.array(np.full(len(parts), batch.column(0)[i].as_py(), np.int64)),
+                    pa.array([batch.column(1)[i].as_py()] * len(parts), pa.string()),
+                    pa.array([zstandard.compress(b"\n".join([words[j] for j in part.tolist()]), 3) for part in parts], pa.binary()),
+                    pa.array([_planes(np.diff(part, prepend=0).astype("<i4"), counts[part].astype("<i4")) for part in parts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "shard", "lang", "words", "data"])
+
+    return sharded.select("shard", "lang", "words", "counts").mapInArrow(run, "bucket long, shard long, lang string, words binary, data binary")
+
+
+_NAMED = "shard long, lang string, n long, words array<string>, counts array<long>, gids array<long>, data binary"
+
+
+def _named(packs: DataFrame, least: int) -> DataFrame:
+    """Words of a bucket summed up.  Rows of shard -1: a language's words n, and its frequent words with counts and
+    numbers; the others tell shards which of their words are frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def finish() -> pa.RecordBatch:
+            sums: dict[str, dict[bytes, int]] = {}
+            for _, lang, words, data in held:
+                own = sums.setdefault(lang, {})
+                for w, c in zip(zstandard.decompress(words).split(b"\n"), _arrays(data, *_HELD)[1].tolist()):
+                    own[w] = own.get(w, 0) + c
+            out, gids, first = [], {}, at << 32
+            for lang, own in sums.items():
+                often = [w for w, c in own.items() if c >= least]
+                gids[lang] = dict(zip(often, range(first, first + len(often))))
+                first += len(often)
+                out.append((-1, lang, sum(own.values()), [w.decode() for w in often], [own[w] for w in often], list(gids[lang].values()), None))
+            for shard, lang, words, data in held:
+                gid = np.array([gids[lang].get(w, -1) for w in zstandard.decompress(words).split(b"\n")], np.int64)
+                local = np.cumsum(_arrays(data, *_HELD)[0])
+                if (gid >= 0).any():
+                    out.append((shard, lang, None, None, None, None, _planes(np.diff(local[gid >= 0], prepend=0).astype("<i4"), gid[gid >= 0])))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["shard", "lang", "n", "words", "counts", "gids", "data"])
+
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if bucket != at:
+                    if held:
+                        yield finish()
+                    at, held = bucket, []
+                held.append(row)
+        if held:
+            yield finish()
+
+    return packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _NAMED)
+
+
 def _indexes(sequences: DataFrame, depth: int) -> DataFrame:
-    """shard, gids (global number of each local word) and both BWTs; sequences: shard, seq, frequent (local, gid)."""
+    """shard, gids (global number of each local word) and both BWTs; sequences: shard, seq, frequent (packs of local, gid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
                 seq = _unpacked(batch.column(1)[i].as_py(), np.int32)
-                pairs = batch.column(2)[i].values
-                local, gid = pairs.field("local").to_numpy(), pairs.field("gid").to_numpy()
+                packs = [_arrays(data, *_FOUND) for data in batch.column(2)[i].as_py()]
+                local, gid = np.concatenate([np.cumsum(steps) for steps, _ in packs]), np.concatenate([gids for _, gids in packs])
                 order = np.argsort(gid)
                 symbol = np.full(int(seq.max()) + 1, RARE, np.int32)
                 symbol[1] = END
@@ -357,28 +429,30 @@ def frequent(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, Data
     """Words (gid, lang, word, count), words in all of each language (lang, n), and the phrases of 2 to ``longest``
     words that occur ``least`` times: name, words (gids), count, before, after."""
     sharded = _bucketed(shards(docs), "shards")
-    told = sharded.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("shard", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("held"))
-    counts = durable(told.groupBy("lang", "word").agg(F.sum("held").alias("count")), "counts")
-    totals = durable(counts.groupBy("lang").agg(F.sum("count").alias("n")), "totals")
-    words = durable(counts.where(F.col("count") >= least).withColumn("gid", F.monotonically_increasing_id()), "words")
-    release(counts)
-    own = told.join(words.select("lang", "word", "gid"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("local", "gid")).alias("frequent"))
-    indexes = _bucketed(_indexes(sharded.select("shard", "seq").join(own, "shard"), longest), "indexes")
-    _dropped(sharded)
     # as many buckets as keep each in a task's memory
+    entries = sharded.agg(F.sum(F.size("counts"))).first()[0] or 0
+    named = durable(_named(_word_packs(sharded, max(BUCKETS, entries >> 20)), least), "named")
+    own = named.where("shard = -1")
+    totals = durable(own.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    words = durable(own.select("lang", F.explode(F.arrays_zip("words", "counts", "gids")).alias("w")).select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("count"), F.col("w.gids").alias("gid")), "words")
+    found = named.where("shard >= 0").groupBy("shard").agg(F.collect_list("data").alias("frequent"))
+    indexes = _bucketed(_indexes(sharded.select("shard", "seq").join(found, "shard"), longest), "indexes")
+    release(named)
+    _dropped(sharded)
     buckets = max(BUCKETS, (totals.agg(F.sum("n")).first()[0] or 0) >> 21)
     known = words.select(F.col("gid").alias("name"), F.array("gid").alias("words"))
-    levels, asked = [], indexes
+    levels, asked, told = [], indexes, []
     for size in range(1, longest):
         merged = durable(_merged(_grown(asked, size, buckets), least), "merged")
         level = durable(_spelled(merged).join(known.select(F.col("name").alias("prefix"), "words"), "prefix").select("name", F.concat("words", F.array("last")).alias("words"), "count", "before", "after"), "phrases")
         levels.append(level.select("words", "count", "before", "after"))
         known = level.select("name", "words")
         if size + 1 < longest:
-            told = durable(merged.where("shard >= 0").groupBy("shard").agg(F.collect_list("data").alias(f"told_{size}")), "told")
-            asked = asked.join(told, "shard")
+            told.append(_bucketed(merged.where("shard >= 0").groupBy("shard").agg(F.collect_list("data").alias(f"told_{size}")), "told"))
+            asked = asked.join(told[-1], "shard")
         release(merged)
-    _dropped(indexes)
+    for table in (indexes, *told):
+        _dropped(table)
     return words, totals, levels
 
 
