@@ -81,6 +81,28 @@ def test_one_language_and_repeated_words(spark):
     assert sorted_rows(ph.collocations(spark.createDataFrame(rows, "lang string, text string"), 5, 10)) == brute(rows, 5, 10)
 
 
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_words_are_summed_over_shards_and_numbered(spark, buckets):
+    held = [(7, "en", ["a", "b", "é", "x\\y"], [3, 1, 2, 1]), (8, "en", ["é", "c", "a"], [2, 9, 1]), (9, "de", ["a", "b"], [3, 4]), (10, "fr", ["only"], [1])]
+    sharded = spark.createDataFrame(held, "shard long, lang string, words array<string>, counts array<int>")
+    rows = ph._named(ph._word_packs(sharded, buckets), 4).collect()
+    n, count, number = Counter(), {}, {}
+    for r in rows:
+        if r["shard"] == -1:
+            n[r["lang"]] += r["n"]
+            for w, c, gid in zip(r["words"], r["counts"], r["gids"]):
+                count[r["lang"], w], number[gid] = c, (r["lang"], w)
+    assert n == {"en": 19, "de": 7, "fr": 1}
+    assert count == {("en", "a"): 4, ("en", "é"): 4, ("en", "c"): 9, ("de", "b"): 4} and len(number) == 4
+    told = {}
+    for r in rows:
+        if r["shard"] != -1:
+            steps, gids = ph._arrays(r["data"], *ph._FOUND)
+            for local, gid in zip(np.cumsum(steps).tolist(), gids.tolist()):
+                told[r["shard"], local] = number[gid]
+    assert told == {(s, i): (lang, w) for s, lang, words, _ in held for i, w in enumerate(words) if (lang, w) in count}
+
+
 def test_nothing_is_frequent(spark):
     df = spark.createDataFrame([("en", "a b c"), (None, None)], "lang string, text string")
     assert ph.collocations(df).count() == 0 and ph.collocations(df.limit(0)).count() == 0
