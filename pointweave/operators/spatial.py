@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointweave.functions.geometry import aabb, point_triangle, segment_project
+from pointweave.functions.geometry import aabb
 from pointweave.sources.durable import durable, release
 
 XYZ = ("x", "y", "z")
@@ -147,12 +147,157 @@ def _covered(lo: Column, hi: Column, size: Column | float) -> Column:
     return F.explode(F.sequence(_cell(lo, size), _cell(hi, size)))
 
 
-def _ranked(distance: Column, key: str) -> Column:
-    """What orders shapes: the distance to 12 digits, the id, the distance.  The expression is computed once."""
-    return F.element_at(F.transform(F.array(distance), lambda d: F.struct(F.round(d, 12).alias("rounded"), F.col(key), d.alias("distance"))), 1)
+#: Points or shapes of a cell that a task compares at a time, and the points that it holds against them at once.
+BLOCK, CHUNK = 4096, 256
 
 
-def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str, shape_key: str, corners: Sequence[Sequence[str]], distance: Column, extra: dict[str, Column], size: float | None, xyz: Sequence[str]) -> DataFrame:
+class _Segments:
+    """Segments of a block: distances to their lines from below, and exact ones."""
+
+    fields = ("qx", "qy", "qz", "t")
+
+    def __init__(self, corners: Sequence[np.ndarray], centre: np.ndarray) -> None:
+        self.a, self.b = corners
+        near, gap = self.a - centre, self.b - self.a
+        length = np.sqrt((gap * gap).sum(axis=1))
+        with np.errstate(all="ignore"):
+            self.u = np.where((length > 0)[:, None], gap / length[:, None], 0.0)
+        self.near, self.along, self.size = near, (near * self.u).sum(axis=1), (near * near).sum(axis=1)
+
+    def below(self, p: np.ndarray) -> np.ndarray:
+        """Squared distances of points about the centre to the lines."""
+        along = p @ self.u.T - self.along
+        return (p * p).sum(axis=1)[:, None] - 2 * (p @ self.near.T) + self.size - along * along
+
+    def exact(self, p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        d, q, t = _on_segment(p, self.a[at], self.b[at])
+        return d, [*q.T, t]
+
+
+class _Triangles:
+    """Triangles of a block: distances to their planes from below, and exact ones."""
+
+    fields = ()
+
+    def __init__(self, corners: Sequence[np.ndarray], centre: np.ndarray) -> None:
+        self.a, self.b, self.c = corners
+        ab, ac = self.b - self.a, self.c - self.a
+        normal = np.cross(ab, ac)
+        size, sides = np.sqrt((normal * normal).sum(axis=1)), np.sqrt((ab * ab).sum(axis=1) * (ac * ac).sum(axis=1))
+        with np.errstate(all="ignore"):
+            # the plane of a sliver is uncertain: all its distances are looked at
+            self.u = np.where((size > 1e-8 * sides)[:, None], normal / size[:, None], 0.0)
+        self.along = ((self.a - centre) * self.u).sum(axis=1)
+
+    def below(self, p: np.ndarray) -> np.ndarray:
+        """Squared distances of points about the centre to the planes."""
+        along = p @ self.u.T - self.along
+        return along * along
+
+    def exact(self, p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """As :func:`pointweave.functions.geometry.point_triangle`."""
+        a, b, c = self.a[at], self.b[at], self.c[at]
+        ab, ac, ap = b - a, c - a, p - a
+        n = _crossed(ab, ac)
+        nn = _dotted(n, n)
+        with np.errstate(all="ignore"):
+            u, v = _dotted(_crossed(ab, ap), n) / nn, _dotted(_crossed(ap, ac), n) / nn
+            inside = (nn > 0) & (u >= 0) & (v >= 0) & (u + v <= 1)
+            height = _dotted(ap, n)
+            least = np.fmin(np.fmin(_on_segment(p, a, b)[0], _on_segment(p, b, c)[0]), _on_segment(p, c, a)[0])
+            return np.sqrt(np.where(inside, height * height / nn, least * least)), []
+
+
+def _dotted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1] + a[:, 2] * b[:, 2]
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.stack([a[:, i] * b[:, j] - a[:, j] * b[:, i] for i, j in ((1, 2), (2, 0), (0, 1))], axis=1)
+
+
+def _on_segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`pointweave.functions.geometry.segment_project`."""
+    ab = b - a
+    length2 = _dotted(ab, ab)
+    with np.errstate(all="ignore"):
+        t = np.where(length2 > 0, np.maximum(np.minimum(_dotted(p - a, ab) / length2, 1.0), 0.0), 0.0)
+    q = a + t[:, None] * ab
+    return np.sqrt(_dotted(p - q, p - q)), q, t
+
+
+def _least(p: np.ndarray, corners: Sequence[np.ndarray], names: np.ndarray, part: np.ndarray, kind: type, bound: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each point and part, the shape of least (distance to 12 digits, name): point, shape, distance, further fields.
+
+    Without a bound the parts are one.  Distances to whole lines and planes are products of matrices and bound the others from
+    below; the shapes that look nearest in 16 stretches bound the least one from above, and only what lies
+    between is computed, by the formulas of the column expressions.
+    """
+    centre = (p.min(axis=0) + p.max(axis=0)) / 2
+    shapes = kind(corners, centre)
+    scale = max(np.abs(x - centre).max() for x in (p, *corners))
+    slack = 1e-11 + 1e-7 * scale
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    stretches = np.unique(np.linspace(0, len(names), min(16, len(names)) + 1).astype(int))
+    for lo in range(0, len(p), CHUNK):
+        own = p[lo : lo + CHUNK]
+        low = shapes.below(own - centre)
+        if bound is None:
+            first = np.stack([low[:, x:y].argmin(axis=1) + x for x, y in zip(stretches, stretches[1:])], axis=1)
+            upper = np.fmin.reduce(shapes.exact(np.repeat(own, first.shape[1], axis=0), first.ravel())[0].reshape(first.shape), axis=1)
+        else:
+            upper = np.full(len(own), bound)
+        row, at = np.nonzero(~(low > ((upper + slack) ** 2)[:, None]))
+        d = np.concatenate([shapes.exact(own[row[i : i + 65536]], at[i : i + 65536])[0] for i in range(0, len(row), 65536)] or [np.zeros(0)])
+        if bound is not None:
+            row, at, d = row[d < bound], at[d < bound], d[d < bound]
+        order = np.lexsort((d, names[at], np.floor(d * 1e12 + 0.5), part[at], row))
+        row, at, d = row[order], at[order], d[order]
+        new = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(part[at], prepend=-1) != 0))
+        found.append((row[new] + lo, at[new], d[new]))
+    row, at, d = (np.concatenate(x) for x in zip(*found))
+    return row, at, d, shapes.exact(p[row], at)[1]
+
+
+def _compared(asked: DataFrame, grown: DataFrame, by: Sequence[str], cells: Sequence[str], key: str, shape_key: str, xyz: Sequence[str], corners: Sequence[Sequence[str]], kind: type, per: Sequence[str] = (), bound: float | None = None) -> DataFrame:
+    """by, per, key, shape_key, distance and further fields: what :func:`_least` finds in each block of points and shapes that share a cell.
+
+    The points and the shapes of a cell are dealt to blocks of about ``BLOCK`` by the hashes of their
+    keys, and each block of points meets each of shapes, so a full cell is shared by many tasks.
+    A task gets many small cells at a time.
+    """
+    by, per = list(by), list(per)
+    place = [*by, "shape_level", *cells]
+    counts = asked.groupBy(*place).agg(F.count(F.lit(1)).alias("pn")).join(grown.groupBy(*place).agg(F.count(F.lit(1)).alias("sn")), place)
+    met = durable(counts.select(*place, "pn", "sn", F.monotonically_increasing_id().alias("cell_id"), *(F.ceil(F.col(n) / BLOCK).alias(b) for n, b in (("pn", "pb"), ("sn", "sb")))), "cells")
+    rows, pairs = met.agg(F.coalesce(F.sum(F.col("pn") * F.col("sb") + F.col("sn") * F.col("pb")), F.lit(0)), F.coalesce(F.sum(F.col("pn").cast("double") * F.col("sn")), F.lit(0.0))).first()
+    tasks = max(1, min(10_000, int(max(rows / 20_000, pairs / 2_000_000))))
+    deal = F.pmod(F.xxhash64("cell_id", "one", "two"), F.lit(4 * tasks)).alias("deal")
+    flat = [c for corner in corners for c in corner]
+    points = asked.join(met, place).select(F.col("cell_id").alias("cell_id"), F.pmod(F.xxhash64(key), "pb").alias("one"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sb") - 1)).alias("two"), *by, key, *xyz)
+    shapes = grown.join(met, place).select(F.col("cell_id").alias("cell_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pb") - 1)).alias("one"), F.pmod(F.xxhash64(shape_key), "sb").alias("two"), *per, shape_key, *flat)
+    kinds = dict(asked.dtypes) | {c: t for c, t in grown.dtypes if c in (*per, shape_key)}
+    names = [*by, *per, key, shape_key]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "distance double", *(f"`{c}` double" for c in kind.fields)])
+    block = ["cell_id", "one", "two"]
+
+    def nearest(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        out, of = [], s.groupby(block, sort=False).indices if len(p) and len(s) else {}
+        for name, at in p.groupby(block, sort=False).indices.items() if of else ():
+            if name not in of:
+                continue
+            own, other = p.iloc[at], s.iloc[of[name]]
+            part = other.groupby(per, sort=False, dropna=False).ngroup().to_numpy() if per else np.zeros(len(other), np.int64)
+            row, to, d, more = _least(own[list(xyz)].to_numpy(float), [other[list(c)].to_numpy(float) for c in corners], other[shape_key].to_numpy(), part, kind, bound)
+            got = {c: own[c].to_numpy()[row] for c in (*by, key)} | {c: other[c].to_numpy()[to] for c in (*per, shape_key)}
+            out.append(pd.DataFrame({c: got[c] for c in names} | {"distance": d} | dict(zip(kind.fields, more))))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (*names, "distance", *kind.fields)})
+
+    dealt = [df.withColumn("deal", deal).repartition(tasks, "deal").groupBy("deal") for df in (points, shapes)]
+    return dealt[0].cogroup(dealt[1]).applyInPandas(nearest, schema)
+
+
+def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str, shape_key: str, corners: Sequence[Sequence[str]], kind: type, size: float | None, xyz: Sequence[str]) -> DataFrame:
     """The shape of least (distance to 12 digits, id) of each point, by growing reach.
 
     Every group has a first reach of its own, about the spacing of the middle nine tenths
@@ -190,10 +335,10 @@ def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str,
         for i in axes:
             grown = grown.withColumn(cells[i], _covered(low[i] - reach - F.col(corner[i]), high[i] + reach - F.col(corner[i]), cell))
         asked = pending.withColumn("shape_level", F.explode("levels")).drop("levels")
-        pairs = _in_cells(asked, xyz, cell, corner).join(grown.drop("base", "extent", *corner), [*by, "shape_level", *cells]).withColumn("distance", distance)
-        best = pairs.groupBy(*ids).agg(F.min(F.struct(F.round("distance", 12).alias("rounded"), F.col(shape_key), F.col("distance"), *(c.alias(n) for n, c in extra.items()))).alias("best"), F.first("base").alias("base"), F.first("extent").alias("extent"))
-        found = best.where((F.col("best.distance") <= reach) | (reach >= F.col("extent")))
-        settled = durable(found.select(*ids, F.col("best.distance").alias("distance"), F.col(f"best.{shape_key}").alias(shape_key), *(F.col(f"best.{n}").alias(n) for n in extra)), "nearest")
+        near = _compared(_in_cells(asked, xyz, cell, corner), grown, by, cells, key, shape_key, xyz, corners, kind)
+        best = near.groupBy(*ids).agg(F.min(F.struct(F.round("distance", 12).alias("rounded"), F.col(shape_key), "distance", *kind.fields)).alias("best"))
+        found = with_grid(best).where((F.col("best.distance") <= reach) | (reach >= F.col("extent")))
+        settled = durable(found.select(*ids, F.col("best.distance").alias("distance"), F.col(f"best.{shape_key}").alias(shape_key), *(F.col(f"best.{n}").alias(n) for n in kind.fields)), "nearest")
         done.append(settled)
         before, pending = pending, durable(pending.where(reach < F.col("extent")).join(settled.select(*ids), ids, "left_anti"), "nearest")
         release(before)
@@ -218,20 +363,19 @@ def faces_within(points: DataFrame, faces: DataFrame, bound: float, by: Sequence
     for i in range(3):
         leveled = leveled.withColumn(cells[i], _covered(low[i] - bound, high[i] + bound, cell))
     asked = points.select(*by, key, *xyz).withColumn("shape_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-    pairs = _in_cells(asked, xyz, cell).join(leveled, [*by, "shape_level", *cells])
-    best = pairs.groupBy(*by, *per, key).agg(F.min(_ranked(F.sqrt(point_triangle(xyz, *corners)), face_key)).alias("best")).where(F.col("best.distance") < bound)
+    near = _compared(_in_cells(asked, xyz, cell), leveled, by, cells, key, face_key, xyz, corners, _Triangles, per, bound)
+    best = near.groupBy(*by, *per, key).agg(F.min(F.struct(F.round("distance", 12).alias("rounded"), F.col(face_key), "distance")).alias("best"))
     return best.select(*by, *per, key, F.col(f"best.{face_key}").alias(face_key), F.col("best.distance").alias("distance"))
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, by: Sequence[str] = (), key: str = "point_id", segment_key: str = "seg_id", a: Sequence[str] = ("ax", "ay", "az"), b: Sequence[str] = ("bx", "by_", "bz"), reach: float | None = None, xyz: Sequence[str] = XYZ) -> DataFrame:
     """Distance, nearest segment and projection of each point; a tie goes to the least segment id."""
-    d, q, t = segment_project(xyz, a, b)
-    return _nearest(points, segments, by, key, segment_key, [a, b], d, {"qx": q[0], "qy": q[1], "qz": q[2], "t": t}, reach, xyz)
+    return _nearest(points, segments, by, key, segment_key, [a, b], _Segments, reach, xyz)
 
 
 def nearest_face(points: DataFrame, faces: DataFrame, by: Sequence[str] = (), key: str = "point_id", face_key: str = "fid", corners: Sequence[Sequence[str]] = (("ax", "ay", "az"), ("bx", "by_", "bz"), ("cx", "cy", "cz")), reach: float | None = None, xyz: Sequence[str] = XYZ) -> DataFrame:
     """Distance and nearest triangle of each point; a tie goes to the least face id."""
-    return _nearest(points, faces, by, key, face_key, corners, F.sqrt(point_triangle(xyz, *corners)), {}, reach, xyz)
+    return _nearest(points, faces, by, key, face_key, corners, _Triangles, reach, xyz)
 
 
 #: Vectors of a tile; a task compares two tiles at a time.
