@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +31,30 @@ def read_many(spark: SparkSession, path: str, schema: T.StructType, on_error: st
 
 
 def unread_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Files of a folder that :func:`read_many` skipped: those in the listing that gave no row."""
+    """Files of a folder that :func:`read_many` skipped: those in the listing that gave no row and are no empty table.
+
+    The names of the files without rows, part of a listing that the driver holds anyway, are
+    gathered so that only these files are opened once more.
+    """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("shard_file"))
-    return listed.join(read_many(spark, path, schema).select("shard_file").distinct(), "shard_file", "left_anti")
+    silent = listed.join(read_many(spark, path, schema).select("shard_file").distinct(), "shard_file", "left_anti")
+    names = [r[0] for r in silent.collect()]
+    if not names:
+        return silent
+
+    def unreadable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                try:
+                    readable = pq.read_metadata(pa.BufferReader(content.as_buffer())).num_rows == 0
+                except pa.ArrowException:
+                    readable = False
+                if not readable:
+                    bad.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["shard_file"])
+
+    return spark.read.format("binaryFile").load(names).select("path", "content").mapInArrow(unreadable, "shard_file string")
 
 
 def mesh_text_to_tables(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
