@@ -6,13 +6,15 @@ feature differences of such pairs.  The threshold is a quantile of the merits:
 the share of label 0 among all training labels.  The score puts that threshold
 at 0.3.
 
-Fitting uses at most ``SAMPLE`` labelled documents of each label (those of the
-least id hash) and ``PARTNERS`` pairs for each: a documented bound, so that
-what the driver holds does not grow.  The share of label 0 counts all labels.
+Fitting uses every labelled document and ``PARTNERS`` pairs for each.  Features
+stay in a table, in chunks of ``CHUNK`` documents of a label; chunks of the two labels
+meet, the rarer label's as often as needed, and a Newton step sums the slopes
+and bends of the pairs of chunks.  The threshold is found in ever finer bins of the merits of
+all chunks.  The driver holds sums, weights and bin counts only.
 
 Defined results: a null text counts as empty and is scored like any text; an id
 with both labels trains with each of them once, and of several rows of an id the
-least text trains; null labels never train; with
+text of least md5 trains; null labels never train; with
 labels of one kind only, every text scores 0.3 and is predicted 1; rows are
 independent, further columns are not read, an empty table gives an empty table.
 """
@@ -22,13 +24,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import LOWER, byte_table, flat_bytes, held_out, pieces, small_batches, word_hashes
+from pointweave.llm.common import LOWER, byte_table, durable, flat_bytes, held_out, pieces, release, small_batches, word_hashes
+from pointweave.operators.tables import numbered
 
-SAMPLE, PARTNERS, RIDGE, THRESHOLD = 8_000, 8, 1e-3, 0.3
+CHUNK, PARTNERS, RIDGE, THRESHOLD = 8_192, 8, 1e-3, 0.3
+#: Bins of merits that a pass counts.
+BINS = 4_096
 HELD_BYTES = 1 << 19
 
 _WORD = byte_table([*range(33, 127), *range(128, 256)])
@@ -145,21 +151,125 @@ def fit(x: np.ndarray, label: np.ndarray, share_low: float, partners: int = PART
     return Merit(mean, scale, w, float((near[1] + near[2]) / 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Merit:
-    """Fit on labelled documents outside the held-out fold."""
-    known = labels.select("doc_id", "quality").where("quality in (0, 1)").where(~held_out())
+def _chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """quality, chunk, packed: the features of all labelled documents outside the held-out fold, ``CHUNK`` rows of them at a time."""
+    known = labels.select("doc_id", "quality").where("quality in (0, 1)").where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    # features are made where the texts lie, so that no text is shuffled; one text for each id and label
+    kind = dict(docs.dtypes)["doc_id"]
+    own = docs.where(~held_out()).select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text")
+    made = _mapped(own, ["doc_id", "digest"], f"doc_id {kind}, digest string, x array<double>", lambda x: ([pa.array(list(x), pa.list_(pa.float64()))], ["x"]))
+    met = made.join(known.hint("merge"), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("digest", "x")).alias("least"))
+    found = durable(met.select("doc_id", "quality", "least.x", F.xxhash64("doc_id", F.lit("quality")).alias("turn")), "features")
+    placed = numbered(found, "turn", "doc_id", by=["quality"], name="nth").select("quality", F.expr(f"nth div {CHUNK}").alias("chunk"), "x")
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["x"].to_numpy())
+        x = x[np.lexsort(x.T)]  # the same fit in whatever order rows arrive
+        return pd.DataFrame({"quality": rows["quality"].iloc[:1], "chunk": rows["chunk"].iloc[:1], "packed": [x.tobytes()]})
+
+    out = durable(placed.groupBy("quality", "chunk").applyInPandas(packed, "quality int, chunk long, packed binary"), "chunks")
+    release(found)
+    return out
+
+
+def _rows(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed).reshape(-1, len(FEATURES))
+
+
+def _summed(chunks: DataFrame, columns: list[str], function) -> np.ndarray:
+    """The sum over all rows of ``function`` of their arrays; it gives arrays of one length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                one = function(*(_rows(v) if isinstance(v, bytes) else v for v in row))
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    parts = chunks.select(*columns).mapInArrow(run, "sums array<double>")
+    sums = parts.select(F.posexplode("sums").alias("at", "sum")).groupBy("at").agg(F.sum("sum").alias("sum")).collect()
+    return np.array([r["sum"] for r in sorted(sums, key=lambda r: r["at"])])
+
+
+def train(docs: DataFrame, labels: DataFrame, partners: int = PARTNERS, ridge: float = RIDGE) -> Merit:
+    """:func:`fit` on all labelled documents outside the held-out fold, as sums over chunks of them."""
+    chunks, k = _chunks(docs, labels), len(FEATURES)
+    held = {r["quality"]: (r["n"], r["rows"]) for r in chunks.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(f"length(packed) div {8 * k}")).alias("rows")).collect()}
+    total = sum(rows for _, rows in held.values())
+    mean, scale, w = np.zeros(k), np.ones(k), np.zeros(k)
+    if total:
+        mean = _summed(chunks, ["packed"], lambda x: x.sum(0)) / total
+        scale = np.sqrt(_summed(chunks, ["packed"], lambda x: ((x - mean) ** 2).sum(0)) / total) + 1e-9
+    if len(held) < 2:
+        release(chunks)
+        return Merit(mean, scale, w, 0.0)
+    most = max(n for n, _ in held.values())
+    side = lambda q, name: chunks.where(F.col("quality") == q).select(F.explode(F.sequence("chunk", F.lit(most - 1), F.lit(held[q][0]).cast("long"))).alias("chunk"), F.col("packed").alias(name))
+    pairs = durable(side(1, "high").join(side(0, "low"), "chunk"), "pairs")
+
+    def step(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        high, low, n = standard(high, mean, scale), standard(low, mean, scale), max(len(high), len(low))
+        slope, bend, at = np.zeros(k), np.zeros((k, k)), np.arange(n)
+        for turn in range(partners):
+            gaps = high[at % len(high)] - low[(at * (2 * turn + 1) + turn * turn) % len(low)]
+            p = 1 / (1 + np.exp(np.clip(gaps @ w, -30, 30)))
+            slope += gaps.T @ p
+            bend += (gaps * (p * (1 - p))[:, None]).T @ gaps
+        return np.r_[float(n * partners), slope, bend.ravel()]
+
+    for _ in range(25):
+        sums = _summed(pairs, ["high", "low"], step)
+        move = np.linalg.solve(sums[1 + k :].reshape(k, k) / sums[0] + ridge * np.eye(k), sums[1 : 1 + k] / sums[0] - ridge * w)
+        w = w + move
+        if np.abs(move).max() < 1e-6:
+            break
+    w = np.round(w, 9)  # sums differ in their last digits by the order in which tasks end
+    share = _share_low(labels)
+    threshold = _threshold(chunks, mean, scale, w, {q: rows for q, (_, rows) in held.items()}, share)
+    release(chunks, pairs)
+    return Merit(mean, scale, w, threshold)
+
+
+def _share_low(labels: DataFrame) -> float:
+    """The share of label 0 among all labels outside the held-out fold."""
+    known = labels.where("quality in (0, 1)").where(~held_out())
     n = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranked = F.xxhash64("doc_id", F.lit("quality"))
-    drawn = None
-    for label in (0, 1):  # at most ``sample`` ids of each label: a fixed bound
-        part = known.where(F.col("quality") == label).orderBy(ranked, "doc_id").limit(sample)
-        drawn = part if drawn is None else drawn.unionAll(part)
-    # one text for each id and label, so that repeated rows of an id do not outgrow the sample
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn.distinct()), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    found = _mapped(rows, ["quality"], "quality int, x array<double>", lambda x: ([pa.array(list(x), pa.list_(pa.float64()))], ["x"])).toPandas()
-    x = np.array(found["x"].tolist()).reshape(len(found), len(FEATURES))
-    order = np.lexsort((*x.T, found["quality"].to_numpy()))  # the same fit in whatever order rows arrive
-    return fit(x[order], found["quality"].to_numpy()[order], n.get(0, 0) / max(1, sum(n.values())))
+    return n.get(0, 0) / max(1, sum(n.values()))
+
+
+def _threshold(chunks: DataFrame, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, rows: dict[int, int], share: float) -> float:
+    """The quantile ``share`` of all merits, each label weighted by its share of all labels; between it and the next merit."""
+    weight = np.array([share / rows[0], (1 - share) / rows[1]])
+    low, high = -7 * np.abs(w).sum() - 1, 7 * np.abs(w).sum() + 1
+    under = 0.0  # the weight of the merits below ``low``
+    merits = lambda x: standard(x, mean, scale) @ w
+    while high - low > 1e-11 * max(1.0, abs(low)):
+        edges = np.linspace(low, high, BINS + 1)
+
+        def counted(x: np.ndarray, quality: int, edges: np.ndarray = edges) -> np.ndarray:
+            merit = merits(x)
+            place = np.searchsorted(edges, merit[(merit >= edges[0]) & (merit < edges[-1])], "right") - 1
+            out = np.zeros((2, BINS))
+            out[quality] = np.bincount(place, minlength=BINS)
+            return out.ravel()
+
+        counts = weight @ _summed(chunks, ["packed", "quality"], counted).reshape(2, BINS)
+        upto = under + np.cumsum(counts)
+        reached = np.flatnonzero((upto >= share - 1e-12) & (counts > 0))
+        at = int(reached[0]) if len(reached) else int(np.flatnonzero(counts)[-1])
+        under = float(upto[at] - counts[at])
+        low, high = float(edges[at]), float(edges[at + 1])
+
+    def following(batches: Iterator[pa.RecordBatch], high: float = high) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [float(m[m >= high].min()) for m in map(merits, map(_rows, batch.column("packed").to_pylist())) if (m >= high).any()]
+            yield pa.RecordBatch.from_arrays([pa.array(least, pa.float64())], ["merit"])
+
+    # between the merit at the quantile and the next one
+    after = chunks.select("packed").mapInArrow(following, "merit double").agg(F.min("merit")).first()[0]
+    return (low + high) / 2 if after is None else ((low + high) / 2 + after) / 2
 
 
 def score(docs: DataFrame, merit: Merit, keep: list[str]) -> DataFrame:
