@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,36 +98,103 @@ def endpoint_candidates(points: DataFrame, radius: float, threshold: float, by:
     return pairs.groupBy(*by, key).agg(F.abs(F.avg(side)).alias("side")).where(F.col("side") > threshold)
 
 
+#: Primitives of a shape that a round of :func:`prune_primitives` considers, and the rows of points covered by them alone that it follows.
+CANDIDATES, FOLLOWED = 4096, 200_000
+
+
 def prune_primitives(distances: DataFrame, precision: DataFrame, threshold: float, beta: float = 0.5, by: Sequence[str] = (ITEM,)) -> DataFrame:
     """Primitives left after greedily removing the one whose removal raises its shape's F-beta most, until none does.
 
-    distances: by, point_id, prim, d (distance of a point to each primitive
-    near it); precision: by, prim, hits, n (samples of a primitive near the
-    cloud, and all).  A round removes a primitive of every shape that gains by
-    it; the driver sees whether any did.
+    distances: by, point_id, prim, d (distances of a point to each primitive
+    near it, one or several), and optionally ``fixed`` (whether all samples of the primitive are hits); precision:
+    by, prim, hits, n (samples of a primitive near the cloud, and all).
+
+    Removing a primitive whose samples are all hits never raises the score, so points that one covers
+    stay covered and only the covers of the others are kept.  A round makes many removals of a shape: its best
+    ``CANDIDATES`` go through the greedy walk together, as do the points that nothing else covers.
+    Other points keep a cover, and the gain of the other primitives is bounded by what they have lost
+    so far; the walk stops where one of them might be better.  The driver sees whether any was removed.
     """
     b2, names = beta * beta, list(by)
-    distances, left = durable(distances.select(*by, "point_id", "prim", "d"), "prune"), durable(precision.select(*by, "prim", "hits", "n"), "prune")
-    total = durable(distances.select(*by, "point_id").distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("total")), "prune")
+    left = durable(precision.select(*by, "prim", "hits", "n"), "prune")
+    if "fixed" not in distances.columns:
+        distances = distances.join(left.select(*by, "prim", (F.col("hits") >= F.col("n")).alias("fixed")), [*names, "prim"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(True)))
+    covers = F.col("d") < threshold
+    points = durable(distances.groupBy(*by, "point_id").agg(F.coalesce(F.bool_or(covers & F.col("fixed")), F.lit(False)).alias("sure")), "prune")
+    total = durable(points.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if("sure").alias("sure")), "prune")
+    unsure = durable(points.where("not sure").select(*by, "point_id"), "prune")
+    open_ = durable(distances.where(covers).join(unsure, [*names, "point_id"], "left_semi").select(*by, "point_id", "prim").distinct(), "prune")
+    release(points)
     score = lambda h, m, r: F.coalesce((1 + b2) * (h / m) * (r / F.col("total")) / F.nullif(b2 * (h / m) + r / F.col("total"), F.lit(0.0)), F.lit(0.0))
-    w = Window.partitionBy(*by, "point_id").orderBy("d", "prim")
+    kinds = dict(precision.dtypes)
+    columns = [*names, "prim", "hits", "n", "lost", "pos", "h", "m", "r", "total"]
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["kind"] == 0].sort_values("pos")
+        if own.empty:
+            return own[[*names, "prim"]]
+        other, followed = rows[rows["kind"] == 1], rows[rows["kind"] == 2]
+        ids, hits, n, lost = (own[c].to_numpy() for c in ("prim", "hits", "n", "lost"))
+        lost = lost.copy()
+        outs = [other[c].to_numpy() for c in ("hits", "n", "lost")]
+        h, m, r, whole = (own[c].iloc[0] for c in ("h", "m", "r", "total"))
+
+        def scored(hits, n, lost):
+            with np.errstate(all="ignore"):
+                p, q = np.where(m - n != 0, (h - hits) / (m - n), np.nan), (r - lost) / whole
+                f = (1 + b2) * p * q / (b2 * p + q)
+            return np.round(np.where(np.isfinite(f), f, 0.0), 12)
+
+        at = pd.Index(ids).get_indexer(followed["prim"])
+        of: dict[int, list] = {}
+        held: dict[object, set] = {}
+        for point, i in zip(followed["point_id"], at):
+            of.setdefault(i, []).append(point)
+            held.setdefault(point, set()).add(i)
+        alive, gone = np.ones(len(ids), bool), []
+        while alive.any():
+            gain = np.where(alive, scored(hits, n, lost), -1.0)
+            tied = np.flatnonzero(gain == gain.max())
+            best = int(tied[ids[tied].argmin()]) if gone else 0  # the first is the best of all
+            if gone:
+                rest = scored(*outs) if len(other) else np.zeros(0)
+                ahead = (rest > gain[best]) | ((rest == gain[best]) & (other["prim"].to_numpy() < ids[best]))
+                if gain[best] <= scored(0, 0, 0) or ahead.any():
+                    break
+            gone.append(best)
+            alive[best] = False
+            h, m, r = h - hits[best], m - n[best], r - lost[best]
+            for point in of.get(best, ()):
+                held[point].discard(best)
+                if len(held[point]) == 1:
+                    lost[next(iter(held[point]))] += 1
+        return own.iloc[gone][[*names, "prim"]]
+
     while True:
-        ranked = distances.withColumn("nth", F.row_number().over(w)).where("nth <= 2")
-        two = ranked.groupBy(*by, "point_id").agg(*(F.min(F.when(F.col("nth") == k, F.col("d"))).alias(f"d{k}") for k in (1, 2)), F.min(F.when(F.col("nth") == 1, F.col("prim"))).alias("prim"))
-        near = two.where(F.col("d1") < threshold)
-        lost = near.where(F.coalesce("d2", F.lit(float("inf"))) >= threshold).groupBy(*by, "prim").agg(F.count(F.lit(1)).alias("lost"))
-        sums = left.groupBy(*by).agg(F.sum("hits").alias("h"), F.sum("n").alias("m")).join(near.groupBy(*by).agg(F.count(F.lit(1)).alias("r")), names, "left").join(total, names).fillna(0, ["r"])
-        each = left.join(lost, [*names, "prim"], "left").join(sums, names)
-        now = score(F.col("h"), F.col("m"), F.col("r"))
-        without = score(F.col("h") - F.col("hits"), F.nullif(F.col("m") - F.col("n"), F.lit(0)), F.col("r") - F.coalesce("lost", F.lit(0)))
-        gain = F.round(without, 12)
-        best = each.withColumns({"gain": gain, "now": F.round(now, 12)}).where("gain > now").groupBy(*by).agg(F.min(F.struct((-F.col("gain")).alias("gain"), "prim")).alias("best"))
-        gone = durable(best.select(*by, F.col("best.prim").alias("prim")), "prune")
-        if gone.isEmpty():
+        counts = durable(open_.groupBy(*by, "point_id").agg(F.count(F.lit(1)).alias("covers"), F.min("prim").alias("prim")), "prune")
+        lost = counts.where("covers = 1").groupBy(*by, "prim").agg(F.count(F.lit(1)).alias("lost"))
+        sums = left.groupBy(*by).agg(F.sum("hits").alias("h"), F.sum("n").alias("m")).join(total, names).join(counts.groupBy(*by).agg(F.count(F.lit(1)).alias("r")), names, "left").withColumn("r", F.col("sure") + F.coalesce("r", F.lit(0)))
+        each = left.where("hits < n").join(lost, [*names, "prim"], "left").fillna(0, ["lost"]).join(sums, names)
+        gain, now = score(F.col("h") - F.col("hits"), F.nullif(F.col("m") - F.col("n"), F.lit(0)), F.col("r") - F.col("lost")), score(F.col("h"), F.col("m"), F.col("r"))
+        each = durable(each.withColumns({"gain": F.round(gain, 12), "now": F.round(now, 12)}), "prune")
+        first = Window.partitionBy(*by).orderBy(F.desc("gain"), "prim")
+        best = durable(each.where("gain > now").withColumn("pos", F.row_number().over(first)).where(F.col("pos") <= CANDIDATES).select(*columns), "prune")
+        if best.isEmpty():
             return left.select(*by, "prim")
-        before = left, distances, gone
+        # points that only candidates cover, by the last of them; a shape's candidates end where these points would be too many
+        alone = open_.join(best.select(*by, "prim", "pos"), [*names, "prim"]).groupBy(*by, "point_id").agg(F.count(F.lit(1)).alias("own"), F.max("pos").alias("last"))
+        alone = durable(alone.join(counts.drop("prim"), [*names, "point_id"]).where("own = covers and covers > 1").select(*by, "point_id", "last", "covers"), "prune")
+        so_far = F.sum("rows").over(Window.partitionBy(*by).orderBy("last"))
+        cut = alone.groupBy(*by, "last").agg(F.sum("covers").alias("rows")).withColumn("rows", so_far).where(F.col("rows") > FOLLOWED).groupBy(*by).agg(F.min("last").alias("cut"))
+        cut = durable(cut, "prune")
+        inside = durable(best.join(cut, names, "left").where("cut is null or pos < cut").drop("cut"), "prune")
+        followed = open_.join(alone.join(cut, names, "left").where("cut is null or last < cut").select(*by, "point_id"), [*names, "point_id"], "left_semi")
+        outside = each.join(inside.select(*by, "prim"), [*names, "prim"], "left_anti").groupBy(*by, "hits", "n").agg(F.min("lost").alias("lost"), F.min("prim").alias("prim"))
+        rows = inside.withColumn("kind", F.lit(0)).unionByName(outside.withColumn("kind", F.lit(1)), True).unionByName(followed.withColumn("kind", F.lit(2)), True)
+        gone = durable(rows.groupBy(*by).applyInPandas(walk, ", ".join(f"`{c}` {kinds[c]}" for c in (*names, "prim"))), "prune")
+        before = left, open_, gone, counts, each, best, alone, cut, inside
         left = durable(left.join(gone, [*names, "prim"], "left_anti"), "prune")
-        distances = durable(distances.join(gone, [*names, "prim"], "left_anti"), "prune")
+        open_ = durable(open_.join(gone, [*names, "prim"], "left_anti"), "prune")
         release(*before)
 
 

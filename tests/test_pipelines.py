@@ -268,3 +268,26 @@ def test_numbered_vectors(spark, tmp_path):
     out = {r["number"]: r["vector"] for r in so.merge_numbered_vectors(spark, str(tmp_path)).collect()}
     assert out == {3: [1.5, 2.0, -300.0], 12: [7.0], 4: []}
     assert so.predictions_from_numbered_files(spark, str(tmp_path)).where("patch_id = 3").count() == 3
+
+
+def test_pruning_makes_many_removals_a_round(spark, monkeypatch):
+    """Most primitives go in a few rounds, more if a round looks at few, and distances may repeat."""
+    rng = random.Random(11)
+    for candidates, followed in ((4096, 200_000), (8, 20)):
+        distances, precision, want, most = [], [], set(), 0
+        for item in range(2):
+            stats = {p: (rng.choice((0, 0, 1, 2)), 2) for p in range(36)}
+            near = {i: {p: round(rng.random(), 3) for p in rng.sample(range(36), rng.choice((1, 2, 3, 6)))} for i in range(90)}
+            distances += [(item, i, p, d) for i, own in near.items() for p, d in own.items() for _ in range(1 + p % 2)]
+            precision += [(item, p, *s) for p, s in stats.items()]
+            left = greedy(near, stats, 0.5)
+            want |= {(item, p) for p in left}
+            most = max(most, 36 - len(left))
+        monkeypatch.setattr(pl, "CANDIDATES", candidates)
+        monkeypatch.setattr(pl, "FOLLOWED", followed)
+        rounds = []
+        monkeypatch.setattr(pl, "release", lambda *tables: rounds.append(len(tables)))
+        out = pl.prune_primitives(spark.createDataFrame(distances, "item_id long, point_id long, prim long, d double"), spark.createDataFrame(precision, "item_id long, prim long, hits long, n long"), 0.5)
+        assert {(r["item_id"], r["prim"]) for r in out.collect()} == want
+        if candidates > 36:
+            assert most > 9 and len(rounds) < most / 2
