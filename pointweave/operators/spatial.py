@@ -639,19 +639,22 @@ def spaced_sample(points: DataFrame, wanted: int, by: Sequence[str], seed: int,
     return kept.select(*by, key, "spacing")
 
 
-def pca_ratio(points: DataFrame, radius: float, by: Sequence[str], key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
-    """Explained-variance ratios of the neighbourhood's covariance, largest first.
-
-    Closed-form eigenvalues of the symmetric 3 x 3 moment matrix; five or fewer
-    neighbours give (1, 0, 0).
-    """
+def moments(points: DataFrame, radius: float, by: Sequence[str], key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
+    """Size ``n`` and covariance (xx, yy, zz, xy, xz, yz) of each point's neighbourhood."""
     pairs = radius_join(points.select(*by, key, *xyz), points.select(*by, key, *xyz), radius, by, xyz)
     x, y, z = (f"p_{c}" for c in xyz)
-    m = pairs.groupBy(*by, key).agg(
+    return pairs.groupBy(*by, key).agg(
         F.count(F.lit(1)).alias("n"),
         F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.var_pop(z).alias("zz"),
         F.covar_pop(x, y).alias("xy"), F.covar_pop(x, z).alias("xz"), F.covar_pop(y, z).alias("yz"),
     )
+
+
+def explained(m: DataFrame) -> DataFrame:
+    """:func:`moments` with the explained-variance ratios r1, r2, r3, largest first.
+
+    Closed-form eigenvalues of the symmetric 3 x 3 matrix; five or fewer neighbours give (1, 0, 0).
+    """
     m = m.withColumn("q", F.expr("(xx + yy + zz) / 3"))
     m = m.withColumn("p", F.expr("sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6)"))
     det = F.expr("(xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)")
@@ -659,7 +662,12 @@ def pca_ratio(points: DataFrame, radius: float, by: Sequence[str], key: str = "p
     m = m.withColumns({"l1": F.expr("q + 2 * p * cos(phi)"), "l3": F.expr("q + 2 * p * cos(phi + 2 * pi() / 3)")}).withColumn("l2", F.expr("3 * q - l1 - l3"))
     few = (F.col("n") <= 5) | (F.col("q") <= 0)
     ratio = lambda c, alone: F.when(few, alone).otherwise(F.greatest(F.col(c), F.lit(0.0)) / (3 * F.col("q")))
-    return m.select(*by, key, "n", ratio("l1", 1.0).alias("r1"), ratio("l2", 0.0).alias("r2"), ratio("l3", 0.0).alias("r3"))
+    return m.withColumns({"r1": ratio("l1", 1.0), "r2": ratio("l2", 0.0), "r3": ratio("l3", 0.0)}).drop("q", "p", "phi", "l1", "l2", "l3")
+
+
+def pca_ratio(points: DataFrame, radius: float, by: Sequence[str], key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
+    """Explained-variance ratios of each neighbourhood's covariance (:func:`explained`)."""
+    return explained(moments(points, radius, by, key, xyz)).select(*by, key, "n", "r1", "r2", "r3")
 
 
 def variance_dynamics(values: DataFrame, neighbours: DataFrame, by: Sequence[str], value: str, key: str = "point_id") -> DataFrame:

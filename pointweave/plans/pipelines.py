@@ -75,14 +75,7 @@ def sphere_neighbourhood(points: DataFrame, faces: DataFrame, centre: Sequence[f
 
 def principal_direction(points: DataFrame, radius: float, by: Sequence[str] = (ITEM,), key: str = "point_id") -> DataFrame:
     """Leading eigenvector of each neighbourhood's covariance, by cross products of the rows of M - l I."""
-    p = points.select(*by, key, "x", "y", "z")
-    pairs = sp.radius_join(p, p, radius, by)
-    m = pairs.groupBy(*by, key).agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop("p_x").alias("xx"), F.var_pop("p_y").alias("yy"), F.var_pop("p_z").alias("zz"),
-        F.covar_pop("p_x", "p_y").alias("xy"), F.covar_pop("p_x", "p_z").alias("xz"), F.covar_pop("p_y", "p_z").alias("yz"),
-    )
-    ratio = sp.pca_ratio(points, radius, by, key).select(*by, key, "r1")
-    m = m.join(ratio, [*by, key]).withColumn("l", F.col("r1") * (F.col("xx") + F.col("yy") + F.col("zz")))
+    m = durable(sp.explained(sp.moments(points, radius, by, key)).drop("r2", "r3"), "moments").withColumn("l", F.col("r1") * (F.col("xx") + F.col("yy") + F.col("zz")))
     rows = [[F.col("xx") - F.col("l"), F.col("xy"), F.col("xz")], [F.col("xy"), F.col("yy") - F.col("l"), F.col("yz")], [F.col("xz"), F.col("yz"), F.col("zz") - F.col("l")]]
     options = [ge.cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
     sized = [F.struct(ge.dot(o, o).alias("size"), *(c.alias(n) for c, n in zip(o, ("ex", "ey", "ez")))) for o in options]
@@ -91,9 +84,12 @@ def principal_direction(points: DataFrame, radius: float, by: Sequence[str] = (I
 
 
 def endpoint_candidates(points: DataFrame, radius: float, threshold: float, by: Sequence[str] = (ITEM,), key: str = "point_id") -> DataFrame:
-    """Points whose neighbours lie mostly on one side along the principal direction."""
+    """Points whose neighbours lie mostly on one side along the principal direction.
+
+    Points bring their directions into the join, so that pairs are summed where they are made and not sent on.
+    """
     p = points.select(*by, key, "x", "y", "z")
-    pairs = sp.radius_join(p, p, radius, by).join(principal_direction(points, radius, by, key), [*by, key])
+    pairs = sp.radius_join(p.join(principal_direction(points, radius, by, key), [*by, key]), p, radius, by)
     side = F.signum(ge.dot([F.col("p_x") - F.col("x"), F.col("p_y") - F.col("y"), F.col("p_z") - F.col("z")], ("ex", "ey", "ez")))
     return pairs.groupBy(*by, key).agg(F.abs(F.avg(side)).alias("side")).where(F.col("side") > threshold)
 
