@@ -32,18 +32,29 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{head}/{name[:-1]}[{name[-1]}]")
 
 
+#: Rows of a file that :func:`replay` writes, about.
+FILE_ROWS = 500_000
+
+
 def replay(df: DataFrame, order: str, batches: int) -> DataFrame:
     """A stream that brings the rows of ``df`` in ``batches`` micro-batches, by rising ``order``.
 
-    Files are written one after another, as the file source reads them by age.
+    Files are written batch after batch, as the file source reads them by age; every batch has as many,
+    about ``FILE_ROWS`` rows each, so that no task writes or reads a whole batch.  A batch of few rows is filled up with empty files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
-    cuts = df.select(F.percentile_approx(order, [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
+    cuts, rows = df.select(F.percentile_approx(order, [i / batches for i in range(1, batches)], 10_000), F.count(F.lit(1))).first()
+    cuts, files = cuts or [], max(1, -(-rows // (batches * FILE_ROWS)))
     place = sum(((F.col(order) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     for i in range(batches):
-        df.where(F.coalesce(place, F.lit(0)) == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        own = df.where(F.coalesce(place, F.lit(0)) == i)
+        (own.coalesce(1) if files == 1 else own.repartition(files)).write.mode("append").parquet(path)
+        while sum(f.getPath().getName().startswith("part-") for f in store.listStatus(at)) < files * (i + 1):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _run(stream: DataFrame, path: str, mode: str, write) -> None:
