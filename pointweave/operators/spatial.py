@@ -148,11 +148,11 @@ def _covered(lo: Column, hi: Column, size: Column | float) -> Column:
 
 
 #: Points or shapes of a cell that a task compares at a time, and the points that it holds against them at once.
-BLOCK, CHUNK = 4096, 256
+BLOCK, CHUNK = 4096, 32
 
 
 class _Segments:
-    """Segments of a block: distances to their lines from below, and exact ones."""
+    """Segments of a block: distances to them from below, and exact ones."""
 
     fields = ("qx", "qy", "qz", "t")
 
@@ -162,12 +162,20 @@ class _Segments:
         length = np.sqrt((gap * gap).sum(axis=1))
         with np.errstate(all="ignore"):
             self.u = np.where((length > 0)[:, None], gap / length[:, None], 0.0)
-        self.near, self.along, self.size = near, (near * self.u).sum(axis=1), (near * near).sum(axis=1)
+        self.near, self.along, self.size, self.length = near, (near * self.u).sum(axis=1), (near * near).sum(axis=1), length
 
     def below(self, p: np.ndarray) -> np.ndarray:
-        """Squared distances of points about the centre to the lines."""
-        along = p @ self.u.T - self.along
-        return (p * p).sum(axis=1)[:, None] - 2 * (p @ self.near.T) + self.size - along * along
+        """Squared distances of points about the centre to the lines, and along these to the segments."""
+        along, low = p @ self.u.T, p @ (-2 * self.near.T)
+        along -= self.along
+        low += self.size
+        low += (p * p).sum(axis=1)[:, None]
+        # the square of what lies along the line, less what lies beyond the ends
+        inside = np.clip(along, 0.0, self.length)
+        along -= inside
+        inside *= inside + 2 * along
+        low -= inside
+        return low
 
     def exact(self, p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         d, q, t = _on_segment(p, self.a[at], self.b[at])
@@ -175,7 +183,7 @@ class _Segments:
 
 
 class _Triangles:
-    """Triangles of a block: distances to their planes from below, and exact ones."""
+    """Triangles of a block: distances to them from below, and exact ones."""
 
     fields = ()
 
@@ -187,12 +195,27 @@ class _Triangles:
         with np.errstate(all="ignore"):
             # the plane of a sliver is uncertain: all its distances are looked at
             self.u = np.where((size > 1e-8 * sides)[:, None], normal / size[:, None], 0.0)
+            self.out = []  # in the plane, away from the triangle at each of its sides
+            for start, end in ((self.a, self.b), (self.b, self.c), (self.c, self.a)):
+                side = end - start
+                length = np.sqrt((side * side).sum(axis=1))
+                away = np.where((length > 0)[:, None], np.cross(side, self.u) / length[:, None], 0.0)
+                self.out.append((away, ((start - centre) * away).sum(axis=1)))
         self.along = ((self.a - centre) * self.u).sum(axis=1)
 
     def below(self, p: np.ndarray) -> np.ndarray:
-        """Squared distances of points about the centre to the planes."""
-        along = p @ self.u.T - self.along
-        return along * along
+        """Squared distances of points about the centre to the planes, and in these to the lines of the sides they lie beyond."""
+        past = np.zeros((len(p), len(self.u)))
+        for away, offset in self.out:
+            beyond = p @ away.T
+            beyond -= offset
+            np.maximum(past, beyond, out=past)
+        past *= past
+        low = p @ self.u.T
+        low -= self.along
+        low *= low
+        low += past
+        return low
 
     def exact(self, p: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """As :func:`pointweave.functions.geometry.point_triangle`."""
@@ -229,8 +252,8 @@ def _on_segment(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 def _least(p: np.ndarray, corners: Sequence[np.ndarray], names: np.ndarray, part: np.ndarray, kind: type, bound: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of each point and part, the shape of least (distance to 12 digits, name): point, shape, distance, further fields.
 
-    Without a bound the parts are one.  Distances to whole lines and planes are products of matrices and bound the others from
-    below; the shapes that look nearest in 16 stretches bound the least one from above, and only what lies
+    Without a bound the parts are one.  Products of matrices tell how far points lie from lines and planes and past their ends and sides, which bounds
+    distances from below; the shapes that look nearest in 16 stretches bound the least one from above, and only what lies
     between is computed, by the formulas of the column expressions.
     """
     centre = (p.min(axis=0) + p.max(axis=0)) / 2
@@ -271,7 +294,7 @@ def _compared(asked: DataFrame, grown: DataFrame, by: Sequence[str], cells: Sequ
     counts = asked.groupBy(*place).agg(F.count(F.lit(1)).alias("pn")).join(grown.groupBy(*place).agg(F.count(F.lit(1)).alias("sn")), place)
     met = durable(counts.select(*place, "pn", "sn", F.monotonically_increasing_id().alias("cell_id"), *(F.ceil(F.col(n) / BLOCK).alias(b) for n, b in (("pn", "pb"), ("sn", "sb")))), "cells")
     rows, pairs = met.agg(F.coalesce(F.sum(F.col("pn") * F.col("sb") + F.col("sn") * F.col("pb")), F.lit(0)), F.coalesce(F.sum(F.col("pn").cast("double") * F.col("sn")), F.lit(0.0))).first()
-    tasks = max(1, min(10_000, int(max(rows / 20_000, pairs / 2_000_000))))
+    tasks = max(1, min(10_000, int(max(rows / 20_000, pairs / 20_000_000))))
     deal = F.pmod(F.xxhash64("cell_id", "one", "two"), F.lit(4 * tasks)).alias("deal")
     flat = [c for corner in corners for c in corner]
     points = asked.join(met, place).select(F.col("cell_id").alias("cell_id"), F.pmod(F.xxhash64(key), "pb").alias("one"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sb") - 1)).alias("two"), *by, key, *xyz)

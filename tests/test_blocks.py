@@ -62,3 +62,14 @@ def test_blocks_find_the_nearest_face_of_each_patch(crowd, monkeypatch):
             if d < 0.4:
                 want[key, s[2]] = min(d, want.get((key, s[2]), 1.0))
     assert got == pytest.approx(want, abs=1e-9) and len(want) > 100
+
+
+def test_bounds_of_blocks_reach_past_ends_and_sides():
+    """What lies on a line or plane but beyond the shape is not near it; bounds never exceed distances."""
+    rng = np.random.default_rng(3)
+    corners, points = [rng.normal(size=(60, 3)) for _ in range(3)], rng.normal(size=(50, 3))
+    for kind, of in ((sp._Segments, 2), (sp._Triangles, 3)):
+        shapes = kind(corners[:of], np.zeros(3))
+        low = np.sqrt(np.maximum(shapes.below(points), 0.0))
+        exact = shapes.exact(np.repeat(points, 60, axis=0), np.tile(np.arange(60), 50))[0].reshape(50, 60)
+        assert (low <= exact + 1e-9).all() and (low > 0.999 * exact).mean() > (0.999 if of == 2 else 0.7)
