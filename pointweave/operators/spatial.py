@@ -114,16 +114,75 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), k
     return out
 
 
+#: Points of a group that :func:`ball_hits` looks at first (each round looks at four times as many), and queries of a task.
+FIRST, TASK = 256, 20_000
+
+
+def ball_hits(queries: DataFrame, points: DataFrame, radius: float, nsample: int, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ, inclusive: bool = False) -> DataFrame:
+    """by, key and ``hit``: the first ``nsample`` points by id within the radius of each query, if there are any.
+
+    A round looks at the first points of each group by id.  Queries with ``nsample`` hits among them are
+    settled, the others see four times as many points, so few of the pairs of crowded places are made.
+    """
+    from pointweave.operators.tables import numbered
+
+    by = list(by)
+    ids, w = [*by, key], Window.partitionBy(*by, key).orderBy(f"p_{key}")
+    nth = durable(numbered(points.select(*by, key, *xyz).where(F.col(key).isNotNull()), key, key, by=by, name="place"), "balls")
+    most = nth.agg(F.max("place")).first()[0]
+    pending, size, out = durable(queries.select(*ids, *xyz), "balls"), FIRST, None
+    while True:
+        parts = 1 + pending.count() // TASK
+        pairs = radius_join(pending, nth.where(F.col("place") < size).drop("place"), radius, by, xyz, inclusive)
+        # dealt by queries, since the join may make all pairs in a few tasks
+        found = durable(pairs.select(*ids, f"p_{key}").repartition(parts, *ids).withColumn("n", F.row_number().over(w)).where(F.col("n") <= nsample), "balls")
+        last = most is None or size > most
+        full = found.where(F.col("n") == nsample).select(*ids)
+        settled = (found if last else found.join(full, ids, "left_semi")).select(*ids, F.col(f"p_{key}").alias("hit"))
+        out = settled if out is None else out.unionAll(settled)
+        if last:
+            break
+        before, pending = pending, durable(pending.join(full, ids, "left_anti"), "balls")
+        release(before)
+        if pending.isEmpty():
+            break
+        size *= 4
+    release(pending, nth)
+    return out
+
+
 def ball_query(queries: DataFrame, points: DataFrame, radius: float, nsample: int, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
     """The first ``nsample`` points by id within the radius, as an array filled up with the first (0 if none)."""
     ids = [*by, key]
-    pairs = radius_join(queries.select(*ids, *xyz), points.select(*by, key, *xyz), radius, by, xyz)
-    w = Window.partitionBy(*ids).orderBy(f"p_{key}")
-    hits = pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= nsample).groupBy(*ids).agg(F.array_sort(F.collect_list(f"p_{key}")).alias("hits"))
+    hits = ball_hits(queries, points, radius, nsample, by, key, xyz).groupBy(*ids).agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     filled = F.when(F.col("hits").isNull(), F.array_repeat(F.lit(0).cast("long"), nsample)).otherwise(F.concat("hits", F.array_repeat(F.element_at("hits", 1), nsample - F.size("hits"))))
     return queries.select(*ids).join(hits, ids, "left").withColumn("hits", filled)
 
 
+def ball_patches(points: DataFrame, seeds: DataFrame, radius: float, size: int, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
+    """:func:`pointweave.operators.graph.bfs_patches` of the radius graph, whose edges are never listed.
+
+    seeds: seed, node.  A level needs the least new nodes only, as many as a patch lacks, and each of
+    these is among the first ``size`` points around a node of the level before: of those before it, the
+    ones that are not new are in the patch.
+    """
+    by = list(by)
+    at = durable(points.select(*by, key, *xyz), "patches")
+    front = durable(seeds.select("seed", "node", F.lit(0).cast("long").alias("hop")).distinct(), "patches")
+    reached, w = front, Window.partitionBy("seed").orderBy("node")
+    for hop in range(1, size):
+        around = ball_hits(at.join(front.select(F.col("node").alias(key)).distinct(), key, "left_semi"), at, radius, size, by, key, xyz, inclusive=True)
+        new = front.join(around.select(F.col(key).alias("node"), "hit").where("node <> hit").distinct(), "node").select("seed", F.col("hit").alias("node")).distinct()
+        new = new.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").join(reached.groupBy("seed").agg(F.count(F.lit(1)).alias("have")), "seed")
+        new = new.withColumn("n", F.row_number().over(w)).where(F.col("n") + F.col("have") <= size)
+        front = durable(new.select("seed", "node", F.lit(hop).cast("long").alias("hop")), "patches")
+        if front.isEmpty():
+            break
+        reached = durable(reached.unionAll(front), "patches")
+    nth = Window.partitionBy("seed").orderBy("hop", "node")
+    return reached.withColumn("nth", F.row_number().over(nth).cast("long")).where(F.col("nth") <= size)
+
+
 def radius_pairs(points: DataFrame, radius: float | str, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
     """Unordered pairs within the radius."""
     own = points.select(*by, key, *xyz, *([radius] if isinstance(radius, str) else []))
@@ -131,6 +190,72 @@ def radius_pairs(points: DataFrame, radius: float | str, by: Sequence[str] = (),
     return pairs.where(F.col(key) < F.col(f"p_{key}")).select(*by, F.col(key).alias("a"), F.col(f"p_{key}").alias("b"), "d2")
 
 
+def _touching(points: DataFrame, radius: float, by: Sequence[str], label: str | None, key: str, xyz: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Places (by, cell and label; ``low``: the least key) and links (by, ``a``, ``b``) of such with points within the radius of each other.
+
+    Cells are so small that all points of one are linked.  Without a label links are between the
+    least keys of places and join what is within reach, though not each pair of places; with a label, between labels, and all are told.  Up to six
+    points of a place that lie outermost are compared first.  Only pairs of places that are not linked by then, nor in any
+    other way, are compared in full, and only by points near the other's box.
+    """
+    from pointweave.operators.graph import connected_components
+
+    by, axes = list(by), range(len(xyz))
+    cells, side, most = [f"cell{i}" for i in axes], radius / len(xyz) ** 0.5 * (1 - 1e-6), radius * radius
+    own = points.where(" AND ".join(f"{c} IS NOT NULL" for c in (*by, key, *xyz, *([label] if label else []))))
+    own = durable(_in_cells(own.groupBy(*by, *([label] if label else []), *xyz).agg(F.min(key).alias(key)), xyz, side), "places")
+    ends = [f(F.struct(*(F.col(c).cast("double").alias(c) for c in (*xyz[i:], *xyz[:i])))) for i in axes for f in (F.min, F.max)]
+    outer = F.array_distinct(F.array(*(F.struct(*(e.getField(c).alias(f"c{j}") for j, c in enumerate(xyz))) for e in ends)))
+    places = own.groupBy(*by, *cells, *([label] if label else [])).agg(F.min(key).alias("low"), (F.first(label) if label else F.min(key)).alias("name"), F.count(F.lit(1)).alias("n"), outer.alias("outer"), *(f(c).alias(f"{m}_{c}") for c in xyz for m, f in (("lo", F.min), ("hi", F.max))))
+    places = durable(places, "places")
+    told = [*by, *cells, "name", "n", "outer", *(f"{m}_{c}" for c in xyz for m in ("lo", "hi"))]
+    left = places.select(*by, *(F.col(c).alias(f"a_{c}") for c in told if c not in by))
+    steps = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    for i, c in enumerate(cells):
+        left = left.withColumn(f"step{i}", steps).withColumn(f"b_{c}", F.col(f"a_{c}") + F.col(f"step{i}"))
+    ahead, same = F.struct(*(f"step{i}" for i in axes)), F.struct(*(F.lit(0).alias(f"step{i}") for i in axes))
+    left = left.where(ahead >= same if label else ahead > same)
+    met = left.join(places.select(*by, *(F.col(c).alias(f"b_{c}") for c in told if c not in by)), [*by, *(f"b_{c}" for c in cells)]).where("a_name <> b_name")
+    gap = sum((F.pow(F.greatest(F.col(f"a_lo_{c}") - F.col(f"b_hi_{c}"), F.col(f"b_lo_{c}") - F.col(f"a_hi_{c}"), F.lit(0.0)), F.lit(2.0)) for c in xyz), F.lit(0.0))
+    near = F.exists("a_outer", lambda p: F.exists("b_outer", lambda q: sum(((p[f"c{j}"] - q[f"c{j}"]) * (p[f"c{j}"] - q[f"c{j}"]) for j in axes[1:]), (p["c0"] - q["c0"]) * (p["c0"] - q["c0"])) <= most))
+    whole = (F.col("a_n") <= F.size("a_outer")) & (F.col("b_n") <= F.size("b_outer"))
+    met = met.where(gap <= most * (1 + 1e-9)).withColumns({"near": near, "whole": whole}).where("near OR NOT whole")
+    met = durable(met.select(*by, "near", *(F.col(f"{s}_{c}") for s in "ab" for c in told if c not in (*by, "n", "outer"))), "touching")
+    link = [F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b")]
+    sure = durable(met.where("near").select(*by, *link).distinct(), "touching")
+    unsure = met.where("NOT near")
+    if label:
+        unsure = unsure.withColumns({"a": link[0], "b": link[1]}).join(sure, [*by, "a", "b"], "left_anti").drop("a", "b")
+    elif not unsure.isEmpty():
+        parts = connected_components(sure, "a", "b")
+        part = lambda s: parts.select(F.col("node").alias(f"{s}_name"), F.col("component").alias(f"{s}_part"))
+        unsure = unsure.join(part("a"), "a_name", "left").join(part("b"), "b_name", "left").where(~F.coalesce("a_part", "a_name").eqNullSafe(F.coalesce("b_part", "b_name")))
+    for s, o in ("ab", "ba"):
+        of = own.select(*by, *(F.col(c).alias(f"{s}_{c}") for c in (*cells, *xyz)), *([F.col(label).alias(f"{s}_name")] if label else []))
+        off = sum((F.pow(F.greatest(F.col(f"{o}_lo_{c}") - F.col(f"{s}_{c}"), F.col(f"{s}_{c}") - F.col(f"{o}_hi_{c}"), F.lit(0.0)), F.lit(2.0)) for c in xyz), F.lit(0.0))
+        unsure = unsure.join(of, [*by, *(f"{s}_{c}" for c in cells), *([f"{s}_name"] if label else [])]).where(off <= most * (1 + 1e-9))
+    found = unsure.where(_d2([f"a_{c}" for c in xyz], [f"b_{c}" for c in xyz]) <= most).select(*by, *link).distinct()
+    return places.select(*by, *cells, "low", "n"), durable(sure.unionAll(found), "touching")
+
+
+def touching_labels(points: DataFrame, label: str, radius: float, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
+    """Pairs of labels (by, a, b; a < b) with points within the radius of each other, without listing pairs of points."""
+    return _touching(points, radius, by, label, key, xyz)[1].distinct()
+
+
+def radius_components(points: DataFrame, radius: float, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
+    """node, component (the least key reachable) of the graph of :func:`radius_pairs`, whose edges are never listed.
+
+    Points are linked to the least of their cell and cells to each other, so there are about as many edges as points.
+    """
+    from pointweave.operators.graph import connected_components
+
+    by, cells = list(by), [f"cell{i}" for i in range(len(xyz))]
+    places, links = _touching(points, radius, by, None, key, xyz)
+    own = _in_cells(points.select(*by, key, *xyz), xyz, radius / len(xyz) ** 0.5 * (1 - 1e-6)).join(places, [*by, *cells])
+    return connected_components(own.select(F.col(key).alias("a"), F.col("low").alias("b")).unionAll(links.select("a", "b")), "a", "b")
+
+
 def interpolate(neighbours: DataFrame, features: DataFrame, value: str, by: Sequence[str] = (), query_key: str = "point_id", key: str = "point_id") -> DataFrame:
     """Inverse-square-distance weighted mean of the neighbours' feature."""
     own = features.select(*by, F.col(key).alias("other"), F.col(value).alias("f"))

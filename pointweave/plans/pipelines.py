@@ -197,8 +197,7 @@ def prune_primitives(distances: DataFrame, precision: DataFrame, threshold: floa
 def corner_curve_segmentation(points: DataFrame, cornerness: Column, level: float, radius: float, by: Sequence[str] = (ITEM,)) -> DataFrame:
     """Points split by cornerness, each part clustered by the radius graph: kind, node, component."""
     split = durable(points.withColumn("kind", F.when(cornerness > level, "corner").otherwise("curve")), "kinds")
-    pairs = sp.radius_pairs(split.select(*by, "kind", "point_id", "x", "y", "z"), radius, [*by, "kind"])
-    labels = gr.connected_components(pairs, "a", "b")
+    labels = sp.radius_components(split.select(*by, "kind", "point_id", "x", "y", "z"), radius, [*by, "kind"])
     return split.select("kind", F.col("point_id").alias("node")).join(labels, "node")
 
 
@@ -267,9 +266,8 @@ def annotate_scan_points(points: DataFrame, matrix: Sequence[float], shape: Shap
     """
     moved = points.withColumns(dict(zip("xyz", ge.transform_point(matrix, ("x", "y", "z")))))
     kept = on_mesh(moved, shape, far)
-    links = durable(sp.radius_pairs(kept, radius, [ITEM]).select("a", "b"), "links")
     seeds = sp.farthest_points(kept, patches, [ITEM]).select(F.col("point_id").alias("seed"), F.col("point_id").alias("node"))
-    grown = gr.bfs_patches(links, seeds, size).select(F.col("seed").alias("patch_id"), F.col("node").alias("point_id"))
+    grown = sp.ball_patches(kept, seeds, radius, size, [ITEM]).select(F.col("seed").alias("patch_id"), F.col("node").alias("point_id"))
     return label_patches(grown.join(kept, "point_id"), shape, most)
 
 
@@ -381,9 +379,7 @@ def skeleton(field: DataFrame, corners: DataFrame, radius: float, snap: float) -
     to = durable(seeds.select(ITEM, "point_id").join(met, [ITEM, "point_id"], "left").select(ITEM, F.col("point_id").alias("other"), F.coalesce("to.p_component", "point_id").alias("node")), "seeds")
     nearest = sp.knn(curve.select(ITEM, "point_id", "x", "y", "z"), seeds, 1, [ITEM]).select(ITEM, "point_id", "other").join(to, [ITEM, "other"]).select(ITEM, "point_id", "node")
     cells = durable(nearest.unionAll(field.where("component IS NOT NULL").select(ITEM, "point_id", F.col("component").alias("node"))), "cells")
-    near = sp.radius_pairs(own, radius, [ITEM]).select(ITEM, F.col("a").alias("point_id"), "b")
-    ends = near.join(cells.withColumnRenamed("node", "one"), [ITEM, "point_id"]).select(ITEM, "one", F.col("b").alias("point_id")).join(cells.withColumnRenamed("node", "two"), [ITEM, "point_id"])
-    links = ends.where("one <> two").select(ITEM, F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    links = sp.touching_labels(own.join(cells, [ITEM, "point_id"]), "node", radius, [ITEM])
     places = seeds.join(to.where("node = other").select(ITEM, F.col("other").alias("point_id")), [ITEM, "point_id"], "left_semi").select(ITEM, F.col("point_id").alias("node"), F.lit(False).alias("corner"), "x", "y", "z", "distance")
     nodes = durable(places.unionAll(corners.select(ITEM, F.col("component").alias("node"), F.lit(True).alias("corner"), "x", "y", "z", F.lit(0.0).alias("distance"))), "nodes")
     at = lambda side: nodes.select(ITEM, F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in "xyz"))
