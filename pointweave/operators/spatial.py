@@ -65,6 +65,19 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float | str, by:
     return out.where(F.col("d2") <= most if inclusive else F.col("d2") < most)
 
 
+def close_pairs(points: DataFrame, radius: float, by: Sequence[str] = (), xyz: Sequence[str] = XYZ, wide: float = 16.0) -> DataFrame:
+    """:func:`radius_join` (inclusive) of points with themselves for a radius under which few lie.
+
+    Cells are ``wide`` times the radius, and a point is copied only to those that its reach touches: mostly to its own.
+    """
+    cells, size, reach = [f"cell{i}" for i in range(len(xyz))], wide * radius, radius * (1 + 1e-9)
+    left = points
+    for i, c in enumerate(xyz):
+        left = left.withColumn(cells[i], _covered(F.col(c) - reach, F.col(c) + reach, size))
+    right = _in_cells(points.select(*by, *(F.col(c).alias(f"p_{c}") for c in points.columns if c not in by)), [f"p_{c}" for c in xyz], size)
+    return left.join(right, [*by, *cells]).drop(*cells).withColumn("d2", _d2(xyz, [f"p_{c}" for c in xyz])).where(F.col("d2") <= radius * radius)
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), key: str = "point_id", query_key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
     """The k nearest points of each query, ranked by (d2, point key); itself included if it is a point.
 
@@ -132,10 +145,15 @@ def ball_hits(queries: DataFrame, points: DataFrame, radius: float, nsample: int
     most = nth.agg(F.max("place")).first()[0]
     pending, size, out = durable(queries.select(*ids, *xyz), "balls"), FIRST, None
     while True:
-        parts = 1 + pending.count() // TASK
-        pairs = radius_join(pending, nth.where(F.col("place") < size).drop("place"), radius, by, xyz, inclusive)
+        asking, seen = pending.count(), nth.where(F.col("place") < size)
+        parts = 1 + asking // TASK
+        # the smaller side is copied to the cells around
+        if asking < seen.count():
+            pairs = radius_join(pending, seen.drop("place"), radius, by, xyz, inclusive).select(*ids, f"p_{key}")
+        else:
+            pairs = radius_join(seen.drop("place"), pending, radius, by, xyz, inclusive).select(*by, F.col(f"p_{key}").alias(key), F.col(key).alias(f"p_{key}"))
         # dealt by queries, since the join may make all pairs in a few tasks
-        found = durable(pairs.select(*ids, f"p_{key}").repartition(parts, *ids).withColumn("n", F.row_number().over(w)).where(F.col("n") <= nsample), "balls")
+        found = durable(pairs.repartition(parts, *ids).withColumn("n", F.row_number().over(w)).where(F.col("n") <= nsample), "balls")
         last = most is None or size > most
         full = found.where(F.col("n") == nsample).select(*ids)
         settled = (found if last else found.join(full, ids, "left_semi")).select(*ids, F.col(f"p_{key}").alias("hit"))

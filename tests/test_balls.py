@@ -72,3 +72,11 @@ def test_balls_and_patches_in_rounds(cloud, crowd, monkeypatch):
     pairs = sp.radius_pairs(cloud, R, ["item_id"])
     rows = lambda df: sorted(tuple(r[c] for c in ("seed", "node", "hop", "nth")) for r in df.collect())
     assert rows(sp.ball_patches(cloud, seeds, R, 9, ["item_id"])) == rows(gr.bfs_patches(pairs, seeds, 9))
+
+
+def test_close_pairs_are_copied_to_the_cells_they_reach_only(spark):
+    """Pairs across a cell's border are found, points away from borders stay single."""
+    at = [(0, k, x, 0.5, 0.5) for k, x in enumerate((0.5, 0.5, 1.5999999, 1.6000001, 1.7, 1.8, 3.0))]
+    df = spark.createDataFrame(at, "item_id long, point_id long, x double, y double, z double")
+    want = sorted((a[1], b[1]) for a in at for b in at if (a[2] - b[2]) ** 2 <= 0.01)
+    assert sorted((r["point_id"], r["p_point_id"]) for r in sp.close_pairs(df, 0.1, ["item_id"]).collect()) == want
