@@ -774,30 +774,58 @@ def spaced_sample(points: DataFrame, wanted: int, by: Sequence[str], seed: int,
 
     The radius of a group starts at its extent.  Each level keeps a maximal set of points
     that are farther than the radius from each other and from those kept before, then halves it.  The
-    level that would exceed the wanted number gives its first points by hash.
+    level that would exceed the wanted number gives its first points by hash, so levels are walked in that order
+    and only as far as points are wanted: no level lists its pairs.
     ``spacing`` is the radius at which a point came in; points that lie on kept ones come last, at 0.
     """
-    from pointweave.operators.tables import numbered, shuffle_key
+    from pointweave.operators.tables import shuffle_key
 
+    by = list(by)
     side = F.greatest(*(F.max(c) - F.min(c) for c in xyz))
     floor = F.greatest(*(F.max(F.abs(c)) for c in xyz)) * 2.0**-40
-    sizes = durable(points.groupBy(*by).agg(side.alias("reach"), floor.alias("floor"), F.count(F.lit(1)).alias("all")), "sizes")
-    open_ = durable(points.select(*by, key, *xyz).join(sizes.select(*by, "reach", "floor"), list(by)), "open")
-    kept = None
+    sizes = durable(points.groupBy(*by).agg(side.alias("reach"), floor.alias("floor"), F.least(F.lit(wanted), F.count(F.lit(1))).alias("need")), "sizes")
+    open_ = durable(points.select(*by, key, *xyz, shuffle_key(seed, key).alias("turn")).join(sizes, by), "open")
+    kinds = dict(open_.dtypes)
+    names = [*by, key, *xyz, "turn", "reach"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+
+    def walked(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["turn", key], kind="stable").reset_index(drop=True)
+        at, reach, left = rows[list(xyz)].to_numpy(float), float(rows["reach"].iloc[0]), int(rows["need"].iloc[0] - rows["have"].iloc[0])
+        free, picked = np.ones(len(rows), bool), []
+        for i in range(len(rows)):
+            if len(picked) < left and free[i]:
+                picked.append(i)
+                if reach > 0:
+                    gap = at - at[i]
+                    free &= ~(gap[:, 0] * gap[:, 0] + gap[:, 1] * gap[:, 1] + gap[:, 2] * gap[:, 2] <= reach * reach)
+        return rows.iloc[picked][names]
+
+    kept, first = None, Window.partitionBy(*by).orderBy("turn", key)
     for _ in range(MAX_ROUNDS):
-        free = open_
-        if kept is not None:
-            reaches = open_.groupBy(*by).agg(F.max("reach").alias("reach")).where("reach > 0")
-            near = radius_join(open_.where("reach > 0"), kept.select(*by, *xyz).join(reaches, list(by)), "reach", by, xyz, inclusive=True)
-            free = durable(open_.join(near.select(*by, key).distinct(), [*by, key], "left_anti"), "free")
-        level = thin(free.where("reach > 0"), "reach", by, seed, key).unionAll(free.where("reach <= 0"))
-        nth = numbered(level.withColumn("turn", shuffle_key(seed, key)), "turn", key, by=by, name="nth")
-        if kept is not None:
-            nth = nth.join(kept.groupBy(*by).agg(F.count(F.lit(1)).alias("have")), list(by)).withColumn("nth", F.col("nth") + F.col("have"))
-        new = nth.where(F.col("nth") < wanted).select(*by, key, *xyz, F.col("reach").alias("spacing"))
-        kept = durable(new if kept is None else kept.unionAll(new), "kept")
-        short = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("have")).join(sizes, list(by)).where(F.col("have") < F.least(F.lit(wanted), F.col("all"))).select(*by)
-        rest = open_.join(short, list(by), "left_semi").join(kept.select(*by, key), [*by, key], "left_anti")
+        free, new = open_, kept
+        while True:
+            # off what lies within the radius of the points kept last; these few are copied, not the others
+            if new is not None:
+                reaches = free.groupBy(*by).agg(F.max("reach").alias("reach")).where("reach > 0")
+                near = radius_join(new.select(*by, *xyz).join(reaches, by), free.where("reach > 0"), "reach", by, xyz, inclusive=True)
+                gone = near.select(*by, F.col(f"p_{key}").alias(key)).unionAll(new.select(*by, key)).distinct()
+                free = free.join(gone, [*by, key], "left_anti")
+            have = None if kept is None else kept.groupBy(*by).agg(F.count(F.lit(1)).alias("have"))
+            counted = free.withColumn("have", F.lit(0).cast("long")) if have is None else free.join(have, by, "left").fillna(0, ["have"])
+            free = durable(counted.where("have < need"), "free")
+            # a walk through the first by hash keeps what one through all of them would
+            front = free.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= CANDIDATES).drop("nth")
+            new = durable(front.groupBy(*by).applyInPandas(walked, schema), "kept")
+            free = free.drop("have")
+            if new.isEmpty():
+                break
+            picked = new.select(*by, key, *xyz, F.col("reach").alias("spacing"))
+            kept = durable(picked if kept is None else kept.unionAll(picked), "kept")
+        if kept is None:
+            return open_.select(*by, key, F.col("reach").alias("spacing"))
+        have = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("have"))
+        rest = open_.join(have, by).where("have < need").drop("have").join(kept.select(*by, key), [*by, key], "left_anti")
         before, open_ = open_, durable(rest.withColumn("reach", F.when(F.col("reach") / 2 > F.col("floor"), F.col("reach") / 2).otherwise(0.0)), "open")
         release(before)
         if open_.isEmpty():

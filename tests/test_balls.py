@@ -80,3 +80,9 @@ def test_close_pairs_are_copied_to_the_cells_they_reach_only(spark):
     df = spark.createDataFrame(at, "item_id long, point_id long, x double, y double, z double")
     want = sorted((a[1], b[1]) for a in at for b in at if (a[2] - b[2]) ** 2 <= 0.01)
     assert sorted((r["point_id"], r["p_point_id"]) for r in sp.close_pairs(df, 0.1, ["item_id"]).collect()) == want
+
+
+def test_spaced_sample_lists_no_pairs(cloud, monkeypatch):
+    monkeypatch.setattr(sp, "radius_pairs", None)
+    placed = cloud.where("x IS NOT NULL")
+    assert sp.spaced_sample(placed, 5, ["item_id"], 9).groupBy("item_id").count().where("count = 5").count() == 2
