@@ -169,15 +169,17 @@ def adjacent_faces(faces: DataFrame) -> DataFrame:
     return e.join(e.withColumnRenamed("fid", "other"), [ITEM, "a", "b"]).where("fid < other").select(ITEM, "fid", "other").distinct()
 
 
-def annotate_points(points: DataFrame, faces_xyz: DataFrame, surface_faces: DataFrame, segments: DataFrame, surface_curve: DataFrame, most: float) -> DataFrame:
+def annotate_points(points: DataFrame, faces_xyz: DataFrame, surface_faces: DataFrame, segments: DataFrame, surface_curve: DataFrame, most: float, faced: DataFrame | None = None) -> DataFrame:
     """Distance of each point to the nearest sharp segment of the curves that touch its surface, cut at ``most``.
 
     Point -> nearest face -> its surface -> nearest segment among that
     surface's curves; ``segments`` has item_id, curve_id, seg_id and end points.
+    ``faced`` (item_id, point_id, fid) tells the nearest faces where they are known.
     """
     from pointweave.operators.spatial import nearest_face, nearest_segment
 
-    faced = nearest_face(points, faces_xyz, [ITEM]).select(ITEM, "point_id", "fid")
+    if faced is None:
+        faced = nearest_face(points, faces_xyz, [ITEM]).select(ITEM, "point_id", "fid")
     placed = points.join(faced, [ITEM, "point_id"]).join(surface_faces, [ITEM, "fid"])
     own = segments.join(surface_curve, [ITEM, "curve_id"])
     near = nearest_segment(placed.select(ITEM, "surf_id", "point_id", "x", "y", "z"), own, [ITEM, "surf_id"])

@@ -78,6 +78,49 @@ def close_pairs(points: DataFrame, radius: float, by: Sequence[str] = (), xyz: S
     return left.join(right, [*by, *cells]).drop(*cells).withColumn("d2", _d2(xyz, [f"p_{c}" for c in xyz])).where(F.col("d2") <= radius * radius)
 
 
+#: Points (or shapes) of a group that are not put into cells.
+WHOLE = 1024
+
+
+def _knn_whole(queries: DataFrame, points: DataFrame, groups: DataFrame, k: int, by: list[str], key: str, query_key: str, xyz: list[str], tasks: int) -> DataFrame:
+    """:func:`knn` in the small ``groups`` (by): a task gets many of them and compares each whole."""
+    kinds = dict(queries.dtypes) | {"other": dict(points.dtypes)[key]}
+    deal = F.pmod(F.xxhash64(F.lit(0), *by), F.lit(4 * tasks)).alias("deal")
+    of = lambda df: df.join(groups, by, "left_semi") if by else df
+    here = lambda df: df.where(" AND ".join(f"{c} IS NOT NULL" for c in (*by, *xyz)))
+    asked = here(of(queries.select(*by, query_key, *xyz))).select(deal, "*")
+    held = here(of(points.select(*by, F.col(key).alias("other"), *xyz))).select(deal, *(F.col(c).alias(c) for c in (*by, "other", *xyz)))
+    names = [*by, query_key, "other"]
+    block = ["deal", *by]
+
+    def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("other", kind="stable")
+        x, y = q[xyz].to_numpy(float), p[xyz].to_numpy(float)
+        of = p.groupby(block, sort=False).indices if len(q) and len(p) else {}
+        found = []
+        for name, own in q.groupby(block, sort=False).indices.items() if of else ():
+            other = np.sort(of.get(name, np.zeros(0, int)))  # by key, so that the first of equals has the least
+            for lo in range(0, len(own), 512) if len(other) else ():
+                asking = own[lo : lo + 512]
+                d2 = np.zeros((len(asking), len(other)))
+                for i in range(len(xyz)):
+                    gap = x[asking, i][:, None] - y[other, i]
+                    d2 += gap * gap
+                last = min(k, len(other)) - 1
+                row, at = np.nonzero(d2 <= np.partition(d2, last, axis=1)[:, last][:, None])
+                order = np.lexsort((at, d2[row, at], row))
+                row, at = row[order], at[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(asking)))[row]
+                row, at, rank = row[rank < k], at[rank < k], rank[rank < k]
+                found.append((asking[row], other[at], d2[row, at], rank + 1))
+        row, at, d2, rank = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 4
+        return pd.DataFrame({c: q[c].to_numpy()[row] for c in (*by, query_key)} | {"other": p["other"].to_numpy()[at], "d2": d2.astype(float), "rank": rank.astype(np.int64)})
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "d2 double", "rank long"])
+    dealt = [df.repartition(tasks, "deal").groupBy("deal") for df in (asked, held)]
+    return dealt[0].cogroup(dealt[1]).applyInPandas(nearest, schema)
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), key: str = "point_id", query_key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
     """The k nearest points of each query, ranked by (d2, point key); itself included if it is a point.
 
@@ -87,12 +130,14 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), k
     neighbour may lie beyond the cells looked at.  What a round settles is
     written to the shared folder.  Rows of ``queries`` are known by ``by`` and
     ``query_key``.  Cells are counted from the low corner of a group, and are not
-    smaller than 2^-40 of its extent; a group without extent is one cell.
+    smaller than 2^-40 of its extent; a group without extent is one cell.  Groups of up
+    to ``WHOLE`` points need no cells: their queries are compared with all of them at once.
     """
     ids, axes = [*by, query_key], range(len(xyz))
     tails = [F.percentile_approx(c, [0.05, 0.95], 1000).alias(f"mid{i}") for i, c in enumerate(xyz)]
-    low = points.groupBy(*by).agg(F.count(F.lit(1)).alias("held"), *tails, *(f(c).alias(f"{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max))))
-    ends = queries.groupBy(*by).agg(*(f(c).alias(f"q{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max))))
+    named = lambda c, n: (F.count(c) == F.count(F.lit(1))).alias(n)
+    low = points.groupBy(*by).agg(F.count(F.lit(1)).alias("held"), named(key, "keyed"), *tails, *(f(c).alias(f"{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max))))
+    ends = queries.groupBy(*by).agg(F.count(F.lit(1)).alias("asked"), named(query_key, "known"), *(f(c).alias(f"q{n}{i}") for i, c in enumerate(xyz) for n, f in (("lo", F.min), ("hi", F.max))))
     wide = F.greatest(*(F.greatest(f"hi{i}", f"qhi{i}") - F.least(f"lo{i}", f"qlo{i}") for i in axes))
     middle = F.greatest(*((F.col(f"mid{i}")[1] - F.col(f"mid{i}")[0]) / 0.9 for i in axes))
     grids = low.join(ends, list(by)) if by else low.join(F.broadcast(ends))
@@ -100,13 +145,23 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), k
     corner = [f"corner{i}" for i in axes]
     size = F.greatest(F.least("cell_size", "cell_extent"), F.col("cell_extent") * 2.0**-40)
     lowest = [F.least(f"lo{i}", f"qlo{i}").alias(c) for i, c in enumerate(corner)]
-    grids = durable(grids.where("held > 0 and cell_extent is not null").select(*by, F.when(size > 0, size).otherwise(1.0).alias("cell_size"), "cell_extent", *lowest), "grids")
+    few = (F.col("held") <= WHOLE) & F.col("keyed") & F.col("known")
+    grids = durable(grids.where("held > 0 and cell_extent is not null").select(*by, F.when(size > 0, size).otherwise(1.0).alias("cell_size"), "cell_extent", *lowest, "held", "asked", few.alias("few")), "grids")
     with_grid = lambda df: df.join(grids, list(by)) if by else df.join(F.broadcast(grids))
+    whole, many = grids.where("few").select(*by, "held", "asked"), grids.where("not few").drop("few", "held", "asked")
+    rows, pairs, left = grids.agg(F.sum(F.when(F.col("few"), F.col("held") + F.col("asked"))), F.sum(F.when(F.col("few"), F.col("held").cast("double") * F.col("asked"))), F.count_if(~F.col("few"))).first()
+    done = []
+    if rows is not None:
+        tasks = max(1, min(10_000, int(max(rows / 20_000, pairs / 20_000_000))))
+        done.append(durable(_knn_whole(queries, points, whole.select(*by), k, list(by), key, query_key, list(xyz), tasks), "knn"))
+        if left == 0:
+            release(grids)
+            return done[0]
+    grids = many
     pts = durable(with_grid(points.select(*by, F.col(key).alias("other"), *(F.col(c).alias(f"p_{c}") for c in xyz))).drop("cell_extent"), "points")
     pending = durable(with_grid(queries.select(*ids, *xyz)), "queries")
     cells = [f"cell{i}" for i in axes]
     w = Window.partitionBy(*ids).orderBy("d2", "other")
-    done = []
     for step in range(MAX_ROUNDS):
         size = F.col("cell_size") * float(2**step)
         near = _around(pending, xyz, size, corner).drop("cell_size").join(_in_cells(pts, [f"p_{c}" for c in xyz], size, corner).drop("cell_size", *corner), [*by, *cells]).withColumn("d2", _d2(xyz, [f"p_{c}" for c in xyz]))
@@ -127,8 +182,16 @@ def knn(queries: DataFrame, points: DataFrame, k: int, by: Sequence[str] = (), k
     return out
 
 
-#: Points of a group that :func:`ball_hits` looks at first (each round looks at four times as many), and queries of a task.
-FIRST, TASK = 256, 20_000
+#: Points of a group that :func:`ball_hits` looks at first (each round looks at four times as many), queries of a task,
+#: and pairs of queries and points up to which a first round looks at more.
+FIRST, TASK, PAIRS = 256, 20_000, 10_000_000
+
+
+def placed(points: DataFrame, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
+    """Points with their ``place`` in the order of ids, as :func:`ball_hits` numbers them."""
+    from pointweave.operators.tables import numbered
+
+    return durable(numbered(points.select(*by, key, *xyz).where(F.col(key).isNotNull()), key, key, by=list(by), name="place"), "balls")
 
 
 def ball_hits(queries: DataFrame, points: DataFrame, radius: float, nsample: int, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ, inclusive: bool = False) -> DataFrame:
@@ -136,16 +199,17 @@ def ball_hits(queries: DataFrame, points: DataFrame, radius: float, nsample: int
 
     A round looks at the first points of each group by id.  Queries with ``nsample`` hits among them are
     settled, the others see four times as many points, so few of the pairs of crowded places are made.
+    Few queries see many points at once.  Points may be :func:`placed` already, where they are asked several times.
     """
-    from pointweave.operators.tables import numbered
-
     by = list(by)
     ids, w = [*by, key], Window.partitionBy(*by, key).orderBy(f"p_{key}")
-    nth = durable(numbered(points.select(*by, key, *xyz).where(F.col(key).isNotNull()), key, key, by=by, name="place"), "balls")
+    nth = points if "place" in points.columns else placed(points, by, key, xyz)
     most = nth.agg(F.max("place")).first()[0]
-    pending, size, out = durable(queries.select(*ids, *xyz), "balls"), FIRST, None
+    pending, size, out = durable(queries.select(*ids, *xyz), "balls"), None, None
     while True:
-        asking, seen = pending.count(), nth.where(F.col("place") < size)
+        asking = pending.count()
+        size = max(FIRST, PAIRS // max(1, asking)) if size is None else size
+        seen = nth.where(F.col("place") < size)
         parts = 1 + asking // TASK
         # the smaller side is copied to the cells around
         if asking < seen.count():
@@ -165,7 +229,7 @@ def ball_hits(queries: DataFrame, points: DataFrame, radius: float, nsample: int
         if pending.isEmpty():
             break
         size *= 4
-    release(pending, nth)
+    release(pending, *([nth] if nth is not points else []))
     return out
 
 
@@ -185,7 +249,7 @@ def ball_patches(points: DataFrame, seeds: DataFrame, radius: float, size: int,
     ones that are not new are in the patch.
     """
     by = list(by)
-    at = durable(points.select(*by, key, *xyz), "patches")
+    at = placed(points, by, key, xyz)
     front = durable(seeds.select("seed", "node", F.lit(0).cast("long").alias("hop")).distinct(), "patches")
     reached, w = front, Window.partitionBy("seed").orderBy("node")
     for hop in range(1, size):
@@ -405,8 +469,9 @@ def _least(p: np.ndarray, corners: Sequence[np.ndarray], names: np.ndarray, part
     slack = 1e-11 + 1e-7 * scale
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     stretches = np.unique(np.linspace(0, len(names), min(16, len(names)) + 1).astype(int))
-    for lo in range(0, len(p), CHUNK):
-        own = p[lo : lo + CHUNK]
+    chunk = max(CHUNK, CHUNK * BLOCK // max(1, len(names)))
+    for lo in range(0, len(p), chunk):
+        own = p[lo : lo + chunk]
         low = shapes.below(own - centre)
         if bound is None:
             first = np.stack([low[:, x:y].argmin(axis=1) + x for x, y in zip(stretches, stretches[1:])], axis=1)
@@ -448,16 +513,20 @@ def _compared(asked: DataFrame, grown: DataFrame, by: Sequence[str], cells: Sequ
     block = ["cell_id", "one", "two"]
 
     def nearest(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        out, of = [], s.groupby(block, sort=False).indices if len(p) and len(s) else {}
+        of = s.groupby(block, sort=False).indices if len(p) and len(s) else {}
+        own, ends, ids = p[list(xyz)].to_numpy(float), [s[list(c)].to_numpy(float) for c in corners], s[shape_key].to_numpy()
+        part = s.groupby(per, sort=False, dropna=False).ngroup().to_numpy() if per and len(s) else np.zeros(len(s), np.int64)
+        out = []
         for name, at in p.groupby(block, sort=False).indices.items() if of else ():
-            if name not in of:
-                continue
-            own, other = p.iloc[at], s.iloc[of[name]]
-            part = other.groupby(per, sort=False, dropna=False).ngroup().to_numpy() if per else np.zeros(len(other), np.int64)
-            row, to, d, more = _least(own[list(xyz)].to_numpy(float), [other[list(c)].to_numpy(float) for c in corners], other[shape_key].to_numpy(), part, kind, bound)
-            got = {c: own[c].to_numpy()[row] for c in (*by, key)} | {c: other[c].to_numpy()[to] for c in (*per, shape_key)}
-            out.append(pd.DataFrame({c: got[c] for c in names} | {"distance": d} | dict(zip(kind.fields, more))))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (*names, "distance", *kind.fields)})
+            to = of.get(name)
+            if to is not None:
+                row, hit, d, more = _least(own[at], [c[to] for c in ends], ids[to], part[to], kind, bound)
+                out.append((at[row], to[hit], d, *more))
+        if not out:
+            return pd.DataFrame({c: [] for c in (*names, "distance", *kind.fields)})
+        row, to, *told = (np.concatenate(c) for c in zip(*out))
+        got = {c: p[c].to_numpy()[row] for c in (*by, key)} | {c: s[c].to_numpy()[to] for c in (*per, shape_key)}
+        return pd.DataFrame({c: got[c] for c in names} | dict(zip(("distance", *kind.fields), told)))
 
     dealt = [df.withColumn("deal", deal).repartition(tasks, "deal").groupBy("deal") for df in (points, shapes)]
     return dealt[0].cogroup(dealt[1]).applyInPandas(nearest, schema)
@@ -473,6 +542,7 @@ def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str,
     every level that its group has.  A round copies the shapes of groups with open
     points to the cells that their boxes, grown by the reach, cover; points whose nearest
     shape is within the reach are settled, and all of a group once the reach is its extent.
+    Groups of up to ``WHOLE`` shapes are one cell, and settled in the first round.
     """
     axes = range(3)
     cells, corner = [f"cell{i}" for i in axes], [f"corner{i}" for i in axes]
@@ -485,8 +555,8 @@ def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str,
     middle = F.greatest(*((F.col(f"mid{i}")[1] - F.col(f"mid{i}")[0]) / 0.9 for i in axes))
     spread = F.when(middle > 0, middle).otherwise(F.greatest(*(F.col(f"hi{i}") - F.col(f"lo{i}") for i in axes))) * F.pow(F.col("held"), F.lit(-1 / 3)) if size is None else F.lit(float(size))
     extent = sum((F.greatest(f"hi{i}", f"qhi{i}") - F.least(f"lo{i}", f"qlo{i}") for i in axes), F.lit(0.0))
-    grids = grids.where("held > 0").withColumn("extent", extent).where("extent IS NOT NULL").withColumn("base", F.greatest(spread, F.col("extent") * 2.0**-40))
-    grids = durable(grids.select(*by, "extent", F.when(F.col("base") > 0, F.col("base")).otherwise(1.0).alias("base"), *(F.least(f"lo{i}", f"qlo{i}").alias(c) for i, c in enumerate(corner))), "grids")
+    grids = grids.where("held > 0").withColumn("extent", extent).where("extent IS NOT NULL").withColumn("base", F.when(F.col("held") <= WHOLE, 2 * F.col("extent")).otherwise(F.greatest(spread, F.col("extent") * 2.0**-40)))
+    grids = durable(grids.select(*by, "extent", (F.col("held") <= WHOLE).alias("whole"), F.when(F.col("base") > 0, F.col("base")).otherwise(1.0).alias("base"), *(F.least(f"lo{i}", f"qlo{i}").alias(c) for i, c in enumerate(corner))), "grids")
     with_grid = lambda df: df.join(grids, list(by)) if by else df.join(F.broadcast(grids))
     side = F.greatest(*(h - l for l, h in zip(low, high)), F.col("base"))
     shapes = durable(with_grid(shapes).withColumn("shape_level", F.least(F.greatest(F.ceil(F.log2(side / F.col("base"))), F.lit(0)), F.lit(60)).cast("int")), "shapes")
@@ -499,13 +569,17 @@ def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str,
         cell = F.greatest(reach, F.col("base") * F.pow(F.lit(2.0), F.col("shape_level")))
         grown = asking
         for i in axes:
-            grown = grown.withColumn(cells[i], _covered(low[i] - reach - F.col(corner[i]), high[i] + reach - F.col(corner[i]), cell))
+            # no cells beyond the group, which has no points there
+            lo, hi = F.greatest(low[i] - reach - F.col(corner[i]), F.lit(0.0)), F.least(high[i] + reach - F.col(corner[i]), F.col("extent"))
+            grown = grown.withColumn(cells[i], _covered(F.when(low[i].isNotNull(), lo), F.when(high[i].isNotNull(), hi), cell))
         asked = pending.withColumn("shape_level", F.explode("levels")).drop("levels")
         near = _compared(_in_cells(asked, xyz, cell, corner), grown, by, cells, key, shape_key, xyz, corners, kind)
         best = near.groupBy(*ids).agg(F.min(F.struct(F.round("distance", 12).alias("rounded"), F.col(shape_key), "distance", *kind.fields)).alias("best"))
         found = with_grid(best).where((F.col("best.distance") <= reach) | (reach >= F.col("extent")))
         settled = durable(found.select(*ids, F.col("best.distance").alias("distance"), F.col(f"best.{shape_key}").alias(shape_key), *(F.col(f"best.{n}").alias(n) for n in kind.fields)), "nearest")
         done.append(settled)
+        if step == 0 and grids.where("NOT whole").isEmpty():
+            break
         before, pending = pending, durable(pending.where(reach < F.col("extent")).join(settled.select(*ids), ids, "left_anti"), "nearest")
         release(before)
         if pending.isEmpty():

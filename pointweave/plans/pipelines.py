@@ -213,6 +213,13 @@ class Shape:
     def __init__(self, faces: DataFrame, surface_faces: DataFrame, segments: DataFrame, curve_verts: DataFrame, curves: DataFrame) -> None:
         self.faces, self.surface_faces, self.segments, self.curve_verts, self.curves = faces, surface_faces, segments, curve_verts, curves
 
+    def written(self) -> Shape:
+        """The columns that labels need, made once: labelling reads the tables many times."""
+        corners = [f"{n}{c}" for n in "abc" for c in ("x", "y" if n != "b" else "y_", "z")]
+        faces = self.faces.select(ITEM, "fid", "v0", "v1", "v2", *corners)
+        segments = self.segments.select(ITEM, "curve_id", "seg_id", "va", "vb", *corners[:6])
+        return Shape(*(durable(df, "shape") for df in (faces, self.surface_faces, segments, self.curve_verts, self.curves)))
+
 
 def on_mesh(points: DataFrame, shape: Shape, far: float) -> DataFrame:
     """Points nearer than ``far`` to their mesh, with the face they lie on."""
@@ -220,10 +227,12 @@ def on_mesh(points: DataFrame, shape: Shape, far: float) -> DataFrame:
     return durable(points.join(near, [ITEM, "point_id"]), "on_mesh")
 
 
-def label_patches(members: DataFrame, shape: Shape, most: float, how: str = "edges") -> DataFrame:
+def label_patches(members: DataFrame, shape: Shape, most: float, how: str = "edges", crops: DataFrame | None = None) -> DataFrame:
     """Labels of the points of each patch: patch_id, point_id, distance, seg_id, and the patch's flag ``jump``.
 
-    members: item_id, patch_id, point_id, fid, x, y, z; a patch_id belongs to one item.  A patch sees the whole
+    members: item_id, patch_id, point_id, fid (the nearest face of the mesh), x, y, z; a patch_id belongs to one item.
+    With ``crops`` (item_id, patch_id, fid), fid is the nearest face of the crop, ``off`` from the point, and only
+    faces that surfaces have outside the crop may be nearer.  A patch sees the whole
     surfaces that its points lie on, their sharp curves clipped to that
     submesh, without boundary features (``how``).  Each point takes the
     distance to the nearest segment of the curves at its surface, cut at
@@ -231,7 +240,7 @@ def label_patches(members: DataFrame, shape: Shape, most: float, how: str = "edg
     neighbour differ by over 1.1 times their distance.
     """
     # every patch is a small mesh of its own: its id takes the item's place
-    own = durable(members.select(ITEM, "patch_id", "point_id", "fid", "x", "y", "z"), "members")
+    own = durable(members.select(ITEM, "patch_id", "point_id", "fid", "x", "y", "z", *(["off"] if crops is not None else [])), "members")
     hits = own.select(ITEM, "patch_id", "fid").distinct()
     touched = hits.join(shape.surface_faces, [ITEM, "fid"]).select(ITEM, "patch_id", "surf_id").distinct()
     parts = durable(touched.join(shape.surface_faces, [ITEM, "surf_id"]).select(ITEM, "patch_id", "surf_id", "fid"), "members")
@@ -247,7 +256,15 @@ def label_patches(members: DataFrame, shape: Shape, most: float, how: str = "edg
     end = lambda v: curve_verts.select(ITEM, "curve_id", F.col("vid").alias(v))
     segments = moved(held.join(shape.segments, [ITEM, "curve_id"])).join(end("va"), [ITEM, "curve_id", "va"], "left_semi").join(end("vb"), [ITEM, "curve_id", "vb"], "left_semi")
     points = own.select(named, "point_id", "x", "y", "z")
-    labels = durable(ms.annotate_points(points, faces, surface_faces, segments, ms.surface_curves(faces, surface_faces, curve_verts, curves), most), "labels")
+    faced = own.select(named, "point_id", "fid", *(["off"] if crops is not None else [])).distinct()
+    if crops is not None:
+        beyond = durable(faces.join(crops.select(named, "fid"), [ITEM, "fid"], "left_anti"), "members")
+        if not beyond.isEmpty():
+            there = sp.nearest_face(points.join(beyond.select(ITEM).distinct(), ITEM, "left_semi"), beyond, [ITEM]).select(ITEM, "point_id", "fid", F.col("distance").alias("off"))
+            nearer = F.min(F.struct(F.round("off", 12).alias("off"), "fid")).alias("to")
+            faced = faced.unionByName(there).groupBy(ITEM, "point_id").agg(nearer).select(ITEM, "point_id", "to.fid")
+        faced = faced.select(ITEM, "point_id", "fid")
+    labels = durable(ms.annotate_points(points, faces, surface_faces, segments, ms.surface_curves(faces, surface_faces, curve_verts, curves), most, faced), "labels")
     return labels.join(discontinuous(points, labels), ITEM, "left").select(F.col(ITEM).alias("patch_id"), "point_id", "distance", "seg_id", F.coalesce("jump", F.lit(False)).alias("jump"))
 
 
@@ -265,6 +282,7 @@ def annotate_scan_points(points: DataFrame, matrix: Sequence[float], shape: Shap
     breadth-first over the radius graph to ``size`` points.
     """
     moved = points.withColumns(dict(zip("xyz", ge.transform_point(matrix, ("x", "y", "z")))))
+    shape = shape.written()
     kept = on_mesh(moved, shape, far)
     seeds = sp.farthest_points(kept, patches, [ITEM]).select(F.col("point_id").alias("seed"), F.col("point_id").alias("node"))
     grown = sp.ball_patches(kept, seeds, radius, size, [ITEM]).select(F.col("seed").alias("patch_id"), F.col("node").alias("point_id"))
@@ -277,6 +295,7 @@ def annotate_scan_views(points: DataFrame, matrix: Sequence[float], shape: Shape
     A pixel keeps its nearest point: view_id, pr, pc, depth, point_id, distance.
     """
     moved = points.withColumns(dict(zip("xyz", ge.transform_point(matrix, ("x", "y", "z")))))
+    shape = shape.written()
     kept = on_mesh(moved, shape, far)
     labels = label_patches(kept.withColumn("patch_id", F.col(ITEM)), shape, most, "none").select(F.col("patch_id").alias(ITEM), "point_id", "distance")
     u, v, z = ge.project(focal, [F.col("x"), F.col("y"), F.col("z")])
@@ -289,6 +308,7 @@ def annotate_scan_views(points: DataFrame, matrix: Sequence[float], shape: Shape
 
 def repair_patches(stored: DataFrame, shape: Shape, most: float, far: float, how: str = "edges") -> DataFrame:
     """Stored patch points with recomputed labels; all other columns kept, and the labels of points off the mesh."""
+    shape = shape.written()
     labels = label_patches(on_mesh(stored.select(ITEM, "patch_id", "point_id", "x", "y", "z"), shape, far), shape, most, how)
     return tb.apply_fixes(stored, labels.select("patch_id", "point_id", "distance"), ["patch_id", "point_id"], ["distance"])
 
@@ -327,18 +347,19 @@ def consistent_whole_labels(crops: DataFrame, labels: DataFrame, cap: float) ->
 
 
 def crop_members(points: DataFrame, shape: Shape, crops: DataFrame, bound: float) -> DataFrame:
-    """Points nearer than ``bound`` to a crop's faces, with the nearest of them: a row for each point and crop.
+    """Points nearer than ``bound`` to a crop's faces, with the nearest of them and how far it is off: a row for each point and crop.
 
     crops: item_id, patch_id, fid; a patch_id belongs to one item.
     """
     faces = crops.join(shape.faces, [ITEM, "fid"])
-    return sp.faces_within(points, faces, bound, [ITEM], ["patch_id"]).select(ITEM, "patch_id", "point_id", "fid").join(points, [ITEM, "point_id"])
+    return sp.faces_within(points, faces, bound, [ITEM], ["patch_id"]).select(ITEM, "patch_id", "point_id", "fid", F.col("distance").alias("off")).join(points, [ITEM, "point_id"])
 
 
 def label_crops(points: DataFrame, shape: Shape, crops: DataFrame, bound: float, most: float, how: str = "edges") -> DataFrame:
     """Whole-shape points labelled in every crop that holds them, the least label of each pushed back to its crops."""
+    shape, crops = shape.written(), durable(crops, "crops")
     members = durable(crop_members(points.select(ITEM, "point_id", "x", "y", "z"), shape, crops, bound), "crops")
-    labels = label_patches(members, shape, most, how).select("patch_id", F.col("point_id").alias("global_idx"), F.col("distance").alias("value"))
+    labels = label_patches(members, shape, most, how, crops).select("patch_id", F.col("point_id").alias("global_idx"), F.col("distance").alias("value"))
     own = members.select(ITEM, "patch_id", F.col("point_id").alias("global_idx"))
     return consistent_whole_labels(own, own.join(labels, ["patch_id", "global_idx"]), most)
 
