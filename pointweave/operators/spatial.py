@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from pointweave.functions.geometry import aabb
@@ -490,23 +490,28 @@ def _least(p: np.ndarray, corners: Sequence[np.ndarray], names: np.ndarray, part
     return row, at, d, shapes.exact(p[row], at)[1]
 
 
-def _compared(asked: DataFrame, grown: DataFrame, by: Sequence[str], cells: Sequence[str], key: str, shape_key: str, xyz: Sequence[str], corners: Sequence[Sequence[str]], kind: type, per: Sequence[str] = (), bound: float | None = None) -> DataFrame:
-    """by, per, key, shape_key, distance and further fields: what :func:`_least` finds in each block of points and shapes that share a cell.
+def _dealt(asked: DataFrame, grown: DataFrame, place: Sequence[str], key: str, other: str, ask: Sequence[str], tell: Sequence[str]) -> list[GroupedData]:
+    """Both sides of the cells (``place``) where they meet, with cell_id, one and two (their block), grouped by task.
 
-    The points and the shapes of a cell are dealt to blocks of about ``BLOCK`` by the hashes of their
-    keys, and each block of points meets each of shapes, so a full cell is shared by many tasks.
-    A task gets many small cells at a time.
+    The rows of a cell are dealt to blocks of about ``BLOCK`` by the hashes of their
+    keys, and each block of one side meets each of the other, so a full cell is shared by many tasks.
+    A task gets many small cells at a time.  ``ask`` and ``tell`` are the columns that the sides bring.
     """
-    by, per = list(by), list(per)
-    place = [*by, "shape_level", *cells]
+    place = list(place)
     counts = asked.groupBy(*place).agg(F.count(F.lit(1)).alias("pn")).join(grown.groupBy(*place).agg(F.count(F.lit(1)).alias("sn")), place)
     met = durable(counts.select(*place, "pn", "sn", F.monotonically_increasing_id().alias("cell_id"), *(F.ceil(F.col(n) / BLOCK).alias(b) for n, b in (("pn", "pb"), ("sn", "sb")))), "cells")
     rows, pairs = met.agg(F.coalesce(F.sum(F.col("pn") * F.col("sb") + F.col("sn") * F.col("pb")), F.lit(0)), F.coalesce(F.sum(F.col("pn").cast("double") * F.col("sn")), F.lit(0.0))).first()
     tasks = max(1, min(10_000, int(max(rows / 20_000, pairs / 20_000_000))))
     deal = F.pmod(F.xxhash64("cell_id", "one", "two"), F.lit(4 * tasks)).alias("deal")
+    points = asked.join(met, place).select(F.col("cell_id").alias("cell_id"), F.pmod(F.xxhash64(key), "pb").alias("one"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sb") - 1)).alias("two"), *ask)
+    shapes = grown.join(met, place).select(F.col("cell_id").alias("cell_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pb") - 1)).alias("one"), F.pmod(F.xxhash64(other), "sb").alias("two"), *tell)
+    return [df.withColumn("deal", deal).repartition(tasks, "deal").groupBy("deal") for df in (points, shapes)]
+
+
+def _compared(asked: DataFrame, grown: DataFrame, by: Sequence[str], cells: Sequence[str], key: str, shape_key: str, xyz: Sequence[str], corners: Sequence[Sequence[str]], kind: type, per: Sequence[str] = (), bound: float | None = None) -> DataFrame:
+    """by, per, key, shape_key, distance and further fields: what :func:`_least` finds in each block of points and shapes that share a cell."""
+    by, per = list(by), list(per)
     flat = [c for corner in corners for c in corner]
-    points = asked.join(met, place).select(F.col("cell_id").alias("cell_id"), F.pmod(F.xxhash64(key), "pb").alias("one"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sb") - 1)).alias("two"), *by, key, *xyz)
-    shapes = grown.join(met, place).select(F.col("cell_id").alias("cell_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pb") - 1)).alias("one"), F.pmod(F.xxhash64(shape_key), "sb").alias("two"), *per, shape_key, *flat)
     kinds = dict(asked.dtypes) | {c: t for c, t in grown.dtypes if c in (*per, shape_key)}
     names = [*by, *per, key, shape_key]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "distance double", *(f"`{c}` double" for c in kind.fields)])
@@ -528,10 +533,46 @@ def _compared(asked: DataFrame, grown: DataFrame, by: Sequence[str], cells: Sequ
         got = {c: p[c].to_numpy()[row] for c in (*by, key)} | {c: s[c].to_numpy()[to] for c in (*per, shape_key)}
         return pd.DataFrame({c: got[c] for c in names} | dict(zip(("distance", *kind.fields), told)))
 
-    dealt = [df.withColumn("deal", deal).repartition(tasks, "deal").groupBy("deal") for df in (points, shapes)]
+    dealt = _dealt(asked, grown, [*by, "shape_level", *cells], key, shape_key, [*by, key, *xyz], [*per, shape_key, *flat])
     return dealt[0].cogroup(dealt[1]).applyInPandas(nearest, schema)
 
 
+def within_reach(queries: DataFrame, points: DataFrame, radius: float, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ, apart: str | None = None) -> DataFrame:
+    """by and key of the queries with a point nearer than the radius, or, with ``apart``, one whose value of that column is another.
+
+    No pairs are listed: a block of queries looks at points by stretches until each has found one.
+    """
+    by, more, cells = list(by), [apart] if apart else [], [f"cell{i}" for i in range(len(xyz))]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in (*xyz, *more))
+    asked = _in_cells(queries.where(known).select(*by, key, *xyz, *more), xyz, 2 * radius)
+    grown = points.where(known).select(*(F.col(c).alias(c) for c in (*by, key, *xyz, *more)))
+    for i, c in enumerate(xyz):
+        grown = grown.withColumn(cells[i], _covered(F.col(c) - radius * (1 + 1e-9), F.col(c) + radius * (1 + 1e-9), 2 * radius))
+    kinds, names = dict(queries.dtypes), [*by, key]
+
+    def near(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        block = ["cell_id", "one", "two"]
+        of = p.groupby(block, sort=False).indices if len(q) and len(p) else {}
+        x, y, found = q[list(xyz)].to_numpy(float), p[list(xyz)].to_numpy(float), [np.zeros(0, int)]
+        for name, at in q.groupby(block, sort=False).indices.items() if of else ():
+            to = of.get(name, np.zeros(0, int))
+            for lo in range(0, len(to), 256):
+                seen = to[lo : lo + 256]
+                gaps = [x[at, i][:, None] - y[seen, i] for i in range(len(xyz))]
+                hit = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) < radius * radius
+                if apart:
+                    hit &= q[apart].to_numpy()[at][:, None] != p[apart].to_numpy()[seen]
+                any_ = hit.any(axis=1)
+                found.append(at[any_])
+                at = at[~any_]
+                if not len(at):
+                    break
+        return q[names].iloc[np.concatenate(found)]
+
+    dealt = _dealt(asked, grown, [*by, *cells], key, key, [*names, *xyz, *more], [key, *xyz, *more])
+    return dealt[0].cogroup(dealt[1]).applyInPandas(near, ", ".join(f"`{c}` {kinds[c]}" for c in names)).distinct()
+
+
 def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str, shape_key: str, corners: Sequence[Sequence[str]], kind: type, size: float | None, xyz: Sequence[str]) -> DataFrame:
     """The shape of least (distance to 12 digits, id) of each point, by growing reach.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -95,7 +96,7 @@ def endpoint_candidates(points: DataFrame, radius: float, threshold: float, by:
 
 
 #: Primitives of a shape that a round of :func:`prune_primitives` considers, and the rows of points covered by them alone that it follows.
-CANDIDATES, FOLLOWED = 4096, 200_000
+CANDIDATES, FOLLOWED = 65_536, 200_000
 
 
 def prune_primitives(distances: DataFrame, precision: DataFrame, threshold: float, beta: float = 0.5, by: Sequence[str] = (ITEM,)) -> DataFrame:
@@ -111,8 +112,7 @@ def prune_primitives(distances: DataFrame, precision: DataFrame, threshold: floa
     Other points keep a cover, and the gain of the other primitives is bounded by what they have lost
     so far; the walk stops where one of them might be better.  The driver sees whether any was removed.
     """
-    b2, names = beta * beta, list(by)
-    left = durable(precision.select(*by, "prim", "hits", "n"), "prune")
+    names, left = list(by), durable(precision.select(*by, "prim", "hits", "n"), "prune")
     if "fixed" not in distances.columns:
         distances = distances.join(left.select(*by, "prim", (F.col("hits") >= F.col("n")).alias("fixed")), [*names, "prim"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(True)))
     covers = F.col("d") < threshold
@@ -121,8 +121,35 @@ def prune_primitives(distances: DataFrame, precision: DataFrame, threshold: floa
     unsure = durable(points.where("not sure").select(*by, "point_id"), "prune")
     open_ = durable(distances.where(covers).join(unsure, [*names, "point_id"], "left_semi").select(*by, "point_id", "prim").distinct(), "prune")
     release(points)
+    return _pruned(left, total, open_, beta, names)
+
+
+def prune_near(points: DataFrame, precision: DataFrame, reach: float, threshold: float, beta: float = 0.5, by: Sequence[str] = (ITEM,)) -> DataFrame:
+    """:func:`prune_primitives` where each point is a sample of a primitive and sees the samples of others nearer than ``reach``.
+
+    points: by, point_id, prim, x, y, z.  Pairs of points are not listed: that a point sees any sample, and that it is covered
+    by a primitive all of whose samples are hits, are looked up, and only the covers of the points left are made.
+    """
+    names, left = list(by), durable(precision.select(*by, "prim", "hits", "n"), "prune")
+    fixed = left.select(*by, "prim", (F.col("hits") >= F.col("n")).alias("fixed"))
+    own = durable(points.select(*by, "point_id", "prim", "x", "y", "z").join(fixed, [*names, "prim"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(True))), "prune")
+    most = min(threshold, reach)
+    seen = durable(sp.within_reach(own, own, reach, names, apart="prim"), "prune")
+    sure = durable(sp.within_reach(own, own.where("fixed"), most, names, apart="prim"), "prune")
+    total = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("total")).join(sure.groupBy(*by).agg(F.count(F.lit(1)).alias("sure")), names, "left")
+    total = durable(total.withColumn("sure", F.coalesce("sure", F.lit(0))), "prune")
+    unsure = durable(own.join(sure, [*names, "point_id"], "left_anti"), "prune")
+    near = sp.radius_join(unsure, own.where("not fixed").drop("fixed"), most, names).where("prim <> p_prim")
+    open_ = durable(near.select(*by, "point_id", F.col("p_prim").alias("prim")).distinct(), "prune")
+    release(own, seen, sure, unsure)
+    return _pruned(left, total, open_, beta, names)
+
+
+def _pruned(left: DataFrame, total: DataFrame, open_: DataFrame, beta: float, by: list[str]) -> DataFrame:
+    """The rounds of :func:`prune_primitives`: left: by, prim, hits, n; total: by, total, sure (points, and those covered for good); open_: by, point_id, prim (the covers of the others)."""
+    b2, names = beta * beta, by
     score = lambda h, m, r: F.coalesce((1 + b2) * (h / m) * (r / F.col("total")) / F.nullif(b2 * (h / m) + r / F.col("total"), F.lit(0.0)), F.lit(0.0))
-    kinds = dict(precision.dtypes)
+    kinds = dict(left.dtypes)
     columns = [*names, "prim", "hits", "n", "lost", "pos", "h", "m", "r", "total"]
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
@@ -147,23 +174,47 @@ def prune_primitives(distances: DataFrame, precision: DataFrame, threshold: floa
         for point, i in zip(followed["point_id"], at):
             of.setdefault(i, []).append(point)
             held.setdefault(point, set()).add(i)
-        alive, gone = np.ones(len(ids), bool), []
-        while alive.any():
-            gain = np.where(alive, scored(hits, n, lost), -1.0)
-            tied = np.flatnonzero(gain == gain.max())
-            best = int(tied[ids[tied].argmin()]) if gone else 0  # the first is the best of all
+        # primitives of the same hits, n and lost score alike: the least id of each such class stands for it
+        order = np.argsort(ids, kind="stable")
+        nth = np.argsort(order)
+        classes: dict[tuple, int] = {}
+        heaps: list[list] = []
+        fields, tops, lives_in = np.zeros((3, 0)), np.zeros(0, np.int64), np.full(len(ids), -1)
+
+        def put(i: int) -> int:
+            k = classes.setdefault((hits[i], n[i], lost[i]), len(heaps))
+            if k == len(heaps):
+                heaps.append([])
+            heapq.heappush(heaps[k], int(nth[i]))
+            lives_in[i] = k
+            return k
+
+        touched, gone = {put(i) for i in order}, []
+        while True:
+            if len(tops) < len(heaps):
+                fields, tops = np.array(list(classes)).T, np.append(tops, np.full(len(heaps) - len(tops), len(ids)))
+            for k in touched:
+                while heaps[k] and lives_in[order[heaps[k][0]]] != k:
+                    heapq.heappop(heaps[k])
+                tops[k] = heaps[k][0] if heaps[k] else len(ids)
+            if (tops == len(ids)).all():
+                break
+            gain = np.where(tops < len(ids), scored(*fields), -1.0)
+            best = int(order[tops[gain == gain.max()].min()]) if gone else 0  # the first is the best of all
             if gone:
                 rest = scored(*outs) if len(other) else np.zeros(0)
-                ahead = (rest > gain[best]) | ((rest == gain[best]) & (other["prim"].to_numpy() < ids[best]))
-                if gain[best] <= scored(0, 0, 0) or ahead.any():
+                ahead = (rest > gain.max()) | ((rest == gain.max()) & (other["prim"].to_numpy() < ids[best]))
+                if gain.max() <= scored(0, 0, 0) or ahead.any():
                     break
             gone.append(best)
-            alive[best] = False
-            h, m, r = h - hits[best], m - n[best], r - lost[best]
+            touched = {lives_in[best]}
+            h, m, r, lives_in[best] = h - hits[best], m - n[best], r - lost[best], -1
             for point in of.get(best, ()):
                 held[point].discard(best)
                 if len(held[point]) == 1:
-                    lost[next(iter(held[point]))] += 1
+                    one = next(iter(held[point]))
+                    lost[one] += 1
+                    touched |= {lives_in[one], put(one)}
         return own.iloc[gone][[*names, "prim"]]
 
     while True:

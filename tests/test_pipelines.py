@@ -291,3 +291,29 @@ def test_pruning_makes_many_removals_a_round(spark, monkeypatch):
         assert {(r["item_id"], r["prim"]) for r in out.collect()} == want
         if candidates > 36:
             assert most > 9 and len(rounds) < most / 2
+
+
+def test_pruning_of_near_samples_lists_covers_of_few_points(spark, monkeypatch):
+    """Points that no sample sees do not count, and only points without a lasting cover are paired with samples."""
+    rng = random.Random(13)
+    rows = [(item, 100 * item + i, 100 * item + i // 3, *(rng.randint(0, 4) / 10 for _ in range(3))) for item in range(2) for i in range(60)] + [(0, 99, 33, 9.0, 9.0, 9.0)]
+    stats = {(r[0], r[2]): (rng.choice((0, 0, 1, 2)), 2) for r in rows}
+    precision = spark.createDataFrame([(*k, *s) for k, s in stats.items()], "item_id long, prim long, hits long, n long")
+    points = spark.createDataFrame(rows, "item_id long, point_id long, prim long, x double, y double, z double")
+    want, unsure = set(), set()
+    for item in range(2):
+        near = {}
+        for _, i, own, *p in (r for r in rows if r[0] == item):
+            for _, _, prim, *q in (r for r in rows if r[0] == item and r[2] != own):
+                d = sum((a - b) ** 2 for a, b in zip(p, q)) ** 0.5
+                if d < 0.25:
+                    near.setdefault(i, {})[prim] = min(d, near.get(i, {}).get(prim, 9.0))
+        unsure |= {i for i in near if not any(d < 0.15 and stats[item, p][0] == 2 for p, d in near[i].items())}
+        want |= {(item, p) for p in greedy(near, {p: s for (k, p), s in stats.items() if k == item}, 0.15)}
+    asked, joined = [], pl.sp.radius_join
+    monkeypatch.setattr(pl.sp, "radius_join", lambda q, *args: asked.append({r.point_id for r in q.collect()}) or joined(q, *args))
+    for block in (4096, 16):
+        monkeypatch.setattr(pl.sp, "BLOCK", block)
+        out = pl.prune_near(points, precision, 0.25, 0.15)
+        assert {(r["item_id"], r["prim"]) for r in out.collect()} == want and 5 < len(want) < 20
+    assert all(unsure <= a < {r[1] for r in rows} and len(a - unsure) <= 1 for a in asked) and len(asked) == 2
