@@ -9,7 +9,7 @@ size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -537,29 +537,50 @@ def _compared(asked: DataFrame, grown: DataFrame, by: Sequence[str], cells: Sequ
     return dealt[0].cogroup(dealt[1]).applyInPandas(nearest, schema)
 
 
+def _reachable(asked: DataFrame, grown: DataFrame, radius: float, by: Sequence[str], key: str, xyz: Sequence[str], ask: Sequence[str], tell: Sequence[str]) -> tuple[GroupedData, GroupedData]:
+    """:func:`_dealt` of points and of those around: ``by``, key, coordinates and the columns ``ask`` and ``tell``."""
+    cells = [f"cell{i}" for i in range(len(xyz))]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in xyz)
+    left = _in_cells(asked.where(known).select(*by, key, *xyz, *ask), xyz, 2 * radius)
+    right = grown.where(known).select(*(F.col(c).alias(c) for c in (*by, key, *xyz, *tell)))
+    for i, c in enumerate(xyz):
+        right = right.withColumn(cells[i], _covered(F.col(c) - radius * (1 + 1e-9), F.col(c) + radius * (1 + 1e-9), 2 * radius))
+    one, two = _dealt(left, right, [*by, *cells], key, key, [*by, key, *xyz, *ask], [key, *xyz, *tell])
+    return one, two
+
+
+def _blocks(q: pd.DataFrame, p: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of both sides in each block that they share."""
+    block = ["cell_id", "one", "two"]
+    of = p.groupby(block, sort=False).indices if len(q) and len(p) else {}
+    for name, at in q.groupby(block, sort=False).indices.items() if of else ():
+        if name in of:
+            yield at, of[name]
+
+
+def _square(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of both, summed as :func:`_d2` does."""
+    out = (x[:, 0][:, None] - y[:, 0]) ** 2
+    for i in range(1, x.shape[1]):
+        gap = x[:, i][:, None] - y[:, i]
+        gap *= gap
+        out += gap
+    return out
+
+
 def within_reach(queries: DataFrame, points: DataFrame, radius: float, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ, apart: str | None = None) -> DataFrame:
     """by and key of the queries with a point nearer than the radius, or, with ``apart``, one whose value of that column is another.
 
     No pairs are listed: a block of queries looks at points by stretches until each has found one.
     """
-    by, more, cells = list(by), [apart] if apart else [], [f"cell{i}" for i in range(len(xyz))]
-    known = " AND ".join(f"{c} IS NOT NULL" for c in (*xyz, *more))
-    asked = _in_cells(queries.where(known).select(*by, key, *xyz, *more), xyz, 2 * radius)
-    grown = points.where(known).select(*(F.col(c).alias(c) for c in (*by, key, *xyz, *more)))
-    for i, c in enumerate(xyz):
-        grown = grown.withColumn(cells[i], _covered(F.col(c) - radius * (1 + 1e-9), F.col(c) + radius * (1 + 1e-9), 2 * radius))
-    kinds, names = dict(queries.dtypes), [*by, key]
+    more, names, kinds = [apart] if apart else [], [*by, key], dict(queries.dtypes)
 
     def near(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        block = ["cell_id", "one", "two"]
-        of = p.groupby(block, sort=False).indices if len(q) and len(p) else {}
         x, y, found = q[list(xyz)].to_numpy(float), p[list(xyz)].to_numpy(float), [np.zeros(0, int)]
-        for name, at in q.groupby(block, sort=False).indices.items() if of else ():
-            to = of.get(name, np.zeros(0, int))
+        for at, to in _blocks(q, p):
             for lo in range(0, len(to), 256):
                 seen = to[lo : lo + 256]
-                gaps = [x[at, i][:, None] - y[seen, i] for i in range(len(xyz))]
-                hit = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) < radius * radius
+                hit = _square(x[at], y[seen]) < radius * radius
                 if apart:
                     hit &= q[apart].to_numpy()[at][:, None] != p[apart].to_numpy()[seen]
                 any_ = hit.any(axis=1)
@@ -569,8 +590,131 @@ def within_reach(queries: DataFrame, points: DataFrame, radius: float, by: Seque
                     break
         return q[names].iloc[np.concatenate(found)]
 
-    dealt = _dealt(asked, grown, [*by, *cells], key, key, [*names, *xyz, *more], [key, *xyz, *more])
-    return dealt[0].cogroup(dealt[1]).applyInPandas(near, ", ".join(f"`{c}` {kinds[c]}" for c in names)).distinct()
+    known = [df.where(f"{apart} IS NOT NULL") if apart else df for df in (queries, points)]
+    one, two = _reachable(*known, radius, by, key, xyz, more, more)
+    return one.cogroup(two).applyInPandas(near, ", ".join(f"`{c}` {kinds[c]}" for c in names)).distinct()
+
+
+#: Most words of 64 bits in which a row of :func:`ball_paths` notes seeds of its group.
+WORDS = 8
+
+
+def ball_paths(points: DataFrame, pairs: DataFrame, radius: float, every: int = 10, by: Sequence[str] = (), key: str = "point_id", xyz: Sequence[str] = XYZ) -> DataFrame:
+    """:func:`pointweave.operators.graph.shortest_paths` of the radius graph, whose edges are never listed: seed, target, node, hop.
+
+    pairs: seed, target; both are keys of points, which no two points share.  A group's seeds are numbered, and a point has one bit for
+    each: those that have reached it.  A level is an or of the bits of the points within the radius, block by block.
+    Seeds all of whose targets are reached go no further.  Predecessors are looked up only on the
+    paths of targets farther than ``every``, from the last level back, as nearer ones show their ends only.
+    """
+    from pointweave.operators.tables import numbered
+
+    by, kinds = list(by), dict(points.dtypes)
+    at = [*by, "part"]
+    ids = [*at, key]
+    own = durable(points.where(" AND ".join(f"{c} IS NOT NULL" for c in (key, *xyz))).select(*by, key, *xyz), "paths")
+    seeds = durable(numbered(own.join(pairs.select(F.col("seed").alias(key)).distinct(), key, "left_semi"), key, by=by, name="nth"), "paths")
+    words = min(WORDS, (seeds.agg(F.max("nth")).first()[0] or 0) // 64 + 1)
+    w, t, size = [f"w{i}" for i in range(words)], [f"t{i}" for i in range(words)], 64 * words
+    word = lambda i: F.when(F.expr("bit div 64") == i, F.expr("shiftleft(1L, cast(bit % 64 AS int))")).otherwise(F.lit(0).cast("long"))
+    either = lambda df, names, *more: df.groupBy(*names).agg(*(F.bit_or(c).alias(c) for c in w), *more)
+    any_of = lambda f: F.expr(" OR ".join(f"{f(i)} <> 0" for i in range(words)))
+    seeds = seeds.withColumns({"part": F.expr(f"nth div {size}"), "bit": F.expr(f"nth % {size}")}).withColumnRenamed(key, "seed").drop("nth")
+    wanted = pairs.select("seed", "target").join(seeds.select(*at, "seed", "bit"), "seed").groupBy(*at, F.col("target").alias(key)).agg(*(F.bit_or(word(i)).alias(c) for i, c in enumerate(t)))
+    parts = seeds.select(*at).distinct()
+    every_one = own.join(parts, by) if by else own.crossJoin(parts)
+    level = durable(seeds.select(*at, F.col("seed").alias(key), *xyz, *(word(i).alias(c) for i, c in enumerate(w))), "paths")
+    # w: seeds that have reached the point, t: seeds whose target it is
+    state = every_one.join(wanted, ids, "left").select(*ids, *xyz, *(F.lit(0).cast("long").alias(c) for c in w), *(F.coalesce(c, F.lit(0)).alias(c) for c in t))
+    schema = ", ".join([*(f"`{c}` {kinds.get(c, 'long')}" for c in ids), *(f"`{c}` double" for c in xyz), *(f"{c} long" for c in w)])
+
+    def spread(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        x, y, open_, bits = q[list(xyz)].to_numpy(float), p[list(xyz)].to_numpy(float), q[w].to_numpy(np.int64), p[w].to_numpy(np.int64)
+        rows, told = [np.zeros(0, int)], [np.zeros((0, len(w)), np.int64)]
+        for mine, to in _blocks(q, p):
+            used = np.flatnonzero(bits[to].any(axis=0) & open_[mine].any(axis=0))
+            held = np.ascontiguousarray(bits[to][:, used])
+            for lo in range(0, len(mine) if len(used) else 0, CHUNK * 8):
+                asking = mine[lo : lo + CHUNK * 8]
+                row, near = np.nonzero(_square(x[asking], y[to]) <= radius * radius)
+                if len(row):
+                    start = np.flatnonzero(np.diff(row, prepend=-1))
+                    got = np.zeros((len(start), len(w)), np.int64)
+                    got[:, used] = np.bitwise_or.reduceat(held[near], start, axis=0)
+                    got &= open_[asking[row[start]]]
+                    new = got.any(axis=1)
+                    rows.append(asking[row[start]][new])
+                    told.append(got[new])
+        out = q[[*ids, *xyz]].iloc[np.concatenate(rows)].reset_index(drop=True)
+        return pd.concat([out, pd.DataFrame(np.concatenate(told), columns=w)], axis=1)
+
+    levels, states, hits, hop = [], [], [], 0
+    while True:
+        new = level.select(*ids, *(F.col(c).alias(f"n{c}") for c in w))
+        met = [F.coalesce(F.col(f"n{c}").bitwiseAND(F.col(d)), F.lit(0)).alias(f"h{i}") for i, (c, d) in enumerate(zip(w, t))]
+        state = durable(state.join(new, ids, "left").select(*ids, *xyz, *(F.coalesce(F.col(c).bitwiseOR(F.col(f"n{c}")), c).alias(c) for c in w), *t, *met), "paths")
+        hits.append(state.where(any_of(lambda i: f"h{i}")).select(*ids, *(F.col(f"h{i}").alias(c) for i, c in enumerate(w)), F.lit(hop).cast("long").alias("hop")))
+        levels.append(level)
+        states.append(state)
+        left = state.groupBy(*at).agg(*(F.bit_or(F.expr(f"{b} & ~{a}")).alias(f"o{i}") for i, (a, b) in enumerate(zip(w, t))))
+        left = durable(left.where(any_of(lambda i: f"o{i}")), "paths")
+        if left.isEmpty():
+            break
+        going = level.join(left, at).select(*ids, *xyz, *(F.col(c).bitwiseAND(F.col(f"o{i}")).alias(c) for i, c in enumerate(w))).where(any_of(lambda i: w[i]))
+        asked = state.join(left, at).select(*ids, *xyz, *(F.expr(f"o{i} & ~{c}").alias(c) for i, c in enumerate(w))).where(any_of(lambda i: w[i]))
+        one, two = _reachable(asked, going, radius, at, key, xyz, w, w)
+        found = one.cogroup(two).applyInPandas(spread, schema)
+        level = durable(either(found, ids, *(F.first(c).alias(c) for c in xyz)).select(*ids, *xyz, *w), "paths")
+        if level.isEmpty():
+            break
+        hop += 1
+    told = hits[0]
+    for more in hits[1:]:
+        told = told.unionAll(more)
+    # one row for each seed whose bit is set
+    set_ = F.expr(f"getbit(element_at(array({', '.join(w)}), cast(bit div 64 AS int) + 1), cast(bit % 64 AS int)) = 1")
+    ends = durable(told.join(seeds.select(*at, "seed", "bit"), at).where(set_).select(*at, "bit", "seed", F.col(key).alias("target"), "hop"), "paths")
+    out = ends.select("seed", "target", F.col("target").alias("node"), "hop").unionAll(ends.where("hop > 0").select("seed", "target", F.col("seed").alias("node"), F.lit(0).cast("long").alias("hop")))
+
+    def backs(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(key, kind="stable")
+        x, y, names = q[list(xyz)].to_numpy(float), p[list(xyz)].to_numpy(float), p[key].to_numpy()
+        open_, bits = np.ascontiguousarray(q[w].to_numpy(np.int64)), p[w].to_numpy(np.int64)
+        rows, places, prior = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
+        for mine, to in _blocks(q, p):
+            to = np.sort(to)  # by key: the first to know a seed is the least
+            for lo in range(0, len(mine), 1024):
+                asking = mine[lo : lo + 1024]
+                near, pending = _square(x[asking], y[to]) <= radius * radius, open_[asking]
+                for k in np.flatnonzero(near.any(axis=0)):
+                    own_ = np.flatnonzero(near[:, k])
+                    got = pending[own_] & bits[to[k]]
+                    hit = got.any(axis=1)
+                    if hit.any():
+                        pending[own_[hit]] ^= got[hit]
+                        r, b = np.nonzero(np.unpackbits(got[hit].astype("<i8").view(np.uint8), axis=1, bitorder="little"))
+                        rows.append(asking[own_[hit][r]])
+                        places.append(b)
+                        prior.append(np.full(len(r), to[k]))
+                        if not pending.any():
+                            break
+        got = q[[*at, key]].iloc[np.concatenate(rows)].reset_index(drop=True).rename(columns={key: "node"})
+        return got.assign(bit=np.concatenate(places), back=names[np.concatenate(prior)])
+
+    step = ", ".join([*(f"`{c}` {kinds.get(c, 'long')}" for c in at), f"node {kinds[key]}", "bit long", f"back {kinds[key]}"])
+    here = None
+    for h in range(hop, every, -1):
+        # nodes of the paths at this level, and the least node before each
+        walking = ends.where(F.col("hop") == h).select(*at, "bit", "seed", "target", F.col("target").alias("node"))
+        here = walking if here is None else walking.unionAll(here)
+        asked = here.select(*at, F.col("node").alias(key), "bit").groupBy(*at, key).agg(*(F.bit_or(word(i)).alias(c) for i, c in enumerate(w))).join(own, [*by, key])
+        one, two = _reachable(asked, levels[h - 1], radius, at, key, xyz, w, w)
+        least = one.cogroup(two).applyInPandas(backs, step).groupBy(*at, "node", "bit").agg(F.min("back").alias("back"))
+        here = durable(here.join(least, [*at, "node", "bit"]).select(*at, "bit", "seed", "target", F.col("back").alias("node")), "paths")
+        if (h - 1) % every == 0:
+            out = out.unionAll(here.select("seed", "target", "node", F.lit(h - 1).cast("long").alias("hop")))
+    release(*levels, *states, own)
+    return out
 
 
 def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str, shape_key: str, corners: Sequence[Sequence[str]], kind: type, size: float | None, xyz: Sequence[str]) -> DataFrame:
