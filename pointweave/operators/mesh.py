@@ -174,14 +174,18 @@ def annotate_points(points: DataFrame, faces_xyz: DataFrame, surface_faces: Data
 
     Point -> nearest face -> its surface -> nearest segment among that
     surface's curves; ``segments`` has item_id, curve_id, seg_id and end points.
-    ``faced`` (item_id, point_id, fid) tells the nearest faces where they are known.
+    ``faced`` (item_id, point_id, fid) tells the nearest faces where they are known; points may bring their ``fid`` themselves.
     """
-    from pointweave.operators.spatial import nearest_face, nearest_segment
+    from pointweave.operators import spatial as sp
 
     if faced is None:
-        faced = nearest_face(points, faces_xyz, [ITEM]).select(ITEM, "point_id", "fid")
-    placed = points.join(faced, [ITEM, "point_id"]).join(surface_faces, [ITEM, "fid"])
+        faced = sp.nearest_face(points, faces_xyz, [ITEM]).select(ITEM, "point_id", "fid")
+    placed = (points if "fid" in points.columns else points.join(faced, [ITEM, "point_id"])).join(surface_faces, [ITEM, "fid"])
     own = segments.join(surface_curve, [ITEM, "curve_id"])
-    near = nearest_segment(placed.select(ITEM, "surf_id", "point_id", "x", "y", "z"), own, [ITEM, "surf_id"])
-    out = placed.select(ITEM, "point_id", "surf_id").join(near.select(ITEM, "point_id", "surf_id", F.col("distance").alias("d"), "seg_id"), [ITEM, "surf_id", "point_id"], "left")
+    many = own.groupBy(ITEM, "surf_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (many or 0) <= sp.SEGMENTS:
+        out = sp.nearest_of_few(placed, own, [ITEM, "surf_id"]).withColumnRenamed("distance", "d")
+    else:
+        near = sp.nearest_segment(placed.select(ITEM, "surf_id", "point_id", "x", "y", "z"), own, [ITEM, "surf_id"])
+        out = placed.select(ITEM, "point_id", "surf_id").join(near.select(ITEM, "point_id", "surf_id", F.col("distance").alias("d"), "seg_id"), [ITEM, "surf_id", "point_id"], "left")
     return out.select(ITEM, "point_id", "surf_id", F.least(F.coalesce("d", F.lit(most)), F.lit(most)).alias("distance"), F.when(F.col("d") < most, F.col("seg_id")).alias("seg_id"))

@@ -777,20 +777,109 @@ def _nearest(points: DataFrame, shapes: DataFrame, by: Sequence[str], key: str,
     return out
 
 
+#: Points times parts of the faces near them that a block of :func:`faces_within` has; points of a task of :func:`nearest_of_few`, and segments of a group up to which it serves.
+MEETINGS, ROWS, SEGMENTS = 1_000_000, 200_000, 64
+
+
 def faces_within(points: DataFrame, faces: DataFrame, bound: float, by: Sequence[str], per: Sequence[str], key: str = "point_id", face_key: str = "fid", corners: Sequence[Sequence[str]] = (("ax", "ay", "az"), ("bx", "by_", "bz"), ("cx", "cy", "cz")), xyz: Sequence[str] = XYZ) -> DataFrame:
-    """The nearest triangle of each point in every part (``per``) of the faces that comes nearer than ``bound``."""
-    cells = [f"cell{i}" for i in range(3)]
+    """The nearest triangle of each point in every part (``per``) of the faces that comes nearer than ``bound``: by, per, key, coordinates, face_key, distance.
+
+    The points of a group lie in cells of about ``BLOCK`` by the density of its middle; parts, and of these the faces, whose boxes
+    reach the points of a cell go there.  All faces that a part has near a cell are in one task, so what is found there is the
+    result and not sent on, unless a part has more than ``BLOCK`` of them.
+    """
+    by, per, axes = list(by), list(per), range(len(xyz))
+    cells, flat = [f"cell{i}" for i in axes], [c for corner in corners for c in corner]
     low, high = aabb(corners)
-    side = F.greatest(*(h - l for l, h in zip(low, high)), F.lit(float(bound)))
-    leveled = durable(faces.withColumn("shape_level", F.least(F.ceil(F.log2(side / bound)), F.lit(60)).cast("int")), "shapes")
-    levels = sorted(r[0] for r in leveled.select("shape_level").distinct().collect())  # at most 61
-    cell = bound * F.pow(F.lit(2.0), F.col("shape_level"))
-    for i in range(3):
-        leveled = leveled.withColumn(cells[i], _covered(low[i] - bound, high[i] + bound, cell))
-    asked = points.select(*by, key, *xyz).withColumn("shape_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
-    near = _compared(_in_cells(asked, xyz, cell), leveled, by, cells, key, face_key, xyz, corners, _Triangles, per, bound)
-    best = near.groupBy(*by, *per, key).agg(F.min(F.struct(F.round("distance", 12).alias("rounded"), F.col(face_key), "distance")).alias("best"))
-    return best.select(*by, *per, key, F.col(f"best.{face_key}").alias(face_key), F.col("best.distance").alias("distance"))
+    known = points.where(" AND ".join(f"{c} IS NOT NULL" for c in xyz)).select(*by, key, *xyz)
+    tails = [F.percentile_approx(c, [0.05, 0.95], 1000).alias(f"mid{i}") for i, c in enumerate(xyz)]
+    middle = F.greatest(*((F.col(f"mid{i}")[1] - F.col(f"mid{i}")[0]) / 0.9 for i in axes))
+    grids = known.groupBy(*by).agg(F.count(F.lit(1)).alias("held"), *tails).select(*by, F.greatest(F.lit(2.0 * bound), middle * F.pow(BLOCK / 2 / F.col("held"), F.lit(1 / 3))).alias("side"))
+    asked = _in_cells(known.join(durable(grids, "grids"), by), xyz, F.col("side")).drop("side")
+    box = [f(c).alias(f"{m}{i}") for i, c in enumerate(xyz) for m, f in (("from", F.min), ("to", F.max))]
+    held = durable(asked.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("pn"), *box).withColumn("cell_id", F.monotonically_increasing_id()), "cells")
+    reach = [c for i in axes for c in ((low[i] - bound * (1 + 1e-9)).alias(f"lo{i}"), (high[i] + bound * (1 + 1e-9)).alias(f"hi{i}"))]
+    boxed = faces.select(*by, *per, face_key, *flat, *reach)
+    parts = boxed.groupBy(*by, *per).agg(*(f(f"{m}{i}").alias(f"{m}{i}") for i in axes for m, f in (("lo", F.min), ("hi", F.max))))
+    touch = " AND ".join(f"lo{i} <= to{i} AND hi{i} >= from{i}" for i in axes)
+    sides = [f"{m}{i}" for i in axes for m in ("from", "to")]
+    grown = held.join(parts, by).where(touch).select("cell_id", *by, *per, *sides).join(boxed, [*by, *per]).where(touch).select("cell_id", *per, face_key, *flat)
+    each = grown.groupBy("cell_id", *per).agg(F.count(F.lit(1)).alias("n")).groupBy("cell_id").agg(F.sum("n").alias("sn"), F.count(F.lit(1)).alias("parts"), F.max("n").alias("most"))
+    dealt = each.join(held, "cell_id").withColumn("sb", F.ceil(F.col("sn") / BLOCK))
+    room = F.greatest(F.lit(1.0), F.least(F.lit(float(BLOCK)), MEETINGS / F.ceil(F.col("parts") / F.col("sb"))))
+    met = durable(dealt.select("cell_id", *by, *cells, "pn", "sn", "parts", "most", "sb", F.ceil(F.col("pn") / room).alias("pb")), "cells")
+    meetings, pairs, most = met.agg(F.sum(F.col("pn").cast("double") * F.col("parts")), F.sum(F.col("pn").cast("double") * F.col("sn")), F.max("most")).first()
+    tasks, split = max(1, min(10_000, int(max((meetings or 0) / MEETINGS, (pairs or 0) / 20_000_000)))), (most or 0) > BLOCK
+    deal = F.pmod(F.xxhash64("cell_id", "one", "two"), F.lit(4 * tasks)).alias("deal")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.join(met, [*by, *cells]).select("cell_id", F.pmod(F.xxhash64(key), "pb").alias("one"), every("sb").alias("two"), *by, key, *xyz)
+    own = F.pmod(F.xxhash64(face_key) if split else F.xxhash64(*per), "sb")
+    right = grown.join(met.select("cell_id", "pb", "sb"), "cell_id").select("cell_id", every("pb").alias("one"), own.alias("two"), *per, face_key, *flat)
+    kinds = dict(points.dtypes) | {c: t for c, t in faces.dtypes if c in (*per, face_key)}
+    names = [*by, *per, key, face_key]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "distance double", *(f"`{c}` double" for c in xyz)])
+
+    def nearest(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        at, ends, ids = p[list(xyz)].to_numpy(float), [s[list(c)].to_numpy(float) for c in corners], s[face_key].to_numpy()
+        part = s.groupby(per, sort=False, dropna=False).ngroup().to_numpy() if len(s) else np.zeros(0, np.int64)
+        out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for mine, to in _blocks(p, s):
+            row, hit, d, _ = _least(at[mine], [c[to] for c in ends], ids[to], part[to], _Triangles, bound)
+            out.append((mine[row], to[hit], d))
+        row, hit, d = (np.concatenate(c) for c in zip(*out))
+        got = {c: p[c].to_numpy()[row] for c in (*by, key)} | {c: s[c].to_numpy()[hit] for c in (*per, face_key)}
+        return pd.DataFrame({c: got[c] for c in names} | {"distance": d} | {c: at[row, i] for i, c in enumerate(xyz)})
+
+    one, two = (df.withColumn("deal", deal).repartition(tasks, "deal").groupBy("deal") for df in (left, right))
+    near = one.cogroup(two).applyInPandas(nearest, schema)
+    if not split:
+        return near.select(*by, *per, key, *xyz, face_key, "distance")
+    best = near.groupBy(*by, *per, key, *xyz).agg(F.min(F.struct(F.round("distance", 12).alias("rounded"), F.col(face_key), "distance")).alias("best"))
+    return best.select(*by, *per, key, *xyz, F.col(f"best.{face_key}").alias(face_key), F.col("best.distance").alias("distance"))
+
+
+def nearest_of_few(points: DataFrame, segments: DataFrame, by: Sequence[str], key: str = "point_id", segment_key: str = "seg_id", a: Sequence[str] = ("ax", "ay", "az"), b: Sequence[str] = ("bx", "by_", "bz"), xyz: Sequence[str] = XYZ) -> DataFrame:
+    """by, key, distance and segment_key as :func:`nearest_segment`, for groups of few segments each; nulls where a group has none.
+
+    Points are sent once and results not at all: a task gets the points of many groups, or some of those of a large one, with all segments of these.
+    """
+    by, flat = list(by), [*a, *b]
+    tasks = max(1, min(10_000, points.count() // ROWS))
+    deal = lambda turn: F.pmod(F.xxhash64(*by, turn), F.lit(4 * tasks)).alias("deal")
+    left = points.select(deal(F.pmod(F.xxhash64(key), F.lit(16))), *by, key, *xyz)
+    held = segments.where(" AND ".join(f"{c} IS NOT NULL" for c in flat)).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    right = held.select(deal(F.col("turn")), *(F.col(c).alias(c) for c in (*by, segment_key, *flat))).distinct()
+    kinds = dict(points.dtypes) | {segment_key: dict(segments.dtypes)[segment_key]}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*by, key)), "distance double", f"`{segment_key}` {kinds[segment_key]}"])
+
+    def nearest(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        group = pd.concat([s[by], p[by]], ignore_index=True).groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.lexsort((s[segment_key].to_numpy(), group[: len(s)])) if len(s) else np.zeros(0, int)
+        s, of = s.iloc[order], group[: len(s)][order]
+        at, ends = p[list(xyz)].to_numpy(float), [s[list(c)].to_numpy(float) for c in (a, b)]
+        first, n = (np.searchsorted(of, group[len(s) :], side) for side in ("left", "right"))
+        n = np.where(np.isnan(at).any(axis=1), 0, n - first)
+        d, hit = np.full(len(p), np.nan), np.full(len(p), -1)
+        asking = np.flatnonzero(n)
+        upto = np.cumsum(n[asking])
+        for own in np.split(asking, np.searchsorted(upto, np.arange(500_000, upto[-1], 500_000))) if len(asking) else ():
+            if not len(own):
+                continue
+            start = np.cumsum(n[own]) - n[own]
+            to = np.arange(n[own].sum()) + np.repeat(first[own] - start, n[own])
+            row = np.repeat(own, n[own])
+            far = _on_segment(at[row], ends[0][to], ends[1][to])[0]
+            digits = np.floor(far * 1e12 + 0.5)
+            tied = digits == np.repeat(np.minimum.reduceat(digits, start), n[own])
+            best = np.minimum.reduceat(np.where(tied, np.arange(len(to)), len(to)), start)  # of ties the least id
+            d[own], hit[own] = far[best], to[best]
+        names = pd.Series(s[segment_key].to_numpy()[hit] if len(s) else np.zeros(len(p), np.int64))
+        if (hit < 0).any():
+            names = (names.astype("Int64") if names.dtype.kind in "iu" else names.astype(object)).mask(hit < 0)
+        return pd.DataFrame({c: p[c].to_numpy() for c in (*by, key)} | {"distance": d, segment_key: names})
+
+    one, two = (df.repartition(tasks, "deal").groupBy("deal") for df in (left, right))
+    return one.cogroup(two).applyInPandas(nearest, schema)
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, by: Sequence[str] = (), key: str = "point_id", segment_key: str = "seg_id", a: Sequence[str] = ("ax", "ay", "az"), b: Sequence[str] = ("bx", "by_", "bz"), reach: float | None = None, xyz: Sequence[str] = XYZ) -> DataFrame:

@@ -278,12 +278,12 @@ def on_mesh(points: DataFrame, shape: Shape, far: float) -> DataFrame:
     return durable(points.join(near, [ITEM, "point_id"]), "on_mesh")
 
 
-def label_patches(members: DataFrame, shape: Shape, most: float, how: str = "edges", crops: DataFrame | None = None) -> DataFrame:
-    """Labels of the points of each patch: patch_id, point_id, distance, seg_id, and the patch's flag ``jump``.
+def label_patches(members: DataFrame, shape: Shape, most: float, how: str = "edges", crops: DataFrame | None = None, flagged: bool = True) -> DataFrame:
+    """Labels of the points of each patch: patch_id, point_id, distance, seg_id, and, if ``flagged``, the patch's flag ``jump``.
 
     members: item_id, patch_id, point_id, fid (the nearest face of the mesh), x, y, z; a patch_id belongs to one item.
-    With ``crops`` (item_id, patch_id, fid), fid is the nearest face of the crop, ``off`` from the point, and only
-    faces that surfaces have outside the crop may be nearer.  A patch sees the whole
+    With ``crops`` (item_id, patch_id, fid), members are written, each point once a crop, fid is the nearest face of the crop, ``off``
+    from the point, and only faces that surfaces have outside the crop may be nearer; without ``off`` there are none such.  A patch sees the whole
     surfaces that its points lie on, their sharp curves clipped to that
     submesh, without boundary features (``how``).  Each point takes the
     distance to the nearest segment of the curves at its surface, cut at
@@ -291,7 +291,7 @@ def label_patches(members: DataFrame, shape: Shape, most: float, how: str = "edg
     neighbour differ by over 1.1 times their distance.
     """
     # every patch is a small mesh of its own: its id takes the item's place
-    own = durable(members.select(ITEM, "patch_id", "point_id", "fid", "x", "y", "z", *(["off"] if crops is not None else [])), "members")
+    own = durable(members.select(ITEM, "patch_id", "point_id", "fid", "x", "y", "z"), "members") if crops is None else members
     hits = own.select(ITEM, "patch_id", "fid").distinct()
     touched = hits.join(shape.surface_faces, [ITEM, "fid"]).select(ITEM, "patch_id", "surf_id").distinct()
     parts = durable(touched.join(shape.surface_faces, [ITEM, "surf_id"]).select(ITEM, "patch_id", "surf_id", "fid"), "members")
@@ -307,15 +307,23 @@ def label_patches(members: DataFrame, shape: Shape, most: float, how: str = "edg
     end = lambda v: curve_verts.select(ITEM, "curve_id", F.col("vid").alias(v))
     segments = moved(held.join(shape.segments, [ITEM, "curve_id"])).join(end("va"), [ITEM, "curve_id", "va"], "left_semi").join(end("vb"), [ITEM, "curve_id", "vb"], "left_semi")
     points = own.select(named, "point_id", "x", "y", "z")
-    faced = own.select(named, "point_id", "fid", *(["off"] if crops is not None else [])).distinct()
-    if crops is not None:
+    if crops is None:
+        faced = own.select(named, "point_id", "fid").distinct()
+    elif "off" not in own.columns:
+        points = own.select(named, "point_id", "fid", "x", "y", "z")
+        faced = points.select(ITEM, "point_id", "fid")
+    else:
+        faced = own.select(named, "point_id", "fid", "off")
         beyond = durable(faces.join(crops.select(named, "fid"), [ITEM, "fid"], "left_anti"), "members")
         if not beyond.isEmpty():
             there = sp.nearest_face(points.join(beyond.select(ITEM).distinct(), ITEM, "left_semi"), beyond, [ITEM]).select(ITEM, "point_id", "fid", F.col("distance").alias("off"))
             nearer = F.min(F.struct(F.round("off", 12).alias("off"), "fid")).alias("to")
             faced = faced.unionByName(there).groupBy(ITEM, "point_id").agg(nearer).select(ITEM, "point_id", "to.fid")
         faced = faced.select(ITEM, "point_id", "fid")
-    labels = durable(ms.annotate_points(points, faces, surface_faces, segments, ms.surface_curves(faces, surface_faces, curve_verts, curves), most, faced), "labels")
+    labels = ms.annotate_points(points, faces, surface_faces, segments, ms.surface_curves(faces, surface_faces, curve_verts, curves), most, faced)
+    if not flagged:
+        return labels.select(F.col(ITEM).alias("patch_id"), "point_id", "distance", "seg_id")
+    labels = durable(labels, "labels")
     return labels.join(discontinuous(points, labels), ITEM, "left").select(F.col(ITEM).alias("patch_id"), "point_id", "distance", "seg_id", F.coalesce("jump", F.lit(False)).alias("jump"))
 
 
@@ -403,16 +411,21 @@ def crop_members(points: DataFrame, shape: Shape, crops: DataFrame, bound: float
     crops: item_id, patch_id, fid; a patch_id belongs to one item.
     """
     faces = crops.join(shape.faces, [ITEM, "fid"])
-    return sp.faces_within(points, faces, bound, [ITEM], ["patch_id"]).select(ITEM, "patch_id", "point_id", "fid", F.col("distance").alias("off")).join(points, [ITEM, "point_id"])
+    return sp.faces_within(points, faces, bound, [ITEM], ["patch_id"]).select(ITEM, "patch_id", "point_id", "fid", F.col("distance").alias("off"), "x", "y", "z")
 
 
 def label_crops(points: DataFrame, shape: Shape, crops: DataFrame, bound: float, most: float, how: str = "edges") -> DataFrame:
     """Whole-shape points labelled in every crop that holds them, the least label of each pushed back to its crops."""
     shape, crops = shape.written(), durable(crops, "crops")
-    members = durable(crop_members(points.select(ITEM, "point_id", "x", "y", "z"), shape, crops, bound), "crops")
-    labels = label_patches(members, shape, most, how, crops).select("patch_id", F.col("point_id").alias("global_idx"), F.col("distance").alias("value"))
-    own = members.select(ITEM, "patch_id", F.col("point_id").alias("global_idx"))
-    return consistent_whole_labels(own, own.join(labels, ["patch_id", "global_idx"]), most)
+    # members are written once: with their distances only where a surface of a crop goes on outside it
+    around = crops.join(shape.surface_faces, [ITEM, "fid"]).select(ITEM, "patch_id", "surf_id").distinct().join(shape.surface_faces, [ITEM, "surf_id"])
+    beyond = not around.join(crops, [ITEM, "patch_id", "fid"], "left_anti").isEmpty()
+    members = crop_members(points.select(ITEM, "point_id", "x", "y", "z"), shape, crops, bound)
+    members = durable(members if beyond else members.drop("off"), "crops")
+    labels = label_patches(members, shape, most, how, crops, flagged=False).select("patch_id", F.col("point_id").alias("global_idx"), F.col("distance").alias("value"))
+    own = durable(labels.join(crops.select(ITEM, "patch_id").distinct(), "patch_id").select(ITEM, "patch_id", "global_idx", "value"), "crops")
+    release(members)
+    return fu.push_back(own, durable(fu.combine_ground_truth(own, most), "crops"))
 
 
 def mesh_vertex_patches(shape: Shape, vertices: DataFrame, seeds: DataFrame, size: int, short: int = 5, most_sharp: float = 0.6) -> DataFrame:
